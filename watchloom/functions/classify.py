@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from watchloom.catalog import dims
+from watchloom.functions.lookup import let
 
 
 def tokenize_name(name: Column) -> Column:
@@ -16,8 +17,10 @@ def tokenize_name(name: Column) -> Column:
 
 
 def value_class(value: Column) -> Column:
-    """The first matching shape of a text value, null when none matches."""
-    return (
+    """The first matching shape of a text value, null when none matches.
+
+    Every shape holds one of a few signs, so plain words are told apart by one cheap test."""
+    shapes = (
         F.when(value.rlike(dims.IPV4), "ipv4")
         .when(value.rlike(dims.IPV4_PORT), "ipv4:port")
         .when(value.rlike(dims.IPV6_PORT), "ipv6:port")
@@ -27,6 +30,7 @@ def value_class(value: Column) -> Column:
         .when(value.rlike(dims.SID), "sid")
         .when(value.rlike(dims.FQDN), "fqdn")
     )
+    return F.when(value.rlike(r"[-.:@\\]"), shapes)
 
 
 def is_identifier_value(value: Column) -> Column:
@@ -46,13 +50,11 @@ def name_kind(name: Column) -> Column:
 def classify_field(name: Column, value: Column, is_text: Column | None = None) -> Column:
     """``identifier`` or ``freeform``: value shape first, then name words, then host names."""
     text = value if is_text is None else F.when(is_text, value)
-    host = (value_class(text) == "fqdn") & (F.size(F.split(text, r"\.")) <= 4)
-    return (
-        F.when(is_identifier_value(text) & text.isNotNull(), "identifier")
-        .when(name_kind(name).isNotNull(), name_kind(name))
-        .when(host, "identifier")
-        .otherwise("freeform")
-    )
+    short = F.size(F.split(text, r"\.")) <= 4
+    by_name = F.coalesce(name_kind(name), F.lit(""))
+    return let(value_class(text), lambda shape: F.when(
+        F.coalesce(shape, F.lit("fqdn")) != "fqdn", "identifier",
+    ).when(by_name != "", by_name).when((shape == "fqdn") & short, "identifier").otherwise("freeform"))
 
 
 def len_bucket(length: Column) -> Column:
@@ -68,8 +70,7 @@ def shape_token(value: Column) -> Column:
     labels = lambda text: F.size(F.split(text, r"\.")).cast("string")
     local = F.substring_index(value, "@", 1)
     host = F.substring_index(value, "@", -1)
-    kind = value_class(value)
-    return (
+    return let(value_class(value), lambda kind: (
         F.when(kind.isin("ipv4", "ipv4:port", "ipv6:port", "guid"), kind)
         .when(kind == "account", "account:domain_user")
         .when(kind == "email", F.concat(
@@ -78,4 +79,4 @@ def shape_token(value: Column) -> Column:
         .when(kind == "sid", F.concat(F.lit("sid:parts="), F.size(F.split(value, "-")).cast("string")))
         .when(kind == "fqdn", F.concat(F.lit("fqdn:labels="), labels(value)))
         .otherwise(F.concat(F.lit("str:len_bucket="), len_bucket(F.length(value))))
-    )
+    ))

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from watchloom.catalog import dims
-from watchloom.functions.lookup import map_value
+from watchloom.functions.lookup import let, map_value
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
@@ -17,43 +17,55 @@ _IPV4_TAIL = rf"{_OCTET}(\.{_OCTET}){{3}}$"
 
 def ipv4_number(ip: Column) -> Column:
     """A dotted address as a number; null when it is not a valid IPv4 address."""
-    part = F.split(ip, r"\.")
-    number = sum(
-        (part[i].cast("bigint") * F.lit(256 ** (3 - i)) for i in range(1, 4)),
-        part[0].cast("bigint") * F.lit(256**3),
-    )
-    return F.when(ip.rlike(_IPV4), number)
+    def number(part: Column) -> Column:
+        return sum(
+            (part[i].cast("bigint") * F.lit(256 ** (3 - i)) for i in range(1, 4)),
+            part[0].cast("bigint") * F.lit(256**3))
+
+    return F.when(ip.rlike(_IPV4), let(F.split(ip, r"\."), number))
+
+
+def _without_v4_tail(ip: Column) -> Column:
+    """An embedded dotted tail as the two groups it stands for."""
+    number = ipv4_number(F.regexp_extract(ip, _IPV4_TAIL, 0))
+    groups = let(number, lambda n: F.format_string(
+        "%x:%x", F.floor(n / 65536).cast("bigint"), F.pmod(n, F.lit(65536))))
+    return F.when(ip.contains("."), F.concat(F.regexp_replace(ip, r"[0-9.]+$", ""), groups)).otherwise(ip)
+
+
+def _valid_v6(plain: Column) -> Column:
+    groups = F.size(F.filter(F.split(plain, ":"), lambda g: g != ""))
+    gaps = F.size(F.split(plain, "::")) - 1
+    full = (gaps == 0) & (groups == 8) & ~plain.rlike("^:|:$")
+    short = (gaps == 1) & (groups <= 7) & ~plain.rlike("^:[^:]|[^:]:$|:::")
+    return plain.rlike(r"^(:|[0-9a-f]{1,4})(:[0-9a-f]{0,4})*$") & (full | short)
 
 
 def ipv6_text(ip: Column) -> Column:
     """Lower-case IPv6 text without its scope and with an embedded IPv4 tail as two groups;
     null when the text is not a valid IPv6 address."""
     bare = F.lower(F.regexp_replace(ip, r"%[^%]+$", ""))
-    v4_tail = F.regexp_extract(bare, _IPV4_TAIL, 0)
-    number = ipv4_number(v4_tail)
-    hextets = F.format_string("%x:%x", F.floor(number / 65536).cast("bigint"), F.pmod(number, F.lit(65536)))
-    plain = F.when(bare.contains("."), F.concat(F.regexp_replace(bare, r"[0-9.]+$", ""), hextets)).otherwise(bare)
-    groups = F.size(F.filter(F.split(plain, ":"), lambda g: g != ""))
-    shaped = plain.rlike(r"^(:|[0-9a-f]{1,4})(:[0-9a-f]{0,4})*$") & ~plain.rlike(":::")
-    pairs = F.size(F.split(plain, "::")) - 1
-    full = (pairs == 0) & (groups == 8) & ~plain.rlike("^:|:$")
-    short = (pairs == 1) & (groups <= 7) & ~plain.rlike("^:[^:]|[^:]:$")
-    return F.when(shaped & (full | short), plain)
+    return let(let(bare, _without_v4_tail), lambda plain: F.when(_valid_v6(plain), plain))
 
 
-def is_internal(ip: Column) -> Column:
-    """Inside the site, or unknown: null and text that is no address count as internal."""
-    number = ipv4_number(ip)
-    v4 = F.lit(False)
+def _internal_v4(number: Column) -> Column:
+    hit = F.lit(False)
     for prefix in dims.INTERNAL_IPV4:
         net = ipaddress.ip_network(prefix)
-        v4 = v4 | number.between(int(net.network_address), int(net.broadcast_address))
-    v6_text = ipv6_text(ip)
-    unique_local = v6_text.rlike("^f[cd][0-9a-f]{2}:")
-    loopback = v6_text.rlike("^[0:]*:0{0,3}1$")
+        hit = hit | number.between(int(net.network_address), int(net.broadcast_address))
+    return hit
+
+
+def _internal_v6(text: Column) -> Column:
+    unique_local, loopback = text.rlike("^f[cd][0-9a-f]{2}:"), text.rlike("^[0:]*:0{0,3}1$")
+    return F.coalesce(unique_local | loopback, F.lit(True))
+
+
+def is_internal(ip: Column) -> Column:
+    """Inside the site, or unknown: null and text that is no address count as internal."""
     return (
-        F.when(number.isNotNull(), v4)
-        .when(ip.contains(":") & v6_text.isNotNull(), unique_local | loopback)
+        F.when(ip.rlike(_IPV4), let(ipv4_number(ip), _internal_v4))
+        .when(ip.contains(":"), let(ipv6_text(ip), _internal_v6))
         .otherwise(F.lit(True))
     )
 

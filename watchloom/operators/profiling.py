@@ -119,10 +119,10 @@ def field_counts(long: DataFrame, table: str = "table", field: str = "path", val
     shape = shape_token(F.col(value))
     if kind is not None:
         shape = F.when(F.col(kind) == "str", shape).otherwise(F.col(kind))
-    cls = classify_field(F.col(field), text)
-    item = F.when(cls == "identifier", shape).otherwise(F.col(value))
-    return seen.groupBy(
-        F.col(table).alias("table"), F.col(field).alias("field"), cls.alias("kind"), item.alias("item")
+    sorted_out = seen.withColumn("_kind", classify_field(F.col(field), text))
+    item = F.when(F.col("_kind") == "identifier", shape).otherwise(F.col(value))
+    return sorted_out.groupBy(
+        F.col(table).alias("table"), F.col(field).alias("field"), F.col("_kind").alias("kind"), item.alias("item")
     ).agg(F.count("*").alias("count"))
 
 

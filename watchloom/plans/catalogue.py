@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from watchloom.plans import normalize_queries  # noqa: F401 - registers its queries
+from watchloom.plans import (  # noqa: F401 - importing registers the queries
+    function_queries, lookup_queries, normalize_queries, profile_queries)
 from watchloom.plans.registry import ORACLES, QUERIES
 
 
