@@ -56,7 +56,7 @@ def coverage_gaps(expected: DataFrame, observed: DataFrame, on: list[str]) -> Da
 
 def table_source_matrix(df: DataFrame, table: str, source: str, sources: list[str]) -> DataFrame:
     """(table x source) counts; the sources are given, so no extra pass looks for them."""
-    return df.groupBy(table).pivot(source, sources).agg(F.count("*")).na.fill(0)
+    return df.groupBy(table).pivot(source, sources).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def malicious_stage_size(df: DataFrame, stage: list[str], flag: str = "is_malicious",
