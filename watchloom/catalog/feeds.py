@@ -9,6 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from watchloom.catalog import dims
+from watchloom.functions.sqltext import iso_ts, lit, lookup, or_default, syslog_priority
+
 AUDITING = ("Microsoft-Windows-Security-Auditing", "Security")
 SYSMON = ("Microsoft-Windows-Sysmon", "Microsoft-Windows-Sysmon/Operational")
 IIS = ("Microsoft-Windows-W3CIISLog", "W3CIISLog")
@@ -37,6 +40,16 @@ class WinEventFormat:
     host_column: str = "hostname"
 
 
+@dataclass(frozen=True)
+class VendorFormat:
+    """A vendor line: its feed, text and the SQL behind its slots; ``when`` picks among several."""
+
+    feed: str
+    text: str
+    let: dict
+    when: str = "true"
+
+
 @dataclass(frozen=True)
 class AuditdFormat:
     """Records of one event; ``argv`` adds the record that lists split arguments."""
@@ -162,8 +175,8 @@ WINEVENT = {
         ("DestinationPort", "dest_port")), BLOCKED),
     "dns": WinEventFormat("256", ("Microsoft-Windows-DNSServer", "Microsoft-Windows-DNSServer/Analytical"), "NS", (
         ("QNAME", "query_name"),
-        ("QTYPE", "__qtype"),
-        ("XID", "__xid"),
+        ("QTYPE", lookup("upper(query_type)", dims.DNS_QUERY_TYPE, 1)),
+        ("XID", f"CAST(conv(substring(md5(concat(query_name, {iso_ts('timestamp')})), 1, 4), 16, 10) AS INT)"),
         ("Source", "coalesce(nullif(source_ip, ''), '0.0.0.0')"),
         ("Destination", "coalesce(nullif(resolved_ip, ''), '0.0.0.0')"),
         ("RCODE", "response_code"),
@@ -240,3 +253,93 @@ AUDITD = {
         "gid={gid} ses=1 comm=\"{comm}\" exe=\"{exe}\" key=\"exec\"",
         let={"comm": "regexp_extract(rtrim('/', exe), '([^/]*)$', 1)"}, argv="args"),
 }
+
+DENY = f"lower(action) IN ({', '.join(map(lit, dims.DENY_ACTIONS))})"
+ASA = f"lower(vendor) IN ({', '.join(map(lit, dims.ASA_VENDORS))})"
+INBOUND = "lower(direction) = 'inbound'"
+
+
+def _sides(outside: str, inside: str) -> tuple[str, str]:
+    """(source, destination) of a flow by its direction."""
+    return f"if({INBOUND}, '{outside}', '{inside}')", f"if({INBOUND}, '{inside}', '{outside}')"
+
+
+_FORTI_HOST = or_default("hostname", "FGT-01")
+_FORTI_LEVEL = f"if({DENY}, 'warning', 'notice')"
+_FLOW = {
+    "src": or_default("source_ip", "0.0.0.0"), "dst": or_default("dest_ip", "0.0.0.0"),
+    "up": "upper(protocol)", "low": "lower(protocol)",
+}
+
+FORTIOS = VendorFormat(
+    "fortinet",
+    "<{prio}>date={date} time={time} devname=\"{host}\" devid=\"{serial}\" logid=\"0000000013\" "
+    "type=\"traffic\" subtype=\"forward\" level=\"{level}\" vd=\"root\" eventtime={ns} "
+    "srcip={src} srcport={source_port} srcintf=\"{src_if}\" srcintfrole=\"{src_role}\" "
+    "dstip={dst} dstport={dest_port} dstintf=\"{dst_if}\" dstintfrole=\"{dst_role}\" "
+    "proto={number} action=\"{verdict}\" policyid=1 service=\"{up}-{dest_port}\" "
+    "dstcountry=\"{remote_country}\" sentbyte={sent} rcvdbyte={received}",
+    {
+        **_FLOW,
+        "prio": syslog_priority("'local7'", _FORTI_LEVEL),
+        "date": "date_format(timestamp, 'yyyy-MM-dd')",
+        "time": "date_format(timestamp, 'HH:mm:ss')",
+        "host": _FORTI_HOST,
+        "serial": f"concat('FG100E', upper(substring(md5({_FORTI_HOST}), 1, 10)))",
+        "level": _FORTI_LEVEL,
+        "ns": "unix_micros(timestamp) * 1000",
+        "src_if": _sides("wan1", "internal")[0], "dst_if": _sides("wan1", "internal")[1],
+        "src_role": _sides("wan", "lan")[0], "dst_role": _sides("wan", "lan")[1],
+        "number": lookup("upper(protocol)", dims.PROTOCOL_NUMBER, 6),
+        "verdict": f"if({DENY}, 'deny', 'accept')",
+        "sent": "coalesce(bytes_sent, 0)", "received": "coalesce(bytes_received, 0)",
+    },
+    f"NOT {ASA}",
+)
+_ASA_LET = {
+    **_FLOW,
+    "stamp": "date_format(timestamp, 'MMM dd HH:mm:ss')",
+    "host": or_default("hostname", "ASA-01"),
+    "src_if": _sides("outside", "inside")[0], "dst_if": _sides("outside", "inside")[1],
+    "list": f"upper({_sides('outside', 'inside')[1]})",
+    "way": f"if({INBOUND}, 'inbound', 'outbound')",
+}
+ASA_DENIED = VendorFormat(
+    "cisco_asa",
+    "<{prio}>{stamp} {host} asa: %ASA-4-106023: Deny {low} src {src_if}:{src}/{source_port} "
+    "dst {dst_if}:{dst}/{dest_port} by access-group \"{list}_IN\" [0x0, 0x0]",
+    {**_ASA_LET, "prio": syslog_priority("'local7'", "'warning'")}, f"{ASA} AND {DENY}",
+)
+ASA_BUILT = VendorFormat(
+    "cisco_asa",
+    "<{prio}>{stamp} {host} asa: %ASA-6-302013: Built {way} {up} connection 0 for "
+    "{dst_if}:{dst}/{dest_port} ({dst}/{dest_port}) to {src_if}:{src}/{source_port} ({src}/{source_port})",
+    {**_ASA_LET, "prio": syslog_priority("'local7'", "'info'")}, f"{ASA} AND NOT {DENY}",
+)
+IDP_REASON = (
+    f"if({RESULT_OK}, {or_default('result_description', 'Success')}, "
+    "if(coalesce(result_description, 'Success') = 'Success', 'INVALID_CREDENTIALS', result_description))"
+)
+IDP = VendorFormat(
+    "okta",
+    "{record}",
+    {"record": f"""to_json(named_struct(
+        'uuid', __uuid,
+        'published', date_format(timestamp, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"),
+        'eventType', 'user.session.start',
+        'version', '0',
+        'displayMessage', 'User login to Okta',
+        'severity', if({RESULT_OK}, 'INFO', 'WARN'),
+        'legacyEventType', if({RESULT_OK}, 'core.user_auth.login_success', 'core.user_auth.login_failed'),
+        'outcome', named_struct('result', if({RESULT_OK}, 'SUCCESS', 'FAILURE'), 'reason', {IDP_REASON}),
+        'actor', named_struct('id', concat('00u', substring(__actor, 1, 17)), 'type', 'User',
+            'alternateId', user_principal_name, 'displayName', substring_index(user_principal_name, '@', 1)),
+        'client', named_struct(
+            'userAgent', named_struct('rawUserAgent', user_agent, 'browser', client_app_used),
+            'ipAddress', {or_default('source_ip', '0.0.0.0')}, 'device', 'Computer',
+            'geographicalContext', named_struct('country', location, 'city', city)),
+        'authenticationContext', named_struct('authenticationStep', 0),
+        'securityContext', from_json('{{}}', 'map<string,string>'),
+        'target', array(named_struct('id', app_display_name, 'type', 'AppInstance', 'displayName', app_display_name))))"""},
+)
+VENDOR = {"firewall": (FORTIOS, ASA_DENIED, ASA_BUILT), "signin": (IDP,)}

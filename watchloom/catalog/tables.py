@@ -82,5 +82,6 @@ for _name, (_source, _type, _texts) in CLASSES.items():
             syslog=feeds.SYSLOG.get(_name, feeds.DEFAULT_SYSLOG),
             winevent=feeds.WINEVENT.get(_name, feeds.DEFAULT_WINEVENT),
             auditd=feeds.AUDITD.get(_name),
+            vendor=feeds.VENDOR.get(_name),
         )
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from watchloom.catalog import dims
 from watchloom.functions.lookup import let
+from watchloom.functions.sqltext import literal_array
 
 
 def tokenize_name(name: Column) -> Column:
@@ -42,8 +43,8 @@ def name_kind(name: Column) -> Column:
     """What the field name alone says: ``freeform``, ``identifier`` or null."""
     words = tokenize_name(name)
     return (
-        F.when(F.arrays_overlap(words, F.array(*map(F.lit, dims.FREEFORM_WORDS))), "freeform")
-        .when(F.arrays_overlap(words, F.array(*map(F.lit, dims.IDENTIFIER_WORDS))), "identifier")
+        F.when(F.arrays_overlap(words, F.expr(literal_array(dims.FREEFORM_WORDS))), "freeform")
+        .when(F.arrays_overlap(words, F.expr(literal_array(dims.IDENTIFIER_WORDS))), "identifier")
     )
 
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from watchloom.functions.sqltext import literal_array
+
 _DNS_NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
 
@@ -30,7 +32,7 @@ def hash_range(key: Column, low: int, high: int) -> Column:
 
 
 def pick_from(key: Column, pool: Sequence[str]) -> Column:
-    return F.element_at(F.array(*map(F.lit, pool)), (hash_pick(key, len(pool)) + 1).cast("int"))
+    return F.element_at(F.expr(literal_array(pool)), (hash_pick(key, len(pool)) + 1).cast("int"))
 
 
 _GROUPS = "^(.{8})(.{4})(.{4})(.{4})"
@@ -64,5 +66,12 @@ def uuid5_hex(name: Column) -> Column:
         F.substring(digest, 18, 15))
 
 
+def uuid5_hex_sql(name: str) -> str:
+    """``uuid5_hex`` of a SQL expression, as SQL."""
+    digest = f"sha1(concat(unhex('{_DNS_NAMESPACE}'), encode({name}, 'UTF-8')))"
+    return (f"concat(substring({digest}, 1, 12), '5', substring({digest}, 14, 3), "
+            f"translate(substring({digest}, 17, 1), '0123456789abcdef', '89ab89ab89ab89ab'), substring({digest}, 18, 15))")
+
+
 def uuid5(name: Column) -> Column:
     return _dashed(uuid5_hex(name))

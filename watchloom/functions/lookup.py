@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from watchloom.functions.sqltext import literal_map
+
 
 def map_value(key: Column, mapping: Mapping, default=None) -> Column:
     """``mapping[key]`` against a literal map; ``default`` (or null) when absent.
 
     The key appears once, so expressions built on it do not grow with the map.
     """
-    literal = F.create_map(*map(F.lit, chain.from_iterable(mapping.items())))
-    found = F.element_at(literal, key)
+    found = F.element_at(F.expr(literal_map(mapping)), key)
     if default is None:
         return found
     return F.coalesce(found, default if isinstance(default, Column) else F.lit(default))

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-from string import Formatter
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from watchloom.functions.sqltext import XML_ENTITIES
+
 
 def single_line(col: Column, unicode_space: bool = True) -> Column:
     """Collapse whitespace runs to one blank and trim."""
@@ -16,7 +15,7 @@ def single_line(col: Column, unicode_space: bool = True) -> Column:
 
 
 def xml_escape(col: Column) -> Column:
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+    for char, entity in XML_ENTITIES:
         col = F.replace(col, F.lit(char), F.lit(entity))
     return col
 
@@ -37,21 +36,3 @@ def hex_pid(col: Column) -> Column:
 def capitalize(col: Column) -> Column:
     """First letter upper, the rest lower (``initcap`` would raise every word)."""
     return F.concat(F.upper(F.substring(col, 1, 1)), F.lower(F.substring(col, 2, 2147483647)))
-
-
-def printed(col: Column, kind: str = "str") -> Column:
-    """A value the way the text feeds print it: ``None`` for null, ``True``/``False``."""
-    if kind == "bool":
-        col = F.when(col, "True").when(~col, "False")
-    return F.coalesce(col.cast("string"), F.lit("None"))
-
-
-def template(text: str, values: Mapping[str, Column]) -> Column:
-    """Fill ``{name}`` slots of a fixed text with columns."""
-    parts = []
-    for literal, name, _, _ in Formatter().parse(text):
-        if literal:
-            parts.append(F.lit(literal))
-        if name:
-            parts.append(values[name])
-    return F.concat(*parts)

@@ -5,17 +5,20 @@ Every draw is a digest of (run, row, place), so a retried task draws the same va
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.catalog import dims
-from watchloom.functions.hashing import hash_fraction, hash_pick, hash_range, pick_from, stable_uuid
-from watchloom.functions.lookup import map_value, or_default
+from watchloom.functions.hashing import (
+    hash_fraction, hash_pick, hash_range, hash_range_sql, pick_from, stable_uuid, stable_uuid_sql)
+from watchloom.functions.lookup import let, map_value, or_default
 from watchloom.functions.network import appliance_for, url_valid
 from watchloom.functions.text import single_line
 from watchloom.operators.lookup import CONTEXT_COLUMNS, range_pick
+from watchloom.operators.pinned import pinned
 from watchloom.operators.settings import Settings
 
 NOISE_WEIGHT_CAP = 20
@@ -36,7 +39,7 @@ def multiply_rows(df: DataFrame, multiply: str = "multiply", instance: str = "in
     starts = F.when(m >= 1, F.sequence(F.lit(0).cast("bigint"), F.floor((m - 1) / SPREAD_CHUNK).cast("bigint")))
     chunked = df.withColumn("_chunk", F.explode(starts))
     if spread:
-        chunked = chunked.repartition()
+        chunked = chunked.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     first = F.col("_chunk") * SPREAD_CHUNK + 1
     last = F.least(m, first + SPREAD_CHUNK - 1)
     return chunked.withColumn(instance, F.explode(F.sequence(first, last))).drop("_chunk")
@@ -147,7 +150,9 @@ def persona_values(cycle: Column, settings: Settings) -> dict[str, Column]:
 def _replace_all(text: Column, values: Mapping[str, Column]) -> Column:
     out = text
     for name, value in values.items():
-        out = F.when(text.contains(_slot(name)), F.replace(out, F.lit(_slot(name)), value)).otherwise(out)
+        # drawn only where the text asks for it; the text itself is named once per step
+        drawn = F.when(text.contains(_slot(name)), value).otherwise("")
+        out = F.replace(out, F.lit(_slot(name)), drawn)
     return F.when(text.contains("{{"), out).otherwise(text)
 
 
@@ -196,13 +201,16 @@ def corpus_or_pool(key: Column, name: str, chosen: Mapping[str, list[tuple[str,
     bounds = chosen.get(name)
     if not bounds:
         return static
-    u = hash_fraction(F.concat(key, F.lit("|corpus")))
-    drawn = F.lit(bounds[-1][0])
-    for value, top in reversed(bounds[:-1]):
-        drawn = F.when(u < top, F.lit(value)).otherwise(drawn)
-    drawn = single_line(drawn)
-    fits = VALIDATORS.get(name, lambda _: F.lit(True))(drawn)
-    return F.when(fits, drawn).otherwise(static)
+    table = F.from_json(
+        F.lit(json.dumps([{"top": top, "value": value} for value, top in bounds])),
+        "array<struct<top:double,value:string>>")
+    # a share just under one still belongs to the last value
+    hit = lambda u: F.coalesce(
+        F.get(F.filter(table, lambda b: b["top"] > u), 0), F.element_at(table, -1))["value"]
+    drawn = single_line(let(hash_fraction(F.concat(key, F.lit("|corpus"))), hit))
+    if name not in VALIDATORS:
+        return drawn
+    return let(drawn, lambda value: F.when(VALIDATORS[name](value), value).otherwise(static))
 
 
 def bind_pools(df: DataFrame, settings: Settings = Settings(), row_id: str = "row_id", raw: str = "raw",
@@ -266,21 +274,32 @@ def next_state(state: Column, u: Column, matrix: Mapping[str, Mapping[str, float
     return out
 
 
-def _child_value(text: str, key: Column) -> Column:
-    user = or_default(F.col("user_name"), "unknown@corp.local")
+def _child_value(text: str) -> str:
+    """A column of a derived event as SQL text over its own row."""
+    user = "coalesce(nullif(user_name, ''), 'unknown@corp.local')"
     dynamic = {
-        "<parent file>": F.coalesce(F.col("file_name"), F.lit("explorer.exe")),
-        "<appliance>": appliance_for(F.col("source_ip"), F.col("dest_ip")),
-        "<web port>": F.when(F.coalesce(F.col("dest_ip"), F.lit("")) == "", "80").otherwise("443"),
+        "<parent file>": "coalesce(parent_file, 'explorer.exe')",
+        "<appliance>": "appliance",
+        "<web port>": "if(coalesce(dest_ip, '') = '', '80', '443')",
         "<user>": user,
-        "<client ip>": or_default(F.col("source_ip"), "127.0.0.1"),
-        "<resource>": F.concat(F.lit("/subscriptions/"), stable_uuid(F.concat(key, F.lit("|res"))),
-                               F.lit("/resourceGroups/default")),
+        "<client ip>": "coalesce(nullif(source_ip, ''), '127.0.0.1')",
+        "<resource>": f"concat('/subscriptions/', {stable_uuid_sql('concat(event_id, ' + repr('|res') + ')')}, '/resourceGroups/default')",
     }
     if text.startswith("<int "):
-        low, high = map(int, text[5:-1].split())
-        return hash_range(F.concat(key, F.lit(text)), low, high).cast("string")
-    return dynamic.get(text, F.lit(text))
+        return f"CAST({hash_range_sql(f'concat(event_id, {text!r})', *map(int, text[5:-1].split()))} AS STRING)"
+    return dynamic.get(text) or "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _records() -> str:
+    """The raw record of a derived event as SQL text: its table's columns over its context."""
+    context = {c: f"CAST({c} AS STRING)" for c in CONTEXT_COLUMNS}
+    arms = []
+    for table, (_, values) in dims.FOLLOW_UPS.items():
+        entries = {**context, **{k: _child_value(v) for k, v in values.items()},
+                   "Id": "event_id", "depth": "CAST(depth AS STRING)"}
+        body = ", ".join(f"'{k}', {v}" for k, v in entries.items())
+        arms.append(f"WHEN '{table}' THEN map({body})")
+    return f"CASE event_type {' '.join(arms)} END"
 
 
 def follow_ups(df: DataFrame, settings: Settings = Settings(), max_depth: int = dims.MAX_DEPTH,
@@ -293,40 +312,28 @@ def follow_ups(df: DataFrame, settings: Settings = Settings(), max_depth: int =
     from its parent alone, and the levels are bounded by ``max_depth``.
     """
     matrix = matrix or dims.TRANSITIONS
-    base = ["event_id", "event_type", "depth", "file_name", *CONTEXT_COLUMNS]
+    files = {t: v["file_name"] for t, (_, v) in dims.FOLLOW_UPS.items() if "file_name" in v}
     if "file_name" not in df.columns:
         df = df.withColumn("file_name", F.lit(None).cast("string"))
-    level, levels = df.select(*base), []
+    level, levels = df.select("event_id", "event_type", "depth", "file_name", *CONTEXT_COLUMNS), []
     for _ in range(max_depth):
         # a given event may already sit at some depth, so the bound is tested per row
-        parents = level.filter(F.col("depth") < max_depth)
         key = F.concat_ws("|", F.lit(settings.run_id), F.col("event_id"), F.col("depth").cast("string"))
-        child = parents.withColumn("_next", next_state(F.col("event_type"), hash_fraction(key), matrix))
-        child = child.filter(F.col("_next").isNotNull()).withColumn(
-            "_id", stable_uuid(F.concat(key, F.lit("|child"))))
-        context = {c: F.col(c).cast("string") for c in CONTEXT_COLUMNS}
-        record = None
-        for table, (name, values) in dims.FOLLOW_UPS.items():
-            entries = {**context, **{k: _child_value(v, F.col("_id")) for k, v in values.items()},
-                       "Id": F.col("_id"), "depth": (F.col("depth") + 1).cast("string")}
-            built = F.map_from_arrays(F.array(*map(F.lit, entries)), F.array(*entries.values()))
-            hit = F.col("_next") == table
-            record = F.when(hit, built) if record is None else record.when(hit, built)
-        model = map_value(F.col("_next"), {t: n for t, (n, _) in dims.FOLLOW_UPS.items()})
-        file_name = map_value(F.col("_next"), {
-            t: v["file_name"] for t, (_, v) in dims.FOLLOW_UPS.items() if "file_name" in v})
-        made = child.select(
-            F.col("_id").alias("event_id"), F.col("event_id").alias("parent_id"),
-            F.col("_next").alias("event_type"), (F.col("depth") + 1).alias("depth"),
-            file_name.alias("file_name"),
-            # a sign-in needs a user and hands it on
-            F.when(F.col("_next") == "SigninLogs", or_default(F.col("user_name"), "unknown@corp.local"))
-            .otherwise(F.col("user_name")).alias("user_name"),
-            *[c for c in CONTEXT_COLUMNS if c != "user_name"],
-            model.alias("model"), record.alias("raw"))
-        levels.append(made)
-        level = made.select(*base)
+        drawn = pinned(level.filter(F.col("depth") < max_depth), hash_fraction(key).alias("_u"),
+                       stable_uuid(F.concat(key, F.lit("|child"))).alias("_id"))
+        stepped = pinned(drawn, next_state(F.col("event_type"), F.col("_u"), matrix).alias("_next"))
+        # a sign-in needs a user and hands it on
+        user = F.when(F.col("_next") == "SigninLogs", or_default(F.col("user_name"), "unknown@corp.local"))
+        level = stepped.filter(F.col("_next").isNotNull()).select(
+            F.col("_id").alias("event_id"), F.col("event_id").alias("parent_id"), F.col("_next").alias("event_type"),
+            (F.col("depth") + 1).alias("depth"), map_value(F.col("_next"), files).alias("file_name"),
+            F.col("file_name").alias("parent_file"), user.otherwise(F.col("user_name")).alias("user_name"),
+            *[c for c in CONTEXT_COLUMNS if c != "user_name"])
+        levels.append(level)
     out = levels[0]
     for made in levels[1:]:
         out = out.unionByName(made)
-    return out
+    models = {t: name for t, (name, _) in dims.FOLLOW_UPS.items()}
+    placed = out.withColumn("appliance", appliance_for(F.col("source_ip"), F.col("dest_ip")))
+    built = pinned(placed, F.expr(_records()).alias("raw"))
+    return built.withColumn("model", map_value(F.col("event_type"), models)).drop("appliance", "parent_file")

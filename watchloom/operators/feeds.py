@@ -13,15 +13,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.catalog import dims
-from watchloom.catalog.feeds import DEFAULT_SYSLOG, DEFAULT_WINEVENT, SyslogFormat, WinEventFormat
+from watchloom.catalog.feeds import DEFAULT_SYSLOG, DEFAULT_WINEVENT, SyslogFormat, VendorFormat, WinEventFormat
 from watchloom.catalog.tables import GENERIC, spec_of
-from watchloom.functions.hashing import stable_uuid, uuid5_hex
-from watchloom.functions.lookup import or_default
-from watchloom.functions.network import (
-    device_serial, dns_qtype, dns_xid, interfaces, is_asa, is_deny, proto_number)
-from watchloom.functions.severity import cef_severity, evt_level, syslog_priority
-from watchloom.functions.text import capitalize, cef_escape, printed, template, xml_escape
-from watchloom.functions.timefmt import epoch_milli, epoch_ms, epoch_ns, iso_ts, milli_ts, syslog_ts, xml_ts
+from watchloom.functions import sqltext as T
+from watchloom.functions.hashing import stable_uuid_sql, uuid5_hex_sql
 from watchloom.operators.normalize import table_name
 from watchloom.operators.settings import Settings
 
@@ -36,55 +31,49 @@ MITRE_SLOTS = (("MitreTactic", "tactic"), ("MitreTechniqueId", "technique_id"),
                ("MitreTechniqueName", "technique_name"))
 
 
-def _values(name: str, df: DataFrame, settings: Settings, let: dict | None = None) -> dict[str, Column]:
-    kinds = {c.attr: c.kind for c in spec_of(name).columns}
-    out = {a: printed(F.col(a), kind) for a, kind in kinds.items() if a in df.columns}
-    out |= {k: printed(F.expr(sql)) for k, sql in (let or {}).items()}
-    out["vendor"] = F.lit(settings.vendor) if "vendor" not in kinds else out["vendor"]
-    return out
+def _fill(text: str, name: str, settings: Settings, let: dict | None = None) -> str:
+    """A format text with its slots filled from the columns of a class, as SQL."""
+    known, extra = spec_of(name).by_attr, let or {}
 
+    def value(slot: str) -> str:
+        if slot in extra:
+            return T.printed(extra[slot])
+        if slot in known:
+            return T.printed(slot, known[slot].kind)
+        return T.lit(settings.vendor)
 
-def _text(fmt: str, values: dict[str, Column]) -> Column:
-    return template(fmt, values) if "{" in fmt else F.lit(fmt)
+    slots = T.slots(text)
+    return T.template(text, {slot: value(slot) for slot in slots}) if slots else T.lit(text)
 
 
-# --- one line per row ---------------------------------------------------------------------
+# --- one line per row, as SQL -------------------------------------------------------------
 
-def syslog_line(df: DataFrame, name: str, settings: Settings) -> Column:
+def syslog_sql(name: str, settings: Settings) -> str:
     fmt: SyslogFormat = spec_of(name).feeds.get("syslog", DEFAULT_SYSLOG)
-    values = _values(name, df, settings, fmt.let)
-    head = F.concat(F.lit("<"), syslog_priority(F.expr(fmt.facility), F.expr(fmt.severity)).cast("string"), F.lit(">"))
-    host, tag = or_default(F.col(fmt.host_column), fmt.host), _text(fmt.tag, values)
-    pid, message = F.expr(fmt.pid).cast("string"), _text(fmt.message, values)
+    fill = lambda text: _fill(text, name, settings, fmt.let)
+    priority = T.syslog_priority(fmt.facility, fmt.severity)
+    host, tag, message = T.or_default(fmt.host_column, fmt.host), fill(fmt.tag), fill(fmt.message)
     if settings.syslog_format == "rfc5424":
-        return F.concat(head, F.lit("1 "), F.concat_ws(" ", iso_ts(F.col("timestamp")), host, tag, pid),
-                        F.lit(" - - "), message)
-    return F.concat(head, F.concat_ws(" ", syslog_ts(F.col("timestamp")), host, tag),
-                    F.lit("["), pid, F.lit("]: "), message)
+        return (f"concat('<', {priority}, '>1 ', {T.iso_ts('timestamp')}, ' ', {host}, ' ', {tag}, ' ', "
+                f"{fmt.pid}, ' - - ', {message})")
+    return (f"concat('<', {priority}, '>', date_format(timestamp, 'MMM dd HH:mm:ss'), ' ', {host}, ' ', {tag}, "
+            f"'[', {fmt.pid}, ']: ', {message})")
 
 
-def winevent_line(df: DataFrame, name: str, settings: Settings) -> Column:
+def winevent_sql(name: str, settings: Settings) -> str:
     """One Windows event as single-line XML; data without a value are left out."""
     fmt: WinEventFormat = spec_of(name).feeds.get("winevent", DEFAULT_WINEVENT)
-    values = _values(name, df, settings)
-    special = {
-        "__qtype": lambda: dns_qtype(F.col("query_type")),
-        "__xid": lambda: dns_xid(F.col("query_name"), iso_ts(F.col("timestamp"))),
-    }
-    pairs = []
-    for label, sql in fmt.data:
-        value = (special[sql]() if sql in special else F.expr(sql)).cast("string")
-        pairs.append(F.when(value.isNotNull(), F.concat(
-            F.lit(f"<Data Name='{label}'>"), xml_escape(value), F.lit("</Data>"))))
-    provider, channel = (xml_escape(_text(part, values)) for part in fmt.origin)
-    return F.concat(
-        F.lit("<Event xmlns='http://schemas.microsoft.com/win/2004/08/events/event'><System><Provider Name='"),
-        provider, F.lit("'/><EventID>"), F.expr(fmt.event_id).cast("string"),
-        F.lit("</EventID><Version>0</Version><Level>"), evt_level(F.expr(fmt.severity)).cast("string"),
-        F.lit("</Level><TimeCreated SystemTime='"), xml_ts(F.col("timestamp")), F.lit("'/><Channel>"),
-        channel, F.lit("</Channel><Computer>"), xml_escape(or_default(F.col(fmt.host_column), fmt.host)),
-        F.lit("</Computer><Security/></System><EventData>"), F.concat_ws("", *pairs),
-        F.lit("</EventData></Event>"))
+    data = ", ".join(
+        f"concat({T.lit(f'<Data Name={chr(39)}{label}{chr(39)}>')}, {T.xml_escape(f'CAST({sql} AS STRING)')}, '</Data>')"
+        for label, sql in fmt.data)
+    provider, channel = (T.xml_escape(_fill(part, name, settings)) for part in fmt.origin)
+    host = T.xml_escape(T.or_default(fmt.host_column, fmt.host))
+    stamp = "date_format(timestamp, \"yyyy-MM-dd'T'HH:mm:ss.'000Z'\")"
+    return f"""concat(
+        "<Event xmlns='http://schemas.microsoft.com/win/2004/08/events/event'><System><Provider Name='", {provider},
+        "'/><EventID>", {fmt.event_id}, '</EventID><Version>0</Version><Level>', {T.evt_level(fmt.severity)},
+        "</Level><TimeCreated SystemTime='", {stamp}, "'/><Channel>", {channel}, '</Channel><Computer>', {host},
+        '</Computer><Security/></System><EventData>', concat_ws('', {data}), '</EventData></Event>')"""
 
 
 def writes_winevents(source: Column) -> Column:
@@ -92,31 +81,22 @@ def writes_winevents(source: Column) -> Column:
     return ~F.lower(source).isin(*dims.NON_WINDOWS_SOURCES)
 
 
-def cef_fields(df: DataFrame, name: str) -> list[tuple[str, str, str]]:
-    """(label, column, type) of the scalars that compete for custom strings, in column order."""
+MAIL_AUTH = ("concat('SPF: ', if(spf_pass, 'pass', 'fail'), '; DKIM: ', if(dkim_pass, 'pass', 'fail'), "
+             "'; DMARC: ', if(dmarc_pass, 'pass', 'fail'))")
+
+
+def cef_fields(name: str) -> list[tuple[str, str]]:
+    """(label, SQL text value) of the scalars that compete for custom strings, in column order."""
     spec = spec_of(name)
     own = {c.public: c for c in spec.columns if not c.hidden}
+    shown = {"time": lambda a: f"replace({T.iso_ts(a)}, 'T', ' ')",
+             "bool": lambda a: f"CASE WHEN {a} THEN 'True' WHEN NOT {a} THEN 'False' END"}
     fields = [
-        (public, c.attr, c.kind) for public, c in own.items()
+        (public, shown.get(c.kind, lambda a: f"CAST({a} AS STRING)")(c.attr)) for public, c in own.items()
         if public not in (*CEF_CONSUMED, *dims.LABEL_COLUMNS)
-        and c.kind in ("str", "int", "long", "float", "bool", "time") and c.attr in df.columns
+        and c.kind in ("str", "int", "long", "float", "bool", "time")
     ]
-    if "spf_pass" in spec.by_attr:
-        fields.append(("AuthenticationDetails", "", "str"))
-    return fields
-
-
-def _cef_value(attr: str, kind: str) -> Column:
-    if not attr:
-        verdict = lambda c: F.when(F.col(c), "pass").otherwise("fail")
-        return F.concat(F.lit("SPF: "), verdict("spf_pass"), F.lit("; DKIM: "), verdict("dkim_pass"),
-                        F.lit("; DMARC: "), verdict("dmarc_pass"))
-    col = F.col(attr)
-    if kind == "bool":
-        return F.when(col, "True").when(~col, "False")
-    if kind == "time":
-        return F.replace(iso_ts(col), F.lit("T"), F.lit(" "))
-    return col.cast("string")
+    return fields + ([("AuthenticationDetails", MAIL_AUTH)] if "spf_pass" in spec.by_attr else [])
 
 
 def fit_slots(fields: Column, taken: Column | int = 0, slots: int = CEF_SLOTS) -> tuple[Column, Column]:
@@ -130,36 +110,26 @@ def fit_slots(fields: Column, taken: Column | int = 0, slots: int = CEF_SLOTS) -
     return kept, dropped
 
 
-def cef_line(df: DataFrame, name: str, settings: Settings) -> tuple[Column, Column]:
+def cef_line(name: str, settings: Settings) -> tuple[Column, Column]:
     """(CEF line, names of the columns that found no custom string)."""
-    pair = lambda key, value: F.when(
-        (F.coalesce(value, F.lit("")) != "") & ~value.startswith("="), F.concat(F.lit(f"{key}="), value))
-    fixed = [
-        F.concat(F.lit("rt="), epoch_ms(F.col("timestamp")).cast("string")),
-        pair("src", F.col("source_ip")), pair("dst", F.col("dest_ip")),
-        pair("suser", F.col("user_name")), pair("shost", F.col("hostname")),
-        pair("msg", F.col("scenario_id")), pair("externalId", F.col("correlation_id")),
-    ]
-    has_mitre = F.col("mitre").isNotNull()
-    mitre = [
-        F.when(has_mitre, F.concat(F.lit(f"cs{i}Label={label} cs{i}="), F.col(f"mitre.{part}")))
-        for i, (label, part) in enumerate(MITRE_SLOTS, 1)
-    ]
-    taken = F.when(has_mitre, len(MITRE_SLOTS)).otherwise(0)
-    fields = F.array(*[
-        F.struct(F.lit(label).alias("label"), cef_escape(_cef_value(attr, kind)).alias("value"))
-        for label, attr, kind in cef_fields(df, name)
-    ]) if cef_fields(df, name) else F.expr("CAST(array() AS array<struct<label:string,value:string>>)")
+    listed = ", ".join(
+        f"named_struct('label', {T.lit(label)}, 'value', {T.cef_escape(value)})" for label, value in cef_fields(name))
+    fields = F.expr(f"array({listed})" if listed else "CAST(array() AS array<struct<label:string,value:string>>)")
+    taken = F.expr(f"if(mitre IS NULL, 0, {len(MITRE_SLOTS)})")
     kept, dropped = fit_slots(fields, taken)
     slots = F.transform(kept, lambda f, i: F.concat(
-        F.lit("cs"), (i + taken + 1).cast("string"), F.lit("Label="), f["label"],
-        F.lit(" cs"), (i + taken + 1).cast("string"), F.lit("="), f["value"]))
-    head = F.concat_ws(
-        "|", F.lit("CEF:0"), F.lit(settings.vendor), capitalize(F.col("source")), F.lit("1.1"),
-        F.col("event_type"), F.concat(F.lit(f"{settings.vendor} "), F.col("event_type"), F.lit(" event")),
-        cef_severity(F.col("severity")).cast("string"))
-    line = F.concat(head, F.lit("|"), F.concat_ws(" ", *fixed, *mitre, slots))
-    return line, dropped
+        F.lit("cs"), i + taken + 1, F.lit("Label="), f["label"], F.lit(" cs"), i + taken + 1, F.lit("="), f["value"]))
+    pair = lambda key, col: f"if(coalesce({col}, '') = '' OR startswith({col}, '='), NULL, concat('{key}=', {col}))"
+    fixed = ", ".join([
+        "concat('rt=', unix_millis(timestamp))", pair("src", "source_ip"), pair("dst", "dest_ip"),
+        pair("suser", "user_name"), pair("shost", "hostname"), pair("msg", "scenario_id"),
+        pair("externalId", "correlation_id"),
+        *[f"concat('cs{i}Label={label} cs{i}=', mitre.{part})" for i, (label, part) in enumerate(MITRE_SLOTS, 1)]])
+    vendor = T.lit(settings.vendor)
+    product = "concat(upper(substring(source, 1, 1)), lower(substring(source, 2)))"
+    head = (f"concat('CEF:0|', {vendor}, '|', {product}, '|1.1|', event_type, '|', {vendor}, ' ', event_type, "
+            f"' event|', {T.cef_severity('severity')}, '|')")
+    return F.concat(F.expr(head), F.concat_ws(" ", F.expr(f"concat_ws(' ', {fixed})"), slots)), dropped
 
 
 @F.pandas_udf("array<string>")
@@ -176,134 +146,39 @@ def argv_split(text: pd.Series) -> pd.Series:
     return text.map(split)
 
 
-def auditd_lines(df: DataFrame, name: str, settings: Settings, serial: str = "serial") -> Column | None:
+def auditd_lines(name: str, settings: Settings, serial: str = "serial") -> Column | None:
     """Array of the records of a row; the records of one event share its serial."""
     fmt = spec_of(name).feeds.get("auditd")
     if fmt is None:
         return None
-    values = _values(name, df, settings, fmt.let)
-    stamp = F.concat(F.lit(" msg=audit("), epoch_milli(F.col("timestamp")), F.lit(":"),
-                     F.col(serial).cast("string"), F.lit("): "))
-    lines = [F.concat(F.lit("type="), F.expr(fmt.record), stamp, template(fmt.fields, values))]
-    if fmt.argv:
-        split = argv_split(F.col(fmt.argv))
-        argv = F.when(F.size(split) == 0, F.array(values["comm"])).otherwise(split)
-        listed = F.transform(argv, lambda a, i: F.concat(
-            F.lit("a"), i.cast("string"), F.lit('="'), a, F.lit('"')))
-        lines.append(F.concat(F.lit("type=EXECVE"), stamp, F.lit("argc="), F.size(argv).cast("string"),
-                              F.lit(" "), F.array_join(listed, " ")))
-    return F.array(*lines)
-
-
-# --- vendor formats -----------------------------------------------------------------------
-
-def _flow(default_host: str) -> dict[str, Column]:
-    return {
-        "deny": is_deny(F.col("action")),
-        "host": or_default(F.col("hostname"), default_host),
-        "src": or_default(F.col("source_ip"), "0.0.0.0"),
-        "dst": or_default(F.col("dest_ip"), "0.0.0.0"),
-        "sport": F.col("source_port").cast("string"),
-        "dport": F.col("dest_port").cast("string"),
-    }
-
-
-def fortios_line(df: DataFrame) -> Column:
-    """A key=value traffic record with its syslog priority."""
-    f = _flow("FGT-01")
-    level = F.when(f["deny"], "warning").otherwise("notice")
-    src_if, dst_if = interfaces(F.col("direction"), "wan1", "internal")
-    src_role, dst_role = interfaces(F.col("direction"), "wan", "lan")
-    ts, upper = F.col("timestamp"), F.upper("protocol")
-    quoted = lambda v: F.concat(F.lit('"'), v, F.lit('"'))
-    bytes_of = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("string")
-    fields = {
-        "date": F.date_format(ts, "yyyy-MM-dd"),
-        "time": F.date_format(ts, "HH:mm:ss"),
-        "devname": quoted(f["host"]),
-        "devid": quoted(device_serial(f["host"])),
-        "logid": F.lit('"0000000013"'),
-        "type": F.lit('"traffic"'),
-        "subtype": F.lit('"forward"'),
-        "level": quoted(level),
-        "vd": F.lit('"root"'),
-        "eventtime": epoch_ns(ts).cast("string"),
-        "srcip": f["src"],
-        "srcport": f["sport"],
-        "srcintf": quoted(src_if),
-        "srcintfrole": quoted(src_role),
-        "dstip": f["dst"],
-        "dstport": f["dport"],
-        "dstintf": quoted(dst_if),
-        "dstintfrole": quoted(dst_role),
-        "proto": proto_number(F.col("protocol")).cast("string"),
-        "action": quoted(F.when(f["deny"], "deny").otherwise("accept")),
-        "policyid": F.lit("1"),
-        "service": quoted(F.concat(upper, F.lit("-"), f["dport"])),
-        "dstcountry": quoted(F.col("remote_country")),
-        "sentbyte": bytes_of("bytes_sent"),
-        "rcvdbyte": bytes_of("bytes_received"),
-    }
-    priority = syslog_priority(F.lit("local7"), level).cast("string")
-    return F.concat(F.lit("<"), priority, F.lit(">"), F.concat_ws(
-        " ", *[F.concat(F.lit(f"{key}="), value) for key, value in fields.items()]))
-
-
-def asa_line(df: DataFrame) -> Column:
-    """A tagged appliance syslog line: denied by an access list, or a built connection."""
-    f = _flow("ASA-01")
-    src_if, dst_if = interfaces(F.col("direction"), "outside", "inside")
-    src, dst = F.concat_ws("/", f["src"], f["sport"]), F.concat_ws("/", f["dst"], f["dport"])
-    way = F.when(F.lower("direction") == "inbound", "inbound").otherwise("outbound")
-    slots = {"src_if": src_if, "dst_if": dst_if, "DST_IF": F.upper(dst_if), "src": src, "dst": dst,
-             "low": F.lower("protocol"), "up": F.upper("protocol"), "way": way}
-    denied = template('%ASA-4-106023: Deny {low} src {src_if}:{src} dst {dst_if}:{dst} '
-                      'by access-group "{DST_IF}_IN" [0x0, 0x0]', slots)
-    built = template("%ASA-6-302013: Built {way} {up} connection 0 for {dst_if}:{dst} ({dst}) "
-                     "to {src_if}:{src} ({src})", slots)
-    priority = syslog_priority(F.lit("local7"), F.when(f["deny"], "warning").otherwise("info")).cast("string")
-    return F.concat(F.lit("<"), priority, F.lit(">"), F.concat_ws(" ", syslog_ts(F.col("timestamp")), f["host"]),
-                    F.lit(" asa: "), F.when(f["deny"], denied).otherwise(built))
-
-
-def idp_line(df: DataFrame) -> Column:
-    """An identity-provider log record of a sign-in."""
-    ok = F.col("result_type") == "0"
-    reason = F.when(ok, or_default(F.col("result_description"), "Success")).otherwise(
-        F.when(F.coalesce(F.col("result_description"), F.lit("Success")) == "Success", "INVALID_CREDENTIALS")
-        .otherwise(F.col("result_description")))
-    user, app = F.col("user_principal_name"), F.col("app_display_name")
-    s = lambda **parts: F.struct(*[v.alias(k) for k, v in parts.items()])
-    return F.to_json(s(
-        uuid=stable_uuid(F.concat(F.col("event_id"), F.lit("|idp"))),
-        published=milli_ts(F.col("timestamp")),
-        eventType=F.lit("user.session.start"),
-        version=F.lit("0"),
-        displayMessage=F.lit("User login to Okta"),
-        severity=F.when(ok, "INFO").otherwise("WARN"),
-        legacyEventType=F.when(ok, "core.user_auth.login_success").otherwise("core.user_auth.login_failed"),
-        outcome=s(result=F.when(ok, "SUCCESS").otherwise("FAILURE"), reason=reason),
-        actor=s(id=F.concat(F.lit("00u"), F.substring(uuid5_hex(user), 1, 17)), type=F.lit("User"),
-                alternateId=user, displayName=F.substring_index(user, "@", 1)),
-        client=s(
-            userAgent=s(rawUserAgent=F.col("user_agent"), browser=F.col("client_app_used")),
-            ipAddress=or_default(F.col("source_ip"), "0.0.0.0"),
-            device=F.lit("Computer"),
-            geographicalContext=s(country=F.col("location"), city=F.col("city"))),
-        authenticationContext=s(authenticationStep=F.lit(0)),
-        securityContext=F.from_json(F.lit("{}"), "map<string,string>"),
-        target=F.array(s(id=app, type=F.lit("AppInstance"), displayName=app))))
-
-
-def vendor_line(df: DataFrame, name: str) -> tuple[Column, Column] | None:
+    fill = lambda text: _fill(text, name, settings, fmt.let)
+    millis = "floor((unix_micros(timestamp) + 500) / 1000)"
+    stamp = (f"concat(' msg=audit(', format_string('%d.%03d', CAST(floor({millis} / 1000) AS BIGINT), "
+             f"CAST(pmod({millis}, 1000) AS BIGINT)), ':', {serial}, '): ')")
+    first = F.expr(f"concat('type=', {fmt.record}, {stamp}, {fill(fmt.fields)})")
+    if not fmt.argv:
+        return F.array(first)
+    split = argv_split(F.col(fmt.argv))
+    argv = F.when(F.size(split) == 0, F.array(F.expr(fill("{comm}")))).otherwise(split)
+    listed = F.transform(argv, lambda a, i: F.concat(F.lit("a"), i, F.lit('="'), a, F.lit('"')))
+    return F.array(first, F.concat(
+        F.expr(f"concat('type=EXECVE', {stamp}, 'argc=')"), F.size(argv), F.lit(" "), F.array_join(listed, " ")))
+
+
+def vendor_line(name: str, settings: Settings) -> tuple[Column, Column] | None:
     """(vendor feed, line); a session came off one appliance, so there is at most one."""
-    if name == "firewall":
-        asa = is_asa(F.col("vendor"))
-        return (F.when(asa, "cisco_asa").otherwise("fortinet"),
-                F.when(asa, asa_line(df)).otherwise(fortios_line(df)))
-    if name == "signin":
-        return F.lit("okta"), idp_line(df)
-    return None
+    formats = spec_of(name).feeds.get("vendor")
+    if not formats:
+        return None
+
+    def line(fmt: VendorFormat) -> str:
+        let = {k: v.replace("__uuid", stable_uuid_sql("concat(event_id, '|idp')")).replace(
+            "__actor", uuid5_hex_sql("user_principal_name")) for k, v in fmt.let.items()}
+        return _fill(fmt.text, name, settings, let)
+
+    feed = " ".join(f"WHEN {f.when} THEN '{f.feed}'" for f in formats)
+    text = " ".join(f"WHEN {f.when} THEN {line(f)}" for f in formats)
+    return F.expr(f"CASE {feed} END"), F.expr(f"CASE {text} END")
 
 
 # --- jobs ---------------------------------------------------------------------------------
@@ -315,77 +190,68 @@ def _lines(df: DataFrame, feed: str | Column, line: Column, keep: tuple[str, ...
         line.alias("line"))
 
 
-def export_json(df: DataFrame, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Public names, no labels, ISO times, nulls kept."""
-    record = F.to_json(F.struct(*_public_columns(df, name)), {"ignoreNullFields": "false"})
-    return _lines(df, "json", record, keep)
-
-
-def _public_columns(df: DataFrame, name: str) -> list[Column]:
-    """The exported columns of a class as expressions over its attribute columns."""
+def json_sql(name: str) -> str:
+    """The exported record of a class: public names, no labels, ISO times, nulls kept."""
     spec = spec_of(name)
-    place = {c.public: c for c in spec.columns
-             if not c.hidden and c.attr not in dims.LABEL_COLUMNS and c.attr in df.columns}
-    out = [(iso_ts(F.col(c.attr)) if c.kind == "time" else F.col(c.attr)).alias(public)
-           for public, c in place.items()]
+    place = {c.public: c for c in spec.columns if not c.hidden and c.attr not in dims.LABEL_COLUMNS}
+    pairs = [f"{T.lit(public)}, {T.iso_ts(c.attr) if c.kind == 'time' else c.attr}" for public, c in place.items()]
     if {"location", "city"} <= set(spec.by_attr):
-        out.append(F.struct(F.col("location").alias("countryOrRegion"), F.col("city")).alias("LocationDetails"))
+        pairs.append("'LocationDetails', named_struct('countryOrRegion', location, 'city', city)")
     if "spf_pass" in spec.by_attr:
-        out.append(_cef_value("", "str").alias("AuthenticationDetails"))
-    return out
+        pairs.append(f"'AuthenticationDetails', {MAIL_AUTH}")
+    return f"to_json(named_struct({', '.join(pairs)}), map('ignoreNullFields', 'false'))"
+
+
+def export_json(df: DataFrame, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    return _lines(df, "json", F.expr(json_sql(name)), keep)
 
 
 def export_cef(df: DataFrame, name: str, settings: Settings = Settings(), keep: tuple[str, ...] = ()) -> DataFrame:
-    line, dropped = cef_line(df, name, settings)
+    line, dropped = cef_line(name, settings)
     return _lines(df.withColumn("dropped", dropped), "cef", line, (*keep, "dropped"))
 
 
 def export_syslog(df: DataFrame, name: str, settings: Settings = Settings(), keep: tuple[str, ...] = ()) -> DataFrame:
-    return _lines(df, "syslog", syslog_line(df, name, settings), keep)
+    return _lines(df, "syslog", F.expr(syslog_sql(name, settings)), keep)
 
 
 def export_winevent_xml(df: DataFrame, name: str, settings: Settings = Settings(),
                         keep: tuple[str, ...] = (), gate: bool = True) -> DataFrame:
     rows = df.filter(writes_winevents(F.col("source"))) if gate else df
-    return _lines(rows, "winxml", winevent_line(df, name, settings), keep)
+    return _lines(rows, "winxml", F.expr(winevent_sql(name, settings)), keep)
 
 
 def export_auditd(df: DataFrame, name: str, settings: Settings = Settings(), keep: tuple[str, ...] = (),
                   serial: str = "serial") -> DataFrame:
-    lines = auditd_lines(df, name, settings, serial)
+    lines = auditd_lines(name, settings, serial)
     if lines is None:
         lines = F.expr("CAST(array() AS array<string>)")
     return _lines(df, "auditd", F.explode(lines), keep)
 
 
-def export_vendor(df: DataFrame, name: str, keep: tuple[str, ...] = ()) -> DataFrame:
+def export_vendor(df: DataFrame, name: str, keep: tuple[str, ...] = (), settings: Settings = Settings()) -> DataFrame:
     """Self-gating: a class without a vendor rendering yields nothing."""
-    made = vendor_line(df, name)
+    made = vendor_line(name, settings)
     if made is None:
         return _lines(df.limit(0), "", F.lit(""), keep)
-    feed, line = made
-    return _lines(df, feed, line, keep)
+    return _lines(df, made[0], made[1], keep)
 
 
 def feed_lines(df: DataFrame, name: str, settings: Settings = Settings(),
                keep: tuple[str, ...] = (), serial: str | None = None) -> DataFrame:
     """Every feed of a class from one pass: rendered side by side, then exploded."""
-    pair = lambda feed, line: F.array(F.struct(
-        (F.lit(feed) if isinstance(feed, str) else feed).alias("feed"), line.alias("line")))
-    record = F.to_json(F.struct(*_public_columns(df, name)), {"ignoreNullFields": "false"})
-    parts = [pair("json", record), pair("cef", cef_line(df, name, settings)[0]),
-             pair("syslog", syslog_line(df, name, settings))]
-    source = spec_of(name).source
-    if name == GENERIC.name:
-        parts.append(F.filter(pair("winxml", winevent_line(df, name, settings)),
-                              lambda _: writes_winevents(F.col("source"))))
-    elif source.lower() not in dims.NON_WINDOWS_SOURCES:
-        parts.append(pair("winxml", winevent_line(df, name, settings)))
-    made = vendor_line(df, name)
+    pair = lambda feed, line: F.struct(feed.alias("feed"), line.alias("line"))
+    parts = [pair(F.lit("json"), F.expr(json_sql(name))), pair(F.lit("cef"), cef_line(name, settings)[0]),
+             pair(F.lit("syslog"), F.expr(syslog_sql(name, settings)))]
+    if name == GENERIC.name or spec_of(name).source.lower() not in dims.NON_WINDOWS_SOURCES:
+        gated = F.when(writes_winevents(F.col("source")), F.expr(winevent_sql(name, settings)))
+        parts.append(pair(F.lit("winxml"), gated))
+    made = vendor_line(name, settings)
     if made:
         parts.append(pair(*made))
-    audit = auditd_lines(df, name, settings, serial) if serial else None
+    lines = F.array(*parts)
+    audit = auditd_lines(name, settings, serial) if serial else None
     if audit is not None:
-        parts.append(F.transform(audit, lambda a: F.struct(F.lit("auditd").alias("feed"), a.alias("line"))))
+        lines = F.concat(lines, F.transform(audit, lambda a: pair(F.lit("auditd"), a)))
     table = table_name(F.col("event_type"), F.col("source")).alias("table")
-    return df.select(*keep, table, F.col("timestamp").alias("ts"), F.inline(F.concat(*parts)))
+    return df.select(*keep, table, F.col("timestamp").alias("ts"), F.inline(lines)).filter(F.col("line").isNotNull())

@@ -14,8 +14,9 @@ from watchloom.catalog.model import ColumnSpec, EventSpec
 from watchloom.catalog.tables import GENERIC, REGISTRY, spec_of
 from watchloom.functions.hashing import hash_range_sql, stable_uuid, stable_uuid_sql
 from watchloom.functions.lookup import let, map_value
+from watchloom.functions.sqltext import lit as _lit
 from watchloom.functions.text import capitalize
-from watchloom.operators.pinned import pinned
+from watchloom.operators.pinned import pinned, pinned_sql
 from watchloom.operators.settings import Settings
 
 #: keys that steer routing and expansion and are no columns
@@ -70,10 +71,6 @@ def unknown_key_report(df: DataFrame, raw: str = "raw") -> DataFrame:
 # A class has some forty columns, so these expressions are written as SQL text: one call per
 # step instead of thousands of calls into the JVM.
 
-def _lit(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _given(attr: str) -> str:
     return f"given_{attr}"
 
@@ -169,10 +166,10 @@ def cast_columns(df: DataFrame, spec: EventSpec, keep: tuple[str, ...] = ()) ->
         _problem(c, f"(chosen[{i}] IS NOT NULL)", given[i], given[i] if c.kind == "str" else f"_{c.attr}")
         for i, c in enumerate(spec.columns) if not (spec is GENERIC and c.pinned_by_route)
     ]
-    errors = F.expr(f"array_compact(array({', '.join(p for p in problems if p)}))")
+    errors = f"array_compact(array({', '.join(p for p in problems if p)}))"
     shown = df.selectExpr(*keep, "chosen", *given, *[f"{t} AS _{c.attr}" for t, c in zip(typed, spec.columns)])
-    done = [F.col(f"_{c.attr}").alias(c.attr) for c in spec.columns]
-    return pinned(shown, *done, errors.alias("errors")).select(*keep, *[c.attr for c in spec.columns], "errors")
+    done = {c.attr: f"_{c.attr}" for c in spec.columns}
+    return pinned_sql(shown, {**done, "errors": errors}, keep)
 
 
 def cast_and_validate(df: DataFrame, spec: EventSpec, keep: tuple[str, ...] = ("row_id",),
@@ -200,11 +197,8 @@ def normalize(df: DataFrame, name: str, settings: Settings = Settings(), now: st
 def table_name(event_type: Column, source: Column) -> Column:
     """A known type names its table; else the source decides; else an unmistakable fallback."""
     low = F.lower(source)
-    return (
-        F.when(event_type.isin(*dims.KNOWN_TABLES), event_type)
-        .when(low.isin(*dims.SOURCE_TABLES), map_value(low, dims.SOURCE_TABLES))
-        .otherwise(F.concat(F.lit("Unmapped_"), capitalize(low)))
-    )
+    known = map_value(event_type, {name: name for name in dims.KNOWN_TABLES})
+    return F.coalesce(known, map_value(low, dims.SOURCE_TABLES), F.concat(F.lit("Unmapped_"), capitalize(low)))
 
 
 def assign_table(df: DataFrame, event_type: str = "event_type", source: str = "source") -> DataFrame:

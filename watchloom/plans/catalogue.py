@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from watchloom.plans import (  # noqa: F401 - importing registers the queries
-    coverage_queries, function_queries, lookup_queries, normalize_queries, profile_queries,
+    coverage_queries, expand_queries, feed_queries, function_queries, lookup_queries, normalize_queries, profile_queries,
     sequence_queries)
 from watchloom.plans.registry import ORACLES, QUERIES
 

@@ -6,7 +6,7 @@ names, missing, null and unreadable values varying with the number in ``props``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -92,15 +92,12 @@ FIELDS = {
 }
 
 
-def _record() -> Column:
-    entries = [
-        F.struct(
-            F.lit(name).alias("key"), F.expr(value).alias("value"),
-            F.expr(f"({when})" if not kind else f"event_type = '{kind}' AND ({when})").alias("given"))
-        for kind, fields in FIELDS.items() for name, when, value in fields
-    ]
-    kept = F.filter(F.array(*entries), lambda e: e["given"])
-    return F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e["value"])))
+def _record() -> str:
+    entries = ", ".join(
+        f"named_struct('key', '{name}', 'value', {value}, 'given', "
+        + (f"({when})" if not kind else f"event_type = '{kind}' AND ({when})") + ")"
+        for kind, fields in FIELDS.items() for name, when, value in fields)
+    return f"map_from_entries(transform(filter(array({entries}), e -> e.given), e -> struct(e.key, e.value)))"
 
 
 def raw_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -109,7 +106,7 @@ def raw_events(spark: SparkSession, sf: str) -> DataFrame:
     kind_type = F.expr("CASE event_type " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, (t, _) in KINDS.items()) + " END")
     kind_source = F.expr("CASE event_type " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, (_, s) in KINDS.items()) + " END")
     return ev.withColumn("kind_type", kind_type).withColumn("kind_source", kind_source).select(
-        F.col("event_id").alias("row_id"), _record().alias("raw"))
+        F.col("event_id").alias("row_id"), F.expr(_record()).alias("raw"))
 
 
 def typed_events(spark: SparkSession, sf: str) -> DataFrame:
