@@ -48,14 +48,18 @@ def name_kind(name: Column) -> Column:
     )
 
 
-def classify_field(name: Column, value: Column, is_text: Column | None = None) -> Column:
-    """``identifier`` or ``freeform``: value shape first, then name words, then host names."""
-    text = value if is_text is None else F.when(is_text, value)
-    short = F.size(F.split(text, r"\.")) <= 4
-    by_name = F.coalesce(name_kind(name), F.lit(""))
-    return let(value_class(text), lambda shape: F.when(
-        F.coalesce(shape, F.lit("fqdn")) != "fqdn", "identifier",
-    ).when(by_name != "", by_name).when((shape == "fqdn") & short, "identifier").otherwise("freeform"))
+def classify_field(name: Column, value: Column, shape: Column | None = None) -> Column:
+    """``identifier`` or ``freeform``: value shape first, then name words, then host names.
+
+    ``value`` is null where it is not text; pass its ``value_class`` as ``shape`` if it is known.
+    """
+    if shape is None:
+        return let(value_class(value), lambda known: classify_field(name, value, known))
+    short = F.size(F.split(value, r"\.")) <= 4
+    return (
+        F.when(shape.isNotNull() & (shape != "fqdn"), "identifier")
+        .otherwise(F.coalesce(name_kind(name), F.when((shape == "fqdn") & short, "identifier").otherwise("freeform")))
+    )
 
 
 def len_bucket(length: Column) -> Column:
@@ -66,12 +70,15 @@ def len_bucket(length: Column) -> Column:
     return out.otherwise(f">{dims.LENGTH_EDGES[-1]}")
 
 
-def shape_token(value: Column) -> Column:
-    """A structural signature of a text value; never the value itself."""
+def shape_token(value: Column, kind: Column | None = None) -> Column:
+    """A structural signature of a text value; never the value itself. ``kind`` is its
+    ``value_class`` if that is known."""
+    if kind is None:
+        return let(value_class(value), lambda known: shape_token(value, known))
     labels = lambda text: F.size(F.split(text, r"\.")).cast("string")
     local = F.substring_index(value, "@", 1)
     host = F.substring_index(value, "@", -1)
-    return let(value_class(value), lambda kind: (
+    return (
         F.when(kind.isin("ipv4", "ipv4:port", "ipv6:port", "guid"), kind)
         .when(kind == "account", "account:domain_user")
         .when(kind == "email", F.concat(
@@ -80,4 +87,4 @@ def shape_token(value: Column) -> Column:
         .when(kind == "sid", F.concat(F.lit("sid:parts="), F.size(F.split(value, "-")).cast("string")))
         .when(kind == "fqdn", F.concat(F.lit("fqdn:labels="), labels(value)))
         .otherwise(F.concat(F.lit("str:len_bucket="), len_bucket(F.length(value))))
-    ))
+    )

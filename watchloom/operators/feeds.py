@@ -11,6 +11,7 @@ import shlex
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from watchloom.catalog import dims
 from watchloom.catalog.feeds import DEFAULT_SYSLOG, DEFAULT_WINEVENT, SyslogFormat, VendorFormat, WinEventFormat
@@ -132,7 +133,7 @@ def cef_line(name: str, settings: Settings) -> tuple[Column, Column]:
     return F.concat(F.expr(head), F.concat_ws(" ", F.expr(f"concat_ws(' ', {fixed})"), slots)), dropped
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def argv_split(text: pd.Series) -> pd.Series:
     """Shell-style argument split; plain blanks when the quoting does not close."""
     def split(value):

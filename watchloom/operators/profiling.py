@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.catalog import dims
-from watchloom.functions.classify import classify_field, is_identifier_value, shape_token
+from watchloom.functions.classify import classify_field, is_identifier_value, shape_token, value_class
 
 COUNTS_SCHEMA = "table string, field string, kind string, item string, count bigint"
 
@@ -116,10 +116,11 @@ def field_counts(long: DataFrame, table: str = "table", field: str = "path", val
     """
     seen = long.filter(F.col(value).isNotNull() & (F.col(value) != ""))
     text = F.col(value) if kind is None else F.when(F.col(kind) == "str", F.col(value))
-    shape = shape_token(F.col(value))
+    shaped = seen.withColumn("_shape", value_class(text))
+    sorted_out = shaped.withColumn("_kind", classify_field(F.col(field), text, F.col("_shape")))
+    shape = shape_token(F.col(value), F.col("_shape"))
     if kind is not None:
         shape = F.when(F.col(kind) == "str", shape).otherwise(F.col(kind))
-    sorted_out = seen.withColumn("_kind", classify_field(F.col(field), text))
     item = F.when(F.col("_kind") == "identifier", shape).otherwise(F.col(value))
     return sorted_out.groupBy(
         F.col(table).alias("table"), F.col(field).alias("field"), F.col("_kind").alias("kind"), item.alias("item")

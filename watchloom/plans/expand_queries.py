@@ -15,6 +15,7 @@ from watchloom.operators.ordered import serial_rank
 from watchloom.operators.settings import Settings
 from watchloom.plans.inputs import EV, events, load
 from watchloom.plans.registry import query, sql_fraction, sql_hash, sql_uuid
+from watchloom.session import spread
 
 RUN = Settings(run_id="run-1")
 
@@ -40,7 +41,7 @@ def _templates(spark, sf):
         F.lit("port"), F.lit("{{RANDOM_PORT}}"), F.lit("city"), F.lit("in {{RANDOM_CITY}}, {{RANDOM_LOCATION}}"),
         F.lit("mail"), F.lit("<{{RANDOM_EMAIL}}>"), F.lit("id"), F.lit("{{RANDOM_GUID}}"),
         F.lit("host"), F.lit("{{RANDOM_SERVER}}"), F.lit("plain"), F.concat(F.lit("v"), F.col("user_id")))
-    return load(spark, sf, "events").select(F.col("event_id").alias("row_id"), raw.alias("raw"))
+    return spread(load(spark, sf, "events")).select(F.col("event_id").alias("row_id"), raw.alias("raw"))
 
 
 def _key(field: str, name: str) -> str:
@@ -196,7 +197,7 @@ f AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)"""
 
 
 def follow(spark, sf):
-    ev = events(spark, sf)
+    ev = spread(events(spark, sf))
     state = F.element_at(F.array(*map(F.lit, ("SigninLogs", "DeviceProcessEvents", "CommonSecurityLog", "AzureActivity", "DnsEvents"))), F.expr("k % 5 + 1"))
     return G.follow_ups(ev.select(
         F.concat(F.lit("e"), "event_id").alias("event_id"), state.alias("event_type"), F.lit(0).alias("depth"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from watchloom.operators.settings import Settings
 from watchloom.plans.inputs import EV, raw_events
 from watchloom.plans.normalize_queries import MODELS, RUN, SQL_MODEL
 from watchloom.plans.registry import query, sql_case
+from watchloom.session import checkpoint_dir, materialise
 
 #: columns every class has
 BASE = ("row_id", "timestamp", "source", "event_type", "severity", "hostname", "user_name", "is_malicious")
@@ -68,14 +70,16 @@ FROM g GROUP BY ALL""")
 def telemetry_by_hour(spark: SparkSession, sf: str) -> DataFrame:
     """Accepted telemetry per table and hour: volume, most urgent priority and severity, and the
     share of events that arrive after a later-stamped one."""
-    tables, _ = normalise_run(raw_events(spark, sf), MODELS, RUN)
+    routed_path = f"{checkpoint_dir(spark)}/routed-{uuid.uuid4()}"
+    tables, _ = normalise_run(raw_events(spark, sf), MODELS, RUN, routed_path)
     rows = None
     for table in tables.values():
         part = N.assign_table(table.select(*BASE)).select("row_id", "table", "severity", "timestamp")
         rows = part if rows is None else rows.unionByName(part)
     drift = F.when(F.col("row_id") % 9 == 4, 660_000_000).otherwise(0)
     stamped = rows.select("row_id", "table", "severity", (F.unix_micros("timestamp") - drift).alias("us"))
-    marked = running_max_before(stamped, "row_id", "us", "seen", SERIAL_WIDTH)
+    # the running maximum reads its input twice: once whole, once for its range summaries
+    marked = running_max_before(materialise(stamped), "row_id", "us", "seen", SERIAL_WIDTH)
     return marked.groupBy("table", F.floor(F.col("us") / 3_600_000_000).alias("hour")).agg(
         F.count("*").alias("events"),
         F.count_if(F.col("us") < F.col("seen")).alias("late"),

@@ -10,6 +10,7 @@ from watchloom.operators.feeds import fit_slots
 from watchloom.operators.lookup import add_topology
 from watchloom.plans.inputs import EV, events, load
 from watchloom.plans.registry import query, sql_case, sql_in
+from watchloom.session import spread
 
 WORDS = ("critical", "HIGH", " medium ", "low", "informational", "emerg", "alert", "crit", "err",
          "warning", "notice", "info", "debug", "weird")
@@ -120,7 +121,7 @@ SQL_WORDS = r"(SELECT doc_id, lang, source, unnest(string_split_regex(text, '[ \
 
 def words(spark, sf):
     """Every word of every document, as the values of a field."""
-    return load(spark, sf, "documents").select(
+    return spread(load(spark, sf, "documents")).select(
         "doc_id", "lang", "source", F.explode(F.split("text", r"[ \t\n\r]+")).alias("t")).filter("t <> ''")
 
 
@@ -128,10 +129,10 @@ def words(spark, sf):
 WITH w AS (SELECT t, {SQL_CLASS} AS c FROM {SQL_WORDS} WHERE t <> '')
 SELECT coalesce(c, 'none') AS value_class, {SQL_SHAPE} AS shape, count(*) AS n FROM w GROUP BY 1, 2""")
 def value_shapes(spark, sf):
-    t = F.col("t")
-    return words(spark, sf).groupBy(
-        F.coalesce(classify.value_class(t), F.lit("none")).alias("value_class"),
-        classify.shape_token(t).alias("shape")).agg(F.count("*").alias("n"))
+    seen = words(spark, sf).withColumn("c", classify.value_class(F.col("t")))
+    return seen.groupBy(
+        F.coalesce("c", F.lit("none")).alias("value_class"),
+        classify.shape_token(F.col("t"), F.col("c")).alias("shape")).agg(F.count("*").alias("n"))
 
 
 @query(f"""

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from watchloom.session import spread
+
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
@@ -16,7 +18,8 @@ def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    rows = load(spark, sf, "events")
+    return rows.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
 
 
 #: the same view for the SQL equivalents
@@ -102,7 +105,7 @@ def _record() -> str:
 
 def raw_events(spark: SparkSession, sf: str) -> DataFrame:
     """``row_id, raw`` records of the event log (and the event they come from)."""
-    ev = events(spark, sf)
+    ev = spread(events(spark, sf))
     kind_type = F.expr("CASE event_type " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, (t, _) in KINDS.items()) + " END")
     kind_source = F.expr("CASE event_type " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, (_, s) in KINDS.items()) + " END")
     return ev.withColumn("kind_type", kind_type).withColumn("kind_source", kind_source).select(

@@ -25,6 +25,17 @@ def get_session(app: str = "watchloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame, bytes_per_core: int = 64 << 20) -> DataFrame:
+    """Deal a small input out over all cores before costly per-row work.
+
+    A small file is one split whatever the number of cores. Inputs that fill the cores anyway keep
+    their splits and are not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * bytes_per_core else df
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder for reliable checkpoints: the cluster's, else (local only) a new one."""
     sc = spark.sparkContext
