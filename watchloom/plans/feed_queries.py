@@ -11,7 +11,7 @@ from watchloom.operators import quality as Q
 from watchloom.operators.ordered import serial_rank
 from watchloom.operators.settings import Settings
 from watchloom.plans.inputs import EV, events
-from watchloom.plans.normalize_queries import MODELS, RUN, SQL_MODEL, accepted, routed
+from watchloom.plans.normalize_queries import MODELS, RUN, SQL_MODEL, accepted, routed, routed_once
 from watchloom.plans.registry import query, sql_in, sql_uuid
 
 SETTINGS = Settings(run_id="run-1", vendor="Acme")
@@ -40,9 +40,9 @@ UNION ALL SELECT event_id, '<' || CASE WHEN k % 4 = 0 THEN 4 ELSE 6 END || '>' |
   (49152 + user_id % 16384) || ' DST=' || coalesce({_DST}, 'None') || ':' || CASE WHEN k % 6 = 0 THEN 80 ELSE 443 END FROM x WHERE event_type = 'error'
 UNION ALL SELECT event_id, '<14>' || {_STAMP} || ' ' || coalesce(host, '-') || ' Office 365[0]: OfficeActivity: severity=high' FROM x WHERE event_type = 'purchase'""")
 def syslog_lines(spark, sf):
-    out = None
+    rows, out = routed_once(spark, sf), None
     for name in ("process", "signin", "firewall", "office_activity"):
-        lines = X.export_syslog(accepted(spark, sf, name), name, SETTINGS, ("row_id",)).select("row_id", "line")
+        lines = X.export_syslog(N.normalize(rows, name, RUN)[0], name, SETTINGS, ("row_id",)).select("row_id", "line")
         out = lines if out is None else out.unionByName(lines)
     return out
 
@@ -78,9 +78,9 @@ UNION ALL SELECT event_id, '3' FROM ev WHERE event_type = 'error'
 UNION ALL SELECT event_id, '0' FROM ev WHERE event_type = 'purchase'""")
 def windows_event_ids(spark, sf):
     """Event ids by class and outcome; the gate is open so that appliances show theirs."""
-    out = None
+    rows, out = routed_once(spark, sf), None
     for name in ("signin", "process", "firewall", "office_activity"):
-        lines = X.export_winevent_xml(accepted(spark, sf, name), name, SETTINGS, ("row_id",), gate=False).select(
+        lines = X.export_winevent_xml(N.normalize(rows, name, RUN)[0], name, SETTINGS, ("row_id",), gate=False).select(
             "row_id", F.regexp_extract("line", r"<EventID>(\d+)</EventID>", 1).alias("code"))
         out = lines if out is None else out.unionByName(lines)
     return out
@@ -234,7 +234,7 @@ f AS (SELECT unnest(list_concat(['json', 'cef', 'syslog'], CASE WHEN model IN ('
 SELECT feed, count(*) AS lines, 0::BIGINT AS broken FROM f GROUP BY 1""")
 def feed_gates(spark, sf):
     """Every feed of every class, counted and checked in one pass."""
-    rows, out = routed(spark, sf), None
+    rows, out = routed_once(spark, sf), None
     for name in MODELS:
         lines = X.feed_lines(N.normalize(rows, name, RUN)[0], name, SETTINGS)
         out = lines if out is None else out.unionByName(lines)

@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.operators import feeds as X
+from watchloom.operators import normalize as N
 from watchloom.operators import profiling as P
 from watchloom.operators.sequence import time_inversions
 from watchloom.plans.function_queries import SQL_CLASS, SQL_WORDS, words
 from watchloom.plans.inputs import EV, load, raw_events, sql_table_of
-from watchloom.plans.normalize_queries import RUN, accepted
+from watchloom.plans.normalize_queries import RUN, routed_once
 from watchloom.plans.registry import query
 from watchloom.session import checkpoint_dir
 from watchloom.sources import readers, sinks
@@ -30,8 +31,9 @@ _OK = "(event_type = 'error' OR (event_type = 'view' AND NOT (k % 3 = 0 AND k %
 
 
 def _lines(spark, sf) -> DataFrame:
-    out = X.feed_lines(accepted(spark, sf, "firewall"), "firewall", RUN)
-    return out.unionByName(X.feed_lines(accepted(spark, sf, "signin"), "signin", RUN))
+    rows = routed_once(spark, sf)
+    parts = [X.feed_lines(N.normalize(rows, name, RUN)[0], name, RUN) for name in ("firewall", "signin")]
+    return parts[0].unionByName(parts[1])
 
 
 @query(f"""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from watchloom.catalog import dims
@@ -12,6 +14,7 @@ from watchloom.operators.profiling import flatten_record
 from watchloom.operators.settings import Settings
 from watchloom.plans.inputs import EV, events, load, raw_events
 from watchloom.plans.registry import query, sql_case, sql_in, sql_uuid
+from watchloom.session import checkpoint_dir
 
 RUN = Settings(run_id="run-1")
 MODELS = ("process", "signin", "firewall", "cloud_activity", "office_activity", "alert", "generic")
@@ -28,6 +31,11 @@ def routed(spark, sf):
     return N.route_event_type(N.flatten_data(raw_events(spark, sf)))
 
 
+def routed_once(spark, sf):
+    """Routed records written split by class: parsed once however many classes are read."""
+    return N.materialise_routed(routed(spark, sf), f"{checkpoint_dir(spark)}/routed-{uuid.uuid4()}")
+
+
 def accepted(spark, sf, name):
     return N.normalize(routed(spark, sf), name, RUN)[0]
 
@@ -141,7 +149,7 @@ WITH {EV}, m AS (SELECT *, {SQL_MODEL} AS model FROM ev), r AS (
     CASE WHEN model = 'alert' THEN 'missing:AlertName' END) AS reasons FROM m)
 SELECT row_id, model, reasons FROM r WHERE reasons <> ''""")
 def quarantined_records(spark, sf):
-    rows = routed(spark, sf)
+    rows = routed_once(spark, sf)
     out = None
     for name in MODELS:
         bad = N.normalize(rows, name, RUN)[1].select("row_id", "model", F.array_join("reasons", ",").alias("reasons"))
@@ -280,7 +288,7 @@ def unified_feed_counts(spark, sf):
     """All accepted tables as one JSON feed, counted by table."""
     from watchloom.operators.feeds import export_json
 
-    rows = routed(spark, sf)
+    rows = routed_once(spark, sf)
     out = None
     for name in MODELS:
         lines = export_json(N.normalize(rows, name, RUN)[0], name)
