@@ -46,24 +46,18 @@ def flatten_struct(df: DataFrame, keep: tuple[str, ...], record: str) -> DataFra
     return df.select(*keep, F.inline(F.array(*leaves)))
 
 
-def _variant_depth(schema_text: str) -> int:
-    """Object nesting of a variant schema text, not counting what lies inside lists."""
-    depth = deepest = 0
-    stack: list[str] = []
-    word = ""
-    for ch in schema_text:
-        if ch == "<":
-            stack.append("ARRAY" if word.endswith("ARRAY") else "OBJECT")
-            if "ARRAY" not in stack:
-                depth = len(stack)
-                deepest = max(deepest, depth)
-            word = ""
-        elif ch == ">":
-            stack.pop()
-            word = ""
-        else:
-            word += ch
-    return deepest
+def _nesting(record: str) -> Column:
+    """An upper bound of the object levels of a variant: the deepest bracket of its schema text,
+    key names aside. Taken row by row, since merging the schemas of rows that disagree on a
+    field would hide what lies below it."""
+    signs = F.expr(f"split(regexp_replace(schema_of_variant({record}), '`[^`]*`|[^<>]', ''), '')")
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(state: Column, sign: Column) -> Column:
+        now = state["now"] + F.when(sign == "<", 1).when(sign == ">", -1).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    return F.aggregate(signs, start, step)["most"]
 
 
 def flatten_record(df: DataFrame, keep: tuple[str, ...], record: str) -> DataFrame:
@@ -73,8 +67,7 @@ def flatten_record(df: DataFrame, keep: tuple[str, ...], record: str) -> DataFra
     number of steps comes from the data (one aggregation), so nothing is cut off.
     """
     spark = df.sparkSession
-    depth = _variant_depth(
-        df.agg(F.expr(f"schema_of_variant_agg({record})").alias("s")).first()["s"] or "")
+    depth = df.agg(F.max(_nesting(record))).first()[0] or 0
     level = df.select(*keep, F.lit("").alias("_path"), F.col(record).alias("_v"))
     parts: list[DataFrame] = []
     for _ in range(depth):
