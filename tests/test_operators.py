@@ -235,3 +235,16 @@ def test_rules_and_counts(spark):
     assert quality["100001"]["precision"] == 1.0 and quality["100001"]["recall"] == 0.5 and quality["100003"]["precision"] is None
     size = C.malicious_stage_size(spark.createDataFrame([(0, True), (0, False), (1, False)], "s int, is_malicious boolean"), ["s"]).first()
     assert (size["events"], size["exact"]) == (2, 1)
+
+
+def test_weighted_intervals_leave_no_gap(spark):
+    from watchloom.operators.rangejoin import cumulative
+
+    rnd = random.Random(3)
+    pool = spark.createDataFrame([(i, i % 2, rnd.random()) for i in range(300)], "value int, g int, w double")
+    for group in ([], ["g"]):
+        rows = cumulative(pool, group, ["value"], F.col("w")).collect()
+        for key in {r["g"] for r in rows} if group else {None}:
+            own = sorted((r for r in rows if key is None or r["g"] == key), key=lambda r: r["value"])
+            assert own[0]["lo"] == 0.0 and abs(own[-1]["hi"] - 1.0) < 1e-12
+            assert all(a["hi"] == b["lo"] for a, b in zip(own, own[1:]))

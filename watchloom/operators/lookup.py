@@ -114,10 +114,11 @@ def range_pick(df: DataFrame, weighted: DataFrame, key: Column, group: tuple[str
                order: tuple[str, ...] = ("value",), weight: str = "weight", cells: int = 64) -> DataFrame:
     """Pick by weight: the row of ``weighted`` whose cumulative share holds the key's fraction.
 
-    A missing or zero weight counts as one. ``group`` columns choose the pool.
+    A missing or zero weight counts as one. ``group`` columns choose the pool; ``order`` must tell
+    the rows of a pool apart.
     """
     share = F.when(F.coalesce(F.col(weight), F.lit(0)) == 0, F.lit(1.0)).otherwise(F.col(weight).cast("double"))
-    bounds = cumulative(weighted, list(group), [F.col(c) for c in order], share)
+    bounds = cumulative(weighted, list(group), list(order), share)
     points = df.withColumn("_u", hash_fraction(key))
     # the last bound may round to just under one
     top = F.when(F.col("hi") > 1 - 1e-9, F.lit(1.0 + 1e-9)).otherwise(F.col("hi"))

@@ -6,9 +6,11 @@ only against the intervals that touch the point's cell.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from watchloom.operators.ordered import range_ordered
+
 
 def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str,
                width: float, on: tuple[str, ...] = (), how: str = "inner") -> DataFrame:
@@ -32,15 +34,33 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, hi
     return p.join(i, test, how).select("p.*", *kept).drop("_cell")
 
 
-def cumulative(df: DataFrame, group: list[str], order: list, weight: Column) -> DataFrame:
-    """Intervals ``[lo, hi)`` of the running share of ``weight`` inside each group."""
-    from pyspark.sql import Window
+def cumulative(df: DataFrame, group: list[str], order: list[str], weight: Column) -> DataFrame:
+    """Intervals ``[lo, hi)`` of the running share of ``weight`` inside each group.
 
-    total = Window.partitionBy(*group)
-    run = total.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    Without a group the rows are range-partitioned on ``order`` (which must tell them apart) and
+    each partition adds the total of the earlier ones, so no task holds the whole pool.
+    """
+    weighed = df.withColumn("_w", weight)
+    if group:
+        whole = Window.partitionBy(*group)
+        run = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        summed = weighed.withColumn("_run", F.sum("_w").over(run)).withColumn("_all", F.sum("_w").over(whole))
+        summed = summed.withColumn("_from", F.coalesce(F.lag("_run").over(whole.orderBy(*order)), F.lit(0.0)))
+    else:
+        placed = range_ordered(weighed, order)
+        sizes = placed.groupBy("_pid").agg(F.sum("_w").alias("_n"))
+        before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+        every = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        sizes = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0.0)).alias("_off"),
+                             F.sum("_n").over(every).alias("_all"))
+        inside = Window.partitionBy("_pid").orderBy("_pos")
+        summed = placed.withColumn("_in", F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+        summed = summed.withColumn("_before", F.coalesce(F.lag("_in").over(inside), F.lit(0.0))).join(
+            F.broadcast(sizes), "_pid").withColumn("_run", F.col("_in") + F.col("_off")).withColumn(
+            "_from", F.col("_before") + F.col("_off")).drop("_pid", "_pos", "_in", "_before", "_off")
+    # a bound is the same number on both sides of it, so no point falls between two intervals
     return (
-        df.withColumn("_w", weight)
-        .withColumn("hi", F.sum("_w").over(run) / F.sum("_w").over(total))
-        .withColumn("lo", F.coalesce(F.lag("hi").over(total.orderBy(*order)), F.lit(0.0)))
-        .drop("_w")
+        summed.withColumn("lo", F.col("_from") / F.col("_all"))
+        .withColumn("hi", F.col("_run") / F.col("_all"))
+        .drop("_w", "_run", "_from", "_all")
     )

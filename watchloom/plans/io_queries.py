@@ -76,9 +76,10 @@ def sorted_feed_file(spark, sf):
     back = readers.read_lines(spark, path).withColumn(
         "at", F.get_json_object("line", "$.TimeGenerated").try_cast("timestamp"))
     stamped = back.filter("at IS NOT NULL")
-    ordered = time_inversions(stamped, "seq", "at")
+    ordered = time_inversions(stamped, "seq", "at").select("inversions")
     totals = back.agg(F.count("*").alias("records"), F.count_if(F.col("line") == "not json").alias("unreadable"))
-    return totals.join(F.broadcast(ordered.select("inversions")))
+    both = totals.unionByName(ordered, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in ("records", "inversions", "unreadable")])
 
 
 @query("""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from watchloom.operators.ordered import last_known
 from watchloom.operators.profiling import merge_profiles
 
+log = logging.getLogger(__name__)
+
 VENDOR_FEEDS = ("fortinet", "cisco_asa", "okta")
 
 
@@ -115,6 +118,7 @@ def fan_out(batch: DataFrame, batch_id: int, sinks: Mapping[str, Callable[[DataF
                 sink(cached, batch_id)
             except Exception as error:  # noqa: BLE001 - one sink must not stop the rest
                 failed[name] = str(error)
+                log.warning("sink %s failed on batch %s: %s", name, batch_id, error)
     finally:
         cached.unpersist()
     return failed
