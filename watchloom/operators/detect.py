@@ -42,11 +42,23 @@ def detect(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, keep: Sequence[
     return df.select(*keep, F.inline(_hits(df, rules)))
 
 
-def detect_long(values: DataFrame, rules: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame:
-    """The same over rows ``column, value`` with rules held in a table: an equality join on the
-    column name, then the pattern."""
-    joined = values.join(rules, "column")
-    return joined.filter(F.expr("value RLIKE pattern")).select(*keep, "rule_id", "level", "column", "description")
+def read_rules(rules: DataFrame) -> tuple[Rule, ...]:
+    """Rules kept in a table (a configuration, one row per rule)."""
+    rows = rules.select("rule_id", "level", "column", "pattern", "description").collect()
+    return tuple(Rule(*row) for row in sorted(rows, key=lambda r: r["rule_id"]))
+
+
+def detect_long(values: DataFrame, rules: Sequence[Rule], keep: Sequence[str] = ("row_id",)) -> DataFrame:
+    """The same over rows ``column, value``: each value meets only the rules of its column, in one
+    pass and without a join."""
+    tests = [
+        F.when((F.col("column") == r.column) & F.col("value").rlike(r.pattern), F.struct(
+            F.lit(r.rule_id).alias("rule_id"), F.lit(r.level).alias("level"),
+            F.lit(r.description).alias("description")))
+        for r in rules
+    ]
+    hits = F.filter(F.array(*tests), lambda h: h.isNotNull())
+    return values.select(*keep, "column", F.inline(hits))
 
 
 def rule_hits(hits: DataFrame) -> DataFrame:

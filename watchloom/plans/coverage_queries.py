@@ -161,7 +161,7 @@ def detections_from_rule_table(spark, sf):
     rules = spark.createDataFrame([(r.rule_id, r.level, r.column, r.pattern, r.description) for r in RULES],
                                   "rule_id string, level int, column string, pattern string, description string")
     values = load(spark, sf, "documents").select("doc_id", F.lit("text").alias("column"), F.col("text").alias("value"))
-    return D.detect_long(values, rules, ("doc_id",)).select("doc_id", "rule_id")
+    return D.detect_long(values, D.read_rules(rules), ("doc_id",)).select("doc_id", "rule_id")
 
 
 @query(f"""WITH {_SQL_RULES} SELECT rule_id, CAST(lvl AS INT) AS "level", count(*) AS hits FROM documents, r WHERE regexp_matches(text, p) GROUP BY 1, 2""")
