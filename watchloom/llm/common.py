@@ -101,20 +101,28 @@ def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def range_bucket(df: DataFrame, key: str, buckets: int) -> tuple[Column, list[int]]:
-    """A bucket number that grows with an integer key, from at most buckets - 1 cuts at about equal counts.
+def with_bucket(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """The rows with an integer column bucket that grows with a never-null integer key, cut at about equal counts.
 
     The cuts are approximate quantiles of one narrow column; rows of one key are always in one bucket.
     """
+    from pyspark.ml.feature import Bucketizer
+
     cuts: list[int] = []
     if buckets > 1:
-        probabilities = [i / buckets for i in range(1, buckets)]
-        found = df.select(F.col(key).cast("long").alias("k")).agg(
-            F.percentile_approx("k", F.array(*map(F.lit, probabilities)), F.lit(10 * buckets)).alias("q")).first()
-        cuts = sorted(set(found["q"] or []))
+        shares = [i / buckets for i in range(1, buckets)]
+        cuts = sorted({float(c) for c in df.select(F.percentile_approx(key, F.array(*map(F.lit, shares)), F.lit(10 * buckets))).first()[0] or []})
     if not cuts:
-        return F.lit(0), []
-    return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col(key).cast("long"))), cuts
+        return df.withColumn("bucket", F.lit(0))
+    cut = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="as_double", outputCol="bucket_of")
+    placed = cut.transform(df.withColumn("as_double", F.col(key).cast("double")))
+    return placed.withColumn("bucket", F.col("bucket_of").cast("int")).drop("as_double", "bucket_of")
+
+
+def range_counts(rows: int, size: int, per_range: int = 1 << 20) -> tuple[int, int]:
+    """(buckets, partitions) for so many rows and bytes of text."""
+    buckets = int(max(1, min(size // per_range, rows // 16, 20_000)))
+    return buckets, max(1, buckets // 4)
 
 
 class Pool:

@@ -11,6 +11,7 @@ column replaces an input column of its name, others stay.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -77,9 +78,10 @@ def count_tokens(docs: DataFrame, name: str = MODEL, limit: int = 4096, text: st
     """The documents with n_bytes, n_tokens and over_limit (more than limit tokens) in place of the text."""
     small_batches(docs.sparkSession)
     table = docs.sparkSession.sparkContext.broadcast(frequent_units(docs, name, text))
+    token = uuid.uuid4().hex
 
     def make():
-        known = _tiers(name, table)
+        known = _tiers(token, name, table)
 
         def work(texts: list[str]) -> list:
             units: list[str] = []
@@ -118,13 +120,12 @@ class Tiers(dict):
             self.update(kept)
 
 
-_made: dict[tuple, Tiers] = {}
+_made: dict[str, Tiers] = {}
 
 
-def _tiers(name: str, table) -> Tiers:
-    """One for a worker and table, kept between tasks."""
-    key = (name, table.id if hasattr(table, "id") else id(table))
-    if key not in _made:
+def _tiers(token: str, name: str, table) -> Tiers:
+    """One for a worker and call, kept between tasks."""
+    if token not in _made:
         _made.clear()
-        _made[key] = Tiers(name, table.value)
-    return _made[key]
+        _made[token] = Tiers(name, table.value)
+    return _made[token]

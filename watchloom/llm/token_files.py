@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import Pool, range_bucket, shared_path, slices, small_batches, texts_of
+from watchloom.llm.common import Pool, range_counts, shared_path, slices, small_batches, texts_of, with_bucket
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
-#: Bytes of text in a range, at about which ranges are cut.
-RANGE_BYTES = 4 << 20
+#: Stands for a null id where rows are ordered.
+LEAST = -(1 << 63)
 BLOCKS = "part long, block long, width int, n_ids long, doc_ids binary, no_id binary, lengths binary, payload binary"
 #: Characters whose splitting and lower-casing is plain; a unit of others goes to the library as it is.
 PLAIN = re.compile(r"[a-zß-öø-ÿ0-9!-&(-/:;=-@\[-`{-~]+")
@@ -135,10 +135,9 @@ def write_token_files(docs: DataFrame, path: str | None = None, name: str = VOCA
     small_batches(spark)
     path = path or shared_path(spark, "token-files")
     rows, size = docs.select(F.count("*"), F.sum(F.octet_length("text"))).first()
-    buckets = int(max(1, min((size or 0) // RANGE_BYTES, rows // 16, 20_000)))
-    bucket, _ = range_bucket(docs, "doc_id", buckets)
-    ranged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(bucket, F.lit(0)).alias("bucket"))
-    ranged = ranged.repartitionByRange(max(1, min(buckets, 4096)), "bucket").sortWithinPartitions("doc_id", "text")
+    buckets, partitions = range_counts(rows, size or 0)
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("k", F.coalesce("doc_id", F.lit(LEAST)))
+    ranged = with_bucket(keyed, "k", buckets).repartitionByRange(partitions, "bucket").sortWithinPartitions("k", "text").drop("k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, _ = library(name)
