@@ -23,20 +23,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import Pool, range_counts, shared_path, slices, small_batches, texts_of, with_bucket
+from watchloom.llm.common import Pool, ragged, range_counts, shared_path, slices, small_batches, texts_of, with_bucket
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 #: Stands for a null id where rows are ordered.
 LEAST = -(1 << 63)
 BLOCKS = "part long, block long, width int, n_ids long, doc_ids binary, no_id binary, lengths binary, payload binary"
-#: Characters whose splitting and lower-casing is plain; a unit of others goes to the library as it is.
-PLAIN = re.compile(r"[a-zß-öø-ÿ0-9!-&(-/:;=-@\[-`{-~]+")
-PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+")
+#: Latin-1 characters whose splitting and lower-casing is plain: letters, digits, and marks but for ' and <.
+PLAIN = (b"\n !\"#$%&()*+,-./0123456789:;=>?@ABCDEFGHIJKLMNOPQRSTUVWXYZ[\\]^_`abcdefghijklmnopqrstuvwxyz{|}~"
+         + bytes(c for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)))
+#: What the vocabulary's own splitting gives on plain lower-case text; line breaks part units.
+PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:;=-@\[-`{-~]+|\n")
+#: Marks a unit that is no plain text.
+RAW = "\x00"
 
 
 class Library:
-    """Ids of units between white space by the tokenizers library."""
+    """The tokenizers library behind two caches: of units between blanks, and of the parts that plain units have."""
 
     def __init__(self, name: str) -> None:
         import public_tokenizers
@@ -44,62 +48,76 @@ class Library:
 
         self.tokenizer = Tokenizer.from_file(public_tokenizers.path(name))
         self.size = self.tokenizer.get_vocab_size()
-        ends = self.tokenizer.get_vocab()
         self.closes = np.zeros(self.size, bool)
-        self.closes[[i for piece, i in ends.items() if piece.endswith("</w>")]] = True
-        self.parts: dict[str, list[int]] = {}
-
-    def _whole(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
-    def learn(self, parts: list[str]) -> None:
-        """Encode many plain parts in one call; a piece with the word end closes each."""
-        ids = np.array(self._whole(" ".join(parts)), np.int64)
-        cuts = np.flatnonzero(self.closes[ids]) + 1
-        if len(cuts) != len(parts):
-            self.parts.update((p, self._whole(p)) for p in parts)
-            return
-        flat, start = ids.tolist(), 0
-        for p, stop in zip(parts, cuts.tolist()):
-            self.parts[p] = flat[start:stop]
-            start = stop
+        self.closes[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
+        self.parts = Pool(self.encode_parts, 400_000)
+        self.units = Pool(self.encode_units, 300_000)
+
+    def encode(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain parts, many in one call: a piece with the word end closes each. A line break has none."""
+        flat, lengths = [], []
+        for i in range(0, len(parts), 2000):
+            some = parts[i:i + 2000]
+            ids = np.array(self.encode(" ".join(some)), np.int32)
+            cuts = np.flatnonzero(self.closes[ids]) + 1
+            if "\n" not in some and len(cuts) == len(some):
+                flat.append(ids)
+                lengths.append(np.diff(cuts, prepend=0))
+            else:
+                each = [self.encode(u) for u in some]
+                flat.append(np.array([k for ids in each for k in ids], np.int32))
+                lengths.append(np.array([len(ids) for ids in each], np.int64))
+        return np.concatenate(flat), np.concatenate(lengths)
 
     def encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.parts) > 200_000:
-            self.parts = dict(list(self.parts.items())[:100_000])
-        lowered = [u.lower() for u in units]
-        split = [PART.findall(low) if PLAIN.fullmatch(low) and len(low) == len(u) else None for u, low in zip(units, lowered)]
-        known = self.parts
-        new = list(dict.fromkeys(p for s in split if s for p in s if p not in known))
-        for i in range(0, len(new), 2000):
-            self.learn(new[i:i + 2000])
-        flat: list[int] = []
-        lengths = np.zeros(len(units), np.int64)
-        for i, s in enumerate(split):
-            before = len(flat)
-            if s is None:
-                flat += self._whole(units[i])
-            else:
-                for p in s:
-                    flat += known[p]
-            lengths[i] = len(flat) - before
-        return np.array(flat, np.int32), lengths
+        """Ids of units, flat, and how many each has; plain units from their parts."""
+        raw = [i for i, u in enumerate(units) if u[0] == RAW]
+        each = [self.encode(units[i][1:]) for i in raw]
+        for i in raw:
+            units[i] = ""
+        self.parts.begin()
+        found = PART.findall("\n".join(units))
+        at = self.parts.indices(found)
+        breaks = np.flatnonzero(np.fromiter(map("\n".__eq__, found), bool, len(found)))
+        ends = np.cumsum(self.parts.lengths[at], dtype=np.int64)
+        flat, lengths = self.parts.ids(at), np.diff(np.concatenate([[0], ends[breaks], ends[-1:]]))
+        if not raw:
+            return flat, lengths
+        starts = np.cumsum(lengths) - lengths
+        lengths = np.resize(lengths, len(units)) if len(lengths) else np.zeros(len(units), np.int64)
+        starts = np.resize(starts, len(units)) if len(starts) else np.zeros(len(units), np.int64)
+        own = np.array([len(ids) for ids in each], np.int64)
+        lengths[raw], starts[raw] = own, len(flat) + np.cumsum(own) - own
+        return ragged(np.concatenate([flat, np.array([k for ids in each for k in ids], np.int32)]), starts, lengths), lengths
+
+
+def units_of(text: str) -> list[str]:
+    """Units between blanks: of a plain text in lower case, of others marked, for the library to split."""
+    try:
+        plain = not text.encode("latin-1").translate(None, PLAIN)
+    except UnicodeEncodeError:
+        plain = False
+    if plain:
+        return text.lower().split()
+    return [RAW + u for u in text.replace("\n", " ").split(" ") if u]
 
 
 @lru_cache(maxsize=1)
-def library(name: str) -> tuple[Library, Pool]:
-    made = Library(name)
-    return made, Pool(made.encode_units, 250_000)
+def library(name: str) -> Library:
+    return Library(name)
 
 
 def encode_texts(texts: list[str], name: str, end: int | None) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts, flat, each text followed by the end id, and how many each has."""
-    _, pool = library(name)
+    pool = library(name).units
     pool.begin()
     units: list[str] = []
     cuts = np.zeros(len(texts) + 1, np.int64)
     for i, text in enumerate(texts):
-        units += [u for u in text.replace("\n", " ").split(" ") if u]
+        units += units_of(text)
         cuts[i + 1] = len(units)
     at = pool.indices(units)
     sums = np.concatenate([[0], np.cumsum(pool.lengths[at], dtype=np.int64)])[cuts]
@@ -140,8 +158,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, name: str = VOCA
     ranged = with_bucket(keyed, "k", buckets).repartitionByRange(partitions, "bucket").sortWithinPartitions("k", "text").drop("k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, _ = library(name)
-        width = max(1, int(max(made.size - 1, end)).bit_length())
+        width = max(1, int(max(library(name).size - 1, end)).bit_length())
         part, block = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in slices(batch, "text", 1 << 20):
