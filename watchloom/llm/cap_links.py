@@ -80,7 +80,8 @@ def dot(a: str, b: str) -> Column:
 
 
 def angle(a: str, b: str) -> Column:
-    return F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b))))
+    cosine = dot(a, b)
+    return F.when(cosine.isNotNull(), F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine))))
 
 
 def link(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
