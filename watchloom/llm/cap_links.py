@@ -1,10 +1,11 @@
 """Operator 5: links between embeddings of a high cosine, by spherical-cap filters.
 
-A filter is a direction made of one codeword from each of BLOCKS small random codebooks; a unit vector belongs to every
-filter whose direction it exceeds by a threshold. Because a direction is a sum of codewords, a vector lists its filters by
-decoding (best sums of the first blocks against best sums of the others) without trying all of them. Vectors of one
-label meet on equal filters; what meets is verified in double precision. Threshold and codebook size follow from the
-number of vectors, so that a filter holds few unrelated vectors and a linked pair is expected to share SHARED filters.
+A filter is a direction made of one codeword from each of two small random codebooks, after one of TURNS fixed rotations; a
+unit vector belongs to every filter whose direction it exceeds by a threshold, and at least to its LEAST best ones of each
+rotation (its cap is then wider). Because a direction is a sum of codewords, a vector lists its filters by decoding (best
+words of one half against best words of the other) without trying all of them. Vectors of one label meet on equal
+filters; what meets is verified in double precision. Threshold and codebook size follow from the number of vectors, so that
+a filter holds few unrelated vectors and a linked pair is expected to share SHARED filters.
 
 Equal vectors of a label are one node with a weight. Nodes of one best filter near their mean form a ball: within half the
 link's angle of the centre, so all in it are linked. Two balls are linked as a whole, or not at all, where their radii say
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from watchloom.llm.common import components, written
 
-BLOCKS, SHARED, OCCUPANTS, SEED = 4, 14.0, 2.0, 20_011
+TURNS, SHARED, LEAST, OCCUPANTS, SEED = 3, 18.0, 10, 2.0, 20_011
 SLACK = 1e-9
 
 
@@ -37,7 +38,7 @@ def _tail(t: float) -> float:
 
 
 def plan(vectors: int, cosine: float) -> tuple[float, int]:
-    """(threshold, codewords a block) for so many vectors of one label."""
+    """(threshold, codewords of a half) for so many vectors of one label."""
     p = min(0.01, OCCUPANTS / max(vectors, 1))
     low, high = 0.0, 12.0
     while high - low > 1e-6:
@@ -47,32 +48,35 @@ def plan(vectors: int, cosine: float) -> tuple[float, int]:
     density = np.exp(-x * x / 2)
     other = np.array([_tail((low - cosine * v) / math.sqrt(1 - cosine * cosine)) for v in x])
     both = float((density * other).sum() / density.sum()) * p
-    return low, max(2, math.ceil((SHARED / both) ** (1 / BLOCKS)))
+    return low, max(2, math.ceil(math.sqrt(SHARED / TURNS / both)))
 
 
-def codebooks(dim: int, words: int) -> np.ndarray:
-    """words x dim random codewords; a block's inner products use its own coordinates after a fixed rotation."""
+def codebooks(dim: int, words: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """A rotation and words x dim random codewords for each turn; a half uses its own coordinates of both."""
     rng = np.random.default_rng(SEED + dim)
-    rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
-    return rotation, rng.standard_normal((words, dim))
-
-
-def list_decode(unit: np.ndarray, rotation: np.ndarray, words: np.ndarray, t: float) -> tuple[list[np.ndarray], np.ndarray]:
-    """Of each unit vector: all filters it exceeds t in, and the one it exceeds most in."""
-    turned, k = unit @ rotation, len(words)
-    edges = np.linspace(0, unit.shape[1], BLOCKS + 1).astype(int)
-    parts = [turned[:, a:b] @ words[:, a:b].T for a, b in zip(edges, edges[1:])]
-    found, best = [], np.zeros(len(unit), np.int64)
-    for i in range(len(unit)):
-        left = np.add.outer(parts[0][i], parts[1][i]).ravel()
-        right = np.add.outer(parts[2][i], parts[3][i]).ravel()
-        top = int(left.argmax()), int(right.argmax())
-        best[i] = top[0] * k * k + top[1]
-        near = np.flatnonzero(left >= t - right[top[1]])
-        also = np.flatnonzero(right >= t - left[top[0]])
-        a, b = np.nonzero(np.add.outer(left[near], right[also]) >= t)
-        found.append(near[a] * (k * k) + also[b])
-    return found, best
+    return [(np.linalg.qr(rng.standard_normal((dim, dim)))[0], rng.standard_normal((words, dim))) for _ in range(TURNS)]
+
+
+def list_decode(unit: np.ndarray, books: list[tuple[np.ndarray, np.ndarray]], t: float) -> tuple[list[np.ndarray], np.ndarray]:
+    """Of each unit vector: all filters of its caps, and its best filter of the first turn."""
+    half, k = unit.shape[1] // 2, len(books[0][1])
+    lists: list[list[np.ndarray]] = [[] for _ in unit]
+    best = np.zeros(len(unit), np.int64)
+    few = min(LEAST, k)
+    for turn, (rotation, words) in enumerate(books):
+        turned = unit @ rotation
+        lefts, rights = turned[:, :half] @ words[:, :half].T, turned[:, half:] @ words[:, half:].T
+        for i in range(len(unit)):
+            left, right = lefts[i], rights[i]
+            top = np.partition(left, k - few)[k - few:], np.partition(right, k - few)[k - few:]
+            sums = np.add.outer(*top).ravel()
+            own = min(t, float(np.partition(sums, len(sums) - few)[len(sums) - few]) - 1e-12)
+            near, also = np.flatnonzero(left >= own - top[1].max()), np.flatnonzero(right >= own - top[0].max())
+            a, b = np.nonzero(np.add.outer(left[near], right[also]) >= own)
+            lists[i].append((turn * k + near[a]) * k + also[b])
+            if not turn:
+                best[i] = int(left.argmax()) * k + int(right.argmax())
+    return [np.concatenate(x) for x in lists], best
 
 
 def dot(a: str, b: str) -> Column:
@@ -88,7 +92,7 @@ def link(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of (vec_id, label, embedding)."""
     plain = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     e = F.col("embedding")
-    fit = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) >= BLOCKS) & F.forall(e, plain) & F.exists(e, lambda x: x != 0)
+    fit = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) >= 2) & F.forall(e, plain) & F.exists(e, lambda x: x != 0)
     rows = vectors.select("vec_id", "label", "embedding").withColumn("node", F.when(F.coalesce(fit, F.lit(False)), F.xxhash64("label", "embedding")))
     nodes = rows.where("node IS NOT NULL").groupBy("node", "label", "embedding").agg(F.count("*").alias("weight"))
     lists = written(_listed(nodes, cosine), "cap-lists")
@@ -124,7 +128,7 @@ def _listed(nodes: DataFrame, cosine: float) -> DataFrame:
     t, words = plan(most, cosine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        books: dict[int, tuple] = {}
+        books: dict[int, list] = {}
         for batch in batches:
             kept, raw = batch.select(["node", "label", "weight"]), batch.column("embedding").to_pylist()
             sizes = np.array([len(v) for v in raw])
@@ -135,7 +139,7 @@ def _listed(nodes: DataFrame, cosine: float) -> DataFrame:
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 if dim not in books:
                     books[dim] = codebooks(dim, words)
-                found, best = list_decode(x, *books[dim], t)
+                found, best = list_decode(x, books[dim], t)
                 base = dim << 44
                 filters = pa.ListArray.from_arrays(
                     pa.array(np.append(0, np.cumsum([len(f) for f in found])), pa.int32()), pa.array(np.concatenate(found) + base, pa.int64()))
