@@ -1,10 +1,10 @@
 """Operator 7: toxic passages by maximum-scoring segments.
 
 Tokens get log-odds between toxic and clean training documents, with a Dirichlet prior in proportion to the token's rate in
-both; a token that is unknown or too rare takes the log-odds of its longest known prefix. Tokens without clear positive
-odds cost a small constant. A linear scan over a document finds all maximal segments of positive sum; extreme-value
-statistics of such segments (scale from the clean training tokens) turn their scores and the document's length into one
-figure, and a logistic curve fitted on the training documents turns that into the score.
+both; a token that is unknown or too rare takes the log-odds of its longest known prefix, counted over other such tokens.
+Tokens without clear and high positive odds cost a small constant. A linear scan over a document finds all maximal segments
+of positive sum; extreme-value statistics of such segments (scale from the clean training tokens) turn their scores and the
+document's length into one figure, and a logistic curve fitted on the training documents turns that into the score.
 
 The model learns from a bounded sample: at most SAMPLE_TOXIC and SAMPLE_CLEAN labelled documents, one of each group that
 shares its least shingle hash (so that copies count once). Every document is scored over its whole text.
@@ -31,9 +31,11 @@ from watchloom.llm.common import map_texts, slices, small_batches, texts_of
 
 #: Bounds of the training sample and of the model's table.
 SAMPLE_TOXIC, SAMPLE_CLEAN, MODEL_TOKENS = 4000, 8000, 50_000
-#: Prior strength in documents, the least z-score of a scoring token, its least documents, and the cost of other tokens.
-PRIOR, LEAST_Z, LEAST_DOCS, COST = 100.0, 1.6, 5, 0.1
+#: Prior strength in documents; least z-score, log-odds and documents of a scoring token; the cost of other tokens.
+PRIOR, LEAST_Z, LEAST_ODDS, LEAST_DOCS, COST = 100.0, 4.0, 2.0, 6, 0.1
 PREFIXES = (8, 7, 6, 5, 4)
+#: Evidence beyond these bounds counts as the bound on the logistic curve.
+EVIDENCE = (-10.0, 40.0)
 #: Factor of the expected number of chance segments, and the largest share of such a one that counts as significant.
 CHANCE, SIGNIFICANT = 0.1, 0.05
 THRESHOLD = 0.7
@@ -51,7 +53,7 @@ class Model:
     offset: float = -50.0
 
     def score(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * evidence + self.offset, -50, 50)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * np.clip(evidence, *EVIDENCE) + self.offset, -50, 50)))
 
 
 class Weights(dict):
@@ -176,16 +178,39 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
 
     counts = texts.select("toxic", "text").mapInArrow(_count_features, "feature string, whole boolean, toxic_docs long, clean_docs long")
     counts = counts.groupBy("feature", "whole").agg(F.sum("toxic_docs").alias("y1"), F.sum("clean_docs").alias("y0"))
+    # the same odds as in _odds, to leave most features where they are
     prior = (F.col("y1") + F.col("y0")) * (PRIOR / (n1 + n0))
     odds = lambda y, n: F.log((F.col(y) + prior) / (n + PRIOR - F.col(y) - prior))
     scored = counts.where(F.col("y1") + F.col("y0") >= LEAST_DOCS).withColumn("odds", odds("y1", n1) - odds("y0", n0))
-    scored = scored.withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior))).where(F.col("z") >= LEAST_Z)
-    model = Model()
-    for r in scored.orderBy(F.desc("z"), "feature", "whole").limit(MODEL_TOKENS).select("feature", "whole", "odds").collect():
-        (model.tokens if r["whole"] else model.prefixes)[r["feature"]] = r["odds"]
+    scored = scored.withColumn("z", F.col("odds") / F.sqrt(1 / (F.col("y1") + prior) + 1 / (F.col("y0") + prior)))
+    scored = scored.where((F.col("z") >= LEAST_Z) & (F.col("odds") >= LEAST_ODDS))
+    found = scored.orderBy(F.desc("z"), "feature", "whole").limit(MODEL_TOKENS).select("feature", "whole", "y1", "y0", "odds").collect()
+    model = Model(tokens={r["feature"]: r["odds"] for r in found if r["whole"]})
+    held: dict[str, tuple[int, int]] = {}
+    for r in found:
+        for n in PREFIXES if r["whole"] else ():
+            if len(r["feature"]) > n:
+                a, b = held.get(r["feature"][:n], (0, 0))
+                held[r["feature"][:n]] = a + r["y1"], b + r["y0"]
+    for r in found:
+        if not r["whole"]:
+            a, b = held.get(r["feature"], (0, 0))
+            y1, y0 = max(0, r["y1"] - a), max(0, r["y0"] - b)
+            value, z = _odds(y1, y0, n1, n0)
+            if y1 + y0 >= LEAST_DOCS and z >= LEAST_Z and value >= LEAST_ODDS:
+                model.prefixes[r["feature"]] = value
     return _calibrate(model, texts)
 
 
+def _odds(y1: int, y0: int, n1: int, n0: int) -> tuple[float, float]:
+    """Log-odds and z-score of a feature that y1 of n1 toxic and y0 of n0 clean documents hold."""
+    prior = (y1 + y0) * PRIOR / (n1 + n0)
+    if not prior:
+        return 0.0, 0.0
+    value = math.log((y1 + prior) / (n1 + PRIOR - y1 - prior)) - math.log((y0 + prior) / (n0 + PRIOR - y0 - prior))
+    return value, value / math.sqrt(1 / (y1 + prior) + 1 / (y0 + prior))
+
+
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Documents of each kind that hold a token, or a token with a prefix; sums of what the task has read."""
     seen: dict[tuple[str, bool], list[int]] = {}
@@ -227,18 +252,18 @@ def _calibrate(model: Model, texts: DataFrame) -> Model:
     model.scale = chance_scale(positive, tokens)
 
     found = map_texts(texts, "evidence double", lambda: _evidence_of(model)).select("toxic", "evidence").collect()
-    x = np.array([r["evidence"] for r in found])
+    x = np.clip([r["evidence"] for r in found], *EVIDENCE)
     y = np.array([r["toxic"] for r in found], float)
     model.slope, model.offset = logistic(x, y)
     return model
 
 
-def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[float, float]:
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-5) -> tuple[float, float]:
     """Slope and offset of the logistic curve of least loss, by Newton's steps on scaled values."""
     centre, spread = x.mean(), x.std() + 1e-9
     a = np.column_stack([(x - centre) / spread, np.ones(len(x))])
     w = np.zeros(2)
-    for _ in range(50):
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
         h = (a * (p * (1 - p))[:, None]).T @ a / len(x) + ridge * np.eye(2)
         step = np.linalg.solve(h, a.T @ (p - y) / len(x) + ridge * w)
