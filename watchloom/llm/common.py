@@ -192,25 +192,23 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node that each node of the links (a, b) reaches.
 
     Rounds of large and small stars: each node points its larger neighbours, then all its neighbours, to the smallest
-    of them. Every round is two groupings on the node; a hub's neighbours are spread by a join, never gathered. The
-    rounds grow with the logarithm of the longest path. Raises if they do not end.
+    of them. Every round is two groupings on the node; a hub's neighbours are spread by a join, never gathered. It ends
+    when every node points to a node that points nowhere. The rounds grow with the logarithm of the longest path.
+    Raises if they do not end.
     """
-    spark = links.sparkSession
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    before = None
     for _ in range(rounds):
+        per_node = edges.groupBy("u").agg(F.min("v").alias("low"), F.max("v").alias("high"))
+        roots = edges.select("v").distinct()
+        if per_node.join(roots, F.col("u") == F.col("v"), "left").where("low != high OR v IS NOT NULL").isEmpty():
+            break
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         small_low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        edges = written(small, "edges")
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
+        small = large.join(small_low, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        edges = written(small.where("u != v").distinct(), "edges")
     else:
         raise RuntimeError("components did not settle")
-    tops = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
-    roots = edges.select(F.col("v").alias("node")).distinct().join(tops.select("node"), "node", "left_anti")
-    return tops.unionByName(roots.select("node", F.col("node").alias("component")))
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -8,10 +8,10 @@ earliest dart of each is kept; equal entries of two signatures have the probabil
 next dart comes before a text's time limit are looked at, so a long text costs little more than one pass over its words.
 
 Signatures are cut into bands; texts that share a band are candidates. Equal texts are one node. In each band value the
-least node is compared with all others (a star); pairs that pass join components. In values whose nodes are then in different
-components, two more stars are drawn from other nodes; the few pairs of different components that are left after that are
-compared one by one. So no link between components is lost that shares a band, and a group of near copies costs stars,
-not all its pairs. A candidate passes by its exact similarity.
+least node is compared with all others (a star); pairs that pass join components. What then still lies in different components
+of one band value is cut into blocks of BLOCK nodes; a task gets two blocks, compares them by a matrix product over their
+strips and gives only the links that join components. So no link between components is lost that shares a band, no task
+holds a whole group, and no group's pairs are written. Every link passes by the exact similarity of the whole texts.
 
 Texts of fewer than five words are one run of all their words; texts without words are equal to one another. Null texts
 count as empty. Rows that share a doc_id are documents of their own. An empty table gives no rows. Other columns are ignored.
@@ -35,8 +35,8 @@ BANDS, ROWS = 24, 5
 COORDINATES = BANDS * ROWS
 #: Share of a signature that must agree before two texts are compared exactly: 5.5 deviations under SIMILAR.
 SIGNATURE_SHARE = 0.6
-#: Turns of stars before what is still open is compared pair by pair.
-STARS = 3
+#: Nodes of a block, and strips that are multiplied at a time, where blocks are compared.
+BLOCK, COLUMNS = 256, 4096
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -186,7 +186,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         passed = [similarity(np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")) >= SIMILAR
                   for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())]
-        yield batch.select(["a", "b"]).append_column("linked", pa.array(passed, pa.bool_()))
+        yield batch.select(["a", "b"]).filter(pa.array(passed, pa.bool_()))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -210,18 +210,13 @@ def _classified(docs: DataFrame) -> DataFrame:
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = written(_signed(docs), "near-signed")
-    rows = _shared_bands(signed.where("bands IS NOT NULL").dropDuplicates(["node"]))
-    compared = groups = None
-    for turn in range(STARS + 1):
-        open_ = written(_open(rows, groups), "near-open")
-        if open_.isEmpty():
-            break
-        pairs, rows = _star(open_, turn) if turn < STARS else (_all_pairs(open_), open_.limit(0))
-        if compared is not None:
-            pairs = pairs.join(compared.select("a", "b"), ["a", "b"], "left_anti")
-        new = written(_compare(docs, signed, pairs), "near-pairs")
-        compared = new if compared is None else compared.unionAll(new)
-        groups = components(compared.where("linked").select("a", "b"))
+    rows = written(_shared_bands(signed.where("bands IS NOT NULL").dropDuplicates(["node"])), "near-bands")
+    sets = written(_sets(docs, signed, rows.select("node").distinct()), "near-sets")
+    links = written(_verified_pairs(signed, sets, _star(rows)), "near-links")
+    groups = components(links)
+    more = written(_block_links(_open(rows, groups), sets), "near-links")
+    if not more.isEmpty():
+        groups = components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionAll(more))
     return _classes(signed, groups)
 
 
@@ -232,61 +227,103 @@ def _shared_bands(nodes: DataFrame) -> DataFrame:
     return rows.join(shared.select("band"), "band").select("band", "node")
 
 
-def _open(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
-    """(band, node, component) of the band values whose nodes are not all in one component."""
-    if groups is None:
-        return rows.select("band", "node", F.col("node").alias("component"))
-    placed = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("band")
-    return placed.join(several, "band").select("band", "node", "component")
-
+def _star(rows: DataFrame) -> DataFrame:
+    """Distinct pairs (a < b) of the least node of each band value with its other nodes."""
+    hubs = rows.groupBy("band").agg(F.min("node").alias("a"))
+    return rows.join(hubs, "band").where("a != node").select("a", F.col("node").alias("b")).distinct()
 
-def _star(rows: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct pairs (a < b) of one node of each band value with its nodes of other components, and the rows without it.
-
-    All pairs of that node in the value are then settled, so it leaves. The first time it is the least node, which many
-    values share; later the least by a hash, so that another part of a group is tried.
-    """
-    order = F.col("node") if not turn else F.xxhash64("node", F.lit(turn))
-    hubs = rows.groupBy("band").agg(F.min(F.struct(order.alias("order"), "node", "component")).alias("hub"))
-    met = rows.join(hubs, "band")
-    pairs = met.where("component != hub.component").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
-    return pairs.distinct(), met.where("node != hub.node").select("band", "node")
 
+def _open(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """(band, node, component) of the band values whose nodes are not all in one component, without the least nodes:
+    their stars have settled all their pairs."""
+    placed = rows.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    several = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("hub")).where("low != high")
+    return placed.join(several.select("band", "hub"), "band").where("node != hub").select("band", "node", "component")
 
-def _all_pairs(rows: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) of all nodes of different components that still share a band value."""
-    other = rows.select("band", F.col("node").alias("b"), F.col("component").alias("other"))
-    return rows.join(other, "band").where("node < b AND component != other").select(F.col("node").alias("a"), "b").distinct()
 
-
-def _compare(docs: DataFrame, signed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b, linked) for all pairs: first by signatures, what is left by the texts' whole multisets."""
-    pairs = written(pairs, "near-candidates")
-    signature = signed.where("signature IS NOT NULL").select("node", "signature").dropDuplicates(["node"])
-    met = pairs.join(signature.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(
-        signature.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
-    likely = written(met.select("a", "b", "sa", "sb").mapInArrow(_agree("sa", "sb"), "a long, b long"), "near-likely")
-    wanted = likely.select(F.col("a").alias("node")).unionAll(likely.select(F.col("b").alias("node"))).distinct()
-    one = signed.select("node", "doc_id").join(wanted, "node").groupBy("node").agg(F.min(F.coalesce("doc_id", F.lit(-(1 << 63)))).alias("k"))
+def _sets(docs: DataFrame, signed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, members): the sorted strips of the wanted nodes, from one text of each."""
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    one = signed.select("node", key.alias("k")).join(wanted, "node").groupBy("node").agg(F.min("k").alias("k"))
 
     def sets(texts: list[str]) -> list:
         runs, counts, names = strips(texts)
         ends = np.cumsum(counts).tolist()
         return [names, pa.array([np.sort(runs[x:y]).astype("<u8").tobytes() for x, y in zip([0, *ends], ends)], pa.binary())]
 
-    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(-(1 << 63)))).select("k", "text")
-    found = map_texts(keyed.join(one.select("k").distinct(), "k").select("text"), "node long, members binary", lambda: sets).join(wanted, "node").dropDuplicates(["node"])
-    found = written(found, "near-sets")
-    full = likely.join(found.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a").join(
-        found.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
-    passed = full.mapInArrow(_verified, "a long, b long, linked boolean")
-    return pairs.join(passed, ["a", "b"], "left").select("a", "b", F.coalesce("linked", F.lit(False)).alias("linked"))
+    texts = docs.select(key.alias("k"), "text").join(one.select("k").distinct(), "k").select("text")
+    return map_texts(texts, "node long, members binary", lambda: sets).join(wanted, "node").dropDuplicates(["node"])
+
+
+def _verified_pairs(signed: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar: first by signatures, then by the whole multisets."""
+    signature = signed.where("signature IS NOT NULL").select("node", "signature").dropDuplicates(["node"])
+    met = pairs.join(signature.select(F.col("node").alias("a"), F.col("signature").alias("sa")), "a").join(
+        signature.select(F.col("node").alias("b"), F.col("signature").alias("sb")), "b")
+    likely = met.select("a", "b", "sa", "sb").mapInArrow(_agree("sa", "sb"), "a long, b long")
+    full = likely.join(sets.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a").join(
+        sets.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b").select("a", "b", "set_a", "set_b")
+    return full.mapInArrow(_verified, "a long, b long")
+
+
+def _block_links(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that join different components within a band value, from pairs of bounded blocks."""
+    counts = rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 0")
+    placed = rows.join(counts, "band").withColumn("own", F.pmod(F.xxhash64("node", "band"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", "component")
+    return placed.join(sets, "node").groupBy("band", "x", "y").applyInArrow(_joining, "a long, b long")
+
+
+def _joining(table: pa.Table) -> pa.Table:
+    """Of a task's two blocks (or one): the links that join components, at most one for each component."""
+    own = table["own"].to_numpy()
+    left = np.flatnonzero(own == own.min())
+    right = np.flatnonzero(own == own.max())
+    component, node = table["component"].to_numpy(), table["node"].to_numpy()
+    members = [np.frombuffer(m, "<u8") for m in table["members"].to_pylist()]
+    lonely = own.min() == own.max() and table["x"][0].as_py() != table["y"][0].as_py()
+    if lonely or (component == component[0]).all():
+        return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    alike = matrix_similarity([members[i] for i in left], [members[i] for i in right]) >= SIMILAR
+    root = {c: c for c in component.tolist()}
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            c = root[c]
+        return c
+
+    links = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(alike & (component[left][:, None] != component[right][None, :])))):
+        a, b = find(int(component[left[i]])), find(int(component[right[j]]))
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            links.append((int(node[left[i]]), int(node[right[j]])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([x for _, x in links], pa.int64())})
+
+
+def matrix_similarity(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Weighted Jaccard of all left with all right sets of strips, over the strips that both sides hold."""
+    sizes = np.array([len(m) for m in left])[:, None] + np.array([len(m) for m in right])[None, :]
+    common = np.zeros(sizes.shape, np.float32)
+    shared = np.intersect1d(np.concatenate([*left, np.zeros(0, np.uint64)]), np.concatenate([*right, np.zeros(0, np.uint64)]))
+    for start in range(0, len(shared), COLUMNS):
+        columns = shared[start:start + COLUMNS]
+        common += _held(left, columns) @ _held(right, columns).T
+    return np.where(sizes > 0, common / np.maximum(sizes - common, 1), 1.0)
+
+
+def _held(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
+    """Row by set, column by strip: 1 where the set holds the strip."""
+    out = np.zeros((len(sets), len(columns)), np.float32)
+    for row, members in zip(out, sets):
+        at = np.minimum(np.searchsorted(columns, members), len(columns) - 1)
+        row[at[columns[at] == members]] = 1
+    return out
 
 
-def _classes(signed: DataFrame, groups: DataFrame | None) -> DataFrame:
-    rows = signed.select("doc_id", "node", "row")
-    rows = rows.withColumn("component", F.lit(None).cast("long")) if groups is None else rows.join(groups, "node", "left")
+def _classes(signed: DataFrame, groups: DataFrame) -> DataFrame:
+    rows = signed.select("doc_id", "node", "row").join(groups, "node", "left")
     rows = rows.withColumn("class", F.coalesce("component", "node"))
     tops = rows.groupBy("class").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("top"), F.count("*").alias("class_size"))
