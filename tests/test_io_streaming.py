@@ -130,10 +130,23 @@ def test_files_are_bounded_and_old_ones_marked(spark, tmp_path):
     assert [r["feed"] for r in missing.collect()] == ["cef"]
 
 
-def test_lines_that_would_break_are_refused(spark, tmp_path):
-    bad = spark.createDataFrame([("cef", "a\nb")], "feed string, line string")
-    with pytest.raises(Exception, match="line break"):
-        sinks.write_feed(bad, str(tmp_path / "f"))
+def test_lines_that_would_break_are_set_aside(spark, tmp_path):
+    lines = spark.createDataFrame([("cef", "a\nb"), ("cef", "whole")], "feed string, line string")
+    sinks.write_feed(lines, str(tmp_path / "f"))
+    got = {(r["feed"], r["value"]) for r in spark.read.text(str(tmp_path / "f")).collect()}
+    assert ("cef", "whole") in got and len(got) == 2
+    aside = next(v for f, v in got if f == "unwritable")
+    assert json.loads(aside) == {"feed": "cef", "line": "a\nb"}
+
+
+def test_files_are_bounded_by_bytes_and_retention_removes(spark, tmp_path):
+    sinks.bounded_files(spark.range(2000).select(F.lpad(F.col("id").cast("string"), 99, "0").alias("line")).coalesce(2), str(tmp_path / "b"), 20_000)
+    files = list((tmp_path / "b").rglob("part-*"))
+    files = [f for f in files if f.is_file()]
+    assert len(files) >= 10 and all(f.stat().st_size <= 20_100 for f in files) and spark.read.text(str(tmp_path / "b")).count() == 2000
+    sinks.write_tables(spark.range(100).select(F.lit("T").alias("table"), F.col("id").cast("string").alias("line")).coalesce(1), str(tmp_path / "t"), max_records=10)
+    assert sinks.apply_retention(spark, str(tmp_path / "t"), 4, "part-*") == 6
+    assert spark.read.text(str(tmp_path / "t")).count() == 40
 
 
 def test_a_failing_sink_does_not_stop_the_others(spark, tmp_path):
@@ -151,6 +164,48 @@ def test_profiles_merge_by_version(spark, tmp_path):
     sinks.write_profile(counts, str(tmp_path / "p"), 0)
     assert sinks.write_profile(counts, str(tmp_path / "p"), 1).first()["count"] == 4
     assert sinks.write_profile(counts, str(tmp_path / "p"), 1).first()["count"] == 4
+    assert sinks.compact_profile(spark, str(tmp_path / "p"), str(tmp_path / "q")).first()["count"] == 4
+
+
+def test_one_identity_keeps_values_out_of_store_and_pools(spark, tmp_path):
+    long = spark.createDataFrame([("t", "note", "secret plan", "str"), ("t", "note", "a@b.c", "str"), ("t", "tone", "calm", "str")],
+                                 "table string, path string, value string, type string")
+    counts = P.field_counts(long)
+    assert [r["value"] for r in P.value_pool(counts).collect()] == ["calm"]
+    stored = sinks.write_profile(counts, str(tmp_path / "p"), 0).collect()
+    assert "secret plan" not in {r["item"] for r in stored} and "calm" in {r["item"] for r in stored}
+    late = spark.createDataFrame([("t", "tone", "x@y.z", "str")], "table string, path string, value string, type string")
+    again = sinks.write_profile(P.field_counts(late), str(tmp_path / "p"), 1).collect()
+    assert "calm" not in {r["item"] for r in again}
+
+
+def test_profile_documents_go_out_and_in(spark, tmp_path):
+    counts = spark.createDataFrame([("t", "f", "freeform", "x", 2), ("t", "f", "freeform", "y", 1), ("t", "u", "identifier", "guid", 3)], P.COUNTS_SCHEMA)
+    tallies = spark.createDataFrame([("t", "s1", 2), ("t", "s2", 1)], "table string, source string, records long")
+    sinks.write_profile_documents(counts, tallies, str(tmp_path / "d"), "2026-09-01T00:00:00Z")
+    for f in list((tmp_path / "d").rglob("part-*")):
+        write(tmp_path / "docs" / (f.parent.name.split("=")[1] + ".json"), f.read_text())
+    rows, back = readers.read_profile(spark, str(tmp_path / "docs"))
+    assert {(r["table"], r["field"], r["kind"], r["item"], r["count"], r["rank"], r["n"]) for r in rows.collect()} == {
+        ("t", "f", "freeform", "x", 2, 1, 3), ("t", "f", "freeform", "y", 1, 2, 3), ("t", "u", "identifier", "guid", 3, 1, 3)}
+    assert {tuple(r) for r in back.collect()} == {("t", "s1", 2), ("t", "s2", 1)}
+
+
+@pytest.mark.parametrize("files", [1, 8, 40])
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_read_order_is_file_order(spark, tmp_path, files, adaptive):
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        sizes = [1 + (i * 37) % 29 for i in range(files)]
+        n = 0
+        for i, size in enumerate(sizes):
+            write(tmp_path / "in" / f"part-{i:05d}.txt", "".join(f"{n + j}\n" for j in range(size)))
+            n += size
+        rows = readers.read_lines(spark, str(tmp_path / "in"))
+        assert rows.count() == n and rows.filter(F.col("seq").cast("string") != F.col("line")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
 
 
 def test_streams(spark, tmp_path):
@@ -160,24 +215,30 @@ def test_streams(spark, tmp_path):
         write(src / f"{part}.jsonl", "".join(
             json.dumps({"event_type": "authentication", "UserPrincipalName": n, "data": {"status": "0"}}) + "\n" for n in names[part * 10:part * 10 + 10]) + "{bad\n")
     raw = jobs.read_jsonl_stream(spark, str(src), max_files=1)
-    good, bad = jobs.stream_normalise(raw, "signin")
-    query = jobs.observed(good, "seen", F.col("user_principal_name") == "u0@x.org").writeStream.format("parquet").option(
-        "path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c1")).trigger(availableNow=True).start()
+
+    def keep(folder):
+        return lambda rows, i: rows.write.mode("overwrite").parquet(f"{tmp_path}/{folder}/batch={i}")
+
+    query = jobs.stream_normalise(raw, ["signin"], lambda name, rows, i: keep(name)(rows, i), keep("refused"), str(tmp_path / "c1"))
     assert jobs.run_to_completion(query, 120)
-    batch, _ = N.normalize(N.route_event_type(N.flatten_data(spark.read.text(str(src)).select(
-        F.xxhash64("value").alias("row_id"), F.from_json("value", "map<string,string>").alias("raw")).filter("raw IS NOT NULL"))), "signin")
-    streamed = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(r["event_id"] for r in streamed.collect()) == sorted(r["event_id"] for r in batch.collect())
-    shed = sum(p.observedMetrics["seen"]["shed"] for p in query.recentProgress if "seen" in p.observedMetrics)
-    assert shed == 10 and len([p for p in query.recentProgress if p.numInputRows]) == 4
+    streamed = spark.read.parquet(str(tmp_path / "signin")).collect()
+    assert len(streamed) == 40 and len({r["row_id"] for r in streamed}) == 40 and len({r["event_id"] for r in streamed}) == 40
+    refused = spark.read.parquet(str(tmp_path / "refused")).collect()
+    assert [(r["line"], r["reasons"]) for r in refused] == [("{bad", ["unparsed"])] * 4
+    assert len([p for p in query.recentProgress if p.numInputRows]) == 4
+
+    counted = jobs.observed(raw, "seen", F.col("line").contains("u0@x.org")).writeStream.format("noop").option(
+        "checkpointLocation", str(tmp_path / "c3")).trigger(availableNow=True).start()
+    assert jobs.run_to_completion(counted, 120)
+    assert sum(p.observedMetrics["seen"]["shed"] for p in counted.recentProgress if "seen" in p.observedMetrics) == 10
 
     failures = []
     run = jobs.stream_fanout(raw, ["signin"], {
         "bad": lambda b, i: 1 / 0, "good": lambda b, i: b.write.mode("overwrite").parquet(f"{tmp_path}/lines/batch={i}")},
-        str(tmp_path / "c2"), on_failure=lambda i, f: failures.append((i, sorted(f))))
+        str(tmp_path / "c2"), keep("refused2"), on_failure=lambda i, f: failures.append((i, sorted(f))))
     assert jobs.run_to_completion(run, 180)
     assert spark.read.parquet(str(tmp_path / "lines")).groupBy("feed").count().filter("count <> 40").count() == 0
-    assert [f for _, f in failures] == [["bad"]] * 4
+    assert [f for _, f in failures] == [["bad"]] * 4 and spark.read.parquet(str(tmp_path / "refused2")).count() == 4
 
 
 def test_late_rows_are_counted(spark, tmp_path):
@@ -186,10 +247,11 @@ def test_late_rows_are_counted(spark, tmp_path):
         time.sleep(0.05)
         write(tmp_path / "s" / f"{i}.json", "".join(json.dumps({"ts": t, "table": "x"}) + "\n" for t in stamps))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(tmp_path / "s"))
+    late = jobs.LateRows().add(spark)
     query = jobs.stream_rate(stream, "ts", "10 minutes").writeStream.format("parquet").option("path", str(tmp_path / "o")).option(
         "checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     assert jobs.run_to_completion(query, 120)
-    assert jobs.late_rows(query) == 1
+    assert late.of(query) == 1
 
 
 def test_deadline_stops_a_query(spark, tmp_path):

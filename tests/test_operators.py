@@ -1,5 +1,6 @@
 """Sequences, timelines, expansion, profiles, rules."""
 
+import json
 import random
 from datetime import datetime, timedelta
 
@@ -15,18 +16,43 @@ from watchloom.operators import ordered as O
 from watchloom.operators import profiling as P
 from watchloom.operators import sequence as S
 from watchloom.operators import timeline as T
-from watchloom.operators.rangejoin import range_join
+from watchloom.operators.rangejoin import range_join, step_join
 from watchloom.operators.settings import Settings, TimingProfile
 
 
-def test_hot_keys_take_another_way_to_the_same_answer(spark):
+def test_previous_rows_hold_over_seams(spark):
     rnd = random.Random(1)
     rows = [("hot" if rnd.random() < 0.5 else f"k{rnd.randint(0, 9)}" if rnd.random() < 0.9 else None, rnd.randint(0, 50), i, f"s{rnd.randint(0, 3)}")
             for i in range(600)]
     df = spark.createDataFrame(rows, "k string, t int, i int, s string")
-    plain = O.with_previous(df, "k", ("t", "i"), {"s": "p", "t": "pt"}).collect()
-    split = O.with_previous(df, "k", ("t", "i"), {"s": "p", "t": "pt"}, hot_rows=20).collect()
-    assert sorted(map(str, plain)) == sorted(map(str, split)) and len(plain) == 600
+    got = {r["i"]: (r["p"], r["pt"]) for r in O.with_previous(df, "k", ("t", "i"), {"s": "p", "t": "pt"}).collect()}
+    want, last = {}, {}
+    for k, t, i, s in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[i] = last.get(k, (None, None))
+        last[k] = (s, t)
+    assert got == want
+
+
+def test_steps_are_carried_forward(spark):
+    rnd = random.Random(5)
+    steps = sorted({(rnd.choice("ab"), rnd.randint(0, 10_000) / 10_000) for _ in range(400)} | {("a", 0.0), ("c", 0.5)})
+    points = [(rnd.choice("abc"), rnd.random(), i) for i in range(3000)]
+    got = step_join(spark.createDataFrame(points, "g string, u double, i int"),
+                    spark.createDataFrame([(g, x, f"{g}{x}") for g, x in steps], "g string, lo double, n string"), "u", "lo", ("g",))
+    want = {}
+    for g, u, i in points:
+        own = [x for h, x in steps if h == g and x <= u]
+        if own:
+            want[i] = f"{g}{max(own)}"
+    assert {r["i"]: r["n"] for r in got.collect()} == want
+
+
+def test_draws_from_a_large_pool(spark):
+    pool = spark.range(1_000_000).select(F.col("id").alias("value"), (F.col("id") % 7).alias("weight"))
+    drawn = G.weighted_sample(pool, 20_000, "big").select("rank", "value", "weight").collect()
+    assert len(drawn) == 20_000 and len({r["rank"] for r in drawn}) == 20_000
+    light = sum(r["weight"] in (0, 1) for r in drawn)
+    assert 0.07 < light / 20_000 < 0.11  # two of the kinds weigh one each, of 22 in all
 
 
 def test_serial_ranges_equal_one_window(spark):
@@ -145,7 +171,17 @@ def test_replication_and_binding(spark, records):
     assert len({r["raw"]["ip"] for r in bound}) > 1 and len({r["raw"]["u"] for r in bound}) == 1 and len({r["raw"]["s"] for r in bound}) == 1
     for r in bound:
         first, second = r["raw"]["ip"].split("|")
-        assert first == second and "{{" not in str(r["raw"]) and r["raw"]["u"].endswith("@litware.com")
+        assert first == second and "{{" not in str(r["raw"]) and r["raw"]["u"].endswith("@example.org")
+        assert json.loads(r["raw"]["nested"])["a"].isdigit()
+
+
+def test_nested_values_stay_json(records):
+    raw = records({"n": '{"p": "{{RANDOM_FILE_PATH}}", "q": ["{{RANDOM_GUID}} {{RANDOM_GUID}}", "{{RANDOM_GUID}}"], "k": 1}', "t": "{{RANDOM_FILE_PATH}}"})
+    out = G.bind_pools(raw).first()["raw"]
+    nested = json.loads(out["n"])
+    assert nested["p"] in dims.FILE_PATHS and out["t"] in dims.FILE_PATHS and nested["k"] == 1
+    one, two = nested["q"][0].split()
+    assert one == two and one != nested["q"][1]
 
 
 def test_every_placeholder_is_filled(records):
@@ -219,9 +255,9 @@ def test_children_take_one_parent_each(spark):
 
 def test_personas(spark):
     people = L.persona_dimension(spark)
-    df = spark.createDataFrame([("ceo_office",), ("nobody",)], "user_name string")
+    df = spark.createDataFrame([("board.chair",), ("nobody",)], "user_name string")
     got = {r["user_name"]: r for r in L.enrich_persona(df, people).collect()}
-    assert got["ceo_office"]["is_sensitive"] and got["ceo_office"]["email"] == "ceo_office@litware.com" and got["nobody"]["role"] is None
+    assert got["board.chair"]["is_sensitive"] and got["board.chair"]["email"] == "board.chair@example.org" and got["nobody"]["role"] is None
 
 
 def test_rules_and_counts(spark):

@@ -1,6 +1,5 @@
-"""Registered queries against their SQL on DuckDB (all of them with ALL_QUERIES=1)."""
+"""All registered queries against their SQL on DuckDB."""
 
-import os
 from pathlib import Path
 
 import duckdb
@@ -11,9 +10,6 @@ import __spark_entry__ as contract
 DATA = Path("/root/testdata/sf0.001")
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
-QUICK = ("input_names_signin", "severity_scales", "flow_topology", "weighted_picks", "inherited_context", "value_pools", "transitions",
-         "transitions_split_hot_keys", "virtual_timeline", "interleaved_batches", "follow_ups", "appliance_lines", "audit_lines",
-         "rule_quality", "attack_coverage")
 QUERIES, SQL = contract.queries(), contract.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test data")
@@ -27,7 +23,7 @@ def plain(value):
     return f"{value:.9g}" if isinstance(value, float) else str(value)
 
 
-@pytest.mark.parametrize("name", sorted(SQL) if os.environ.get("ALL_QUERIES") else QUICK)
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_its_sql(spark, name):
     con = duckdb.connect()
     for table in TABLES:

@@ -228,7 +228,7 @@ WINEVENT = {
         ("Status", "status")), "if(status <> 'success', 'err', 'info')"),
 }
 
-AUTH_FAILED = "lower(log_message) RLIKE 'fail|invalid'"
+AUTH_FAILED = f"lower(log_message) RLIKE {lit(dims.AUTH_FAILED)}"
 
 AUDITD = {
     "linux_auth": AuditdFormat(

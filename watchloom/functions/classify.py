@@ -88,3 +88,8 @@ def shape_token(value: Column, kind: Column | None = None) -> Column:
         .when(kind == "fqdn", F.concat(F.lit("fqdn:labels="), labels(value)))
         .otherwise(F.concat(F.lit("str:len_bucket="), len_bucket(F.length(value))))
     )
+
+
+def linux_auth_failed(message: Column) -> Column:
+    """A login message that tells of a failure."""
+    return F.lower(message).rlike(dims.AUTH_FAILED)

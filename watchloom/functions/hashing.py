@@ -23,8 +23,8 @@ def hash_pick(key: Column, n: int | Column) -> Column:
 
 
 def hash_fraction(key: Column) -> Column:
-    """A number in ``[0, 1)``."""
-    return hash32(key) / F.lit(4294967296.0)
+    """A number in ``[0, 1)``, from the first 52 bits of the MD5 of a text key."""
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 13), 16, 10).cast("bigint") / F.lit(4503599627370496.0)
 
 
 def hash_range(key: Column, low: int, high: int) -> Column:

@@ -134,7 +134,7 @@ def persona_values(cycle: Column, settings: Settings) -> dict[str, Column]:
     """The eight values of the identity a cycle acts as."""
     key = F.concat_ws("|", F.lit(settings.run_id), cycle.cast("string"), F.lit("persona"))
     field = lambda values: pick_from(key, values)
-    users, roles, depts, hosts, flags = zip(*dims.PERSONAS)
+    users, roles, depts, hosts, admins, sensitive = zip(*dims.PERSONAS)
     return {
         "PERSONA_USER": field(users),
         "PERSONA_HOST": field(hosts),
@@ -142,22 +142,42 @@ def persona_values(cycle: Column, settings: Settings) -> dict[str, Column]:
         "PERSONA_ROLE": field(roles),
         "PERSONA_DEPT": field(depts),
         "PERSONA_DOMAIN": F.lit(dims.PERSONA_DOMAIN),
-        "PERSONA_IS_ADMIN": field([str("a" in f).lower() for f in flags]),
-        "PERSONA_IS_SENSITIVE": field([str("s" in f).lower() for f in flags]),
+        "PERSONA_IS_ADMIN": field([str(a).lower() for a in admins]),
+        "PERSONA_IS_SENSITIVE": field([str(s).lower() for s in sensitive]),
     }
 
 
-def _replace_all(text: Column, values: Mapping[str, Column]) -> Column:
+#: a string of a JSON text, quotes included
+_JSON_STRING = r'"(?:[^"\\]|\\.)*"'
+
+
+def _json_inner(value: Column) -> Column:
+    """A text as it stands between the quotes of a JSON string."""
+    quoted = F.to_json(F.array(value))
+    return F.substring(quoted, F.lit(3), F.length(quoted) - 4)
+
+
+def _replace_all(text: Column, values: Mapping[str, Column], in_json: bool = False) -> Column:
     out = text
     for name, value in values.items():
         # drawn only where the text asks for it; the text itself is named once per step
-        drawn = F.when(text.contains(_slot(name)), value).otherwise("")
+        drawn = F.when(text.contains(_slot(name)), _json_inner(value) if in_json else value).otherwise("")
         out = F.replace(out, F.lit(_slot(name)), drawn)
     return F.when(text.contains("{{"), out).otherwise(text)
 
 
 def _bind(df: DataFrame, raw: str, values_for: Callable[[Column], Mapping[str, Column]]) -> DataFrame:
-    return df.withColumn(raw, F.transform_values(raw, lambda k, v: _replace_all(v, values_for(k))))
+    """Fill the placeholders of every value. In a nested value (JSON text) each string is bound on its own, with draws
+    of its own, and what is put in is escaped, so the value stays JSON."""
+    def one(k: Column, v: Column) -> Column:
+        strings = F.regexp_extract_all(v, F.lit(_JSON_STRING), F.lit(0))
+        bound = F.transform(strings, lambda s, i: _replace_all(s, values_for(F.concat(k, F.lit("#"), i.cast("string"))), True))
+        between = F.split(v, _JSON_STRING, -1)
+        nested = F.array_join(F.transform(between, lambda g, i: F.concat(g, F.coalesce(F.get(bound, i), F.lit("")))), "")
+        is_nested = v.rlike(r"^\s*[\[{]") & v.contains("{{") & F.try_parse_json(v).isNotNull()
+        return F.when(is_nested, nested).otherwise(_replace_all(v, values_for(k)))
+
+    return df.withColumn(raw, F.transform_values(raw, one))
 
 
 def bind_session(df: DataFrame, settings: Settings = Settings(), cycle: str = "cycle", raw: str = "raw") -> DataFrame:
@@ -215,8 +235,8 @@ def corpus_or_pool(key: Column, name: str, chosen: Mapping[str, list[tuple[str,
 
 def bind_pools(df: DataFrame, settings: Settings = Settings(), row_id: str = "row_id", raw: str = "raw",
                chosen: Mapping[str, list[tuple[str, float]]] | None = None) -> DataFrame:
-    """Fill the ``RANDOM_*`` placeholders: one draw per placeholder and value, shared by all its
-    occurrences in that value. Nested values are filled as the JSON text they are."""
+    """Fill the ``RANDOM_*`` placeholders: one draw per placeholder and string, shared by all its
+    occurrences in that string."""
     def values_for(field: Column) -> dict[str, Column]:
         key = lambda name: F.concat_ws(
             "|", F.lit(settings.run_id), F.col(row_id).cast("string"), field, F.lit(name))

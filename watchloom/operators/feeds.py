@@ -19,6 +19,7 @@ from watchloom.catalog.tables import GENERIC, spec_of
 from watchloom.functions import sqltext as T
 from watchloom.functions.hashing import stable_uuid_sql, uuid5_hex_sql
 from watchloom.operators.normalize import table_name
+from watchloom.operators.ordered import global_rank
 from watchloom.operators.settings import Settings
 
 CEF_SLOTS = 6
@@ -256,3 +257,27 @@ def feed_lines(df: DataFrame, name: str, settings: Settings = Settings(),
         lines = F.concat(lines, F.transform(audit, lambda a: pair(F.lit("auditd"), a)))
     table = table_name(F.col("event_type"), F.col("source")).alias("table")
     return df.select(*keep, table, F.col("timestamp").alias("ts"), F.inline(lines)).filter(F.col("line").isNotNull())
+
+
+def export_run(tables: dict[str, DataFrame], settings: Settings = Settings(), first_serial: int = 0) -> DataFrame:
+    """All feeds of all classes as one set of lines; persist it before writing several sinks.
+
+    Rows of classes with audit records get a serial first, in order of time over all those classes, which the
+    records of one event share. Only their ids and times are ordered.
+    """
+    audited = [name for name in tables if spec_of(name).feeds.get("auditd") is not None]
+    serials = None
+    for name in audited:
+        rows = tables[name].select(F.lit(name).alias("_model"), F.col("row_id").alias("_row"), F.col("timestamp").alias("_ts"))
+        serials = rows if serials is None else serials.unionByName(rows)
+    if serials is not None:
+        serials = global_rank(serials, ["_ts", "_row"], "serial").withColumn("serial", F.col("serial") + 1 + first_serial)
+    out = None
+    for name, table in tables.items():
+        if name in audited:
+            own = serials.filter(F.col("_model") == name).select("_row", "serial")
+            lines = feed_lines(table.join(own, F.col("row_id") == F.col("_row")).drop("_row"), name, settings, serial="serial")
+        else:
+            lines = feed_lines(table, name, settings)
+        out = lines if out is None else out.unionByName(lines)
+    return out

@@ -11,7 +11,7 @@ from watchloom.catalog import dims
 from watchloom.functions.hashing import hash_fraction
 from watchloom.functions.lookup import map_value
 from watchloom.functions.network import appliance_for, is_internal
-from watchloom.operators.rangejoin import cumulative, range_join
+from watchloom.operators.rangejoin import cumulative, step_join
 
 #: columns a follow-up takes over from the event before it
 CONTEXT_COLUMNS = (
@@ -29,8 +29,7 @@ def source_table_map(spark: SparkSession) -> DataFrame:
 
 
 def winevent_map(spark: SparkSession) -> DataFrame:
-    rows = [(p, e, t) for (p, t), ids in dims.WINEVENT_TABLES.items() for e in ids]
-    return spark.createDataFrame(rows, "provider string, event_id int, table string")
+    return spark.createDataFrame(list(dims.WINEVENT_ROUTES), "provider string, event_id int, table string")
 
 
 def winevent_id(value: Column) -> Column:
@@ -65,8 +64,8 @@ def route_by_field(df: DataFrame, field: str | None, default: str | None = None)
 
 def persona_dimension(spark: SparkSession) -> DataFrame:
     rows = [
-        (i, user, role, dept, dims.PERSONA_DOMAIN, host, f"{user}@{dims.PERSONA_DOMAIN}", "a" in flags, "s" in flags)
-        for i, (user, role, dept, host, flags) in enumerate(dims.PERSONAS)
+        (i, user, role, dept, dims.PERSONA_DOMAIN, host, f"{user}@{dims.PERSONA_DOMAIN}", admin, sensitive)
+        for i, (user, role, dept, host, admin, sensitive) in enumerate(dims.PERSONAS)
     ]
     return spark.createDataFrame(
         rows,
@@ -111,19 +110,16 @@ def inherit_context(children: DataFrame, parents: DataFrame, correlation: str =
 
 
 def range_pick(df: DataFrame, weighted: DataFrame, key: Column, group: tuple[str, ...] = (),
-               order: tuple[str, ...] = ("value",), weight: str = "weight", cells: int = 64) -> DataFrame:
+               order: tuple[str, ...] = ("value",), weight: str = "weight") -> DataFrame:
     """Pick by weight: the row of ``weighted`` whose cumulative share holds the key's fraction.
 
     A missing or zero weight counts as one. ``group`` columns choose the pool; ``order`` must tell
-    the rows of a pool apart.
+    the rows of a pool apart. The work is a sort of draws and pool together.
     """
     share = F.when(F.coalesce(F.col(weight), F.lit(0)) == 0, F.lit(1.0)).otherwise(F.col(weight).cast("double"))
     bounds = cumulative(weighted, list(group), list(order), share)
     points = df.withColumn("_u", hash_fraction(key))
-    # the last bound may round to just under one
-    top = F.when(F.col("hi") > 1 - 1e-9, F.lit(1.0 + 1e-9)).otherwise(F.col("hi"))
-    return range_join(points, bounds.withColumn("hi", top), "_u", "lo", "hi", 1.0 / cells, group).drop(
-        "_u", "lo", "hi")
+    return step_join(points, bounds, "_u", "lo", group).drop("_u", "lo", "hi")
 
 
 def attachments_for(emails: DataFrame, attachments: DataFrame, how: str = "inner") -> DataFrame:

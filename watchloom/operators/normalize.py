@@ -81,9 +81,9 @@ def resolve_aliases(df: DataFrame, spec: EventSpec, raw: str = "raw") -> DataFra
 
     The first accepted name that is present wins: a null under it beats a value under a later one.
     """
-    accepted = ", ".join("array(" + ", ".join(map(_lit, c.accepts)) + ")" for c in spec.columns)
-    chosen = f"transform(array({accepted}), ns -> get(filter(ns, n -> map_contains_key({raw}, n)), 0)) AS chosen"
-    return df.selectExpr("*", chosen).selectExpr(
+    first = ", ".join(
+        "CASE " + " ".join(f"WHEN map_contains_key({raw}, {_lit(n)}) THEN {_lit(n)}" for n in c.accepts) + " END" for c in spec.columns)
+    return df.selectExpr("*", f"array({first}) AS chosen").selectExpr(
         "*", *[f"{raw}[chosen[{i}]] AS {_given(c.attr)}" for i, c in enumerate(spec.columns)])
 
 

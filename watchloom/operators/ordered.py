@@ -18,14 +18,8 @@ from pyspark.sql import functions as F
 
 from watchloom.session import materialise
 
-#: rows per serial range, and rows of one key a single task may sort
+#: rows per serial range
 SERIAL_WIDTH = 1 << 20
-HOT_ROWS = 5_000_000
-
-
-def with_serial(df: DataFrame, name: str = "seq") -> DataFrame:
-    """A unique serial that follows file order (not dense)."""
-    return df.withColumn(name, F.monotonically_increasing_id())
 
 
 def _ranged(df: DataFrame, seq: str, width: int) -> DataFrame:
@@ -110,20 +104,17 @@ def global_rank(df: DataFrame, by: Sequence[str], name: str = "rank",
     )
 
 
-def hot_keys(df: DataFrame, key: str, limit: int = HOT_ROWS) -> list:
-    """Keys with more rows than one task should sort: at most rows / limit of them."""
-    counted = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-    return [row[key] for row in counted.collect()]
-
+def with_previous(df: DataFrame, key: str, order: Sequence[str], cols: dict[str, str]) -> DataFrame:
+    """Add the values of the previous row of the same key (``cols``: source column -> new column).
 
-def _previous_split(df: DataFrame, key: str, order: Sequence[str], cols: dict[str, str]) -> DataFrame:
-    """``lag`` for keys too large for one task: range partitions plus the rows at their seams."""
+    Rows are range-partitioned on key and order, so a key with a third of all rows is spread over the
+    cluster like any other; what passes over a seam is one row per partition.
+    """
     placed = range_ordered(df, [key, *order])
     inside = Window.partitionBy("_pid").orderBy("_pos")
     row = F.struct(F.col(key).alias("k"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)])
     seams = placed.groupBy("_pid").agg(F.max_by(row, "_pos").alias("_last"))
-    by_pid = Window.orderBy("_pid")
-    seams = seams.select("_pid", F.lag("_last").over(by_pid).alias("_seam"))
+    seams = seams.select("_pid", F.lag("_last").over(Window.orderBy("_pid")).alias("_seam"))
     joined = placed.withColumn("_prev", F.lag(row).over(inside)).join(F.broadcast(seams), "_pid")
     prev = F.when(F.col("_pos") == 0, F.col("_seam")).otherwise(F.col("_prev"))
     same = prev["k"].eqNullSafe(F.col(key)) & prev.isNotNull()
@@ -133,19 +124,20 @@ def _previous_split(df: DataFrame, key: str, order: Sequence[str], cols: dict[st
     return out.drop("_pid", "_pos", "_prev", "_seam")
 
 
-def with_previous(df: DataFrame, key: str, order: Sequence[str], cols: dict[str, str],
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add the values of the previous row of the same key (``cols``: source column -> new column).
+def carried(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
+    """The row's own ``value`` or, when it is null, that of the nearest earlier row in the order of ``by``.
 
-    Keys within ``hot_rows`` take the plain window; the few above it are range-partitioned, so a
-    key with a third of all rows is still spread over the cluster.
+    Like ``last_known`` for any order: range partitions, and one row per partition that carries the last value over.
     """
-    window = Window.partitionBy(key).orderBy(*order)
-    plain = lambda part: part.select(
-        "*", *[F.lag(c).over(window).alias(t) for c, t in cols.items()])
-    hot = hot_keys(df, key, hot_rows)
-    if not hot:
-        return plain(df)
-    known = [k for k in hot if k is not None]
-    is_hot = F.coalesce(F.col(key).isin(known), F.lit(None in hot))
-    return plain(df.filter(~is_hot)).unionByName(_previous_split(df.filter(is_hot), key, order, cols))
+    placed = range_ordered(df, by)
+    last = placed.filter(F.col(value).isNotNull()).groupBy("_pid").agg(F.max_by(value, "_pos").alias("_m"))
+    every = placed.select("_pid").distinct().join(last, "_pid", "left")
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    every = every.select("_pid", F.last("_m", ignorenulls=True).over(earlier).alias("_carry"))
+    inside = Window.partitionBy("_pid").orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        placed.withColumn("_in", F.last(value, ignorenulls=True).over(inside))
+        .join(F.broadcast(every), "_pid")
+        .withColumn(name, F.coalesce("_in", "_carry"))
+        .drop("_pid", "_pos", "_in", "_carry")
+    )

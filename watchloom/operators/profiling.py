@@ -150,8 +150,11 @@ def _pool(counts: DataFrame, kind: str, k: int) -> DataFrame:
 
 
 def value_pool(counts: DataFrame, k: int = dims.VALUE_POOL_SIZE) -> DataFrame:
-    """The ``k`` most common values of each free-form field; weights share out what is kept."""
-    kept = _pool(counts, "freeform", k)
+    """The ``k`` most common values of each free-form field; weights share out what is kept.
+
+    A field with one identity among its values has no values here, whatever the counts' own kinds say.
+    """
+    kept = _pool(settle_kinds(counts), "freeform", k)
     total = F.sum("count").over(Window.partitionBy("table", "field"))
     return kept.select("table", "field", F.col("item").alias("value"), "count", "rank",
                        F.round(F.col("count") / total, 4).alias("weight"))
@@ -159,6 +162,7 @@ def value_pool(counts: DataFrame, k: int = dims.VALUE_POOL_SIZE) -> DataFrame:
 
 def shape_pool(counts: DataFrame, k: int = dims.SHAPE_POOL_SIZE) -> DataFrame:
     """The ``k`` most common shapes of each identifier field; weights are shares of all shapes."""
+    counts = settle_kinds(counts)
     own = counts.filter(F.col("kind") == "identifier")
     totals = own.groupBy("table", "field").agg(F.sum("count").alias("_total"))
     return _pool(counts, "identifier", k).join(totals, ["table", "field"]).select(

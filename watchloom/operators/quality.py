@@ -128,3 +128,8 @@ def ordered_output(df: DataFrame, seq: str, ts: str, width: int = SERIAL_WIDTH)
     """One row: inversions in serial order and whether there are none."""
     found = time_inversions(df, seq, ts, width)
     return found.select("records", "inversions", (F.col("inversions") == 0).alias("ordered"))
+
+
+def missing_rows(expected: DataFrame, actual: DataFrame) -> DataFrame:
+    """Rows that are expected more often than they are there."""
+    return expected.exceptAll(actual)

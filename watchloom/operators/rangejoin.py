@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from watchloom.operators.ordered import range_ordered
+from watchloom.operators.ordered import carried, range_ordered
 
 
 def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, high: str,
@@ -34,33 +34,48 @@ def range_join(points: DataFrame, intervals: DataFrame, point: str, low: str, hi
     return p.join(i, test, how).select("p.*", *kept).drop("_cell")
 
 
+def step_join(points: DataFrame, steps: DataFrame, point: str, start: str, on: tuple[str, ...] = ()) -> DataFrame:
+    """Each point with the step of the largest ``start`` that is not above it, within equal ``on`` columns.
+
+    Both sides are put in one order and the last step is carried forward, so the work is a sort of points and
+    steps, however steps and points lie. Points before the first step of their group are left out.
+    """
+    kept = [c for c in steps.columns if c not in on]
+    step, row = F.struct(*steps.columns), F.struct(*points.columns)
+    a = steps.select(*on, F.col(start).cast("double").alias("_x"), F.lit(0).alias("_side"), F.xxhash64(F.to_json(step)).alias("_tie"),
+                     step.alias("_step"), F.lit(None).cast(points.select(row.alias("r")).schema["r"].dataType).alias("_row"))
+    b = points.select(*on, F.col(point).cast("double").alias("_x"), F.lit(1).alias("_side"), F.monotonically_increasing_id().alias("_tie"),
+                      F.lit(None).cast(a.schema["_step"].dataType).alias("_step"), row.alias("_row"))
+    both = carried(a.unionByName(b), [*on, "_x", "_side", "_tie"], "_step", "_found").filter("_side = 1")
+    same = F.col("_found").isNotNull()
+    for c in on:
+        same = same & F.col(f"_found.{c}").eqNullSafe(F.col(f"_row.{c}"))
+    return both.filter(same).select("_row.*", *[F.col(f"_found.{c}").alias(c) for c in kept])
+
+
 def cumulative(df: DataFrame, group: list[str], order: list[str], weight: Column) -> DataFrame:
     """Intervals ``[lo, hi)`` of the running share of ``weight`` inside each group.
 
-    Without a group the rows are range-partitioned on ``order`` (which must tell them apart) and
-    each partition adds the total of the earlier ones, so no task holds the whole pool.
+    Rows are range-partitioned on group and order (which must tell them apart); each partition adds the total of
+    the earlier ones of its group, so no task holds a whole pool.
     """
-    weighed = df.withColumn("_w", weight)
-    if group:
-        whole = Window.partitionBy(*group)
-        run = whole.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        summed = weighed.withColumn("_run", F.sum("_w").over(run)).withColumn("_all", F.sum("_w").over(whole))
-        summed = summed.withColumn("_from", F.coalesce(F.lag("_run").over(whole.orderBy(*order)), F.lit(0.0)))
-    else:
-        placed = range_ordered(weighed, order)
-        sizes = placed.groupBy("_pid").agg(F.sum("_w").alias("_n"))
-        before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-        every = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        sizes = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0.0)).alias("_off"),
-                             F.sum("_n").over(every).alias("_all"))
-        inside = Window.partitionBy("_pid").orderBy("_pos")
-        summed = placed.withColumn("_in", F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
-        summed = summed.withColumn("_before", F.coalesce(F.lag("_in").over(inside), F.lit(0.0))).join(
-            F.broadcast(sizes), "_pid").withColumn("_run", F.col("_in") + F.col("_off")).withColumn(
-            "_from", F.col("_before") + F.col("_off")).drop("_pid", "_pos", "_in", "_before", "_off")
+    placed = range_ordered(df.withColumn("_w", weight), [*group, *order])
+    inside = Window.partitionBy("_pid", *group).orderBy("_pos")
+    summed = placed.withColumn("_in", F.sum("_w").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    sizes = summed.groupBy("_pid", *group).agg(F.max_by("_in", "_pos").alias("_n"))
+    by_pid = Window.partitionBy(*group).orderBy("_pid")
+    whole = by_pid.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    sizes = sizes.select(
+        F.col("_pid").alias("_p"), *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)],
+        F.coalesce(F.sum("_n").over(by_pid.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)).alias("_off"),
+        F.sum("_n").over(whole).alias("_all"))
+    same = F.col("_pid") == F.col("_p")
+    for i, g in enumerate(group):
+        same = same & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    summed = summed.withColumn("_before", F.coalesce(F.lag("_in").over(inside), F.lit(0.0))).join(sizes, same)
     # a bound is the same number on both sides of it, so no point falls between two intervals
     return (
-        summed.withColumn("lo", F.col("_from") / F.col("_all"))
-        .withColumn("hi", F.col("_run") / F.col("_all"))
-        .drop("_w", "_run", "_from", "_all")
+        summed.withColumn("lo", (F.col("_before") + F.col("_off")) / F.col("_all"))
+        .withColumn("hi", (F.col("_in") + F.col("_off")) / F.col("_all"))
+        .drop("_w", "_in", "_before", "_off", "_all", "_pid", "_pos", "_p", *[f"_g{i}" for i in range(len(group))])
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from watchloom.catalog import dims
 from watchloom.operators.ordered import (
-    HOT_ROWS, SERIAL_WIDTH, global_rank, last_known, running_max_before, with_previous)
+    SERIAL_WIDTH, global_rank, last_known, running_max_before, with_previous)
 
 
 def time_inversions(df: DataFrame, seq: str, ts: str, width: int = SERIAL_WIDTH) -> DataFrame:
@@ -22,11 +22,10 @@ def time_inversions(df: DataFrame, seq: str, ts: str, width: int = SERIAL_WIDTH)
     ).withColumn("inversion_rate", F.round(F.col("inversions") / F.col("records"), 6))
 
 
-def transitions(df: DataFrame, key: str, state: str, order: tuple[str, ...],
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+def transitions(df: DataFrame, key: str, state: str, order: tuple[str, ...]) -> DataFrame:
     """Observed (state, next state) counts and shares, per entity in time order."""
     narrow = df.select(*dict.fromkeys((key, *order, state)))
-    stepped = with_previous(narrow, key, order, {state: "_from"}, hot_rows)
+    stepped = with_previous(narrow, key, order, {state: "_from"})
     counted = (
         stepped.filter(F.col("_from").isNotNull())
         .groupBy(F.col("_from").alias("state"), F.col(state).alias("next_state"))
@@ -81,17 +80,21 @@ def chain_depth(df: DataFrame, correlation: str, order: tuple[str, ...],
 
 
 def interleave_batches(attack: DataFrame, noise: DataFrame, stages: int, noise_rows: int,
-                       stage: str = "stage_idx", rank: str = "rank") -> DataFrame:
+                       stage: str = "stage_idx", rank: str = "rank", event: str | None = None) -> DataFrame:
     """Attack rows and noise rows in one order: after each stage its contiguous slice of noise.
 
     Slice ``i`` holds the ranks from ``i*N//S`` up to ``(i+1)*N//S``; solved for the slice of a
     rank this is arithmetic, so no join is needed. ``noise`` carries a dense 0-based ``rank``.
+    The order is that of (``stage``, ``is_noise``, ``slot``): ``slot`` is an attack row's ``event`` column (its place
+    in the stage; null without one) and a noise row's place in its slice.
     """
     slice_of = F.floor(((F.col(rank) + 1) * F.lit(stages) - 1) / F.lit(noise_rows)).cast("int")
-    a = attack.withColumn("is_noise", F.lit(False))
+    slot = F.col(event).cast("bigint") if event else F.lit(None).cast("bigint")
+    a = attack.withColumn("is_noise", F.lit(False)).withColumn("slot", slot)
     if noise_rows == 0 or stages == 0:
         return a
-    n = noise.withColumn(stage, slice_of).withColumn("is_noise", F.lit(True))
+    n = noise.withColumn(stage, slice_of).withColumn("is_noise", F.lit(True)).withColumn(
+        "slot", F.col(rank) - F.floor(F.col(stage).cast("bigint") * F.lit(noise_rows) / F.lit(stages)))
     return a.unionByName(n, allowMissingColumns=True)
 
 
@@ -121,6 +124,17 @@ def forward_fill_key(df: DataFrame, seq: str, key: str, width: int = SERIAL_WIDT
     return filled.withColumn(key, F.coalesce("_filled", F.lit(""))).drop("_filled")
 
 
-def time_sorted(df: DataFrame, ts: str, seq: str) -> DataFrame:
-    """Global order by time, ties in order of arrival."""
-    return df.orderBy(ts, seq)
+def time_sorted(df: DataFrame, ts: str, seq: str, name: str = "place") -> DataFrame:
+    """Each row's 0-based place in the order by time, ties in order of arrival.
+
+    The ranges of the order are drawn once; numbering an ``orderBy`` in two passes could draw them twice.
+    """
+    return global_rank(df, [ts, seq], name)
+
+
+def unify(*tables: DataFrame) -> DataFrame:
+    """Tables with different columns as one feed; what a table lacks is null."""
+    out = tables[0]
+    for table in tables[1:]:
+        out = out.unionByName(table, allowMissingColumns=True)
+    return out

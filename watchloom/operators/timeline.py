@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.functions.hashing import hash_fraction
-from watchloom.operators.ordered import HOT_ROWS, with_previous
+from watchloom.operators.ordered import with_previous
 from watchloom.operators.rangejoin import range_join
 from watchloom.operators.settings import TimingProfile, check_window
 
@@ -115,10 +115,10 @@ def activity_profile(df: DataFrame, ts: str, profile: TimingProfile = TimingProf
     return counted.withColumn("expected_pace", F.round(pace * weekend if profile.weekends else pace, 6))
 
 
-def interarrival(df: DataFrame, key: str, ts: str, row_id: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def interarrival(df: DataFrame, key: str, ts: str, row_id: str) -> DataFrame:
     """Mean, deviation and relative deviation of the gaps between an entity's events (seconds)."""
     stamped = df.select(key, row_id, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"))
-    stepped = with_previous(stamped, key, ("_us", row_id), {"_us": "_before"}, hot_rows)
+    stepped = with_previous(stamped, key, ("_us", row_id), {"_us": "_before"})
     gaps = stepped.filter(F.col("_before").isNotNull()).withColumn(
         "_gap", (F.col("_us") - F.col("_before")) / F.lit(1e6))
     return gaps.groupBy(key).agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from watchloom.operators import coverage as C
 from watchloom.operators import detect as D
 from watchloom.operators import quality as Q
+from watchloom.operators import sequence as S
 from watchloom.plans.inputs import EV, events, load, sql_table_of, typed_events
 from watchloom.plans.registry import query
 from watchloom.streaming import jobs
@@ -108,7 +109,7 @@ def unified_feed(spark, sf):
     a = rows.filter("event_type = 'view'").select(
         F.lit("SigninLogs").alias("Type"), "event_id", F.concat(F.lit("u"), "user_id").alias("who"))
     b = rows.filter("event_type = 'purchase'").select(F.lit("OfficeActivity").alias("Type"), "event_id", F.col("value").alias("amount"))
-    return a.unionByName(b, allowMissingColumns=True)
+    return S.unify(a, b)
 
 
 @query("""
@@ -117,7 +118,7 @@ def expected_minus_actual(spark, sf):
     nation = load(spark, sf, "nation")
     rich = load(spark, sf, "customer").filter("c_acctbal > 9950")
     actual = nation.join(rich, nation.n_nationkey == rich.c_nationkey, "left_semi").select(F.col("n_name").alias("name"))
-    return nation.select(F.col("n_name").alias("name")).exceptAll(actual)
+    return Q.missing_rows(nation.select(F.col("n_name").alias("name")), actual)
 
 
 @query(f"""

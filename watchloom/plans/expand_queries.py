@@ -15,7 +15,7 @@ from watchloom.operators.ordered import serial_rank
 from watchloom.operators.settings import Settings
 from watchloom.plans.inputs import EV, events, load
 from watchloom.plans.registry import query, sql_fraction, sql_hash, sql_uuid
-from watchloom.session import spread
+from watchloom.session import dealt
 
 RUN = Settings(run_id="run-1")
 
@@ -41,7 +41,7 @@ def _templates(spark, sf):
         F.lit("port"), F.lit("{{RANDOM_PORT}}"), F.lit("city"), F.lit("in {{RANDOM_CITY}}, {{RANDOM_LOCATION}}"),
         F.lit("mail"), F.lit("<{{RANDOM_EMAIL}}>"), F.lit("id"), F.lit("{{RANDOM_GUID}}"),
         F.lit("host"), F.lit("{{RANDOM_SERVER}}"), F.lit("plain"), F.concat(F.lit("v"), F.col("user_id")))
-    return spread(load(spark, sf, "events")).select(F.col("event_id").alias("row_id"), raw.alias("raw"))
+    return dealt(load(spark, sf, "events")).select(F.col("event_id").alias("row_id"), raw.alias("raw"))
 
 
 def _key(field: str, name: str) -> str:
@@ -72,7 +72,7 @@ _PKEY = "'run-1|' || (event_id % 50) || '|persona'"
 
 @query(f"""
 SELECT event_id AS row_id, {_pick(_USERS, _PKEY)} || ' on ' || {_pick([p[3] for p in dims.PERSONAS], _PKEY)} AS who,
-  {_pick([str('a' in p[4]).lower() for p in dims.PERSONAS], _PKEY)} AS admin,
+  {_pick([str(p[4]).lower() for p in dims.PERSONAS], _PKEY)} AS admin,
   {sql_uuid("'run-1|' || (event_id % 50) || '|session'")} AS session,
   '91.228.' || ({sql_hash("'run-1|' || (event_id % 50) || '|c'")} % 254 + 1) || '.' || ({sql_hash("'run-1|' || (event_id % 50) || '|d'")} % 254 + 1) AS cnc FROM events""")
 def bound_identities(spark, sf):
@@ -86,7 +86,18 @@ def bound_identities(spark, sf):
     return bound.select("row_id", *[F.col("raw")[f].alias(f) for f in ("who", "admin", "session", "cnc")])
 
 
-@query()
+_URL_KEY = "'run-1|' || event_id || '|url|RANDOM_URL'"
+
+
+@query(f"""
+WITH p AS (SELECT url AS value, count(*) AS n FROM pages WHERE url <> '' GROUP BY 1),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS rank FROM p) WHERE rank <= 200),
+w AS (SELECT value, rank, CASE WHEN round(n::DOUBLE / sum(n) OVER (), 4) = 0 THEN 1.0::DOUBLE ELSE round(n::DOUBLE / sum(n) OVER (), 4) END AS w FROM r),
+b AS (SELECT value, rank, sum(w / total) OVER (ORDER BY rank) AS top FROM w, (SELECT sum(w) AS total FROM w)),
+c AS (SELECT value, rank, coalesce(lag(top) OVER (ORDER BY rank), 0.0::DOUBLE) AS low FROM b),
+d AS (SELECT event_id, {sql_fraction(_URL_KEY + " || '|corpus'")} AS u, {_pick(dims.URLS, _URL_KEY)} AS fixed FROM events)
+SELECT event_id AS row_id, CASE WHEN starts_with(value, 'http://') OR starts_with(value, 'https://') THEN trim(regexp_replace(value, '\\s+', ' ', 'g')) ELSE fixed END AS url
+FROM d ASOF JOIN c ON d.u >= c.low""")
 def corpus_backed_urls(spark, sf):
     """Page addresses as a profile: draws come from the pool of the first candidate field."""
     long = load(spark, sf, "pages").select(
@@ -160,7 +171,7 @@ def blended_population(spark, sf):
         "event_id", (F.col("event_id") % 23).cast("int").alias("stage_idx"), (F.col("event_type") == "error").alias("is_malicious"))
     size = C.malicious_stage_size(attack, ["stage_idx"]).first()["events"]
     wanted = G.noise_count(0.3, size)
-    noise = serial_rank(rows.filter("event_type NOT IN ('error', 'view')"), "event_id", "rank", 1000).filter(F.col("rank") < wanted)
+    noise = serial_rank(rows.filter("event_type NOT IN ('error', 'view')"), "event_id", "rank").filter(F.col("rank") < wanted)
     total = noise.count()
     out = S.interleave_batches(attack.drop("is_malicious"), noise.select("event_id", "rank"), 23, total)
     return out.groupBy("stage_idx", "is_noise").agg(
@@ -197,7 +208,7 @@ f AS (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)"""
 
 
 def follow(spark, sf):
-    ev = spread(events(spark, sf))
+    ev = dealt(events(spark, sf))
     state = F.element_at(F.array(*map(F.lit, ("SigninLogs", "DeviceProcessEvents", "CommonSecurityLog", "AzureActivity", "DnsEvents"))), F.expr("k % 5 + 1"))
     return G.follow_ups(ev.select(
         F.concat(F.lit("e"), "event_id").alias("event_id"), state.alias("event_type"), F.lit(0).alias("depth"),

@@ -183,7 +183,7 @@ def json_lines(spark, sf):
 
 def linux_rows(spark, sf):
     """Events as Linux records of four classes, with the serial each keeps over its lines."""
-    ev = serial_rank(events(spark, sf), "event_id", "rank", 1000)
+    ev = serial_rank(events(spark, sf), "event_id", "rank")
     kind = F.expr("CASE event_type WHEN 'click' THEN 'linux_process' WHEN 'view' THEN 'linux_auth' WHEN 'error' THEN 'linux_sudo' WHEN 'signup' THEN 'linux_cron' ELSE 'linux_audit' END")
     raw = F.create_map(
         F.lit("event_type"), kind, F.lit("source"), F.lit("linux"), F.lit("timestamp"), F.col("ts").cast("string"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from watchloom.functions.severity import cef_severity, syslog_priority
 from watchloom.operators import normalize as N
-from watchloom.operators.feeds import feed_lines
+from watchloom.operators.feeds import export_run  # noqa: F401 - part of the run
 from watchloom.operators.ordered import SERIAL_WIDTH, running_max_before
 from watchloom.operators.settings import Settings
 from watchloom.plans.inputs import EV, raw_events
@@ -41,15 +41,6 @@ def normalise_run(raw: DataFrame, models: Sequence[str], settings: Settings = Se
     return tables, refused
 
 
-def export_run(tables: dict[str, DataFrame], settings: Settings = Settings()) -> DataFrame:
-    """All feeds of all classes as one set of lines; persist it before writing several sinks."""
-    out = None
-    for name, table in tables.items():
-        lines = feed_lines(table, name, settings)
-        out = lines if out is None else out.unionByName(lines)
-    return out
-
-
 _NOT_OK = "(model = 'process' AND ((k % 5 <> 0 AND k % 10 = 1) OR k % 7 = 0)) OR (model = 'signin' AND k % 3 = 0 AND k % 11 = 0) OR model = 'alert'"
 _PRIORITY = {0: 10, 1: 11, 2: 12, 3: 13, 4: 14}
 _CEF = {0: 10, 1: 8, 2: 5, 3: 3, 4: 1}

@@ -10,7 +10,7 @@ from watchloom.operators.feeds import fit_slots
 from watchloom.operators.lookup import add_topology
 from watchloom.plans.inputs import EV, events, load
 from watchloom.plans.registry import query, sql_case, sql_in
-from watchloom.session import spread
+from watchloom.session import dealt
 
 WORDS = ("critical", "HIGH", " medium ", "low", "informational", "emerg", "alert", "crit", "err",
          "warning", "notice", "info", "debug", "weird")
@@ -121,7 +121,7 @@ SQL_WORDS = r"(SELECT doc_id, lang, source, unnest(string_split_regex(text, '[ \
 
 def words(spark, sf):
     """Every word of every document, as the values of a field."""
-    return spread(load(spark, sf, "documents")).select(
+    return dealt(load(spark, sf, "documents")).select(
         "doc_id", "lang", "source", F.explode(F.split("text", r"[ \t\n\r]+")).alias("t")).filter("t <> ''")
 
 
@@ -156,11 +156,15 @@ def valid_urls(spark, sf):
     return load(spark, sf, "pages").select("page_id", network.url_valid(url).alias("ok"))
 
 
-@query("""
-SELECT conv_id, turn, regexp_matches(lower(text), 'tion') AS failed FROM conversations""")
+_LOGIN = "CASE turn % 4 WHEN 0 THEN 'Failed password: ' WHEN 1 THEN 'INVALID user: ' WHEN 2 THEN 'Accepted password: ' ELSE '' END"
+
+
+@query(f"""
+SELECT conv_id, turn, regexp_matches(lower({_LOGIN} || text), 'fail|invalid') AS failed FROM conversations""")
 def failed_logins(spark, sf):
-    """The word test of the login records, with a word these texts have."""
-    return load(spark, sf, "conversations").select("conv_id", "turn", F.lower("text").rlike("tion").alias("failed"))
+    """Turns of conversations as login messages."""
+    message = F.expr(f"concat({_LOGIN}, text)")
+    return load(spark, sf, "conversations").select("conv_id", "turn", classify.linux_auth_failed(message).alias("failed"))
 
 
 @query(f"""

@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.session import spread
+from watchloom.session import dealt
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        raise ValueError("the given tables hold UTC stamps: set spark.sql.session.timeZone to UTC")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
@@ -105,7 +106,7 @@ def _record() -> str:
 
 def raw_events(spark: SparkSession, sf: str) -> DataFrame:
     """``row_id, raw`` records of the event log (and the event they come from)."""
-    ev = spread(events(spark, sf))
+    ev = dealt(events(spark, sf))
     kind_type = F.expr("CASE event_type " + " ".join(f"WHEN '{k}' THEN '{t}'" for k, (t, _) in KINDS.items()) + " END")
     kind_source = F.expr("CASE event_type " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, (_, s) in KINDS.items()) + " END")
     return ev.withColumn("kind_type", kind_type).withColumn("kind_source", kind_source).select(

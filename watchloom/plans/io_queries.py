@@ -16,7 +16,7 @@ from watchloom.operators import profiling as P
 from watchloom.operators.sequence import time_inversions
 from watchloom.plans.function_queries import SQL_CLASS, SQL_WORDS, words
 from watchloom.plans.inputs import EV, load, raw_events, sql_table_of
-from watchloom.plans.normalize_queries import RUN, routed_once
+from watchloom.plans.normalize_queries import RUN, SQL_MODEL, routed_once
 from watchloom.plans.registry import query
 from watchloom.session import checkpoint_dir
 from watchloom.sources import readers, sinks
@@ -149,7 +149,7 @@ def streamed_hourly_rate(spark, sf):
     run = rate.writeStream.outputMode("complete").foreachBatch(
         lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out")
     ).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    jobs.run_to_completion(run, 300)
+    jobs.run_to_completion(run)
     return spark.read.parquet(f"{path}/out").select(F.unix_micros("window_start").alias("from_us"), "table", "events")
 
 
@@ -161,7 +161,7 @@ def streamed_dedup(spark, sf):
     once = jobs.stream_dedup(both.unionByName(_event_stream(spark, sf).select("event_id", "ts")), "event_id", "ts")
     run = once.writeStream.format("parquet").option("path", f"{path}/out").option(
         "checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    jobs.run_to_completion(run, 300)
+    jobs.run_to_completion(run)
     return spark.read.parquet(f"{path}/out").select("event_id")
 
 
@@ -172,11 +172,16 @@ def streamed_signins(spark, sf):
     """Raw JSON lines normalised on the stream."""
     path = scratch(spark)
     raw_events(spark, sf).select(F.to_json("raw", {"ignoreNullFields": "false"}).alias("value")).write.text(f"{path}/in")
-    good, _ = jobs.stream_normalise(jobs.read_jsonl_stream(spark, f"{path}/in"), "signin", RUN)
-    run = good.select("result_type").writeStream.format("parquet").option("path", f"{path}/out").option(
-        "checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    jobs.run_to_completion(run, 300)
-    return spark.read.parquet(f"{path}/out").groupBy("result_type").agg(F.count("*").alias("n"))
+
+    def accepted(name, rows, i):
+        rows.select("result_type").write.mode("overwrite").parquet(f"{path}/out/{name}/batch={i}")
+
+    def quarantine(rows, i):
+        rows.write.mode("overwrite").parquet(f"{path}/refused/batch={i}")
+
+    jobs.run_to_completion(jobs.stream_normalise(
+        jobs.read_jsonl_stream(spark, f"{path}/in", 2), ["signin"], accepted, quarantine, f"{path}/state", RUN))
+    return spark.read.parquet(f"{path}/out/signin").groupBy("result_type").agg(F.count("*").alias("n"))
 
 
 @query(f"""
@@ -195,9 +200,9 @@ def streamed_fan_out(spark, sf):
     def broken(batch, i):
         raise RuntimeError("sink down")
 
-    run = jobs.stream_fanout(jobs.read_jsonl_stream(spark, f"{path}/in"), ["firewall", "signin"],
-                             {"broken": broken, "keep": keep}, f"{path}/state", RUN)
-    jobs.run_to_completion(run, 300)
+    run = jobs.stream_fanout(jobs.read_jsonl_stream(spark, f"{path}/in", 2), ["firewall", "signin"], {"broken": broken, "keep": keep},
+                             f"{path}/state", lambda rows, i: rows.write.mode("overwrite").parquet(f"{path}/refused/batch={i}"), RUN)
+    jobs.run_to_completion(run)
     return spark.read.parquet(f"{path}/out").groupBy("feed").agg(F.count("*").alias("lines"))
 
 
@@ -207,5 +212,31 @@ def streamed_profile(spark, sf):
     path = scratch(spark)
     long = _event_stream(spark, sf).select(
         F.col("event_type").alias("table"), F.lit("props").alias("path"), F.col("props").alias("value"), F.lit("str").alias("type"))
-    jobs.run_to_completion(jobs.stream_profile(long, f"{path}/out", f"{path}/state"), 300)
-    return spark.read.parquet(f"{path}/out").filter("version = 0").groupBy("table").agg(F.sum("count").alias("n"))
+    jobs.run_to_completion(jobs.stream_profile(long, f"{path}/out", f"{path}/state"))
+    return sinks.stored_profile(spark, f"{path}/out").groupBy("table").agg(F.sum("count").alias("n"))
+
+
+@query(f"""
+WITH {EV}, m AS (SELECT *, {SQL_MODEL} AS model FROM ev), d AS (
+  SELECT event_id, CASE WHEN event_id % 40 = 5 THEN 'unparsed' WHEN model NOT IN ('signin', 'firewall') THEN 'class ' || model
+    WHEN model = 'signin' AND k % 3 = 0 AND k % 11 = 0 THEN 'null:UserPrincipalName' ELSE 'accepted ' || model END AS fate FROM m)
+SELECT fate, count(*) * 2 AS lines, count(*) * 2 AS ids FROM d GROUP BY 1""")
+def streamed_accounts(spark, sf):
+    """Where every line of a stream of several batches went. Each record is there twice, as equal lines, and some lines do not
+    parse: all are accepted or quarantined, and no two share an id."""
+    path = scratch(spark)
+    line = F.when(F.col("row_id") % 40 == 5, F.lit("{oops")).otherwise(F.to_json("raw", {"ignoreNullFields": "false"}))
+    once = raw_events(spark, sf).select(line.alias("value"))
+    once.select(F.explode(F.array("value", "value")).alias("value")).write.text(f"{path}/in")
+
+    def accepted(name, rows, i):
+        rows.select("row_id", F.lit(f"accepted {name}").alias("fate")).write.mode("overwrite").parquet(f"{path}/out/batch={i}/model={name}")
+
+    def quarantine(rows, i):
+        why = F.when(F.col("reasons")[0] == "class", F.concat(F.lit("class "), "model")).otherwise(F.array_join("reasons", ","))
+        rows.select("row_id", why.alias("fate")).write.mode("overwrite").parquet(f"{path}/refused/batch={i}")
+
+    jobs.run_to_completion(jobs.stream_normalise(
+        jobs.read_jsonl_stream(spark, f"{path}/in", 3), ["signin", "firewall"], accepted, quarantine, f"{path}/state", RUN))
+    rows = spark.read.parquet(f"{path}/out").select("row_id", "fate").unionByName(spark.read.parquet(f"{path}/refused").select("row_id", "fate"))
+    return rows.groupBy("fate").agg(F.count("*").alias("lines"), F.count_distinct("row_id").alias("ids"))

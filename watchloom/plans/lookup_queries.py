@@ -13,7 +13,7 @@ from watchloom.plans.registry import query, sql_case, sql_fraction
 _PROVIDERS = ("Microsoft-Windows-Sysmon", "Microsoft-Windows-Bits-Client",
               "Microsoft-Windows-RemoteDesktopServices-RdpCoreTS", "Odd  Provider!", None)
 _PAIRS = ", ".join(
-    f"('{p}', {e}, '{t}')" for (p, t), ids in dims.WINEVENT_TABLES.items() for e in ids)
+    f"('{p}', {e}, '{t}')" for p, e, t in dims.WINEVENT_ROUTES)
 
 
 def _provider():

@@ -31,7 +31,7 @@ def sql_hash(key: str) -> str:
 
 
 def sql_fraction(key: str) -> str:
-    return f"({sql_hash(key)} / 4294967296.0::DOUBLE)"
+    return f"(('0x' || substr(md5({key}), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
 
 
 def sql_uuid(key: str) -> str:

@@ -15,9 +15,6 @@ from watchloom.operators.settings import TimingProfile
 from watchloom.plans.inputs import EV, events, load, sql_table_of, typed_events
 from watchloom.plans.registry import query
 
-#: serial ranges small enough that the given tables span several
-WIDTH = 1000
-
 #: arrival order by id with a stamp that steps back now and then
 _SQL_ARRIVALS = """SELECT event_id AS seq, epoch_us(ts) - CASE WHEN event_id % 9 = 4 THEN 660000000 ELSE 0 END AS us FROM events"""
 
@@ -37,7 +34,7 @@ SELECT count(*) AS records, count(*) FILTER (us < seen) AS inversions,
   coalesce(max(seen - us) FILTER (us < seen), 0) AS max_back_us,
   round(count(*) FILTER (us < seen)::DOUBLE / count(*), 6) AS inversion_rate FROM m""")
 def time_inversions(spark, sf):
-    return S.time_inversions(arrivals(spark, sf), "seq", "ts", WIDTH)
+    return S.time_inversions(arrivals(spark, sf), "seq", "ts")
 
 
 @query(_SQL_SEEN + """
@@ -47,8 +44,8 @@ def ordered_output(spark, sf):
     """Before and after sorting: the sorted feed must have no inversion."""
     rows = arrivals(spark, sf)
     placed = S.arrival_seq(rows, "ts", "seq", "serial")
-    raw = Q.ordered_output(rows, "seq", "ts", WIDTH).withColumn("feed", F.lit("raw"))
-    done = Q.ordered_output(placed.select("serial", "ts"), "serial", "ts", WIDTH).withColumn("feed", F.lit("sorted"))
+    raw = Q.ordered_output(rows, "seq", "ts").withColumn("feed", F.lit("raw"))
+    done = Q.ordered_output(placed.select("serial", "ts"), "serial", "ts").withColumn("feed", F.lit("sorted"))
     return raw.unionByName(done)
 
 
@@ -58,8 +55,8 @@ o AS (SELECT state, next_state, count(*) AS n FROM t WHERE next_state IS NOT NUL
 p AS (SELECT *, round(n::DOUBLE / sum(n) OVER (PARTITION BY state), 6) AS prob FROM o)"""
 
 
-def observed(spark, sf, **kw):
-    return S.transitions(typed_events(spark, sf), "user_id", "table", ("ts", "event_id"), **kw)
+def observed(spark, sf):
+    return S.transitions(typed_events(spark, sf), "user_id", "table", ("ts", "event_id"))
 
 
 @query(_SQL_STEPS + "SELECT * FROM p")
@@ -69,8 +66,11 @@ def transitions(spark, sf):
 
 @query(_SQL_STEPS + "SELECT * FROM p")
 def transitions_split_hot_keys(spark, sf):
-    """The same with every entity of more than five events treated as a hot key."""
-    return observed(spark, sf, hot_rows=5)
+    """The same over many more ranges than cores, so that most entities lie across a seam."""
+    from watchloom.operators.ordered import range_ordered
+
+    rows = typed_events(spark, sf).select("user_id", "table", "ts", "event_id")
+    return S.transitions(range_ordered(rows, ["event_id"], 64).drop("_pid", "_pos"), "user_id", "table", ("ts", "event_id"))
 
 
 _DECLARED = ", ".join(f"('{s}', '{n}', {w}::DOUBLE)" for s, m in dims.TRANSITIONS.items() for n, w in m.items())
@@ -111,7 +111,7 @@ UNION ALL SELECT event_id, CAST(event_id % 23 AS INT), false FROM events WHERE e
 def interleaved_batches(spark, sf):
     rows = load(spark, sf, "events").select("event_id", "event_type")
     attack = rows.filter("event_type = 'error'").select("event_id", (F.col("event_id") % 23).cast("int").alias("stage_idx"))
-    noise = serial_rank(rows.filter("event_type <> 'error'"), "event_id", "rank", WIDTH).drop("event_type")
+    noise = serial_rank(rows.filter("event_type <> 'error'"), "event_id", "rank").drop("event_type")
     total = rows.filter("event_type <> 'error'").count()
     return S.interleave_batches(attack, noise, 23, total).select("event_id", "stage_idx", "is_noise")
 
@@ -143,7 +143,7 @@ SELECT event_id, coalesce(last_value(key IGNORE NULLS) OVER (ORDER BY event_id R
 def forward_filled_keys(spark, sf):
     key = F.expr("CASE WHEN k % 4 > 0 AND event_id > 2 THEN concat(event_type, k) END")
     rows = events(spark, sf).select("event_id", key.alias("key"))
-    return S.forward_fill_key(rows, "event_id", "key", WIDTH)
+    return S.forward_fill_key(rows, "event_id", "key")
 
 
 @query("""
@@ -152,8 +152,7 @@ SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS place FROM (
 def time_sorted_feed(spark, sf):
     """Stable sort by the hour: the place of each row in the sorted output."""
     rows = load(spark, sf, "events").select("event_id", F.date_trunc("hour", "ts").alias("ts"))
-    ordered = S.time_sorted(rows, "ts", "event_id")
-    return serial_rank(ordered.withColumn("seq", F.monotonically_increasing_id()), "seq", "place").select("event_id", "place")
+    return S.time_sorted(rows, "ts", "event_id").select("event_id", "place")
 
 
 # --- calendars and the virtual timeline ---------------------------------------------------
@@ -194,7 +193,7 @@ SELECT o_orderkey, first_us + (r - rank_from) * step AS us
 FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) LEFT JOIN spans ON r >= rank_from AND r < rank_to""")
 def virtual_timeline(spark, sf):
     """Orders play the events to be placed on three days with nights and a weekend."""
-    ranked = serial_rank(load(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "rank", WIDTH)
+    ranked = serial_rank(load(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "rank")
     out = T.assign_timestamps(ranked, START, END, FAST)
     return out.select("o_orderkey", F.unix_micros("ts").alias("us"))
 
@@ -205,7 +204,7 @@ FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS r FROM orders) LEFT
 def virtual_timeline_overflow(spark, sf):
     """A slow pace: the window fills up and later rows stay without a stamp."""
     slow = TimingProfile(avg_delay_seconds=7.0, weekends=True)
-    ranked = serial_rank(load(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "rank", WIDTH)
+    ranked = serial_rank(load(spark, sf, "orders").select("o_orderkey"), "o_orderkey", "rank")
     out = T.assign_timestamps(ranked, START, END, slow)
     return out.agg(F.count("*").alias("records"), F.count("ts").alias("placed"),
                    F.max(F.unix_micros("ts")).alias("last_us"))

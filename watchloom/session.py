@@ -25,15 +25,13 @@ def get_session(app: str = "watchloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def spread(df: DataFrame, bytes_per_core: int = 64 << 20) -> DataFrame:
-    """Deal a small input out over all cores before costly per-row work.
+def dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt out evenly over the shuffle partitions.
 
-    A small file is one split whatever the number of cores. Inputs that fill the cores anyway keep
-    their splits and are not shuffled.
+    For narrow rows before costly per-row work, whose files may hold few or uneven splits. It always shuffles;
+    inputs that are well split already should be taken as they are.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if size < cores * bytes_per_core else df
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

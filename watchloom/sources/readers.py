@@ -45,19 +45,24 @@ def read_scenarios(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame
 
 
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Text lines with their file and 1-based line number, blank lines included.
+    """Text lines with their file, 1-based line number and ``seq``, the 0-based place over all files; blank lines included.
 
-    Numbers come from the row's place in its input split plus the lines of the earlier splits of
-    the file: one summary row per split, no window over the lines.
+    Files follow the order of their paths. Spark reads splits in an order of its own (large files first), so both
+    numbers come from the row's place in its input split plus the lines of the earlier splits: one summary row
+    per split, no window over the lines.
     """
     lines = spark.read.text(path).select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("seq"))
-    splits = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("seq").alias("_first"))
-    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    splits = splits.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+        F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    splits = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    before = lambda window: F.coalesce(
+        F.sum("_n").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = splits.select(
+        "file", "_block", "_first", before(Window.orderBy("file", "_block")).alias("_all"),
+        before(Window.partitionBy("file").orderBy("_block")).alias("_own"))
+    place = F.col("_at") - F.col("_first")
     return lines.join(splits, ["file", "_block"]).select(
-        "line", "file", "seq", (F.col("_before") + F.col("seq") - F.col("_first") + 1).alias("line_no"))
+        "line", "file", (F.col("_all") + place).alias("seq"), (F.col("_own") + place + 1).alias("line_no"))
 
 
 def read_jsonl(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -88,8 +93,8 @@ def read_json_array(spark: SparkSession, path: str | Sequence[str]) -> DataFrame
 
 
 def read_csv_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Header row, every value as text."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=False)
+    """Header row, every value as text; quoted values may hold line breaks, empty text stays empty."""
+    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, nullValue="\u0000", emptyValue="", escape='"')
 
 
 def read_winevent_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -103,9 +108,9 @@ def read_winevent_json(spark: SparkSession, path: str | Sequence[str]) -> DataFr
 
 
 def read_profile(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(profile rows, source tallies) of every profile document; unreadable files are skipped and
-    a document without a table takes its file's name."""
-    docs = spark.read.text(path, wholetext=True, pathGlobFilter="*.json").select(
+    """(profile rows, source tallies) of every profile document, also of those that ``write_profile_documents`` wrote;
+    unreadable files are skipped and a document without a table takes its file's name."""
+    docs = spark.read.text(path, wholetext=True, pathGlobFilter="{*.json,part-*}").select(
         _file_stem().alias("stem"), F.from_json("value", PROFILE).alias("p")
     ).filter(F.col("p.fields").isNotNull())
     docs = docs.select(F.coalesce("p.table", "stem").alias("table"), "p")

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from watchloom.operators.ordered import last_known
-from watchloom.operators.profiling import merge_profiles
+from watchloom.operators.profiling import merge_profiles, profile_fields, settle_kinds, shape_pool, value_pool
+from watchloom.session import materialise
 
 log = logging.getLogger(__name__)
 
@@ -28,11 +29,12 @@ def write_unified(lines: DataFrame, path: str, max_records: int | None = None, m
 
 
 def write_feed(lines: DataFrame, path: str, max_records: int | None = None, mode: str = "append") -> None:
-    """Line feeds from rows ``feed, line``. Lines that would break in two are refused."""
-    checked = lines.withColumn("value", F.when(F.col("line").rlike("[\r\n]"), F.raise_error(
-        F.concat(F.lit("a line of feed "), F.col("feed"), F.lit(" holds a line break")))
-    ).otherwise(F.col("line")))
-    _bounded(checked.select("feed", "value"), max_records).mode(mode).partitionBy("feed").text(path)
+    """Line feeds from rows ``feed, line``. A line with a line break in it would become two records: it goes to the
+    feed ``unwritable`` beside the others, as a JSON text with its feed, and the rest is written."""
+    broken = F.col("line").rlike("[\r\n]")
+    named = F.when(broken, F.lit("unwritable")).otherwise(F.col("feed"))
+    value = F.when(broken, F.to_json(F.struct("feed", "line"))).otherwise(F.col("line"))
+    _bounded(lines.select(named.alias("feed"), value.alias("value")), max_records).mode(mode).partitionBy("feed").text(path)
 
 
 def write_vendor_feeds(lines: DataFrame, path: str, max_records: int | None = None, mode: str = "append") -> None:
@@ -45,6 +47,20 @@ def _bounded(df: DataFrame, max_records: int | None):
     return df.write.option("maxRecordsPerFile", max_records) if max_records else df.write
 
 
+def bounded_files(lines: DataFrame, path: str, max_bytes: int, mode: str = "append") -> None:
+    """Text files of at most about ``max_bytes`` each (a longer line is a file of its own).
+
+    Rows of each written partition are cut by their running size, and a cut is a folder ``part=...``.
+    """
+    size = F.octet_length("line") + 1
+    placed = lines.select("line").withColumn("_pid", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    placed = materialise(placed)
+    before = Window.partitionBy("_pid").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    cut = F.floor(F.coalesce(F.sum(size).over(before), F.lit(0)) / max_bytes).cast("bigint")
+    rows = placed.withColumn("part", F.concat_ws("-", "_pid", cut)).repartition("part").sortWithinPartitions("part", "_at")
+    rows.select(F.col("line").alias("value"), "part").write.mode(mode).partitionBy("part").text(path)
+
+
 def retained_files(spark: SparkSession, path: str, keep: int, glob: str = "*") -> DataFrame:
     """Files per folder, newest first, and whether retention keeps them."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option(
@@ -55,6 +71,19 @@ def retained_files(spark: SparkSession, path: str, keep: int, glob: str = "*") -
         "keep", F.col("age_rank") <= keep)
 
 
+def apply_retention(spark: SparkSession, path: str, keep: int, glob: str = "*") -> int:
+    """Remove the files that retention does not keep, through Hadoop's file system; gives their number.
+
+    File names are a listing, small next to what the files hold.
+    """
+    old = [r["path"] for r in retained_files(spark, path, keep, glob).filter("NOT keep").select("path").collect()]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in old:
+        target = jvm.org.apache.hadoop.fs.Path(name)
+        target.getFileSystem(conf).delete(target, False)
+    return len(old)
+
+
 def sort_lines(lines: DataFrame, key_field: str = "TimeGenerated", line: str = "line", seq: str = "seq") -> DataFrame:
     """JSON lines with their sort key: the record's time, for a line without one that of the line
     before it. Blank lines are left out; order is by (key, arrival)."""
@@ -97,14 +126,43 @@ def ingestible_files(paths: DataFrame, path: str = "path") -> DataFrame:
 
 
 def write_profile(counts: DataFrame, path: str, version: int) -> DataFrame:
-    """Merge counts into the stored profile and write the next version beside the last one."""
-    spark = counts.sparkSession
-    merged = counts
-    if version > 0:
-        merged = merge_profiles(spark.read.parquet(f"{path}/version={version - 1}"), counts)
-    target = f"{path}/version={version}"
-    merged.write.mode("overwrite").partitionBy("table").parquet(target)
-    return spark.read.parquet(target)
+    """Add counts to the stored profile under a version of their own and give all that is stored, merged.
+
+    Only the new counts are written; a version that is written again replaces itself. Counts are settled first,
+    so a field that holds an identity keeps shapes only, in the store too.
+    """
+    settle_kinds(counts).write.mode("overwrite").parquet(f"{path}/version={version}")
+    return stored_profile(counts.sparkSession, path)
+
+
+def stored_profile(spark: SparkSession, path: str) -> DataFrame:
+    """All versions of a stored profile, merged and settled."""
+    return settle_kinds(merge_profiles(spark.read.parquet(path).drop("version")))
+
+
+def compact_profile(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """The stored versions merged into version 0 of another folder."""
+    return write_profile(stored_profile(spark, path), target, 0)
+
+
+def write_profile_documents(counts: DataFrame, tallies: DataFrame, path: str, mined_at: str) -> None:
+    """One JSON document per table, as ``read_profile`` reads them: pools of its fields, records and sources.
+
+    ``counts`` as stored; ``tallies``: ``table, source, records``. A document holds pools of bounded size.
+    """
+    values = value_pool(counts).select("table", "field", "rank", F.struct("value", "count", "weight").alias("v"))
+    shapes = shape_pool(counts).select("table", "field", "rank", F.struct("shape", "count", "weight").alias("s"))
+    ordered = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("rank", c))), lambda x: x[c])
+    fields = profile_fields(counts).select("table", "field", "kind", "n").join(
+        values.groupBy("table", "field").agg(ordered("v").alias("values")), ["table", "field"], "left").join(
+        shapes.groupBy("table", "field").agg(ordered("s").alias("shapes")), ["table", "field"], "left")
+    whole = fields.groupBy("table").agg(F.map_from_entries(F.sort_array(F.collect_list(
+        F.struct("field", F.struct("kind", "n", "values", "shapes"))))).alias("fields"))
+    sources = tallies.groupBy("table").agg(
+        F.sum("records").alias("record_count"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "records")))).alias("sources"))
+    document = F.to_json(F.struct("table", "record_count", "sources", F.lit(mined_at).alias("mined_at"), "fields"))
+    lines = whole.join(sources, "table", "left").select("table", document.alias("value"))
+    lines.repartition("table").write.mode("overwrite").partitionBy("table").text(path)
 
 
 def fan_out(batch: DataFrame, batch_id: int, sinks: Mapping[str, Callable[[DataFrame, int], None]]) -> dict[str, str]:

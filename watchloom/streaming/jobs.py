@@ -6,46 +6,92 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from watchloom.operators.feeds import feed_lines
+from watchloom.operators.feeds import export_run
 from watchloom.operators.normalize import flatten_data, normalize, route_event_type, table_name
-from watchloom.operators.profiling import field_counts
+from watchloom.operators.profiling import field_counts, settle_kinds
 from watchloom.operators.settings import Settings
-from watchloom.sources.sinks import fan_out, write_profile
+from watchloom.sources.sinks import fan_out
 
 #: writers are up to about eleven minutes out of order
 LATENESS = "15 minutes"
+#: audit serials that a batch may use
+BATCH_SERIALS = 1 << 32
 
 
 def read_jsonl_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFrame:
-    """Raw records from JSON-lines files; ``max_files`` per batch takes the place of a queue bound."""
+    """Lines of JSON-lines files with their place: ``file, block, line, raw``; ``raw`` is null where a line is no object.
+
+    ``max_files`` per batch takes the place of a queue bound. Blank lines are left out.
+    """
     lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(path)
-    parsed = lines.select(F.from_json("value", "map<string,string>").alias("raw"), "value")
-    return parsed.filter(F.col("raw").isNotNull()).select(F.xxhash64("value").alias("row_id"), "raw")
+    parsed = lines.select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.col("value").alias("line"), F.from_json("value", "map<string,string>").alias("raw")).filter(F.trim("line") != "")
+    is_object = F.col("line").rlike(r"^\s*\{") & F.expr("try_parse_json(line) IS NOT NULL")
+    return parsed.withColumn("raw", F.when(F.coalesce(is_object, F.lit(False)), F.col("raw")))
+
+
+def numbered(batch: DataFrame) -> DataFrame:
+    """A batch of read lines with ``row_id``: file, block and place in the batch.
+
+    Equal lines keep ids of their own, and a replayed batch, which reads the same files, gives the same ids.
+    """
+    return batch.withColumn("row_id", F.concat_ws("#", "file", "block", F.monotonically_increasing_id()))
+
+
+def normalised_batch(batch: DataFrame, models: Sequence[str], settings: Settings = Settings()) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(accepted rows of each class, everything else) of a numbered batch.
+
+    The second part, ``row_id, model, line, reasons``, has lines that do not parse, records of classes that were not
+    asked for, and records their class does not accept: each row of the batch is in exactly one place.
+    """
+    routed = route_event_type(flatten_data(batch.filter(F.col("raw").isNotNull())))
+    unread = batch.filter(F.col("raw").isNull()).select(
+        "row_id", F.lit(None).cast("string").alias("model"), "line", F.array(F.lit("unparsed")).alias("reasons"))
+    other = routed.filter(~F.col("model").isin(*models)).select("row_id", "model", "line", F.array(F.lit("class")).alias("reasons"))
+    tables, refused = {}, unread.unionByName(other)
+    for name in models:
+        tables[name], bad = normalize(routed, name, settings, keep=("row_id", "line"))
+        refused = refused.unionByName(bad.select("row_id", "model", "line", "reasons"))
+    return {name: table.drop("line") for name, table in tables.items()}, refused
+
+
+def stream_normalise(raw: DataFrame, models: Sequence[str], accepted: Callable[[str, DataFrame, int], None],
+                     quarantine: Callable[[DataFrame, int], None], checkpoint: str, settings: Settings = Settings()) -> StreamingQuery:
+    """Every batch to typed tables: ``accepted(name, rows, batch id)`` and ``quarantine(rows, batch id)``, until the input
+    is drained. Both should overwrite what they wrote for the same batch id."""
 
+    def run(batch: DataFrame, batch_id: int) -> None:
+        own = numbered(batch).persist()
+        try:
+            tables, refused = normalised_batch(own, models, settings)
+            for name, table in tables.items():
+                accepted(name, table, batch_id)
+            quarantine(refused, batch_id)
+        finally:
+            own.unpersist()
 
-def stream_normalise(raw: DataFrame, name: str, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, quarantine) of one class: the same stateless projections as in batch."""
-    return normalize(route_event_type(flatten_data(raw)), name, settings)
+    return raw.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def stream_fanout(raw: DataFrame, models: Sequence[str], sinks: Mapping[str, Callable[[DataFrame, int], None]],
-                  checkpoint: str, settings: Settings = Settings(),
+                  checkpoint: str, quarantine: Callable[[DataFrame, int], None], settings: Settings = Settings(),
                   on_failure: Callable[[int, dict], None] | None = None) -> StreamingQuery:
     """Every batch normalised, rendered and handed to all sinks, then the query ends when the
     input is drained. Sinks get rows ``table, ts, feed, line`` and the batch id, which they can
-    use to overwrite a batch that is replayed."""
+    use to overwrite a batch that is replayed; ``quarantine`` gets what no table took."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        routed = route_event_type(flatten_data(batch)).persist()
-        lines = None
-        for name in models:
-            good, _ = normalize(routed, name, settings)
-            made = feed_lines(good, name, settings)
-            lines = made if lines is None else lines.unionByName(made)
-        failed = fan_out(lines, batch_id, sinks)
-        routed.unpersist()
+        own = numbered(batch).persist()
+        try:
+            tables, refused = normalised_batch(own, models, settings)
+            lines = export_run(tables, settings, first_serial=batch_id * BATCH_SERIALS)
+            failed = fan_out(lines, batch_id, sinks)
+            quarantine(refused, batch_id)
+        finally:
+            own.unpersist()
         if failed and on_failure:
             on_failure(batch_id, failed)
 
@@ -70,11 +116,38 @@ def stream_dedup(df: DataFrame, key: str, ts: str, lateness: str = LATENESS) ->
     return df.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows the watermark has dropped so far."""
-    return sum(
-        op.get("numRowsDroppedByWatermark", 0)
-        for progress in query.recentProgress for op in progress["stateOperators"])
+class LateRows(StreamingQueryListener):
+    """Counts the rows that watermarks drop, over whole runs: ``add`` it to a session before its queries start.
+
+    A query's own list of progress keeps only the last updates; a listener sees every one.
+    """
+
+    def __init__(self) -> None:
+        self.by_run: dict[str, int] = {}
+
+    def add(self, spark: SparkSession) -> LateRows:
+        self.spark = spark
+        spark.streams.addListener(self)
+        return self
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        self.by_run.setdefault(str(event.runId), 0)
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        dropped = sum(op.numRowsDroppedByWatermark for op in event.progress.stateOperators)
+        run = str(event.progress.runId)
+        self.by_run[run] = self.by_run.get(run, 0) + dropped
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+    def of(self, query: StreamingQuery) -> int:
+        """Rows dropped so far in a query's run; events still on their way are waited for."""
+        self.spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        return self.by_run.get(str(query.runId), 0)
 
 
 def observed(df: DataFrame, name: str, shed: Column | None = None) -> DataFrame:
@@ -94,13 +167,13 @@ def run_to_completion(query: StreamingQuery, deadline_s: float | None = None) ->
 
 
 def stream_profile(long: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Profile counts that grow with every batch. Versions are numbered by batch, so a replayed
-    batch rewrites its own version instead of counting twice."""
+    """Profile counts that grow with every batch. A batch only writes its own counts, as a version numbered by the
+    batch, so a replayed batch replaces itself instead of counting twice; ``stored_profile`` merges them."""
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        write_profile(field_counts(batch), path, batch_id)
+    def add(batch: DataFrame, batch_id: int) -> None:
+        settle_kinds(field_counts(batch)).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
-    return long.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(
+    return long.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(
         availableNow=True).start()
 
 
