@@ -265,7 +265,7 @@ def materialise_routed(df: DataFrame, path: str) -> DataFrame:
 
     One pass over the input whatever the number of classes; use it before a run that
     normalises many of them."""
-    df.write.mode("overwrite").partitionBy("model").parquet(path)
+    df.hint("rebalance", "model").write.mode("overwrite").partitionBy("model").parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from watchloom.catalog import dims
@@ -10,9 +12,10 @@ from watchloom.operators import normalize as N
 from watchloom.operators import quality as Q
 from watchloom.operators.ordered import serial_rank
 from watchloom.operators.settings import Settings
-from watchloom.plans.inputs import EV, events
+from watchloom.plans.inputs import EV, events, raw_events
 from watchloom.plans.normalize_queries import MODELS, RUN, SQL_MODEL, accepted, routed, routed_once
 from watchloom.plans.registry import query, sql_in, sql_uuid
+from watchloom.session import checkpoint_dir
 
 SETTINGS = Settings(run_id="run-1", vendor="Acme")
 _SEV = "['critical', 'High', 'medium', 'LOW', 'informational'][event_id % 5 + 1]"
@@ -227,18 +230,33 @@ def audit_record_counts(spark, sf):
 
 # --- all feeds and their gates ------------------------------------------------------------
 
-@query(f"""
+LINUX = ("linux_process", "linux_auth", "linux_sudo", "linux_cron", "linux_audit")
+
+
+def all_tables(spark, sf):
+    """Accepted rows of every class that the event log plays, and of the Linux classes, from one written pass."""
+    linux = linux_rows(spark, sf).select((F.col("row_id") + 10 ** 12).alias("row_id"), "raw")
+    records = raw_events(spark, sf).unionByName(linux)
+    path = f"{checkpoint_dir(spark)}/routed-{uuid.uuid4()}"
+    rows = N.materialise_routed(N.route_event_type(N.flatten_data(records)), path)
+    return {name: N.normalize(rows, name, SETTINGS)[0] for name in (*MODELS, *LINUX)}
+
+
+#: table and feed of every line of those tables
+SQL_LINES = f"""
 WITH {EV}, m AS (SELECT *, {SQL_MODEL} AS model FROM ev), g AS (SELECT * FROM m WHERE model <> 'alert' AND (model <> 'process' OR ({_PROCESS_OK})) AND (model <> 'signin' OR ({_SIGNIN_OK}))),
-f AS (SELECT unnest(list_concat(['json', 'cef', 'syslog'], CASE WHEN model IN ('firewall', 'cloud_activity') THEN [] ELSE ['winxml'] END,
-  CASE WHEN model = 'signin' THEN ['okta'] WHEN model = 'firewall' THEN [CASE WHEN k % 3 = 0 THEN 'cisco_asa' ELSE 'fortinet' END] ELSE [] END)) AS feed FROM g)
+f AS (SELECT CASE model WHEN 'process' THEN 'DeviceProcessEvents' WHEN 'signin' THEN 'SigninLogs' WHEN 'firewall' THEN 'CommonSecurityLog' WHEN 'cloud_activity' THEN 'AzureActivity'
+    WHEN 'office_activity' THEN 'OfficeActivity' ELSE 'Unmapped_Odd_source' END AS t,
+  unnest(list_concat(['json', 'cef', 'syslog'], CASE WHEN model IN ('firewall', 'cloud_activity') THEN [] ELSE ['winxml'] END,
+  CASE WHEN model = 'signin' THEN ['okta'] WHEN model = 'firewall' THEN [CASE WHEN k % 3 = 0 THEN 'cisco_asa' ELSE 'fortinet' END] ELSE [] END)) AS feed FROM g
+  UNION ALL SELECT 'LinuxAuditLog', unnest(list_concat(['json', 'cef', 'syslog', 'auditd'], CASE WHEN event_type = 'click' THEN ['auditd'] ELSE [] END)) FROM ev)"""
+
+
+@query(SQL_LINES + """
 SELECT feed, count(*) AS lines, 0::BIGINT AS broken FROM f GROUP BY 1""")
 def feed_gates(spark, sf):
     """Every feed of every class, counted and checked in one pass."""
-    rows, out = routed_once(spark, sf), None
-    for name in MODELS:
-        lines = X.feed_lines(N.normalize(rows, name, RUN)[0], name, SETTINGS)
-        out = lines if out is None else out.unionByName(lines)
-    return Q.gate_summary(out)
+    return Q.gate_summary(X.export_run(all_tables(spark, sf), SETTINGS))
 
 
 @query(f"""

@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.operators import feeds as X
-from watchloom.operators import normalize as N
 from watchloom.operators import profiling as P
 from watchloom.operators.sequence import time_inversions
+from watchloom.plans.feed_queries import SQL_LINES, all_tables
 from watchloom.plans.function_queries import SQL_CLASS, SQL_WORDS, words
 from watchloom.plans.inputs import EV, load, raw_events, sql_table_of
-from watchloom.plans.normalize_queries import RUN, SQL_MODEL, routed_once
+from watchloom.plans.normalize_queries import RUN, SQL_MODEL
 from watchloom.plans.registry import query
 from watchloom.session import checkpoint_dir
 from watchloom.sources import readers, sinks
@@ -30,27 +30,18 @@ def scratch(spark: SparkSession) -> str:
 _OK = "(event_type = 'error' OR (event_type = 'view' AND NOT (k % 3 = 0 AND k % 11 = 0)))"
 
 
-def _lines(spark, sf) -> DataFrame:
-    rows = routed_once(spark, sf)
-    parts = [X.feed_lines(N.normalize(rows, name, RUN)[0], name, RUN) for name in ("firewall", "signin")]
-    return parts[0].unionByName(parts[1])
-
-
-@query(f"""
-WITH {EV}, o AS (SELECT *, CASE WHEN event_type = 'error' THEN 'CommonSecurityLog' ELSE 'SigninLogs' END AS t FROM ev WHERE {_OK})
-SELECT 'table' AS kind, t AS name, count(*) AS lines FROM o GROUP BY 2
-UNION ALL SELECT 'unified', 'all', count(*) FROM o
-UNION ALL SELECT 'feed', unnest(['cef', 'syslog']), count(*) FROM o
-UNION ALL SELECT 'feed', 'winxml', count(*) FROM o WHERE event_type = 'view'
-UNION ALL SELECT 'vendor', CASE WHEN event_type = 'view' THEN 'okta' WHEN k % 3 = 0 THEN 'cisco_asa' ELSE 'fortinet' END, count(*) FROM o GROUP BY 2""")
+@query(SQL_LINES + """
+SELECT 'table' AS kind, t AS name, count(*) AS lines FROM f WHERE feed = 'json' GROUP BY 2
+UNION ALL SELECT 'unified', 'all', count(*) FROM f WHERE feed = 'json'
+UNION ALL SELECT CASE WHEN feed IN ('okta', 'fortinet', 'cisco_asa') THEN 'vendor' ELSE 'feed' END, feed, count(*) FROM f WHERE feed <> 'json' GROUP BY 1, 2""")
 def written_feeds(spark, sf):
-    """Tables, the unified feed, line feeds and vendor feeds, written from one cached pass and read back."""
-    path, lines = scratch(spark), _lines(spark, sf).persist()
+    """Tables, the unified feed, line feeds and vendor feeds of all classes, written from one cached pass and read back."""
+    path, lines = scratch(spark), X.export_run(all_tables(spark, sf), RUN).persist()
     try:
         json = lines.filter("feed = 'json'")
         sinks.write_tables(json, f"{path}/tables", max_records=5000)
         sinks.write_unified(json, f"{path}/unified")
-        sinks.write_feed(lines.filter("feed IN ('cef', 'syslog', 'winxml')"), f"{path}/feeds")
+        sinks.write_feed(lines.filter("feed IN ('cef', 'syslog', 'winxml', 'auditd')"), f"{path}/feeds")
         sinks.write_vendor_feeds(lines, f"{path}/vendors")
     finally:
         lines.unpersist()

@@ -18,8 +18,11 @@ VENDOR_FEEDS = ("fortinet", "cisco_asa", "okta")
 
 
 def write_tables(lines: DataFrame, path: str, max_records: int | None = None, mode: str = "append") -> None:
-    """One JSON-lines dataset per table from rows ``table, line`` (the JSON feed)."""
-    _bounded(lines.select("table", F.col("line").alias("value")), max_records).mode(mode).partitionBy(
+    """One JSON-lines dataset per table from rows ``table, line`` (the JSON feed).
+
+    Rows are gathered by table first (a large table in several parts), so a task opens few files.
+    """
+    _bounded(lines.select("table", F.col("line").alias("value")).hint("rebalance", "table"), max_records).mode(mode).partitionBy(
         "table").text(path)
 
 
@@ -34,7 +37,8 @@ def write_feed(lines: DataFrame, path: str, max_records: int | None = None, mode
     broken = F.col("line").rlike("[\r\n]")
     named = F.when(broken, F.lit("unwritable")).otherwise(F.col("feed"))
     value = F.when(broken, F.to_json(F.struct("feed", "line"))).otherwise(F.col("line"))
-    _bounded(lines.select(named.alias("feed"), value.alias("value")), max_records).mode(mode).partitionBy("feed").text(path)
+    placed = lines.select(named.alias("feed"), value.alias("value")).hint("rebalance", "feed")
+    _bounded(placed, max_records).mode(mode).partitionBy("feed").text(path)
 
 
 def write_vendor_feeds(lines: DataFrame, path: str, max_records: int | None = None, mode: str = "append") -> None:
