@@ -6,6 +6,8 @@ are kept as JSON text, which is how ``from_json(line, 'map<string,string>')`` de
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from watchloom.functions.hashing import hash_range_sql, stable_uuid, stable_uuid
 from watchloom.functions.lookup import let, map_value
 from watchloom.functions.sqltext import lit as _lit
 from watchloom.functions.text import capitalize
-from watchloom.operators.pinned import pinned, pinned_sql
+from watchloom.operators.pinned import pinned
 from watchloom.operators.settings import Settings
 
 #: keys that steer routing and expansion and are no columns
@@ -158,26 +160,29 @@ def _problem(c: ColumnSpec, present: str, given: str, value: str) -> str | None:
     return f"CASE {' '.join(branches)} END" if branches else None
 
 
-def cast_columns(df: DataFrame, spec: EventSpec, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Typed columns of the class plus ``errors``, the reasons a record cannot be accepted."""
-    given = [_given(c.attr) for c in spec.columns]
-    typed = [lax_cast(g, c) for g, c in zip(given, spec.columns)]
+def find_errors(df: DataFrame, spec: EventSpec) -> DataFrame:
+    """Add ``errors``, the reasons a record cannot be accepted; takes given values before defaults are filled.
+
+    Only the columns that can fail take part, and the reasons are computed once. All other columns stay plain
+    projections, so whatever a later step does not read is not computed.
+    """
     problems = [
-        _problem(c, f"(chosen[{i}] IS NOT NULL)", given[i], given[i] if c.kind == "str" else f"_{c.attr}")
+        _problem(c, f"(chosen[{i}] IS NOT NULL)", _given(c.attr), lax_cast(_given(c.attr), c))
         for i, c in enumerate(spec.columns) if not (spec is GENERIC and c.pinned_by_route)
     ]
-    errors = f"array_compact(array({', '.join(p for p in problems if p)}))"
-    shown = df.selectExpr(*keep, "chosen", *given, *[f"{t} AS _{c.attr}" for t, c in zip(typed, spec.columns)])
-    done = {c.attr: f"_{c.attr}" for c in spec.columns}
-    return pinned_sql(shown, {**done, "errors": errors}, keep)
-
-
-def cast_and_validate(df: DataFrame, spec: EventSpec, keep: tuple[str, ...] = ("row_id",),
-                      raw: str = "raw") -> tuple[DataFrame, DataFrame]:
-    """(accepted rows, quarantined records with the reasons)."""
-    checked = cast_columns(df, spec, tuple(dict.fromkeys((*keep, raw))))
-    good = checked.filter(F.size("errors") == 0).drop("errors")
-    good = good if raw in keep else good.drop(raw)
+    return pinned(df, F.expr(f"array_compact(array({', '.join(p for p in problems if p)}))").alias("errors"))
+
+
+def cast_columns(df: DataFrame, spec: EventSpec, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Typed columns of the class."""
+    return df.selectExpr(*keep, *[f"{lax_cast(_given(c.attr), c)} AS {c.attr}" for c in spec.columns])
+
+
+def cast_and_validate(df: DataFrame, spec: EventSpec, keep: tuple[str, ...] = ("row_id",), raw: str = "raw",
+                      fill: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """(accepted rows, quarantined records with the reasons); ``fill`` puts in the defaults of what is accepted."""
+    checked = find_errors(df, spec)
+    good = cast_columns(fill(checked.filter(F.size("errors") == 0)), spec, keep)
     bad = checked.filter(F.size("errors") > 0).select(
         *keep, F.lit(spec.name).alias("model"), raw, F.col("errors").alias("reasons"))
     return good, bad
@@ -187,9 +192,8 @@ def normalize(df: DataFrame, name: str, settings: Settings = Settings(), now: st
               keep: tuple[str, ...] = ("row_id",)) -> tuple[DataFrame, DataFrame]:
     """Routed records of one class as a typed table, and those that do not fit it."""
     spec = spec_of(name)
-    own = df.filter(F.col("model") == name)
-    own = apply_defaults(resolve_aliases(own, spec), spec, settings, now=now)
-    return cast_and_validate(own, spec, keep)
+    own = resolve_aliases(df.filter(F.col("model") == name), spec)
+    return cast_and_validate(own, spec, keep, fill=lambda good: apply_defaults(good, spec, settings, now=now))
 
 
 # --- tables -------------------------------------------------------------------------------

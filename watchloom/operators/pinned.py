@@ -15,8 +15,3 @@ def pinned(df: DataFrame, *columns: Column) -> DataFrame:
     """
     return df.select("*", F.inline(F.array(F.struct(*columns))))
 
-
-def pinned_sql(df: DataFrame, columns: dict[str, str], keep: tuple[str, ...]) -> DataFrame:
-    """``keep`` and the given SQL expressions, each computed once."""
-    fields = ", ".join(f"'{name}', {sql}" for name, sql in columns.items())
-    return df.selectExpr(*keep, f"inline(array(named_struct({fields})))")
