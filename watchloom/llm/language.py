@@ -25,6 +25,8 @@ from watchloom.llm.common import map_texts, slices, small_batches, texts_of
 
 WINDOW, HIDDEN = 64, 8
 SAMPLE_DOCS, WINDOWS_EACH = 6000, 3
+#: A language's documents are drawn in so many parts first, so that a frequent one is not sorted in one task.
+SALTS = 64
 STEPS, BATCH, RATE, SEED = 500, 192, 0.02, 7
 #: Windows that are read side by side when texts are labelled.
 LANES = 2048
@@ -170,8 +172,11 @@ def fit(docs: DataFrame, usable: Column) -> Network:
     if len(languages) < 2:
         return new_network(languages)
     each = max(1, SAMPLE_DOCS // len(languages))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("doc_id", "lang").distinct()
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    salted = labelled.withColumn("salt", F.pmod(F.xxhash64("doc_id", F.lit("salt")), F.lit(SALTS)))
+    some = salted.withColumn("place", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).where(F.col("place") <= -(-4 * each // SALTS))
+    few = some.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= each)
+    ids = few.select("doc_id", "lang").distinct()
     ids = spark.createDataFrame(ids.collect(), "doc_id long, lang string")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id").select("doc_id", "lang", "text")
 
