@@ -44,10 +44,10 @@ def planted(spark):
     words = [f"w{i}" for i in range(400)]
     rows, labels = [], []
     for i in range(900):
-        toxic = i % 6 == 0
+        toxic = i % 7 == 0
         text = [rnd.choice(words) for _ in range(rnd.randint(3, 200))]
-        for _ in range(rnd.randint(1, 3) if toxic else 0):
-            text.insert(rnd.randrange(len(text) + 1), rnd.choice(["vileness", "vilefolk", f"grimly{rnd.randint(0, 10_000)}"]))
+        at = rnd.randrange(len(text) + 1)
+        text[at:at] = [rnd.choice(["vileness", "vilefolk", f"grimly{rnd.randint(0, 10_000)}"]) for _ in range(rnd.randint(1, 4) if toxic else 0)]
         rows.append((i, " ".join(text)))
         labels.append((i, int(toxic)))
     return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
@@ -59,9 +59,8 @@ def test_planted_words_are_found_and_others_left_alone(spark):
     rows = T.score(docs, model, drop_text=False).join(labels, "doc_id").where("doc_id % 3 = 1").collect()
     assert all(r["predicted"] == 0 for r in rows if not r["toxic"])
     assert np.mean([r["predicted"] for r in rows if r["toxic"]]) > 0.95
-    hit = next(r for r in rows if r["predicted"])
-    first = hit["passages"][0]
-    assert any(w.startswith(("vile", "grimly")) for w in T._words(hit["text"])[first["first"]:first["last"] + 1])
+    found = [(r, p) for r in rows for p in r["passages"]]
+    assert found and all(w.startswith(("vile", "grimly")) for r, p in found for w in (T._words(r["text"])[p["first"]], T._words(r["text"])[p["last"]]))
 
 
 def test_odd_rows_and_missing_labels(spark, odd, empty):

@@ -161,8 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     chosen = _sample(labels.select("doc_id", "toxic"), usable).collect()
     kind = {r["doc_id"]: int(r["toxic"] == 1) for r in chosen}
     if len(set(kind.values())) < 2:
-        share = sum(kind.values()) / max(1, len(kind))
-        return Model(offset=math.log(max(share, 1e-20) / max(1 - share, 1e-20)))
+        return _constant(sum(kind.values()), len(kind) - sum(kind.values()))
     ids = spark.createDataFrame([(i,) for i in kind], "doc_id long")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(ids), "doc_id")
 
@@ -174,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     n1 = sum(kind[i] for i in kept)
     n0 = len(kept) - n1
     if not n1 or not n0:
-        return Model(offset=math.log(max(n1 / len(kept), 1e-20) / max(n0 / len(kept), 1e-20)))
+        return _constant(n1, n0)
 
     counts = texts.select("toxic", "text").mapInArrow(_count_features, "feature string, whole boolean, toxic_docs long, clean_docs long")
     counts = counts.groupBy("feature", "whole").agg(F.sum("toxic_docs").alias("y1"), F.sum("clean_docs").alias("y0"))
@@ -202,6 +201,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column) -> Model:
     return _calibrate(model, texts)
 
 
+def _constant(toxic: int, clean: int) -> Model:
+    """No evidence to learn from: the share of toxic labels for every text, 0 without labels."""
+    return Model(offset=math.log(max(toxic, 1e-20) / max(clean, 1e-20)) if toxic else -50.0)
+
+
 def _odds(y1: int, y0: int, n1: int, n0: int) -> tuple[float, float]:
     """Log-odds and z-score of a feature that y1 of n1 toxic and y0 of n0 clean documents hold."""
     prior = (y1 + y0) * PRIOR / (n1 + n0)
