@@ -13,8 +13,9 @@ from watchloom.session import dealt
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    # the given tables hold UTC stamps; a session that is in UTC already is left as it is
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
-        raise ValueError("the given tables hold UTC stamps: set spark.sql.session.timeZone to UTC")
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
