@@ -325,7 +325,8 @@ def _held(sets: list[np.ndarray], columns: np.ndarray) -> np.ndarray:
 def _classes(signed: DataFrame, groups: DataFrame) -> DataFrame:
     rows = signed.select("doc_id", "node", "row").join(groups, "node", "left")
     rows = rows.withColumn("class", F.coalesce("component", "node"))
-    tops = rows.groupBy("class").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("top"), F.count("*").alias("class_size"))
+    # written, so that both sides of the join are plain and a large class is split as a skewed key
+    tops = written(rows.groupBy("class").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("top"), F.count("*").alias("class_size")), "near-classes")
     return rows.join(tops, "class").select("doc_id", "node", F.col("top.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("top.row")).alias("kept"))
 
