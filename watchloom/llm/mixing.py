@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from watchloom.llm.common import written
+from watchloom.operators.pinned import pinned
 
 #: Domains, with the share of all words that each shall have.
 TARGETS = {"good": 0.80, "low": 0.15, "toxic": 0.05}
@@ -38,12 +39,12 @@ def features(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with __words and __bins: counts of a few characters by word, each cut to BINS bins."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     trimmed = F.btrim(t, F.lit(" \t\n\r\f"))
-    with_words = docs.withColumn("__words", F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, BLANK))).cast("long"))
+    with_words = pinned(docs, F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, BLANK))).cast("long").alias("__words"))
     held = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
     by_word = lambda n, times: F.floor(F.lit(times) * n / F.greatest(F.col("__words"), F.lit(1)))
     values = [F.length(F.bin(F.length(t).cast("long"))), by_word(F.length(t), 1), by_word(held("\n"), 40), by_word(held("."), 40),
               by_word(held("!"), 10), by_word(held("|"), 10)]
-    return with_words.withColumn("__bins", F.array(*[F.least(v, F.lit(BINS - 1)).cast("int") for v in values]))
+    return pinned(with_words, F.array(*[F.least(v, F.lit(BINS - 1)).cast("int") for v in values]).alias("__bins"))
 
 
 @dataclass
@@ -64,10 +65,10 @@ class Mixer:
             for i in range(len(FEATURES)):
                 total = total + F.element_at(F.array(*[log(x) for x in self.shares[d][i]]), F.col("__bins")[i] + 1)
             sums.append(total)
-        docs = docs.withColumn("__log", F.array(*sums)).withColumn("__top", F.array_max("__log"))
-        docs = docs.withColumn("__e", F.transform("__log", lambda x: F.exp(x - F.col("__top"))))
+        docs = pinned(docs, F.array(*sums).alias("__log"))
+        docs = pinned(docs, F.transform("__log", lambda x: F.exp(x - F.array_max("__log"))).alias("__e"))
         total = sum((F.col("__e")[k] for k in range(1, len(self.domains))), F.col("__e")[0])
-        return docs.withColumn("__p", F.transform("__e", lambda x: x / total)).drop("__log", "__top", "__e")
+        return pinned(docs, F.transform("__e", lambda x: x / total).alias("__p")).drop("__log", "__e")
 
     def rate(self) -> Column:
         """The rate of a document with __p after all steps so far."""
@@ -147,7 +148,7 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None =
     """The documents with all their columns, each row as often as its rate says."""
     columns = [f"`{c}`" for c in docs.columns]
     mixer, _ = fit(docs, labels, targets)
-    placed = mixer.posterior(features(docs)).withColumn("__copies", copies(mixer.rate())).where("__copies > 0")
+    placed = pinned(mixer.posterior(features(docs)), copies(mixer.rate()).alias("__copies")).where("__copies > 0")
     return placed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
 
 
