@@ -264,6 +264,23 @@ def decode(encoded: DataFrame, name: str = MODEL, ids: str = "ids") -> DataFrame
     return encoded.mapInArrow(run, out)
 
 
+def encode_and_decode(docs: DataFrame, name: str = MODEL, ends: bool = True, text: str = "text") -> DataFrame:
+    """The documents with ids array<int> and decoded, the text decoded from them, in one pass."""
+    small_batches(docs.sparkSession)
+
+    def make():
+        words = vocabulary(name)
+
+        def work(texts: list[str]) -> list:
+            flat, counts = encode_texts(texts, name, ends)
+            data, sizes = words.decode(flat, counts)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(flat, pa.int32()))
+            return [lists, pa.array(cut(data.tobytes(), sizes), pa.string())]
+        return work
+
+    return map_texts(docs, "ids array<int>, decoded string", make, text)
+
+
 def cut(data: bytes, sizes: np.ndarray) -> list[str]:
     ends = np.cumsum(sizes).tolist()
     return [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *ends], ends)]
