@@ -16,6 +16,8 @@ from watchloom.llm.common import fold, written
 
 #: A text whose best language has a lower share than this is rejected.
 LEAST_LANGUAGE = 0.3
+#: Shares of all words after the toxic documents are gone.
+TARGETS = {"good": 0.85, "low": 0.15}
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,12 +41,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the rates say that bring the domains to their target weights."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", mixing.label_domain().alias("domain"))
-    return mixing.mixed(docs, labels)
+    return mixing.mixed(docs, labels, TARGETS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids with begin and end, and the text decoded from them."""
-    return pieces.decode(pieces.encode(docs.select("doc_id", "text"))).select("doc_id", "ids", "decoded")
+    return pieces.encode_and_decode(docs.select("doc_id", "text"))
 
 
 STAGES = [("toxicity", drop_toxic), ("language", keep_languages), ("near_dedup", near_dedup), ("mixing", mix_sources), ("encode", encode)]
