@@ -31,6 +31,22 @@ def test_segments_equal_their_definition():
         assert np.allclose([s for _, _, s in got], [s for _, _, s in want])
 
 
+def test_evidence_looks_at_all_segments():
+    for n, hits, value in ((20_000, 400, 4.0), (200_000, 500, 6.0)):
+        scores = np.full(n, -0.1)
+        scores[:: n // hits] = value
+        got, passages = T.evidence(scores, 1.0)
+        base = np.log(T.CHANCE * n)
+        want = max(r * (value - base) + sum(np.log(np.arange(1, r + 1))) for r in range(1, hits + 1))
+        assert abs(got - want) < 1e-6 and got > 500 and not passages
+    rnd = random.Random(6)
+    scores = np.array([rnd.choice([-0.5, -1.25, 2.0, 3.5]) for _ in range(300)])
+    ordered = sorted((s for _, _, s in T.segments(scores)), reverse=True)
+    base = np.log(T.CHANCE * 300)
+    want = max(0.7 * sum(ordered[:r]) - r * base + sum(np.log(np.arange(1, r + 1))) for r in range(1, len(ordered) + 1))
+    assert abs(T.evidence(scores, 0.7)[0] - want) < 1e-9
+
+
 def test_scale_makes_the_mean_one():
     positive = {6.5: 3, 2.0: 40}
     x = T.chance_scale(positive, 100_000)

@@ -104,16 +104,26 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(a, b, high - low) for a, b, low, high in found]
 
 
+_factorials = np.zeros(1)
+
+
+def _log_factorials(n: int) -> np.ndarray:
+    """ln r! for r from 1 to n, from a table that grows."""
+    global _factorials
+    if n >= len(_factorials):
+        _factorials = np.cumsum(np.log(np.maximum(np.arange(max(n + 1, 2 * len(_factorials))), 1)))
+    return _factorials[1:n + 1]
+
+
 def evidence(scores: np.ndarray, scale: float) -> tuple[float, list[tuple[int, int, float]]]:
-    """The figure of a document's best set of segments, and its significant segments."""
+    """The figure of a document's best number of its highest segments, any up to all, and its significant segments."""
     n = max(1, len(scores))
     found = segments(scores)
     base = math.log(CHANCE * n)
-    ordered = sorted((s for _, _, s in found), reverse=True)
-    best, total = -base if not found else -math.inf, 0.0
-    for r, s in enumerate(ordered[:50], 1):
-        total += scale * s
-        best = max(best, total - r * base + math.lgamma(r + 1))
+    best = -base
+    if found:
+        sums = scale * np.cumsum(np.sort([s for _, _, s in found])[::-1])
+        best = float((sums - np.arange(1, len(found) + 1) * base + _log_factorials(len(found))).max())
     limit = (base - math.log(SIGNIFICANT)) / scale
     return (best if found else min(0.0, -base)), [x for x in found if x[2] >= limit]
 
