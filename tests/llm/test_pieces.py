@@ -71,3 +71,13 @@ def test_counts_of_odd_texts(library):
     for text in cases():
         one = token_counts.Library(pieces.MODEL)
         assert sum(map(one.count, pieces.units_of(text))) == len(library.encode(text)), repr(text)
+
+
+def test_counts_with_odd_units_in_the_table(spark, library):
+    texts = ["a\x00b a\x00b \x00 plain words of several tokenization lengths", "\x00", "日本😀 \x00\x00 antidisestablishmentarianism x"] * 20 + ODD
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    packed = token_counts.frequent_units(docs, pieces.MODEL, "text")
+    tiers = token_counts.Tiers(pieces.MODEL, packed)
+    assert any("\x00" in u for u in tiers) and set(tiers) == {u for t in texts for u in pieces.units_of(t) if len(u) <= token_counts.LONG_UNIT}
+    for r in token_counts.count_tokens(docs).collect():
+        assert r["n_tokens"] == len(library.encode(texts[r["doc_id"]])), repr(texts[r["doc_id"]])

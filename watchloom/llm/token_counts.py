@@ -46,14 +46,14 @@ class Library:
         return len(self.model.encode("\n" + unit)) - 2
 
 
-def frequent_units(docs: DataFrame, name: str, text: str) -> tuple[bytes, bytes]:
-    """The most frequent pre-tokens of a bounded sample: packed texts, and token counts as 16-bit numbers.
+def frequent_units(docs: DataFrame, name: str, text: str) -> tuple[bytes, bytes, bytes]:
+    """The most frequent pre-tokens of a bounded sample: texts on end, their characters and token counts as 16-bit numbers.
 
     At most SAMPLE_UNITS of each of about SAMPLE_DOCS documents reach the driver, as counts of each task.
     """
     n = docs.count()
     if not n:
-        return b"", b""
+        return b"", b"", b""
     share = min(1.0, SAMPLE_DOCS / n)
     sample = docs.select(F.col(f"`{text}`").alias("text")).where(F.rand(7) < share)
 
@@ -71,7 +71,7 @@ def frequent_units(docs: DataFrame, name: str, text: str) -> tuple[bytes, bytes]
         total[unit] += c
     library = Library(name)
     units = [u for u, _ in total.most_common(TABLE_UNITS)]
-    return "\x00".join(units).encode(), np.array([library.count(u) for u in units], "<u2").tobytes()
+    return "".join(units).encode(), np.array([len(u) for u in units], "<u2").tobytes(), np.array([library.count(u) for u in units], "<u2").tobytes()
 
 
 def count_tokens(docs: DataFrame, name: str = MODEL, limit: int = 4096, text: str = "text") -> DataFrame:
@@ -101,9 +101,10 @@ def count_tokens(docs: DataFrame, name: str = MODEL, limit: int = 4096, text: st
 class Tiers(dict):
     """The frequent table and, behind it, the worker's cache."""
 
-    def __init__(self, name: str, packed: tuple[bytes, bytes]) -> None:
-        units, counts = packed
-        super().__init__(zip(units.decode().split("\x00"), np.frombuffer(counts, "<u2").tolist()) if counts else ())
+    def __init__(self, name: str, packed: tuple[bytes, bytes, bytes]) -> None:
+        texts, lengths, counts = packed
+        texts, ends = texts.decode(), np.cumsum(np.frombuffer(lengths, "<u2"), dtype=np.int64).tolist()
+        super().__init__(zip((texts[a:b] for a, b in zip([0, *ends], ends)), np.frombuffer(counts, "<u2").tolist()))
         self.first, self.library = len(self), Library(name)
 
     def __missing__(self, unit: str) -> int:
