@@ -32,7 +32,7 @@ from watchloom.llm.common import ragged, shared_path, slices, small_batches, wri
 
 WINDOW = 10
 #: Bytes of text in a shard, and of test texts that are looked for in one pass.
-SHARD_BYTES, TEST_BYTES = 4 << 20, 8 << 20
+SHARD_BYTES, TEST_BYTES = 1 << 20, 8 << 20
 #: Each byte of a text: itself or its lower case where it belongs to a word, else a blank.
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 32 for b in range(256))
 SHARD = ("shard long, doc_ids binary, no_id binary, n_words binary, dictionary binary, sequence binary, suffixes binary")
