@@ -1,6 +1,7 @@
 """Readers, writers and streams."""
 
 import json
+import random
 import time
 
 import pytest
@@ -270,3 +271,55 @@ def test_conservation_and_order(spark, accept):
     kept = Q.conservation(good.withColumn("table", F.lit("DnsEvents")), out, "table").first()
     assert (kept["rows_in"], kept["rows_out"], kept["kept"]) == (2, 2, True)
     assert jobs.routed_counts(good.select(F.create_map(F.lit("event_type"), F.lit("dns_query")).alias("raw"))).first()["records"] == 2
+
+
+@pytest.fixture
+def small_splits(spark):
+    """Input splits of a few bytes, so that records go over their ends."""
+    def use(size):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        spark.conf.set("spark.sql.files.minPartitionNum", "1")
+
+    yield use
+    for key in ("maxPartitionBytes", "openCostInBytes", "minPartitionNum"):
+        spark.conf.unset(f"spark.sql.files.{key}")
+
+
+@pytest.mark.parametrize("size", [60, 1 << 20])
+def test_csv_splits_equal_the_reader_of_whole_files(spark, tmp_path, small_splits, size):
+    rnd = random.Random(size)
+    quote = lambda t: '"' + t.replace('"', '""') + '"'
+    cell = lambda: rnd.choice(["", "x", "a b", quote(""), quote("l1\nl2"), quote('say "hi",\r\nthen'), quote("\n\n"), quote("é," * rnd.randint(0, 30)), quote('""')])
+    for name in "ab":
+        ends = rnd.choice(["\n", "\r\n"])
+        write(tmp_path / "in" / f"{name}.csv", ends.join(["k,one,two", *[f"{name}{i},{cell()},{cell()}" for i in range(20)], "", f"{name}last,{quote('end' + chr(10))},z"]) + rnd.choice(["", ends]))
+    want = spark.read.csv(str(tmp_path / "in"), header=True, multiLine=True, nullValue="\u0000", emptyValue="", escape='"').collect()
+    small_splits(size)
+    got = readers.read_csv_records(spark, str(tmp_path / "in"))
+    assert got.columns == ["k", "one", "two"] and len(want) == 42
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want), key=repr)
+
+
+@pytest.mark.parametrize("size", [120, 1 << 20])
+def test_list_members_are_read_over_splits(spark, tmp_path, small_splits, size):
+    rnd = random.Random(size)
+
+    def thing(depth=0):
+        kind = rnd.randint(0, 7 if depth < 4 else 4)
+        if kind < 5:
+            return [rnd.randint(-9, 9), 'q"}{[\\', "a, b]\n}}", None, "é😀"][kind]
+        return [thing(depth + 1) for _ in range(rnd.randint(0, 4))] if kind == 5 else {rnd.choice(['k', '}', '"', 'n\\']) + str(i): thing(depth + 1) for i in range(rnd.randint(0, 4))}
+
+    want = set()
+    for n in range(6):
+        value = [thing() for _ in range(15)] if n < 4 else {"one": [thing(), {"x": [1, 2, {}]}], "b": thing()}
+        path = write(tmp_path / "in" / f"{n}.json", " \n" + json.dumps(value, indent=rnd.choice([None, 2]), ensure_ascii=n % 2 == 0) + "\n")
+        members = value if n < 4 else [value]
+        want |= {(path.rsplit("/", 1)[1], i, json.dumps(m, sort_keys=True)) for i, m in enumerate(members) if isinstance(m, dict)}
+    write(tmp_path / "in" / "7.json", "[1, 2")
+    write(tmp_path / "in" / "8.json", "")
+    write(tmp_path / "in" / "9.json", "[]")
+    small_splits(size)
+    got = readers.read_json_array(spark, str(tmp_path / "in")).collect()
+    assert sorted((r["file"].rsplit("/", 1)[1], r["pos"], json.dumps(json.loads(r["line"]), sort_keys=True)) for r in got) == sorted(want)

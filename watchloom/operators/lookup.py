@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from watchloom.catalog import dims
-from watchloom.functions.hashing import hash_fraction
+
 from watchloom.functions.lookup import map_value
 from watchloom.functions.network import appliance_for, is_internal
-from watchloom.operators.rangejoin import cumulative, step_join
+from watchloom.operators.alias import alias_pick
 
 #: columns a follow-up takes over from the event before it
 CONTEXT_COLUMNS = (
@@ -111,15 +111,13 @@ def inherit_context(children: DataFrame, parents: DataFrame, correlation: str =
 
 def range_pick(df: DataFrame, weighted: DataFrame, key: Column, group: tuple[str, ...] = (),
                order: tuple[str, ...] = ("value",), weight: str = "weight") -> DataFrame:
-    """Pick by weight: the row of ``weighted`` whose cumulative share holds the key's fraction.
+    """Pick by weight: the key's fraction falls into a cell of the alias table of ``weighted``.
 
     A missing or zero weight counts as one. ``group`` columns choose the pool; ``order`` must tell
-    the rows of a pool apart. The work is a sort of draws and pool together.
+    the rows of a pool apart. A draw meets its pool by one equality; the table is linear in the pool.
     """
     share = F.when(F.coalesce(F.col(weight), F.lit(0)) == 0, F.lit(1.0)).otherwise(F.col(weight).cast("double"))
-    bounds = cumulative(weighted, list(group), list(order), share)
-    points = df.withColumn("_u", hash_fraction(key))
-    return step_join(points, bounds, "_u", "lo", group).drop("_u", "lo", "hi")
+    return alias_pick(df, weighted, key, order, share, group)
 
 
 def attachments_for(emails: DataFrame, attachments: DataFrame, how: str = "inner") -> DataFrame:

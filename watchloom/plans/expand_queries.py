@@ -14,7 +14,7 @@ from watchloom.operators import sequence as S
 from watchloom.operators.ordered import serial_rank
 from watchloom.operators.settings import Settings
 from watchloom.plans.inputs import EV, events, load
-from watchloom.plans.registry import query, sql_fraction, sql_hash, sql_uuid
+from watchloom.plans.registry import query, sql_alias, sql_drawn, sql_fraction, sql_hash, sql_uuid
 from watchloom.session import dealt
 
 RUN = Settings(run_id="run-1")
@@ -113,12 +113,11 @@ _NOISE_KEY = "'run-1|noise|' || i"
 
 
 @query(f"""
-WITH t AS (SELECT p_partkey AS template_id, p_type, greatest(1, least(p_size, 20)) AS weight FROM part),
-b AS (SELECT template_id, p_type, CAST(sum(weight) OVER (ORDER BY template_id) AS DOUBLE) / CAST(sum(weight) OVER () AS DOUBLE) AS hi FROM t),
-c AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY template_id), 0.0) AS lo FROM b),
-d AS (SELECT i, {sql_fraction(_NOISE_KEY)} AS u FROM (SELECT i FROM range((SELECT count(*) FROM events)) t(i)))
-SELECT i AS rank, template_id, CAST(1000 + {sql_hash("'run-1|' || i || '|pid|RANDOM_PID'")} % 64536 AS VARCHAR) AS pid
-FROM d JOIN c ON u >= lo AND u < hi""")
+WITH t AS (SELECT p_partkey AS template_id, greatest(1, least(p_size, 20)) AS weight FROM part),
+{sql_alias("t", "template_id", "weight")},
+d AS (SELECT i FROM range((SELECT count(*) FROM events)) t(i))
+SELECT i AS rank, id AS template_id, CAST(1000 + {sql_hash("'run-1|' || i || '|pid|RANDOM_PID'")} % 64536 AS VARCHAR) AS pid
+FROM ({sql_drawn("d", "i", sql_fraction(_NOISE_KEY))})""")
 def sampled_noise(spark, sf):
     """Parts play weighted templates; as many draws as there are events."""
     templates = load(spark, sf, "part").select(
@@ -145,10 +144,9 @@ def noise_counts(spark, sf):
 
 @query(f"""
 WITH pool AS (SELECT s_nationkey AS value, count(*) AS weight FROM supplier GROUP BY 1),
-b AS (SELECT value, CAST(sum(weight) OVER (ORDER BY value) AS DOUBLE) / CAST(sum(weight) OVER () AS DOUBLE) AS hi FROM pool),
-c AS (SELECT *, coalesce(lag(hi) OVER (ORDER BY value), 0.0) AS lo FROM b),
-d AS (SELECT i, {sql_fraction("'seed|' || i")} AS u FROM range((SELECT count(*) FROM orders)) t(i))
-SELECT value, count(*) AS n FROM d JOIN c ON u >= lo AND u < hi GROUP BY 1""")
+{sql_alias("pool", "value", "weight")},
+d AS (SELECT i FROM range((SELECT count(*) FROM orders)) t(i))
+SELECT id AS value, count(*) AS n FROM ({sql_drawn("d", "i", sql_fraction("'seed|' || i"))}) GROUP BY 1""")
 def weighted_sample(spark, sf):
     pool = load(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("value")).agg(F.count("*").alias("weight"))
     n = load(spark, sf, "orders").count()

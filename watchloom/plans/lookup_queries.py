@@ -8,7 +8,7 @@ from watchloom.catalog import dims
 from watchloom.operators import lookup as L
 from watchloom.operators import normalize as N
 from watchloom.plans.inputs import EV, events, load, raw_events, sql_table_of, typed_events
-from watchloom.plans.registry import query, sql_case, sql_fraction
+from watchloom.plans.registry import query, sql_alias, sql_case, sql_drawn, sql_fraction
 
 _PROVIDERS = ("Microsoft-Windows-Sysmon", "Microsoft-Windows-Bits-Client",
               "Microsoft-Windows-RemoteDesktopServices-RdpCoreTS", "Odd  Provider!", None)
@@ -90,10 +90,8 @@ def inherited_context(spark, sf):
 
 @query(f"""
 WITH pool AS (SELECT p_brand AS value, count(*) AS weight FROM part GROUP BY 1),
-c AS (SELECT value, CAST(sum(weight) OVER (ORDER BY value) AS DOUBLE) / CAST(sum(weight) OVER () AS DOUBLE) AS hi FROM pool),
-b AS (SELECT value, coalesce(lag(hi) OVER (ORDER BY value), 0.0) AS lo, hi FROM c),
-d AS (SELECT event_id, {sql_fraction("'pick|' || event_id")} AS u FROM events)
-SELECT event_id, value FROM d JOIN b ON u >= lo AND u < hi""")
+{sql_alias("pool", "value", "weight")}
+SELECT event_id, id AS value FROM ({sql_drawn("events", "event_id", sql_fraction("'pick|' || event_id"))})""")
 def weighted_picks(spark, sf):
     pool = load(spark, sf, "part").groupBy(F.col("p_brand").alias("value")).agg(F.count("*").alias("weight"))
     rows = load(spark, sf, "events").select("event_id")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from watchloom.sources.splits import read_csv_records, read_json_array  # noqa: F401 - readers too
+
 STAGES = "array<struct<name:string,delay:double,events:array<map<string,string>>>>"
 PROFILE = (
     "struct<table:string,record_count:bigint,sources:map<string,bigint>,mined_at:string,"
@@ -76,27 +78,6 @@ def read_jsonl(spark: SparkSession, path: str | Sequence[str]) -> tuple[DataFram
     return good, bad
 
 
-def read_json_array(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Members of a file that holds a list of objects, or its one object; other members are left
-    out. One row per member: ``file, pos, line`` (the object as JSON text)."""
-    docs = spark.read.text(path, wholetext=True).select(
-        F.input_file_name().alias("file"), F.trim("value").alias("_doc"))
-    listed = F.when(F.col("_doc").startswith("["), F.col("_doc")).otherwise(
-        F.concat(F.lit("["), F.col("_doc"), F.lit("]")))
-    items = F.expr("try_cast(try_parse_json(_list) AS array<variant>)")
-    return (
-        docs.withColumn("_list", listed)
-        .select("file", F.posexplode(items).alias("pos", "_v"))
-        .filter(F.expr("schema_of_variant(_v)").startswith("OBJECT"))
-        .select("file", "pos", F.expr("to_json(_v)").alias("line"))
-    )
-
-
-def read_csv_records(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Header row, every value as text; quoted values may hold line breaks, empty text stays empty."""
-    return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, nullValue="\u0000", emptyValue="", escape='"')
-
-
 def read_winevent_json(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Exported Windows records, unwrapped: provider, event id text and the event as JSON."""
     lines = spark.read.text(path).filter(F.trim("value") != "")
