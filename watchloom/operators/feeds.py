@@ -7,6 +7,7 @@ Each job takes the accepted rows of one class (attribute names) and yields
 from __future__ import annotations
 
 import shlex
+from collections.abc import Callable, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,16 +15,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from watchloom.catalog import dims
+from watchloom.catalog.model import ColumnSpec
 from watchloom.catalog.feeds import DEFAULT_SYSLOG, DEFAULT_WINEVENT, SyslogFormat, VendorFormat, WinEventFormat
 from watchloom.catalog.tables import GENERIC, spec_of
 from watchloom.functions import sqltext as T
 from watchloom.functions.hashing import stable_uuid_sql, uuid5_hex_sql
 from watchloom.operators.normalize import table_name
 from watchloom.operators.ordered import global_rank
+from watchloom.operators.rowprogram import accepted_rows, given_texts, wide_name, wide_rows
 from watchloom.operators.settings import Settings
+from watchloom.session import materialise
 
 CEF_SLOTS = 6
-#: columns that have a place of their own in a CEF line or are left out of it
+#: columns that have a place of their own in a CEF line or are left out of it (fixed values)
 CEF_CONSUMED = (
     "TimeGenerated", "SourceSystem", "Type", "AlertSeverity", "IPAddress", "DestinationIP",
     "AccountName", "DeviceName", "CorrelationId", "Id", "TenantId", "OSPlatform",
@@ -192,11 +196,11 @@ def _lines(df: DataFrame, feed: str | Column, line: Column, keep: tuple[str, ...
         line.alias("line"))
 
 
-def json_sql(name: str) -> str:
+def json_sql(name: str, place_of: Callable[[ColumnSpec], str] = lambda c: c.attr) -> str:
     """The exported record of a class: public names, no labels, ISO times, nulls kept."""
     spec = spec_of(name)
     place = {c.public: c for c in spec.columns if not c.hidden and c.attr not in dims.LABEL_COLUMNS}
-    pairs = [f"{T.lit(public)}, {T.iso_ts(c.attr) if c.kind == 'time' else c.attr}" for public, c in place.items()]
+    pairs = [f"{T.lit(public)}, {T.iso_ts(c.attr) if c.kind == 'time' else place_of(c)}" for public, c in place.items()]
     if {"location", "city"} <= set(spec.by_attr):
         pairs.append("'LocationDetails', named_struct('countryOrRegion', location, 'city', city)")
     if "spf_pass" in spec.by_attr:
@@ -239,11 +243,11 @@ def export_vendor(df: DataFrame, name: str, keep: tuple[str, ...] = (), settings
     return _lines(df, made[0], made[1], keep)
 
 
-def feed_lines(df: DataFrame, name: str, settings: Settings = Settings(),
-               keep: tuple[str, ...] = (), serial: str | None = None) -> DataFrame:
-    """Every feed of a class from one pass: rendered side by side, then exploded."""
+def line_parts(name: str, settings: Settings, serial: str | None = None,
+               place_of: Callable[[ColumnSpec], str] = lambda c: c.attr) -> Column:
+    """Every feed of a class, rendered side by side: an array of ``feed, line``; a feed that has no line has null."""
     pair = lambda feed, line: F.struct(feed.alias("feed"), line.alias("line"))
-    parts = [pair(F.lit("json"), F.expr(json_sql(name))), pair(F.lit("cef"), cef_line(name, settings)[0]),
+    parts = [pair(F.lit("json"), F.expr(json_sql(name, place_of))), pair(F.lit("cef"), cef_line(name, settings)[0]),
              pair(F.lit("syslog"), F.expr(syslog_sql(name, settings)))]
     if name == GENERIC.name or spec_of(name).source.lower() not in dims.NON_WINDOWS_SOURCES:
         gated = F.when(writes_winevents(F.col("source")), F.expr(winevent_sql(name, settings)))
@@ -253,14 +257,53 @@ def feed_lines(df: DataFrame, name: str, settings: Settings = Settings(),
         parts.append(pair(*made))
     lines = F.array(*parts)
     audit = auditd_lines(name, settings, serial) if serial else None
-    if audit is not None:
-        lines = F.concat(lines, F.transform(audit, lambda a: pair(F.lit("auditd"), a)))
+    return lines if audit is None else F.concat(lines, F.transform(audit, lambda a: pair(F.lit("auditd"), a)))
+
+
+def _exploded(df: DataFrame, lines: Column, keep: tuple[str, ...]) -> DataFrame:
     table = table_name(F.col("event_type"), F.col("source")).alias("table")
     return df.select(*keep, table, F.col("timestamp").alias("ts"), F.inline(lines)).filter(F.col("line").isNotNull())
 
 
+def feed_lines(df: DataFrame, name: str, settings: Settings = Settings(),
+               keep: tuple[str, ...] = (), serial: str | None = None) -> DataFrame:
+    """Every feed of a class from one pass: rendered side by side, then exploded."""
+    return _exploded(df, line_parts(name, settings, serial), keep)
+
+
+def audit_serials(routed: DataFrame, models: Sequence[str], settings: Settings = Settings(), first_serial: int = 0) -> DataFrame:
+    """``_row, serial``: the place, in order of time, of each routed record of a class with audit records.
+
+    Only ids and times are ordered. A record that its class then refuses leaves a gap.
+    """
+    rows = wide_rows(given_texts(routed, models), models, settings, ("row_id",), only=("timestamp",))
+    # written once, since ordering reads its input twice
+    narrow = materialise(rows.select(F.col("row_id").alias("_row"), F.col("timestamp").alias("_ts")))
+    ranked = global_rank(narrow, ["_ts", "_row"], "serial")
+    return ranked.select("_row", (F.col("serial") + 1 + first_serial).alias("serial"))
+
+
+def export_records(routed: DataFrame, models: Sequence[str], settings: Settings = Settings(), first_serial: int = 0,
+                   keep: tuple[str, ...] = ()) -> DataFrame:
+    """All feeds of all classes from one scan of the routed records: ``table, ts, feed, line`` of what the classes accept.
+
+    Records of classes with audit records meet their serial by id; that reads ids and times once more.
+    """
+    audited = [name for name in models if spec_of(name).feeds.get("auditd") is not None]
+    kept = ["row_id", "model", *keep]
+    if audited:
+        serials = audit_serials(routed, audited, settings, first_serial)
+        routed, kept = routed.join(serials, F.col("row_id") == F.col("_row"), "left").drop("_row"), [*kept, "serial"]
+    rows = accepted_rows(routed, models, settings, list(dict.fromkeys(kept)))
+    lines = None
+    for name in models:
+        own = line_parts(name, settings, "serial" if name in audited else None, wide_name)
+        lines = F.when(F.col("model") == name, own) if lines is None else lines.when(F.col("model") == name, own)
+    return _exploded(rows, lines, keep)
+
+
 def export_run(tables: dict[str, DataFrame], settings: Settings = Settings(), first_serial: int = 0) -> DataFrame:
-    """All feeds of all classes as one set of lines; persist it before writing several sinks.
+    """All feeds of tables that are there already, as one set of lines; ``export_records`` does it from routed records in one scan.
 
     Rows of classes with audit records get a serial first, in order of time over all those classes, which the
     records of one event share. Only their ids and times are ordered.

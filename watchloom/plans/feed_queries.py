@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from watchloom.catalog import dims
@@ -15,7 +13,7 @@ from watchloom.operators.settings import Settings
 from watchloom.plans.inputs import EV, events, raw_events
 from watchloom.plans.normalize_queries import MODELS, RUN, SQL_MODEL, accepted, routed, routed_once
 from watchloom.plans.registry import query, sql_in, sql_uuid
-from watchloom.session import checkpoint_dir
+from watchloom.session import dealt
 
 SETTINGS = Settings(run_id="run-1", vendor="Acme")
 _SEV = "['critical', 'High', 'medium', 'LOW', 'informational'][event_id % 5 + 1]"
@@ -184,18 +182,22 @@ def json_lines(spark, sf):
 
 # --- audit records ------------------------------------------------------------------------
 
-def linux_rows(spark, sf):
-    """Events as Linux records of four classes, with the serial each keeps over its lines."""
-    ev = serial_rank(events(spark, sf), "event_id", "rank")
+def linux_raw():
+    """An event as a Linux record of one of five classes."""
     kind = F.expr("CASE event_type WHEN 'click' THEN 'linux_process' WHEN 'view' THEN 'linux_auth' WHEN 'error' THEN 'linux_sudo' WHEN 'signup' THEN 'linux_cron' ELSE 'linux_audit' END")
-    raw = F.create_map(
+    return F.create_map(
         F.lit("event_type"), kind, F.lit("source"), F.lit("linux"), F.lit("timestamp"), F.col("ts").cast("string"),
         F.lit("pid"), F.col("k").cast("string"), F.lit("exe"), F.lit("/usr/bin/run"),
         F.lit("args"), F.concat(F.lit("run --job "), F.col("k"), F.lit(' "two words"')),
         F.lit("user"), F.concat(F.lit("u"), F.col("user_id")), F.lit("command"), F.concat(F.lit("cat /tmp/"), F.col("k")),
         F.lit("log_message"), F.when(F.col("k") % 2 == 0, "Failed password").otherwise("Accepted password"),
         F.lit("audit_msg"), F.lit("arch=c000003e"))
-    return N.route_event_type(ev.select(F.col("event_id").alias("row_id"), (F.col("rank") + 1).alias("serial"), raw.alias("raw")))
+
+
+def linux_rows(spark, sf):
+    """Events as Linux records, with the serial each keeps over its lines."""
+    ev = serial_rank(events(spark, sf), "event_id", "rank")
+    return N.route_event_type(ev.select(F.col("event_id").alias("row_id"), (F.col("rank") + 1).alias("serial"), linux_raw().alias("raw")))
 
 
 _AT = """'msg=audit(' || ((epoch_us(ts) + 500) // 1000 // 1000) || '.' || lpad(CAST((epoch_us(ts) + 500) // 1000 % 1000 AS VARCHAR), 3, '0') || ':' || serial || '): '"""
@@ -233,13 +235,11 @@ def audit_record_counts(spark, sf):
 LINUX = ("linux_process", "linux_auth", "linux_sudo", "linux_cron", "linux_audit")
 
 
-def all_tables(spark, sf):
-    """Accepted rows of every class that the event log plays, and of the Linux classes, from one written pass."""
-    linux = linux_rows(spark, sf).select((F.col("row_id") + 10 ** 12).alias("row_id"), "raw")
+def all_lines(spark, sf):
+    """The feeds of every class that the event log plays, and of the Linux classes, from one scan of their records."""
+    linux = dealt(events(spark, sf)).select((F.col("event_id") + 10 ** 12).alias("row_id"), linux_raw().alias("raw"))
     records = raw_events(spark, sf).unionByName(linux)
-    path = f"{checkpoint_dir(spark)}/routed-{uuid.uuid4()}"
-    rows = N.materialise_routed(N.route_event_type(N.flatten_data(records)), path)
-    return {name: N.normalize(rows, name, SETTINGS)[0] for name in (*MODELS, *LINUX)}
+    return X.export_records(N.route_event_type(N.flatten_data(records)), (*MODELS, *LINUX), SETTINGS)
 
 
 #: table and feed of every line of those tables
@@ -256,7 +256,7 @@ f AS (SELECT CASE model WHEN 'process' THEN 'DeviceProcessEvents' WHEN 'signin'
 SELECT feed, count(*) AS lines, 0::BIGINT AS broken FROM f GROUP BY 1""")
 def feed_gates(spark, sf):
     """Every feed of every class, counted and checked in one pass."""
-    return Q.gate_summary(X.export_run(all_tables(spark, sf), SETTINGS))
+    return Q.gate_summary(all_lines(spark, sf))
 
 
 @query(f"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,14 +11,15 @@ from watchloom.functions.severity import cef_severity, syslog_priority
 from watchloom.operators import normalize as N
 from watchloom.operators.feeds import export_run  # noqa: F401 - part of the run
 from watchloom.operators.ordered import SERIAL_WIDTH, running_max_before
+from watchloom.operators.rowprogram import accepted_rows
 from watchloom.operators.settings import Settings
 from watchloom.plans.inputs import EV, raw_events
 from watchloom.plans.normalize_queries import MODELS, RUN, SQL_MODEL
 from watchloom.plans.registry import query, sql_case
-from watchloom.session import checkpoint_dir, materialise
+from watchloom.session import materialise
 
-#: columns every class has
-BASE = ("row_id", "timestamp", "source", "event_type", "severity", "hostname", "user_name", "is_malicious")
+#: columns that the report needs of every class
+BASE = ("timestamp", "source", "event_type", "severity")
 
 
 def normalise_run(raw: DataFrame, models: Sequence[str], settings: Settings = Settings(),
@@ -61,12 +61,8 @@ FROM g GROUP BY ALL""")
 def telemetry_by_hour(spark: SparkSession, sf: str) -> DataFrame:
     """Accepted telemetry per table and hour: volume, most urgent priority and severity, and the
     share of events that arrive after a later-stamped one."""
-    routed_path = f"{checkpoint_dir(spark)}/routed-{uuid.uuid4()}"
-    tables, _ = normalise_run(raw_events(spark, sf), MODELS, RUN, routed_path)
-    rows = None
-    for table in tables.values():
-        part = N.assign_table(table.select(*BASE)).select("row_id", "table", "severity", "timestamp")
-        rows = part if rows is None else rows.unionByName(part)
+    routed = N.route_event_type(N.flatten_data(raw_events(spark, sf)))
+    rows = N.assign_table(accepted_rows(routed, MODELS, RUN, ("row_id", "model"), only=BASE))
     drift = F.when(F.col("row_id") % 9 == 4, 660_000_000).otherwise(0)
     stamped = rows.select("row_id", "table", "severity", (F.unix_micros("timestamp") - drift).alias("us"))
     # the running maximum reads its input twice: once whole, once for its range summaries

@@ -10,10 +10,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.operators import feeds as X
 from watchloom.operators import profiling as P
 from watchloom.operators.sequence import time_inversions
-from watchloom.plans.feed_queries import SQL_LINES, all_tables
+from watchloom.plans.feed_queries import SQL_LINES, all_lines
 from watchloom.plans.function_queries import SQL_CLASS, SQL_WORDS, words
 from watchloom.plans.inputs import EV, load, raw_events, sql_table_of
 from watchloom.plans.normalize_queries import RUN, SQL_MODEL
@@ -36,7 +35,7 @@ UNION ALL SELECT 'unified', 'all', count(*) FROM f WHERE feed = 'json'
 UNION ALL SELECT CASE WHEN feed IN ('okta', 'fortinet', 'cisco_asa') THEN 'vendor' ELSE 'feed' END, feed, count(*) FROM f WHERE feed <> 'json' GROUP BY 1, 2""")
 def written_feeds(spark, sf):
     """Tables, the unified feed, line feeds and vendor feeds of all classes, written from one cached pass and read back."""
-    path, lines = scratch(spark), X.export_run(all_tables(spark, sf), RUN).persist()
+    path, lines = scratch(spark), all_lines(spark, sf).persist()
     try:
         json = lines.filter("feed = 'json'")
         sinks.write_tables(json, f"{path}/tables", max_records=5000)
@@ -124,6 +123,10 @@ def stored_profiles(spark, sf):
 
 # --- streams ------------------------------------------------------------------------------
 
+def _events(spark, sf) -> DataFrame:
+    return load(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.expr(sql_table_of()).alias("table"))
+
+
 def _event_stream(spark, sf) -> DataFrame:
     schema = load(spark, sf, "events").schema
     rows = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
@@ -131,17 +134,64 @@ def _event_stream(spark, sf) -> DataFrame:
     return rows.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("table", table)
 
 
+def _by_quarters(spark, sf, path):
+    """The events written one quarter of their time after the other; ``run(i)`` gets its turn behind each."""
+    rows = _events(spark, sf)
+    cuts = rows.select(F.percentile_approx(F.unix_micros("ts"), F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)]), F.lit(1000)).alias("c")).first()["c"] or []
+    bounds = [None, *sorted(set(cuts)), None]
+    for i, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        own = rows
+        if low is not None:
+            own = own.filter(F.unix_micros("ts") >= low)
+        if high is not None:
+            own = own.filter(F.unix_micros("ts") < high)
+        own.write.parquet(f"{path}/in/part={i}")
+        yield spark.readStream.schema(rows.schema).parquet(f"{path}/in/*")
+
+
+def _rate_of_quarters(spark, sf, slide=None):
+    path = scratch(spark)
+    for stream in _by_quarters(spark, sf, path):
+        # the same checkpoint each time: every quarter is a batch of its own, on all tasks
+        jobs.run_to_completion(jobs.stream_rate_table(stream, "ts", "1 hour", f"{path}/out", f"{path}/state", slide))
+    return jobs.rate_table(spark, f"{path}/out").select(F.unix_micros("window_start").alias("from_us"), "table", "events")
+
+
 @query(f"""
 SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, ts)) AS from_us, {sql_table_of()} AS "table", count(*) AS events FROM events GROUP BY 1, 2""")
 def streamed_hourly_rate(spark, sf):
-    """The windowed rate of a stream equals that of the same rows in batch."""
+    """The windowed rate of a stream of several batches, by updates, equals that of the same rows in batch."""
+    return _rate_of_quarters(spark, sf)
+
+
+@query(f"""
+SELECT epoch_us(time_bucket(INTERVAL 15 MINUTE, ts)) - n * 900000000 AS from_us, {sql_table_of()} AS "table", count(*) AS events FROM events, range(4) t(n) GROUP BY 1, 2""")
+def streamed_sliding_rate(spark, sf):
+    """Windows of an hour that start every quarter of an hour."""
+    return _rate_of_quarters(spark, sf, "15 minutes")
+
+
+@query("""
+WITH q AS (SELECT event_id, ts, event_id % 10 = 3 AS again FROM events), m AS (SELECT max(ts) AS top FROM events)
+SELECT CAST(event_id AS VARCHAR) AS id, CASE WHEN event_id % 20 = 7 THEN 'shed' ELSE 'kept' END AS fate FROM q
+UNION ALL SELECT 'again' || event_id, CASE WHEN ts < top - INTERVAL 15 MINUTE THEN 'late' WHEN event_id % 20 = 7 THEN 'shed' ELSE 'kept' END FROM q, m WHERE again""")
+def streamed_rows_aside(spark, sf):
+    """Events in the order of their time and then a tenth of them again: where each row of the stream went."""
     path = scratch(spark)
-    rate = jobs.stream_rate(_event_stream(spark, sf), "ts", "1 hour")
-    run = rate.writeStream.outputMode("complete").foreachBatch(
-        lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/out")
-    ).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    jobs.run_to_completion(run)
-    return spark.read.parquet(f"{path}/out").select(F.unix_micros("window_start").alias("from_us"), "table", "events")
+    write = lambda name: lambda rows, i: rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={i}")
+    shed = F.col("event_id") % 20 == 7
+
+    def run(stream):
+        named = stream.select("event_id", "ts", F.concat(F.when(F.col("again"), "again").otherwise(""), F.col("event_id")).alias("id"))
+        jobs.run_to_completion(jobs.stream_aside(named, "ts", write("kept"), write("aside"), f"{path}/seen", f"{path}/state", shed=shed))
+
+    for stream in _by_quarters(spark, sf, path):
+        run(stream.withColumn("again", F.lit(False)))
+    rows = _events(spark, sf)
+    rows.filter("event_id % 10 = 3").write.parquet(f"{path}/in/part=again")
+    run(spark.readStream.schema(rows.schema).parquet(f"{path}/in/*").withColumn("again", F.lit(True)))
+    return spark.read.parquet(f"{path}/kept").select("id", F.lit("kept").alias("fate")).unionByName(
+        spark.read.parquet(f"{path}/aside").select("id", F.col("reason").alias("fate")))
 
 
 @query("SELECT event_id FROM events")
@@ -197,6 +247,36 @@ def streamed_fan_out(spark, sf):
     return spark.read.parquet(f"{path}/out").groupBy("feed").agg(F.count("*").alias("lines"))
 
 
+@query(f"""
+WITH {EV}, o AS (SELECT * FROM ev WHERE {_OK}), l AS (SELECT unnest(['cef', 'json', 'syslog']) AS feed, count(*) AS lines FROM o
+  UNION ALL SELECT 'winxml', count(*) FROM o WHERE event_type = 'view'
+  UNION ALL SELECT CASE WHEN event_type = 'view' THEN 'okta' WHEN k % 3 = 0 THEN 'cisco_asa' ELSE 'fortinet' END, count(*) FROM o GROUP BY 1)
+SELECT sink, feed, lines FROM l, (VALUES ('steady'), ('flaky'), ('down at first')) s(sink)""")
+def redelivered_batches(spark, sf):
+    """One sink takes all, one fails twice, one is down for the whole first run: all end with every line once."""
+    path = scratch(spark)
+    raw_events(spark, sf).select(F.to_json("raw", {"ignoreNullFields": "false"}).alias("value")).write.text(f"{path}/in")
+    fails = {"flaky": 2, "down at first": 10 ** 9}
+
+    def sink(name):
+        def take(batch, i):
+            if fails.get(name, 0) > 0:
+                fails[name] -= 1
+                raise RuntimeError("sink down")
+            batch.write.mode("overwrite").parquet(f"{path}/out/sink={name}/batch={i}")
+        return take
+
+    def run():
+        jobs.run_to_completion(jobs.stream_fanout(
+            jobs.read_jsonl_stream(spark, f"{path}/in", 3), ["firewall", "signin"], {n: sink(n) for n in ("steady", "flaky", "down at first")}, f"{path}/state",
+            lambda rows, i: rows.write.mode("overwrite").parquet(f"{path}/refused/batch={i}"), RUN, ledger=sinks.Ledger(spark, f"{path}/ledger")))
+
+    run()
+    fails["down at first"] = 0
+    run()
+    return spark.read.parquet(f"{path}/out").groupBy("sink", "feed").agg(F.count("*").alias("lines"))
+
+
 @query("""SELECT event_type AS "table", count(*) AS n FROM events GROUP BY 1""")
 def streamed_profile(spark, sf):
     """Profile counts that grow with every batch of a stream."""

@@ -81,10 +81,8 @@ def apply_retention(spark: SparkSession, path: str, keep: int, glob: str = "*")
     File names are a listing, small next to what the files hold.
     """
     old = [r["path"] for r in retained_files(spark, path, keep, glob).filter("NOT keep").select("path").collect()]
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name in old:
-        target = jvm.org.apache.hadoop.fs.Path(name)
-        target.getFileSystem(conf).delete(target, False)
+        _remove(spark, name)
     return len(old)
 
 
@@ -169,18 +167,101 @@ def write_profile_documents(counts: DataFrame, tallies: DataFrame, path: str, mi
     lines.repartition("table").write.mode("overwrite").partitionBy("table").text(path)
 
 
-def fan_out(batch: DataFrame, batch_id: int, sinks: Mapping[str, Callable[[DataFrame, int], None]]) -> dict[str, str]:
+Sinks = Mapping[str, Callable[[DataFrame, int], None]]
+
+
+class Ledger:
+    """What sinks still have to get: a table of (sink, batch, attempt, state) and the rows of the batches it names.
+
+    Only deliveries that fail are written down, and then how they go on; the last attempt of a sink and batch counts. A
+    batch's rows are kept until every sink has them. One writer at a time.
+    """
+
+    SCHEMA = "sink string, batch long, attempt int, state string, error string"
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _note(self, sink: str, batch_id: int, attempt: int, state: str, error: str | None = None) -> None:
+        row = self.spark.createDataFrame([(sink, batch_id, attempt, state, error)], self.SCHEMA)
+        row.coalesce(1).write.mode("append").json(f"{self.path}/notes")
+
+    def states(self) -> DataFrame:
+        """The last state of each delivery that failed at least once: sink, batch, attempt, state, error."""
+        if not _exists(self.spark, f"{self.path}/notes"):
+            return self.spark.createDataFrame([], self.SCHEMA)
+        notes = self.spark.read.schema(self.SCHEMA).json(f"{self.path}/notes")
+        return notes.groupBy("sink", "batch").agg(F.max_by(F.struct("attempt", "state", "error"), "attempt").alias("last")).select(
+            "sink", "batch", "last.*")
+
+    def open(self) -> list:
+        """Deliveries that are due, oldest batch first. As many rows as there are undelivered batches."""
+        return self.states().filter("state = 'failed'").orderBy("batch", "sink").collect()
+
+    def hold(self, rows: DataFrame, batch_id: int, failed: Mapping[str, str]) -> None:
+        """Keep a batch for the sinks that did not take it. The rows are written before the notes."""
+        rows.write.mode("overwrite").parquet(f"{self.path}/rows/batch={batch_id}")
+        for sink, error in failed.items():
+            self._note(sink, batch_id, 1, "failed", error)
+
+    def redeliver(self, sinks: Sinks) -> set[str]:
+        """Hand every batch that is due to its sink again; gives the sinks that still fail. A sink gets its batches in order."""
+        due = self.open()
+        down: set[str] = set()
+        for r in due:
+            if r["sink"] in down or r["sink"] not in sinks:
+                down.add(r["sink"])
+                continue
+            try:
+                sinks[r["sink"]](self.spark.read.parquet(f"{self.path}/rows/batch={r['batch']}"), r["batch"])
+                self._note(r["sink"], r["batch"], r["attempt"] + 1, "delivered")
+            except Exception as error:  # noqa: BLE001 - one sink must not stop the rest
+                down.add(r["sink"])
+                self._note(r["sink"], r["batch"], r["attempt"] + 1, "failed", str(error))
+                log.warning("sink %s failed again on batch %s: %s", r["sink"], r["batch"], error)
+        left = {r["batch"] for r in due if r["sink"] in down}
+        for batch_id in {r["batch"] for r in due} - left:
+            _remove(self.spark, f"{self.path}/rows/batch={batch_id}")
+        return down
+
+
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    system, target = _file_system(spark, path)
+    return system.exists(target)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    system, target = _file_system(spark, path)
+    system.delete(target, True)
+
+
+def fan_out(batch: DataFrame, batch_id: int, sinks: Sinks, ledger: Ledger | None = None) -> dict[str, str]:
     """Hand one batch to every sink. A sink that fails does not keep the others from theirs;
-    what failed is returned by sink name."""
+    what failed is returned by sink name.
+
+    With a ledger, batches that are due come first, a sink that is still down does not get the new one out of turn, and
+    what a sink did not take is kept for it.
+    """
     failed: dict[str, str] = {}
     cached = batch.persist()
     try:
+        down = ledger.redeliver(sinks) if ledger else set()
         for name, sink in sinks.items():
+            if name in down:
+                failed[name] = "an earlier batch is still due"
+                continue
             try:
                 sink(cached, batch_id)
             except Exception as error:  # noqa: BLE001 - one sink must not stop the rest
                 failed[name] = str(error)
                 log.warning("sink %s failed on batch %s: %s", name, batch_id, error)
+        if failed and ledger:
+            ledger.hold(cached, batch_id, failed)
     finally:
         cached.unpersist()
     return failed

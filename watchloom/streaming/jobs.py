@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from watchloom.operators.feeds import export_run
+from watchloom.operators.feeds import export_records
 from watchloom.operators.normalize import flatten_data, normalize, route_event_type, table_name
 from watchloom.operators.profiling import field_counts, settle_kinds
+from watchloom.operators.rowprogram import judged
 from watchloom.operators.settings import Settings
-from watchloom.sources.sinks import fan_out
+from watchloom.sources.sinks import Ledger, fan_out
 
 #: writers are up to about eleven minutes out of order
 LATENESS = "15 minutes"
@@ -41,17 +42,23 @@ def numbered(batch: DataFrame) -> DataFrame:
     return batch.withColumn("row_id", F.concat_ws("#", "file", "block", F.monotonically_increasing_id()))
 
 
+def routed_batch(batch: DataFrame, models: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(routed records, ``row_id, model, line, reasons`` of lines that do not parse and of records of other classes)."""
+    routed = route_event_type(flatten_data(batch.filter(F.col("raw").isNotNull())))
+    unread = batch.filter(F.col("raw").isNull()).select(
+        "row_id", F.lit(None).cast("string").alias("model"), "line", F.array(F.lit("unparsed")).alias("reasons"))
+    other = routed.filter(~F.col("model").isin(*models)).select("row_id", "model", "line", F.array(F.lit("class")).alias("reasons"))
+    return routed, unread.unionByName(other)
+
+
 def normalised_batch(batch: DataFrame, models: Sequence[str], settings: Settings = Settings()) -> tuple[dict[str, DataFrame], DataFrame]:
     """(accepted rows of each class, everything else) of a numbered batch.
 
     The second part, ``row_id, model, line, reasons``, has lines that do not parse, records of classes that were not
     asked for, and records their class does not accept: each row of the batch is in exactly one place.
     """
-    routed = route_event_type(flatten_data(batch.filter(F.col("raw").isNotNull())))
-    unread = batch.filter(F.col("raw").isNull()).select(
-        "row_id", F.lit(None).cast("string").alias("model"), "line", F.array(F.lit("unparsed")).alias("reasons"))
-    other = routed.filter(~F.col("model").isin(*models)).select("row_id", "model", "line", F.array(F.lit("class")).alias("reasons"))
-    tables, refused = {}, unread.unionByName(other)
+    routed, refused = routed_batch(batch, models)
+    tables = {}
     for name in models:
         tables[name], bad = normalize(routed, name, settings, keep=("row_id", "line"))
         refused = refused.unionByName(bad.select("row_id", "model", "line", "reasons"))
@@ -78,18 +85,25 @@ def stream_normalise(raw: DataFrame, models: Sequence[str], accepted: Callable[[
 
 def stream_fanout(raw: DataFrame, models: Sequence[str], sinks: Mapping[str, Callable[[DataFrame, int], None]],
                   checkpoint: str, quarantine: Callable[[DataFrame, int], None], settings: Settings = Settings(),
-                  on_failure: Callable[[int, dict], None] | None = None) -> StreamingQuery:
+                  on_failure: Callable[[int, dict], None] | None = None, ledger: Ledger | None = None) -> StreamingQuery:
     """Every batch normalised, rendered and handed to all sinks, then the query ends when the
     input is drained. Sinks get rows ``table, ts, feed, line`` and the batch id, which they can
-    use to overwrite a batch that is replayed; ``quarantine`` gets what no table took."""
+    use to overwrite a batch that is replayed; ``quarantine`` gets what no table took.
+
+    With a ledger a sink that fails gets its batches again, in order: before the next one, and when the stream is started
+    again. Without one a batch that a sink does not take is told to ``on_failure`` and is lost to that sink.
+    """
+    if ledger:
+        ledger.redeliver(sinks)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         own = numbered(batch).persist()
         try:
-            tables, refused = normalised_batch(own, models, settings)
-            lines = export_run(tables, settings, first_serial=batch_id * BATCH_SERIALS)
-            failed = fan_out(lines, batch_id, sinks)
-            quarantine(refused, batch_id)
+            routed, refused = routed_batch(own, models)
+            bad = judged(routed, models).filter(F.size("errors") > 0)
+            lines = export_records(routed, models, settings, first_serial=batch_id * BATCH_SERIALS)
+            failed = fan_out(lines, batch_id, sinks, ledger)
+            quarantine(refused.unionByName(bad.select("row_id", "model", "line", F.col("errors").alias("reasons"))), batch_id)
         finally:
             own.unpersist()
         if failed and on_failure:
@@ -111,6 +125,50 @@ def stream_rate(df: DataFrame, ts: str, window: str, slide: str | None = None, t
     return rate(df.withWatermark(ts, lateness), ts, window, slide, table)
 
 
+def stream_rate_table(df: DataFrame, ts: str, window: str, path: str, checkpoint: str, slide: str | None = None,
+                      table: str = "table", lateness: str = LATENESS) -> StreamingQuery:
+    """The windowed rate as a table that grows with the stream: a batch writes only the windows it changed, as an
+    update numbered by the batch, and windows that the watermark has passed leave the state."""
+    changed = stream_rate(df, ts, window, slide, table, lateness)
+    return changed.writeStream.outputMode("update").foreachBatch(
+        lambda batch, i: batch.write.mode("overwrite").parquet(f"{path}/batch={i}")).option(
+        "checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def rate_table(spark: SparkSession, path: str, table: str = "table") -> DataFrame:
+    """The last update of every window."""
+    return spark.read.parquet(path).groupBy("window_start", "window_end", table).agg(F.max_by("events", "batch").alias("events"))
+
+
+def stream_aside(df: DataFrame, ts: str, keep: Callable[[DataFrame, int], None], aside: Callable[[DataFrame, int], None],
+                 path: str, checkpoint: str, lateness: str = LATENESS, shed: Column | None = None) -> StreamingQuery:
+    """Each row of a stream goes to ``keep`` or, with a reason, to ``aside``: ``late`` when it lies further behind the latest
+    time of the earlier batches than the lateness allows, ``shed`` when the condition says so.
+
+    The latest time is written by batch, and a replayed batch starts from that of the batch before it, so it is split the
+    same way. A row without a time is kept. Both functions should overwrite what they wrote for the same batch id.
+    """
+    spark = df.sparkSession
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.persist()
+        try:
+            seen = spark.read.schema("at timestamp").parquet(f"{path}/batch={batch_id - 1}").first()["at"] if batch_id else None
+            edge = F.lit(seen).cast("timestamp") - F.expr(f"INTERVAL {lateness}")
+            late = F.coalesce(F.col(ts) < edge, F.lit(False))
+            reason = F.when(late, "late")
+            if shed is not None:
+                reason = reason.when(F.coalesce(shed, F.lit(False)), "shed")
+            marked = rows.withColumn("reason", reason)
+            keep(marked.filter("reason IS NULL").drop("reason"), batch_id)
+            aside(marked.filter("reason IS NOT NULL"), batch_id)
+            rows.agg(F.greatest(F.max(ts).cast("timestamp"), F.lit(seen).cast("timestamp")).alias("at")).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        finally:
+            rows.unpersist()
+
+    return df.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def stream_dedup(df: DataFrame, key: str, ts: str, lateness: str = LATENESS) -> DataFrame:
     """First row per id within the lateness bound; state older than that is let go."""
     return df.withWatermark(ts, lateness).dropDuplicatesWithinWatermark([key])
