@@ -19,11 +19,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import Pool, ragged, range_counts, shared_path, slices, small_batches, texts_of, with_bucket
+from watchloom.llm.common import Pool, ragged, range_counts, shared_path, slices, small_batches, totals, with_bucket
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -110,18 +111,27 @@ def library(name: str) -> Library:
     return Library(name)
 
 
-def encode_texts(texts: list[str], name: str, end: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, flat, each text followed by the end id, and how many each has."""
+def encode_texts(texts: pa.Array | list[str], name: str, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, flat, each text followed by the end id, and how many each has.
+
+    Arrow cuts the texts at blanks and numbers the distinct pieces; only those are looked up.
+    """
     pool = library(name).units
     pool.begin()
+    parts = pc.split_pattern(pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), ""), " ")
+    cuts = np.append(0, np.cumsum(parts.value_lengths().to_numpy().astype(np.int64)))
+    coded = parts.flatten().dictionary_encode()
+    piece = coded.indices.to_numpy()
     units: list[str] = []
-    cuts = np.zeros(len(texts) + 1, np.int64)
-    for i, text in enumerate(texts):
-        units += units_of(text)
-        cuts[i + 1] = len(units)
+    n_units = np.zeros(len(coded.dictionary), np.int64)
+    for i, text in enumerate(coded.dictionary.to_pylist()):
+        own = units_of(text)
+        n_units[i] = len(own)
+        units += own
     at = pool.indices(units)
-    sums = np.concatenate([[0], np.cumsum(pool.lengths[at], dtype=np.int64)])[cuts]
-    flat = pool.ids(at)
+    lengths = totals(pool.lengths[at].astype(np.int64), n_units)
+    flat = ragged(pool.ids(at), (np.cumsum(lengths) - lengths)[piece], lengths[piece])
+    sums = np.append(0, np.cumsum(lengths[piece]))[cuts]
     if end is None:
         return flat, np.diff(sums)
     return np.insert(flat, sums[1:], end), np.diff(sums) + 1
@@ -162,7 +172,7 @@ def write_token_files(docs: DataFrame, path: str | None = None, name: str = VOCA
         part, block = TaskContext.get().partitionId(), 0
         for batch in batches:
             for piece in slices(batch, "text", 1 << 20):
-                flat, counts = encode_texts(texts_of(piece.column(1)), name, end)
+                flat, counts = encode_texts(piece.column(1), name, end)
                 ids = np.array(piece.column(0).fill_null(0), np.int64)
                 missing = np.array(piece.column(0).is_null().to_numpy(zero_copy_only=False), np.uint8)
                 yield pa.RecordBatch.from_pylist([{
