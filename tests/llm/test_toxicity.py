@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -31,6 +32,21 @@ def test_segments_equal_their_definition():
         assert np.allclose([s for _, _, s in got], [s for _, _, s in want])
 
 
+def test_segments_take_linear_time():
+    def seconds(n):
+        scores = np.where(np.arange(3 * n) % 3 == 0, 1.0 + np.arange(3 * n) % 7 / 10, -0.9)
+        scores[::50] = -30.0 - np.arange(len(scores[::50])) % 5
+        start = time.perf_counter()
+        assert len(T.segments(scores)) > n / 60
+        return time.perf_counter() - start
+
+    seconds(1000)
+    assert seconds(16_000) < 0.5 and seconds(64_000) < 10 * max(seconds(16_000), 0.01)
+    falling = np.tile([1.0, -1.5], 100_000)
+    start = time.perf_counter()
+    assert len(T.segments(falling)) == 100_000 and time.perf_counter() - start < 3
+
+
 def test_evidence_looks_at_all_segments():
     for n, hits, value in ((20_000, 400, 4.0), (200_000, 500, 6.0)):
         scores = np.full(n, -0.1)

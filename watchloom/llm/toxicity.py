@@ -83,24 +83,27 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments (first, last, sum), found in one pass.
 
     Each run from one positive token up to the next is joined to earlier candidates while that raises the sum: a candidate
-    is merged with the latest one whose left total is smaller, if that one's right total is smaller too.
+    is merged with the latest one whose left total is smaller, if that one's right total is smaller too. Each candidate keeps a
+    link to that one, so no list is walked twice and the scan is linear.
     """
     found: list[tuple[int, int, float, float]] = []  # first, last, total left of it, total at its end
+    link: list[int] = []  # the latest earlier candidate whose left total is smaller; those between need not be looked at again
     total, before = 0.0, 0
     for i in np.flatnonzero(scores > 0).tolist():
         left = total + float(scores[before:i].sum())
         total = left + float(scores[i])
         before = i + 1
         first, low, high = i, left, total
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= low:
-                j -= 1
-            if j < 0 or found[j][3] >= high:
-                break
+        j = len(found) - 1
+        while j >= 0 and found[j][2] >= low:
+            j = link[j]
+        while j >= 0 and found[j][3] < high:
             first, low = found[j][0], found[j][2]
-            del found[j:]
+            above = link[j]
+            del found[j:], link[j:]
+            j = above
         found.append((first, i, low, high))
+        link.append(j)
     return [(a, b, high - low) for a, b, low, high in found]
 
 
