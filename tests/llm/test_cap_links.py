@@ -7,7 +7,7 @@ from watchloom.llm.queries import QUERIES
 def brute(rows, cosine=0.93):
     """(n_links, component) of each row by comparing all pairs."""
     def good(label, v):
-        return label is not None and v is not None and len(v) > 1 and all(x is not None and np.isfinite(x) for x in v) and any(v)
+        return label is not None and v is not None and len(v) > 0 and all(x is not None and np.isfinite(x) for x in v) and any(v)
 
     unit = [np.array(v, np.float64) / np.linalg.norm(np.array(v, np.float64)) if good(label, v) else None for _, label, v in rows]
     parent, links = list(range(len(rows))), [0] * len(rows)
@@ -86,3 +86,9 @@ def test_query_five_covers_the_table(spark, data):
     rows = [(r["vec_id"], r["label"], r["embedding"]) for r in table]
     got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in QUERIES["op5_embedding_links"](spark, data).collect()}
     assert [got[i] for i, _, _ in rows] == brute(rows)
+
+
+def test_vectors_of_one_component_have_a_sign(spark):
+    rows = [(i, 1, [v]) for i, v in enumerate([2.0, 0.5, -3.0, 0.0, 1e30, -1e-30])] + [(10, 2, [4.0]), (11, 1, [1.0, 0.0]), (12, 1, [float("nan")]), (13, None, [1.0])]
+    out = {r["vec_id"]: r for r in C.link(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    assert [(out[i]["n_links"], out[i]["component_id"]) for i, _, _ in rows] == brute(rows)

@@ -92,8 +92,10 @@ def link(vectors: DataFrame, cosine: float = 0.93) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of (vec_id, label, embedding)."""
     plain = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     e = F.col("embedding")
-    fit = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) >= 2) & F.forall(e, plain) & F.exists(e, lambda x: x != 0)
-    rows = vectors.select("vec_id", "label", "embedding").withColumn("node", F.when(F.coalesce(fit, F.lit(False)), F.xxhash64("label", "embedding")))
+    fit = F.col("label").isNotNull() & e.isNotNull() & (F.size(e) >= 1) & F.forall(e, plain) & F.exists(e, lambda x: x != 0)
+    # vectors of one component have a sign only
+    unit = F.when(F.size(e) == 1, F.transform(e, lambda x: F.signum(x))).otherwise(e).cast(vectors.schema["embedding"].dataType)
+    rows = vectors.select("vec_id", "label", F.when(F.coalesce(fit, F.lit(False)), unit).otherwise(e).alias("embedding")).withColumn("node", F.when(F.coalesce(fit, F.lit(False)), F.xxhash64("label", "embedding")))
     nodes = rows.where("node IS NOT NULL").groupBy("node", "label", "embedding").agg(F.count("*").alias("weight"))
     lists = written(_listed(nodes, cosine), "cap-lists")
 
@@ -137,9 +139,13 @@ def _listed(nodes: DataFrame, cosine: float) -> DataFrame:
                 x = np.array([raw[i] for i in at], np.float64)
                 x /= np.abs(x).max(axis=1, keepdims=True)
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
-                if dim not in books:
-                    books[dim] = codebooks(dim, words)
-                found, best = list_decode(x, books[dim], t)
+                if dim == 1:
+                    best = (x[:, 0] > 0).astype(np.int64)
+                    found = list(best[:, None])
+                else:
+                    if dim not in books:
+                        books[dim] = codebooks(dim, words)
+                    found, best = list_decode(x, books[dim], t)
                 base = dim << 44
                 filters = pa.ListArray.from_arrays(
                     pa.array(np.append(0, np.cumsum([len(f) for f in found])), pa.int32()), pa.array(np.concatenate(found) + base, pa.int64()))
