@@ -56,3 +56,15 @@ def test_odd_rows_and_empty_tables(spark, odd, empty):
     assert M.rates(odd, labels.limit(0)).count() == 12
     blank = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert {r["rate"] for r in M.rates(blank, labels).collect()} == {1.0}
+
+
+def test_given_documents_meet_the_targets(spark, data):
+    """On the given tables, from their own labels: totals, and how far toxic documents stand apart."""
+    larger = data.replace("sf0.001", "sf0.1")
+    labels = spark.read.parquet(f"{larger}/labels.parquet")
+    out = QUERIES["op6_mixing"](spark, larger).join(labels, "doc_id", "left").toPandas()
+    assert out.residual.max() <= M.TOLERANCE + 1e-4
+    for d, want in M.TARGETS.items():
+        assert abs((out.rate * out.n_words * out[f"p_{d}"]).sum() / out.n_words.sum() - want) < 0.005
+    good = (out.toxic == 0) & (out.quality == 1)
+    assert out.p_toxic[out.toxic == 1].mean() > 5 * out.p_toxic[good].mean() and out.p_toxic[out.toxic == 1].mean() > 0.9
