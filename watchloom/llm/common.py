@@ -84,6 +84,32 @@ def map_texts(
     return source.mapInArrow(run, out)
 
 
+def runs_of(texts: pa.Array, table: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The runs of bytes that the table does not turn into blanks, of all texts as one binary array; how many each text has."""
+    texts = pc.fill_null(texts, "")
+    if not len(texts):
+        return pa.array([], pa.large_binary()), np.zeros(0, np.int64)
+    texts = texts.cast(pa.large_string())
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    raw = (data.to_pybytes() if data else b"")[ends[0]:ends[-1]].translate(table)
+    ends = ends - ends[0]
+    if not raw:
+        return pa.array([], pa.large_binary()), np.zeros(len(texts), np.int64)
+    plain = np.frombuffer(raw, np.uint8)
+    inside = plain != 32
+    opens, closes = inside.copy(), inside.copy()
+    opens[1:] &= ~inside[:-1]
+    closes[:-1] &= ~inside[1:]
+    borders = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(plain))]
+    opens[borders] = inside[borders]
+    closes[borders - 1] = inside[borders - 1]
+    starts, stops = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    counts = np.diff(np.searchsorted(starts, ends))
+    offsets = np.append(0, np.cumsum(stops - starts)).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(plain[inside].tobytes())]), counts
+
+
 def ragged(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """flat[starts[0]:starts[0]+lengths[0]], then the next slice, and so on, in one array."""
     if not len(starts):

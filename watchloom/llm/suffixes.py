@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import ragged, shared_path, slices, small_batches, written
+from watchloom.llm.common import ragged, runs_of, shared_path, slices, small_batches, written
 
 WINDOW = 10
 #: Bytes of text in a shard, and of test texts that are looked for in one pass.
@@ -42,29 +42,7 @@ MATCHES = "item_id string, item_start int, doc_id long, doc_start int, n_words i
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The words of all texts as one binary array, and how many each text has."""
-    texts = pc.fill_null(texts, "")
-    if not len(texts):
-        return pa.array([], pa.binary()), np.zeros(0, np.int64)
-    texts = texts.cast(pa.large_string())
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset:texts.offset + len(texts) + 1]
-    data = texts.buffers()[2]
-    raw = (data.to_pybytes() if data else b"")[ends[0]:ends[-1]].translate(LOWER)
-    ends = ends - ends[0]
-    if not raw:
-        return pa.array([], pa.binary()), np.zeros(len(texts), np.int64)
-    plain = np.frombuffer(raw, np.uint8)
-    inside = plain != 32
-    opens, closes = inside.copy(), inside.copy()
-    opens[1:] &= ~inside[:-1]
-    closes[:-1] &= ~inside[1:]
-    borders = ends[1:-1][(ends[1:-1] > 0) & (ends[1:-1] < len(plain))]
-    opens[borders] = inside[borders]
-    closes[borders - 1] = inside[borders - 1]
-    starts, stops = np.flatnonzero(opens), np.flatnonzero(closes) + 1
-    counts = np.diff(np.searchsorted(starts, ends))
-    offsets = np.concatenate([[0], np.cumsum(stops - starts)])
-    words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(plain[inside].tobytes())])
-    return words, counts
+    return runs_of(texts, LOWER)
 
 
 def _packed(rank: np.ndarray, at: np.ndarray, step: int, bits: int, k: int) -> np.ndarray:
