@@ -13,6 +13,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 from pyspark.sql import SparkSession  # noqa: E402
 
 from watchloom.plans import catalogue  # noqa: E402
+from watchloom.session import JIT_LIMIT  # noqa: E402
 
 HEADLINE = (
     "telemetry_by_hour", "written_feeds", "feed_gates", "sorted_feed_file", "appliance_lines", "cef_lines",
@@ -32,6 +33,7 @@ def main() -> None:
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.hugeMethodLimit", str(JIT_LIMIT))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -323,3 +323,45 @@ def test_list_members_are_read_over_splits(spark, tmp_path, small_splits, size):
     small_splits(size)
     got = readers.read_json_array(spark, str(tmp_path / "in")).collect()
     assert sorted((r["file"].rsplit("/", 1)[1], r["pos"], json.dumps(json.loads(r["line"]), sort_keys=True)) for r in got) == sorted(want)
+
+
+def test_a_ledger_delivers_what_a_sink_missed_in_order(spark, tmp_path):
+    ledger, got, down = sinks.Ledger(spark, str(tmp_path / "ledger")), [], {"b": 3}
+
+    def sink(name):
+        def take(batch, i):
+            if down.get(name, 0) > 0:
+                down[name] -= 1
+                raise ValueError("down")
+            got.append((name, i, batch.count()))
+        return take
+
+    both = {n: sink(n) for n in "ab"}
+    for i in range(3):
+        sinks.fan_out(spark.range(i + 1).toDF("n"), i, both, ledger)
+    assert [x for x in got if x[0] == "a"] == [("a", 0, 1), ("a", 1, 2), ("a", 2, 3)] and [x for x in got if x[0] == "b"] == []
+    assert [(r["sink"], r["batch"]) for r in ledger.open()] == [("b", 0), ("b", 1), ("b", 2)]
+    assert ledger.redeliver(both) == set() and [x for x in got if x[0] == "b"] == [("b", 0, 1), ("b", 1, 2), ("b", 2, 3)]
+    assert ledger.open() == [] and not any((tmp_path / "ledger" / "rows").glob("batch=*"))
+
+
+def test_rows_go_to_one_place_and_windows_leave_the_state(spark, tmp_path):
+    schema = "id long, ts timestamp, table string"
+    folder, state, rows = tmp_path / "in", [], []
+    for b in range(12):
+        own = [(b * 10 + k, f"2026-09-01T{b:02d}:{k * 5:02d}:00") for k in range(10)] + ([(1000 + b, f"2026-09-01T{b - 2:02d}:30:00"), (2000 + b, None)] if b > 2 else [])
+        rows += [(i, b, t) for i, t in own]
+        write(folder / f"{b:02d}.json", "".join(json.dumps({"id": i, "ts": t, "table": "x"}) + "\n" for i, t in own))
+        stream = spark.readStream.schema(schema).json(str(folder))
+        put = lambda name: lambda df, i: df.write.mode("overwrite").parquet(f"{tmp_path}/{name}/batch={i}")
+        assert jobs.run_to_completion(jobs.stream_aside(stream, "ts", put("kept"), put("aside"), f"{tmp_path}/seen", f"{tmp_path}/c1", shed=F.col("id") % 10 == 4), 120)
+        if b < 4:
+            query = jobs.stream_rate_table(stream, "ts", "10 minutes", f"{tmp_path}/rate", f"{tmp_path}/c2")
+            assert jobs.run_to_completion(query, 120)
+            state.append(query.lastProgress["stateOperators"][0]["numRowsTotal"])
+    kept = {r["id"] for r in spark.read.parquet(f"{tmp_path}/kept").collect()}
+    aside = {r["id"]: r["reason"] for r in spark.read.parquet(f"{tmp_path}/aside").collect()}
+    assert kept | set(aside) == {i for i, *_ in rows} and not kept & set(aside) and len(rows) == len(kept) + len(aside)
+    assert {i for i, r in aside.items() if r == "late"} == {1000 + b for b in range(3, 12)}
+    assert {i for i, r in aside.items() if r == "shed"} == {i for i, *_ in rows if i % 10 == 4 and i not in range(1000, 2000)}
+    assert max(state) <= 10 and jobs.rate_table(spark, f"{tmp_path}/rate").filter("events = 2").count() >= 20

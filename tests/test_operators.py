@@ -284,3 +284,51 @@ def test_weighted_intervals_leave_no_gap(spark):
             own = sorted((r for r in rows if key is None or r["g"] == key), key=lambda r: r["value"])
             assert own[0]["lo"] == 0.0 and abs(own[-1]["hi"] - 1.0) < 1e-12
             assert all(a["hi"] == b["lo"] for a, b in zip(own, own[1:]))
+
+
+def test_required_texts_are_in_every_match():
+    cases = {"abcd": "abcd", "a(bcd)+e": "bcd", "(?i)ABCdef[0-9]ghi": "abcdef", "x|abcd": "", "ab?cdef": "cdef", "abc{0,3}defg": "defg", "^foo bar$": "foo bar",
+             r"a\.exe\s+-enc": ".exe", "(unclosed": "", r"\p{L}abc": "", "(?:abc)def": "abcdef", "ä1234": "1234", "abc*d": "ab", "": "", "(a|b)cdef(?=zz)": "cdef"}
+    got = {p: D.required_text(p) for p in cases}
+    assert {p: t for p, t in got.items() if p != r"a\.exe\s+-enc"} == {p: t for p, t in cases.items() if p != r"a\.exe\s+-enc"}
+    assert got[r"a\.exe\s+-enc"] == "a.exe"
+
+
+def test_many_rules_equal_testing_every_rule(spark):
+    rnd = random.Random(8)
+    words = ["mimikatz", "powershell", "-enc", "cmd.exe", "x", "rundll32", "ab", "Temp"]
+    patterns = [rnd.choice(["", "(?i)", "^"]) + rnd.choice(words).replace(".", r"\.") + rnd.choice(["", ".*", "[0-9]+", "$", "(a|b)"]) + rnd.choice(["", rnd.choice(words).replace(".", r"\.")]) for _ in range(300)]
+    rules = [(f"r{i}", i % 5, f"c{i % 3}", p, "d") for i, p in enumerate(patterns)]
+    values = [(i, f"c{i % 4}", None if i % 50 == 0 else " ".join(rnd.choice([*words, "MIMIKATZ", "7", "Σ"]) for _ in range(rnd.randint(0, 5)))) for i in range(400)]
+    table = spark.createDataFrame(rules, "rule_id string, level int, column string, pattern string, description string")
+    rows = spark.createDataFrame(values, "row_id long, column string, value string")
+    got = {(r["row_id"], r["rule_id"]) for r in D.detect_indexed(rows, table).collect()}
+    want = {(r["row_id"], r["rule_id"]) for r in rows.join(table, "column").filter("value rlike pattern").collect()}
+    assert got == want and len(got) > 200 and D.detect_indexed(rows, table).count() == len(got)
+    assert {r["rule_id"] for r in D.unused_rules(table, ["c0", "c1"]).collect()} == {f"r{i}" for i in range(300) if i % 3 == 2}
+    quality = D.rule_quality(rows.withColumn("bad", F.lit(True)), [D.Rule("a", 1, "gone", "x", ""), D.Rule("b", 1, "value", "x", "")], "bad").collect()
+    assert quality[0]["hits"] is None and quality[1]["hits"] > 0
+
+
+def test_alias_cells_hold_each_rows_share(spark):
+    from watchloom.operators.alias import alias_table
+
+    rnd = random.Random(11)
+    for weights in ([1] * 7, [5], [1000] + [1] * 600, [rnd.choice([0.25, 1, 3, 17.5]) for _ in range(900)], [10 ** 6, 10 ** 6, 1]):
+        pool = spark.createDataFrame([(i, float(w), i % 2) for i, w in enumerate(weights)], "value long, w double, g int").repartition(3)
+        for group in ((), ("g",)):
+            cells = alias_table(pool, ("value",), F.col("w"), group)[0].collect()
+            share = {}
+            for c in cells:
+                n = c["_n"]
+                share[c["_own"]["value"]] = share.get(c["_own"]["value"], 0) + c["_keep"] / n
+                if c["_other"] is not None:
+                    share[c["_other"]["value"]] = share.get(c["_other"]["value"], 0) + (1 - c["_keep"]) / n
+                assert 0 <= c["_keep"] <= 1
+            assert len(cells) == len(weights)
+            for i, w in enumerate(weights):
+                total = sum(x for j, x in enumerate(weights) if not group or j % 2 == i % 2)
+                assert abs(share[i] - w / total) < 1e-9
+            for g in {c["g"] for c in cells} if group else {None}:
+                own = sorted(c["_cell"] for c in cells if g is None or c["g"] == g)
+                assert own == list(range(len(own)))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import re._constants as regex_ops
+import re._parser as regex_parser
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from watchloom.catalog import dims
 
@@ -38,7 +43,8 @@ def _hits(df: DataFrame, rules: Sequence[Rule]) -> Column:
 
 def detect(df: DataFrame, rules: Sequence[Rule] = DEFAULT_RULES, keep: Sequence[str] = ("Id",)) -> DataFrame:
     """One row per (event, rule that fires). All rules are tested in one pass; only the columns a
-    rule names are read, and no row is repeated per rule."""
+    rule names are read, and no row is repeated per rule. A rule whose column is not there cannot fire; ``unused_rules``
+    reports it."""
     return df.select(*keep, F.inline(_hits(df, rules)))
 
 
@@ -61,14 +67,92 @@ def detect_long(values: DataFrame, rules: Sequence[Rule], keep: Sequence[str] =
     return values.select(*keep, "column", F.inline(hits))
 
 
+# --- rule tables of any size --------------------------------------------------------------
+
+#: characters of a piece of text that rules and values are joined on
+GRAM = 4
+
+
+def required_text(pattern: str) -> str:
+    """The longest text in lower case that every match of a pattern holds, as far as its structure shows it; '' when it
+    shows none. Only plain ASCII counts, and a pattern that Python's parser does not take shows nothing."""
+    runs, now = [], []
+
+    def close() -> None:
+        runs.append("".join(now))
+        now.clear()
+
+    def walk(parts) -> None:
+        for op, arg in parts:
+            if op is regex_ops.LITERAL and 32 <= arg < 127:
+                now.append(chr(arg).lower())
+            elif op is regex_ops.SUBPATTERN:
+                walk(arg[3])
+            elif op in (regex_ops.MAX_REPEAT, regex_ops.MIN_REPEAT, regex_ops.POSSESSIVE_REPEAT) and arg[0] > 0:
+                close()
+                walk(arg[2])
+                close()
+            elif op is not regex_ops.AT:
+                close()
+
+    try:
+        walk(regex_parser.parse(pattern))
+    except (re.error, OverflowError, RecursionError):
+        return ""
+    close()
+    return max(runs, key=len)
+
+
+@F.pandas_udf(StringType())
+def _gram(patterns: pd.Series) -> pd.Series:
+    def middle(pattern):
+        text = required_text(pattern or "")
+        at = (len(text) - GRAM) // 2
+        return text[at:at + GRAM] if at >= 0 else None
+
+    return patterns.map(middle)
+
+
+def rule_index(rules: DataFrame) -> DataFrame:
+    """Rules ``rule_id, level, column, pattern, description`` with ``gram``, a piece of text that every match holds (null: none is known)."""
+    return rules.select("rule_id", "level", "column", "pattern", "description", _gram("pattern").alias("gram"))
+
+
+def detect_indexed(values: DataFrame, rules: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame:
+    """One row per (value, rule that fires) over rows ``column, value``, for a table of rules of any size.
+
+    A value meets the rules whose required piece of text it holds, by an equality join of pieces, and is then tested
+    against those alone. Rules without such a piece are tested against every value of their column. Rules are never
+    collected; a value counts once for a rule.
+    """
+    index = rule_index(rules)
+    low = F.lower("value")
+    pieces = F.when(F.length(low) >= GRAM, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length(low) - (GRAM - 1)), lambda i: F.substr(low, i, F.lit(GRAM)))))
+    shown = [*keep, "column", "value"]
+    likely = values.select(*shown, F.explode(pieces).alias("gram")).join(index.filter(F.col("gram").isNotNull()), ["column", "gram"]).drop("gram")
+    other = values.select(*shown).join(index.filter(F.col("gram").isNull()).drop("gram"), "column")
+    met = likely.unionByName(other).filter(F.rlike(F.col("value"), F.col("pattern")))
+    return met.select(*keep, "column", "rule_id", "level", "description")
+
+
+def unused_rules(rules: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rules that can never fire because no such column is there."""
+    return rules.filter(~F.col("column").isin(*columns)).select("rule_id", "column")
+
+
 def rule_hits(hits: DataFrame) -> DataFrame:
     return hits.groupBy("rule_id", "level").agg(F.count("*").alias("hits"))
 
 
 def rule_quality(df: DataFrame, rules: Sequence[Rule], label: str) -> DataFrame:
-    """Precision and recall of each rule against the labels: one pass, one row per rule."""
+    """Precision and recall of each rule against the labels: one pass, one row per rule. A rule whose column is not there
+    has null counts."""
     aggs = []
     for i, r in enumerate(rules):
+        if r.column not in df.columns:
+            aggs += [F.lit(None).cast("bigint").alias(f"h{i}"), F.lit(None).cast("bigint").alias(f"t{i}")]
+            continue
         fired = F.coalesce(F.col(r.column).rlike(r.pattern), F.lit(False))
         aggs += [F.count_if(fired).alias(f"h{i}"), F.count_if(fired & F.col(label)).alias(f"t{i}")]
     totals = df.agg(F.count_if(F.col(label)).alias("positives"), *aggs)

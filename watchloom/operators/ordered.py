@@ -104,13 +104,13 @@ def global_rank(df: DataFrame, by: Sequence[str], name: str = "rank",
     )
 
 
-def with_previous(df: DataFrame, key: str, order: Sequence[str], cols: dict[str, str]) -> DataFrame:
+def with_previous(df: DataFrame, key: str, order: Sequence[str], cols: dict[str, str], partitions: int | None = None) -> DataFrame:
     """Add the values of the previous row of the same key (``cols``: source column -> new column).
 
     Rows are range-partitioned on key and order, so a key with a third of all rows is spread over the
     cluster like any other; what passes over a seam is one row per partition.
     """
-    placed = range_ordered(df, [key, *order])
+    placed = range_ordered(df, [key, *order], partitions)
     inside = Window.partitionBy("_pid").orderBy("_pos")
     row = F.struct(F.col(key).alias("k"), *[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)])
     seams = placed.groupBy("_pid").agg(F.max_by(row, "_pos").alias("_last"))

@@ -22,10 +22,10 @@ def time_inversions(df: DataFrame, seq: str, ts: str, width: int = SERIAL_WIDTH)
     ).withColumn("inversion_rate", F.round(F.col("inversions") / F.col("records"), 6))
 
 
-def transitions(df: DataFrame, key: str, state: str, order: tuple[str, ...]) -> DataFrame:
-    """Observed (state, next state) counts and shares, per entity in time order."""
+def transitions(df: DataFrame, key: str, state: str, order: tuple[str, ...], partitions: int | None = None) -> DataFrame:
+    """Observed (state, next state) counts and shares, per entity in time order, over so many ranges."""
     narrow = df.select(*dict.fromkeys((key, *order, state)))
-    stepped = with_previous(narrow, key, order, {state: "_from"})
+    stepped = with_previous(narrow, key, order, {state: "_from"}, partitions)
     counted = (
         stepped.filter(F.col("_from").isNotNull())
         .groupBy(F.col("_from").alias("state"), F.col(state).alias("next_state"))

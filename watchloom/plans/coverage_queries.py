@@ -218,3 +218,24 @@ SELECT from_us, "table", count(*) AS events FROM w GROUP BY 1, 2""")
 def sliding_rate(spark, sf):
     out = jobs.rate(typed_events(spark, sf).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 hour", "30 minutes")
     return out.select(F.unix_micros("window_start").alias("from_us"), "table", "events")
+
+
+@query("""
+SELECT event_id, 'r' || c_custkey AS rule_id FROM events JOIN customer ON user_id = c_custkey WHERE event_type IN ('click', 'view')
+UNION ALL SELECT event_id, 'short' FROM events WHERE user_id % 1000 = 77
+UNION ALL SELECT event_id, 'either' FROM events WHERE event_type IN ('error', 'signup')""")
+def detections_indexed(spark, sf):
+    """A rule for every customer, from a table, and two without a text that must be there; each event meets only rules it may fire."""
+    rule = lambda i, p: F.struct(i.alias("rule_id"), F.lit(3).alias("level"), F.lit("message").alias("column"), p.alias("pattern"), F.lit("").alias("description"))
+    own = load(spark, sf, "customer").select(rule(F.concat(F.lit("r"), "c_custkey"), F.concat(F.lit("^(?i)USER"), "c_custkey", F.lit(" did (click|view)$"))).alias("r"))
+    other = spark.range(1).select(F.explode(F.array(
+        rule(F.lit("short"), F.lit("^user[0-9]*(?:(?<![0-9])77|077) did [a-z]+")), rule(F.lit("either"), F.lit("(error|signup)$")))).alias("r"))
+    values = load(spark, sf, "events").select("event_id", F.lit("message").alias("column"), F.concat(F.lit("user"), "user_id", F.lit(" did "), "event_type").alias("value"))
+    return D.detect_indexed(values, own.unionByName(other).select("r.*"), ("event_id",)).select("event_id", "rule_id")
+
+
+@query("SELECT 'r' || c_custkey AS rule_id, 'c' || c_nationkey AS \"column\" FROM customer WHERE c_nationkey > 9")
+def unused_rules(spark, sf):
+    """Rules by nation over a table that has ten of their columns."""
+    rules = load(spark, sf, "customer").select(F.concat(F.lit("r"), "c_custkey").alias("rule_id"), F.concat(F.lit("c"), "c_nationkey").alias("column"))
+    return D.unused_rules(rules, [f"c{i}" for i in range(10)])

@@ -311,3 +311,28 @@ def streamed_accounts(spark, sf):
         jobs.read_jsonl_stream(spark, f"{path}/in", 3), ["signin", "firewall"], accepted, quarantine, f"{path}/state", RUN))
     rows = spark.read.parquet(f"{path}/out").select("row_id", "fate").unionByName(spark.read.parquet(f"{path}/refused").select("row_id", "fate"))
     return rows.groupBy("fate").agg(F.count("*").alias("lines"), F.count_distinct("row_id").alias("ids"))
+
+
+@query(f"""
+WITH t AS (SELECT {sql_table_of()} AS "table", count(*) AS lines FROM events GROUP BY 1)
+SELECT "table", lines, lines AS written, true AS bounded, 3::BIGINT AS kept, true AS dropped FROM t""")
+def bounded_retained_files(spark, sf):
+    """Feeds in files of bounded size and of bounded records: all lines are there, no file is over its bound, and retention
+    leaves the three newest files of each table."""
+    path = scratch(spark)
+    events = load(spark, sf, "events")
+    lines = events.select(F.expr(sql_table_of()).alias("table"), F.to_json(F.struct("event_id", "event_type", "ts")).alias("line")).persist()
+    try:
+        sinks.bounded_files(lines, f"{path}/bytes", 50_000)
+        sinks.write_tables(lines, f"{path}/records", max_records=max(1, lines.count() // 60))
+        counts = lines.groupBy("table").agg(F.count("*").alias("lines")).collect()
+    finally:
+        lines.unpersist()
+    sizes = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/bytes").select("length")
+    bounded = sizes.filter(F.col("length") > 50_000 + 200).isEmpty() and spark.read.text(f"{path}/bytes").count() == sum(r["lines"] for r in counts)
+    written = spark.read.text(f"{path}/records").groupBy("table").agg(F.count("*").alias("written")).collect()
+    removed = sinks.apply_retention(spark, f"{path}/records", 3, "part-*")
+    kept = sinks.retained_files(spark, f"{path}/records", 3, "part-*").groupBy(F.regexp_extract("folder", "table=([^/]+)", 1).alias("table")).agg(F.count_if("keep").alias("kept"))
+    rows = spark.createDataFrame([(r["table"], r["lines"]) for r in counts], "table string, lines long").join(
+        spark.createDataFrame([(r["table"], r["written"]) for r in written], "table string, written long"), "table")
+    return rows.join(kept, "table").select("table", "lines", "written", F.lit(bounded).alias("bounded"), "kept", F.lit(removed > 0).alias("dropped"))

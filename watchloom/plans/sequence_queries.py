@@ -67,10 +67,7 @@ def transitions(spark, sf):
 @query(_SQL_STEPS + "SELECT * FROM p")
 def transitions_split_hot_keys(spark, sf):
     """The same over many more ranges than cores, so that most entities lie across a seam."""
-    from watchloom.operators.ordered import range_ordered
-
-    rows = typed_events(spark, sf).select("user_id", "table", "ts", "event_id")
-    return S.transitions(range_ordered(rows, ["event_id"], 64).drop("_pid", "_pos"), "user_id", "table", ("ts", "event_id"))
+    return S.transitions(typed_events(spark, sf), "user_id", "table", ("ts", "event_id"), partitions=64)
 
 
 _DECLARED = ", ".join(f"('{s}', '{n}', {w}::DOUBLE)" for s, m in dims.TRANSITIONS.items() for n, w in m.items())

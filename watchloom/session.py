@@ -7,6 +7,10 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: bytes of a method beyond which the JVM never compiles it: such generated code would run interpreted
+JIT_LIMIT = 8000
+
+
 def get_session(app: str = "watchloom", master: str | None = None, **conf: str) -> SparkSession:
     """A UTC session with adaptive execution; cluster settings win over ours."""
     builder = SparkSession.builder.appName(app)
@@ -18,6 +22,7 @@ def get_session(app: str = "watchloom", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.sql.codegen.hugeMethodLimit": str(JIT_LIMIT),
         **conf,
     }
     for key, value in settings.items():
