@@ -2,8 +2,8 @@
 
 A table of labelled documents trains a classifier, naive Bayes over two kinds of evidence that SQL takes from the text: a few
 binned shapes, and which of the TELLING tokens a text holds. Tokens are its words in lower case and its runs of marks; those
-that tell the domains of all labelled documents apart best (by log-likelihood ratio) are a table of bounded size. The
-classifier gives every document a distribution over domains. Document rates start at 1 and are fitted by projected gradient
+that tell the domains apart best (by log-likelihood ratio) are a table of bounded size. The classifier is fitted on at most LABELLED
+labelled documents of each domain, the first by a digest of their ids; the domains' prior shares count all of them. It gives every document a distribution over domains. Document rates start at 1 and are fitted by projected gradient
 steps of a least-squares problem: expected domain totals, the sum over documents of rate x words x share, shall match the
 targets. The problem is scaled by the totals' own Gram matrix and steps are taken in the metric of the documents' words, so a
 unit step is right and a document's change does not depend on its length. A step needs one sum a domain; the rate of a document
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from watchloom.llm.common import written
@@ -30,7 +30,7 @@ from watchloom.operators.pinned import pinned
 
 #: Domains, with the share of all words that each shall have.
 TARGETS = {"good": 0.80, "low": 0.15, "toxic": 0.05}
-BINS, STEPS, RIDGE, TELLING, TOLERANCE = 16, 12, 1e-9, 256, 0.002
+BINS, STEPS, RIDGE, TELLING, TOLERANCE, LABELLED = 16, 12, 1e-9, 256, 0.002, 4000
 WORD_GAP, MARK_GAP = r"[^\p{L}\p{N}]+", r"[\p{L}\p{N} \t\n\r\f]+"
 BLANK = "[ \\t\\n\\r\\f]+"
 FEATURES = ("size", "word", "line", "stop", "shout", "bar")
@@ -126,13 +126,17 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     targets = targets or TARGETS
     domains = sorted(targets)
     one = labels.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    held = docs.select("doc_id").join(one, "doc_id").groupBy("domain").agg(F.count("*").alias("n")).collect()
-    size = {d: 0 for d in domains} | {r["domain"]: r["n"] for r in held}
-    telling = telling_tokens(docs, one, domains, size)
+    # at most LABELLED ids a domain, so they can be sent to the documents
+    place = F.row_number().over(Window.partitionBy("domain").orderBy(F.md5(F.concat(F.lit("pick/"), F.col("doc_id").cast("string"))), "doc_id"))
+    picked = F.broadcast(written(one.withColumn("place", place).where(F.col("place") <= LABELLED).drop("place"), "mix-labels"))
+    sizes = lambda some: {d: 0 for d in domains} | {r["domain"]: r["n"] for r in docs.select("doc_id").join(some, "doc_id").groupBy("domain").agg(
+        F.count("*").alias("n")).collect()}
+    every, size = sizes(one), sizes(picked)
+    telling = telling_tokens(docs, picked, domains, size)
     seen = written(features(docs.select("doc_id", "text"), telling=list(telling)).select("doc_id", "__words", "__bins", "__held"), "mix-features")
-    known = seen.join(one, "doc_id").select("domain", F.posexplode("__bins").alias("feature", "bin"))
+    known = seen.join(picked, "doc_id").select("domain", F.posexplode("__bins").alias("feature", "bin"))
     counts = {(r["domain"], r["feature"], r["bin"]): r["n"] for r in known.groupBy("domain", "feature", "bin").agg(F.count("*").alias("n")).collect()}
-    mixer = Mixer(domains, [(size[d] + 1) / (sum(size.values()) + len(domains)) for d in domains],
+    mixer = Mixer(domains, [(every[d] + 1) / (sum(every.values()) + len(domains)) for d in domains],
                   {d: [[(counts.get((d, f, b), 0) + 1) / (size[d] + BINS) for b in range(BINS)] for f in range(len(FEATURES))] for d in domains},
                   {t: [(n[k] + 0.5) / (size[d] + 1) for k, d in enumerate(domains)] for t, n in telling.items()}, [])
     placed = written(mixer.posterior(seen).select("doc_id", "__words", "__p"), "mix-shares")
@@ -219,7 +223,9 @@ counted AS MATERIALIZED (SELECT row, doc_id, text, CASE WHEN body = '' THEN 0 EL
 seen AS MATERIALIZED (SELECT row, doc_id, words, [{bins}] AS bins, list_distinct(list_concat(regexp_split_to_array(lower({t}), '{WORD_GAP}'), regexp_split_to_array(lower({t}), '{MARK_GAP}'))) AS tokens FROM counted),
 dom AS ({dom}),
 one AS (SELECT doc_id, min({when}) AS domain FROM labels WHERE {when} IS NOT NULL GROUP BY doc_id),
-known AS MATERIALIZED (SELECT domain, bins, tokens FROM seen JOIN one USING (doc_id)),
+picked AS (SELECT doc_id, domain FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY md5('pick/' || doc_id::VARCHAR), doc_id) AS place FROM one) WHERE place <= {LABELLED}),
+known AS MATERIALIZED (SELECT domain, bins, tokens FROM seen JOIN picked USING (doc_id)),
+every_ AS (SELECT domain, count(*) AS n FROM seen JOIN one USING (doc_id) GROUP BY 1),
 sizes AS (SELECT k, dom.domain, count(bins) AS size FROM dom LEFT JOIN known ON known.domain = dom.domain GROUP BY k, dom.domain),
 long AS MATERIALIZED (SELECT row, u.f AS f, bins[u.f] AS bin FROM seen, (SELECT unnest(range(1, 7)) AS f) u),
 spread AS (SELECT domain, unnest(tokens) AS token FROM known),
@@ -229,7 +235,7 @@ telling AS MATERIALIZED (SELECT * FROM met, (SELECT sum(size)::DOUBLE AS every,
 held AS (SELECT row, unnest(tokens) AS token FROM seen),
 evidence AS MATERIALIZED (SELECT row, {', '.join(f'sum(ln((n{i} + 0.5) / (s{i} + 1))) AS v{i}' for i in range(3))} FROM held JOIN telling USING (token) GROUP BY row),
 hits AS (SELECT domain, u.f AS f, bins[u.f] AS bin, count(*) AS n FROM known, (SELECT unnest(range(1, 7)) AS f) u GROUP BY 1, 2, 3),
-shaped AS (SELECT row, k, any_value(ln((size + 1)::DOUBLE / ((SELECT sum(size) FROM sizes) + 3))) + sum(ln((coalesce(n, 0) + 1)::DOUBLE / (size + {BINS}))) AS score
+shaped AS (SELECT row, k, any_value(ln((coalesce((SELECT n FROM every_ WHERE every_.domain = sizes.domain), 0) + 1)::DOUBLE / (coalesce((SELECT sum(n) FROM every_), 0) + 3))) + sum(ln((coalesce(n, 0) + 1)::DOUBLE / (size + {BINS}))) AS score
   FROM long CROSS JOIN sizes LEFT JOIN hits ON hits.domain = sizes.domain AND hits.f = long.f AND hits.bin = long.bin GROUP BY row, k),
 logs AS (SELECT row, k, score + coalesce(CASE k WHEN 0 THEN v0 WHEN 1 THEN v1 ELSE v2 END, 0) AS score FROM shaped LEFT JOIN evidence USING (row)),
 soft AS (SELECT row, k, exp(score - max(score) OVER (PARTITION BY row)) AS e FROM logs),
