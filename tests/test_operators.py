@@ -332,3 +332,14 @@ def test_alias_cells_hold_each_rows_share(spark):
             for g in {c["g"] for c in cells} if group else {None}:
                 own = sorted(c["_cell"] for c in cells if g is None or c["g"] == g)
                 assert own == list(range(len(own)))
+
+
+def test_rules_with_flags_behind_an_anchor_meet_few_values(spark):
+    rules = spark.range(2000).select(
+        F.concat(F.lit("r"), "id").alias("rule_id"), F.lit(1).alias("level"), F.lit("c").alias("column"),
+        F.concat(F.lit("^(?i)USER"), "id", F.lit(" did (click|view)$")).alias("pattern"), F.lit("").alias("description"))
+    index = D.rule_index(rules).groupBy("gram").count().collect()
+    assert None not in {r["gram"] for r in index} and max(r["count"] for r in index) <= 2
+    values = spark.range(4000).select(F.col("id").alias("row_id"), F.lit("c").alias("column"), F.concat(F.lit("User"), "id", F.lit(" did view")).alias("value"))
+    got = {(r["row_id"], r["rule_id"]) for r in D.detect_indexed(values, rules).collect()}
+    assert got == {(i, f"r{i}") for i in range(2000)}

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from watchloom.catalog import dims
+from watchloom.session import stored
 
 
 @dataclass(frozen=True)
@@ -69,8 +70,10 @@ def detect_long(values: DataFrame, rules: Sequence[Rule], keep: Sequence[str] =
 
 # --- rule tables of any size --------------------------------------------------------------
 
-#: characters of a piece of text that rules and values are joined on
-GRAM = 4
+#: characters of a piece of text that rules and values are joined on: a rule has one of the greatest size that its text allows
+GRAMS = (4, 8, 16)
+#: flags behind an anchor: Java takes them anywhere, Python at the start only; none of them changes which text must be there
+_FLAGS = re.compile(r"^\^+[(][?][ims]+[)]")
 
 
 def required_text(pattern: str) -> str:
@@ -96,7 +99,7 @@ def required_text(pattern: str) -> str:
                 close()
 
     try:
-        walk(regex_parser.parse(pattern))
+        walk(regex_parser.parse(_FLAGS.sub("", pattern)))
     except (re.error, OverflowError, RecursionError):
         return ""
     close()
@@ -104,18 +107,30 @@ def required_text(pattern: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def _gram(patterns: pd.Series) -> pd.Series:
-    def middle(pattern):
-        text = required_text(pattern or "")
-        at = (len(text) - GRAM) // 2
-        return text[at:at + GRAM] if at >= 0 else None
+def _required(patterns: pd.Series) -> pd.Series:
+    return patterns.map(lambda pattern: required_text(pattern or ""))
 
-    return patterns.map(middle)
+
+def _pieces(text: Column, size: int) -> Column:
+    """The distinct pieces of a text that have a size; a text must be at least that long."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - (size - 1)), lambda i: F.substr(text, i, F.lit(size))))
 
 
 def rule_index(rules: DataFrame) -> DataFrame:
-    """Rules ``rule_id, level, column, pattern, description`` with ``gram``, a piece of text that every match holds (null: none is known)."""
-    return rules.select("rule_id", "level", "column", "pattern", "description", _gram("pattern").alias("gram"))
+    """Rules ``rule_id, level, column, pattern, description`` with ``gram``, a piece of text that every match holds (null: none is known).
+
+    Of the pieces of the greatest size that its text allows a rule takes the one that fewest rules of its column hold.
+    """
+    shown = ["rule_id", "level", "column", "pattern", "description"]
+    numbered = stored(rules.select(*shown, F.uuid().alias("_rule"), _required("pattern").alias("_text")))
+    text = F.col("_text")
+    pieces = F.when(F.length(text) >= GRAMS[-1], _pieces(text, GRAMS[-1]))
+    for size in reversed(GRAMS[:-1]):
+        pieces = pieces.when(F.length(text) >= size, _pieces(text, size))
+    held = numbered.select("_rule", "column", F.explode(pieces).alias("gram"))
+    often = held.groupBy("column", "gram").agg(F.count("*").alias("n"))
+    rarest = held.join(often, ["column", "gram"]).groupBy("_rule").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    return numbered.join(rarest, "_rule", "left").select(*shown, "gram")
 
 
 def detect_indexed(values: DataFrame, rules: DataFrame, keep: Sequence[str] = ("row_id",)) -> DataFrame:
@@ -125,12 +140,15 @@ def detect_indexed(values: DataFrame, rules: DataFrame, keep: Sequence[str] = ("
     against those alone. Rules without such a piece are tested against every value of their column. Rules are never
     collected; a value counts once for a rule.
     """
-    index = rule_index(rules)
+    index = stored(rule_index(rules))  # both joins read it
     low = F.lower("value")
-    pieces = F.when(F.length(low) >= GRAM, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length(low) - (GRAM - 1)), lambda i: F.substr(low, i, F.lit(GRAM)))))
     shown = [*keep, "column", "value"]
-    likely = values.select(*shown, F.explode(pieces).alias("gram")).join(index.filter(F.col("gram").isNotNull()), ["column", "gram"]).drop("gram")
+    # only sizes that rules of the column have: at most one short row a size and column
+    sizes = index.filter(F.col("gram").isNotNull()).groupBy("column").agg(F.collect_set(F.length("gram")).alias("_sizes"))
+    pieces = F.flatten(F.array(*[
+        F.when(F.array_contains("_sizes", n) & (F.length(low) >= n), _pieces(low, n)).otherwise(F.expr("CAST(array() AS array<string>)")) for n in GRAMS]))
+    parts = values.join(sizes, "column").select(*shown, F.explode(pieces).alias("gram"))
+    likely = parts.join(index.filter(F.col("gram").isNotNull()), ["column", "gram"]).drop("gram")
     other = values.select(*shown).join(index.filter(F.col("gram").isNull()).drop("gram"), "column")
     met = likely.unionByName(other).filter(F.rlike(F.col("value"), F.col("pattern")))
     return met.select(*keep, "column", "rule_id", "level", "description")

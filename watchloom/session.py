@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,6 +31,14 @@ def get_session(app: str = "watchloom", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+def compiled(spark: SparkSession) -> SparkSession:
+    """The session with the limit on the size of methods lowered to what the JVM compiles, for sessions made elsewhere."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    if int(spark.conf.get(key)) > JIT_LIMIT:
+        spark.conf.set(key, str(JIT_LIMIT))
+    return spark
+
+
 def dealt(df: DataFrame) -> DataFrame:
     """The rows dealt out evenly over the shuffle partitions.
 
@@ -58,3 +67,12 @@ def materialise(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: survives the loss of executors, keeps partitions and row order."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows written once to Parquet beside the checkpoints, for results that several plans read: each reads only its columns."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/stored-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
