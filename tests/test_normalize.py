@@ -164,3 +164,39 @@ def test_routed_records_can_be_written_by_class(records, tmp_path):
     raw = records({"event_type": "dns_query", "Name": "a"}, {"event_type": "dns_query", "Name": "b"}, {"event_type": "audit", "action": "x"})
     routed = N.materialise_routed(N.route_event_type(raw), str(tmp_path / "routed"))
     assert N.normalize(routed, "dns")[0].count() == 2 and N.normalize(routed, "workspace_audit")[0].count() == 1
+
+
+def test_a_class_query_normalises_once_and_compiles(spark, tmp_path):
+    from pathlib import Path
+
+    from watchloom.plans.class_queries import PLAYS, _run
+    from watchloom.session import JIT_LIMIT
+
+    data = Path("/root/testdata/sf0.001")
+    if not data.exists():
+        pytest.skip("no test data")
+    key = "spark.sql.codegen.hugeMethodLimit"
+    spark.conf.set(key, "65535")
+    try:
+        out = _run(next(p for p in PLAYS if p.name == "email"))(spark, str(data))
+        assert int(spark.conf.get(key)) == JIT_LIMIT
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "map_from_entries" not in plan and "get_json_object" not in plan
+    finally:
+        spark.conf.set(key, str(JIT_LIMIT))
+
+
+def test_times_and_flags_in_all_spellings(spark):
+    from watchloom.catalog.tables import spec_of
+    from watchloom.operators.normalize import lax_cast
+
+    columns = spec_of("email").columns
+    moment = next(c for c in columns if c.kind == "time")
+    flag = next(c for c in columns if c.kind == "bool")
+    texts = ["1700000000", "1700000000000", "-5.5", "2024-01-02 03:04:05", "x", "", None, "1e5", "12\n", " 7"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert "RLIKE" in lax_cast("t", moment)  # a text that is no number is never cast to one
+    got = [r[0] for r in rows.selectExpr(f"unix_millis({lax_cast('t', moment)})").collect()]
+    assert got == [1700000000000, 1700000000000, -5500, 1704164645000, None, None, None, None, 12000, None]
+    flags = spark.createDataFrame([(t,) for t in ["true", "false", " TRUE ", "Yes", "n", "0", "maybe", "", None]], "t string")
+    assert [r[0] for r in flags.selectExpr(lax_cast("t", flag)).collect()] == [True, False, True, True, False, False, None, None, None]

@@ -55,8 +55,10 @@ def cef_escape(expr: str) -> str:
     return f"translate(replace({expr}, '|', {lit(chr(92) + '|')}), {lit(chr(10) + chr(13))}, '  ')"
 
 
-def _word(severity: str) -> str:
-    return f"lower(trim(coalesce({severity}, 'info')))"
+def _level(severity: str, scale: dict, default: int) -> str:
+    """A severity on a scale; a word that stands there as it is needs no trimming and lowering."""
+    word = f"coalesce({severity}, 'info')"
+    return f"coalesce(element_at({literal_map(scale)}, {word}), {lookup(f'lower(trim({word}))', scale, default)})"
 
 
 def _app_scale(scale: Mapping) -> dict:
@@ -65,15 +67,15 @@ def _app_scale(scale: Mapping) -> dict:
 
 def syslog_priority(facility: str, severity: str) -> str:
     code = lookup(facility, dims.SYSLOG_FACILITY, 1)
-    return f"({code} * 8 + {lookup(_word(severity), _app_scale(dims.SYSLOG_SEVERITY), 6)})"
+    return f"({code} * 8 + {_level(severity, _app_scale(dims.SYSLOG_SEVERITY), 6)})"
 
 
 def evt_level(severity: str) -> str:
-    return lookup(_word(severity), _app_scale(dims.WINEVENT_LEVEL), 4)
+    return _level(severity, _app_scale(dims.WINEVENT_LEVEL), 4)
 
 
 def cef_severity(severity: str) -> str:
-    return lookup(_word(severity), dims.CEF_SEVERITY, 1)
+    return _level(severity, dims.CEF_SEVERITY, 1)
 
 
 def iso_ts(ts: str) -> str:

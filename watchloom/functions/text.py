@@ -33,6 +33,11 @@ def hex_pid(col: Column) -> Column:
     return F.concat(F.lit("0x"), F.lower(F.hex(col)))
 
 
+def lowered(col: Column) -> Column:
+    """``lower``; a text of ASCII without capitals is taken as it is, which saves the tables of Unicode."""
+    return F.when(col.rlike(r"[^\x00-@\[-\x7F]"), F.lower(col)).otherwise(col)
+
+
 def capitalize(col: Column) -> Column:
     """First letter upper, the rest lower (``initcap`` would raise every word)."""
     return F.concat(F.upper(F.substring(col, 1, 1)), F.lower(F.substring(col, 2, 2147483647)))

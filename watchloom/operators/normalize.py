@@ -17,7 +17,7 @@ from watchloom.catalog.tables import GENERIC, REGISTRY, spec_of
 from watchloom.functions.hashing import hash_range_sql, stable_uuid, stable_uuid_sql
 from watchloom.functions.lookup import let, map_value
 from watchloom.functions.sqltext import lit as _lit
-from watchloom.functions.text import capitalize
+from watchloom.functions.text import capitalize, lowered
 from watchloom.operators.pinned import pinned
 from watchloom.operators.settings import Settings
 
@@ -41,8 +41,8 @@ def flatten_data(df: DataFrame, raw: str = "raw") -> DataFrame:
 
 def route_event_type(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Add the event class a record belongs to; ``generic`` when nothing claims it."""
-    source = F.lower(F.coalesce(F.col(raw)["source"], F.lit("")))
-    declared = F.lower(F.coalesce(F.col(raw)["event_type"], F.lit("")))
+    source = lowered(F.coalesce(F.col(raw)["source"], F.lit("")))
+    declared = lowered(F.coalesce(F.col(raw)["event_type"], F.lit("")))
     resolved = map_value(source, dims.SOURCE_EVENT_TYPES, declared)
     return pinned(
         df, source.alias("route_source"), declared.alias("route_type"),
@@ -130,12 +130,14 @@ def lax_cast(text: str, col: ColumnSpec) -> str:
     if col.kind == "float":
         return f"try_cast({text} AS double)"
     if col.kind == "bool":
-        return (f"CASE WHEN lower(trim({text})) IN ('true', 't', 'yes', 'y', 'on', '1') THEN true "
+        # the plain spelling first: lowering and trimming a text costs far more than comparing it
+        return (f"CASE WHEN {text} = 'true' THEN true WHEN {text} = 'false' THEN false WHEN lower(trim({text})) IN ('true', 't', 'yes', 'y', 'on', '1') THEN true "
                 f"WHEN lower(trim({text})) IN ('false', 'f', 'no', 'n', 'off', '0') THEN false END")
     if col.kind == "time":
-        # numbers beyond the edge are milliseconds
-        number = f"try_cast(regexp_extract({text}, '^-?[0-9]+([.][0-9]+)?$', 0) AS double)"
-        return (f"coalesce(timestamp_seconds(if(abs({number}) > 2e10, {number} / 1000, {number})), "
+        # numbers beyond the edge are milliseconds; only a number is cast to one, since a cast that fails raises and catches an exception
+        pattern = "'^-?[0-9]+([.][0-9]+)?$'"
+        number = f"try_cast(regexp_extract({text}, {pattern}, 0) AS double)"
+        return (f"coalesce(CASE WHEN {text} RLIKE {pattern} THEN timestamp_seconds(if(abs({number}) > 2e10, {number} / 1000, {number})) END, "
                 f"try_cast({text} AS timestamp))")
     if col.kind in ("mitre", "d3fend", "atlas"):
         whole = " AND ".join(

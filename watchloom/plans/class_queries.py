@@ -15,7 +15,7 @@ from watchloom.operators import normalize as N
 from watchloom.operators.settings import Settings
 from watchloom.plans.inputs import EV, events
 from watchloom.plans.registry import query, sql_uuid
-from watchloom.session import dealt
+from watchloom.session import dealt, stored
 
 SETTINGS = Settings(run_id="run-1", vendor="Acme")
 
@@ -206,8 +206,10 @@ def _run(play: Play):
         raw = F.expr(f"map_from_entries(transform(filter(array({entries}), e -> e.value IS NOT NULL), e -> struct(e.key, e.value)))")
         records = dealt(events(spark, sf)).select(F.col("event_id").alias("row_id"), raw.alias("raw"))
         good, _ = N.normalize(N.route_event_type(N.flatten_data(records)), play.name, SETTINGS)
+        good = stored(good)  # the three exports read it
         json = X.export_json(good, play.name, ("row_id",))
-        shown = [F.concat(F.lit(f"{name}="), F.coalesce(F.get_json_object("line", f"$.{name}"), F.lit("-"))) for name in play.columns]
+        json = json.select("row_id", "feed", F.json_tuple("line", *play.columns).alias(*play.columns))  # one parse for all of them
+        shown = [F.concat(F.lit(f"{name}="), F.coalesce(name, F.lit("-"))) for name in play.columns]
         out = json.select("row_id", "feed", F.concat_ws("; ", *shown).alias("line"))
         for lines in (X.export_syslog(good, play.name, SETTINGS, ("row_id",)), X.export_winevent_xml(good, play.name, SETTINGS, ("row_id",), gate=False)):
             out = out.unionByName(lines.select("row_id", "feed", "line"))

@@ -9,14 +9,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.session import dealt
+from watchloom.session import compiled, dealt
 
 
 def load(spark: SparkSession, sf: str, name: str) -> DataFrame:
     # the given tables hold UTC stamps; a session that is in UTC already is left as it is
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
         spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    return compiled(spark).read.parquet(f"{sf}/{name}.parquet")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
