@@ -55,3 +55,13 @@ def test_long_texts_are_slices_of_their_own(spark):
 
     batch = pa.RecordBatch.from_pydict({"text": ["a" * 5, None, "b" * 100, "", "c"]})
     assert [s.num_rows for s in C.slices(batch, "text", 10)] == [2, 1, 2]
+
+
+def test_a_worker_holds_the_cache_of_one_operator():
+    from watchloom.llm import common, near_dups, pieces
+
+    near_dups.strips(["a few words of a text"])
+    pieces.encode_texts(["a few words of a text"], pieces.MODEL)
+    assert list(common._held) == [("units", pieces.MODEL)]
+    again = pieces.unit_pool(pieces.MODEL)
+    assert pieces.unit_pool(pieces.MODEL) is again and again.count

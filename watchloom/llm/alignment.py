@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import ragged, slices, small_batches, totals, written
+from watchloom.llm.common import held, ragged, slices, small_batches, totals, written
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
 MARK = "▁"
@@ -185,9 +184,8 @@ class Pair:
         return out
 
 
-@lru_cache(maxsize=1)
 def tokenizer_pair(name_a: str, name_b: str) -> Pair:
-    return Pair(name_a, name_b)
+    return held(("pair", name_a, name_b), lambda: Pair(name_a, name_b))
 
 
 class Aligned:

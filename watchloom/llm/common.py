@@ -151,6 +151,21 @@ def range_counts(rows: int, size: int, per_range: int = 1 << 20) -> tuple[int, i
     return buckets, max(1, buckets // 4)
 
 
+_held: dict[tuple, object] = {}
+
+
+def held(key: tuple, make: Callable[[], object]) -> object:
+    """The one large cache of a worker, kept between the tasks of an operator; another operator's goes before the new one is made.
+
+    Workers live as long as the session: a cache an operator would keep for itself would lie beside those of all later ones.
+    """
+    if key not in _held:
+        _held.clear()
+        pa.default_memory_pool().release_unused()
+        _held[key] = make()
+    return _held[key]
+
+
 class Pool:
     """Units (words of a text) and the ids each stands for, as slices of one flat array.
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import Pool, runs_of, slices, small_batches, texts_of, totals, written
+from watchloom.llm.common import Pool, held, runs_of, slices, small_batches, texts_of, totals, written
 from watchloom.llm.pieces import MARK, MODEL
 
 BLOCK, WIDTH, CLASSES, RARE_CLASSES, GROUPS = 16, 16, 256, 8, 16
@@ -129,7 +129,7 @@ def look_up(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndar
 def _gather(training: DataFrame, name: str, share: float) -> DataFrame:
     """Of the training texts, task by task: word counts (kind 0), symbol counts (1), windows to fit on (2) and the symbols (3)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _kept(("gather", name), lambda: Words(name))
+        known = held(("gather", name), lambda: Words(name))
         spelled, size = Counter(), 2 * BLOCK + 1
         pieces = np.zeros(known.speller.symbols, np.int64)
         coded, code = [], _code(known.speller.symbols)
@@ -213,17 +213,6 @@ def count_pairs(coded: DataFrame, symbols: int, end: int, cells: int, place: Cal
     return out
 
 
-_caches: dict[tuple, object] = {}
-
-
-def _kept(key: tuple, make):
-    """One cache a worker, kept between tasks of one run; another run's goes."""
-    if key not in _caches:
-        _caches.clear()
-        _caches[key] = make()
-    return _caches[key]
-
-
 # --- the model ------------------------------------------------------------------------------
 
 @dataclass
@@ -605,7 +594,7 @@ def _scored(docs: DataFrame, name: str, shared) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, keys, values = shared.value
-        known = _kept((token,), lambda: Words(name, (keys, values)))
+        known = held((token,), lambda: Words(name, (keys, values)))
         end = int(look_up((keys, values), np.array([_HASH(END_WORD)], np.uint64))[0])
         number = TaskContext.get().partitionId() << 40
         for batch in batches:

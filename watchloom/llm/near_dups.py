@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import components, map_texts, mix64, slices, small_batches, texts_of, written
+from watchloom.llm.common import components, held, map_texts, mix64, slices, small_batches, texts_of, written
 
 WORDS, SIMILAR = 5, 0.8
 BANDS, ROWS = 24, 5
@@ -56,9 +56,6 @@ class WordHashes(dict):
             self.update(kept)
 
 
-_words = WordHashes()
-
-
 def name_of(words: list[str]) -> int:
     """The hash by which texts of the same words are one node."""
     return xxhash.xxh3_64_intdigest(" ".join(words).encode())
@@ -77,8 +74,9 @@ def strips(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n_words[i] = len(own)
         names[i] = name_of(own)
         words += own
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    _words.trim()
+    hashes = held(("words",), WordHashes)
+    w = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    hashes.trim()
     counts = np.where(n_words >= WORDS, n_words - WORDS + 1, np.minimum(n_words, 1))
     starts = np.cumsum(n_words) - n_words
     ends = np.cumsum(counts)

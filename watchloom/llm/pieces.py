@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from watchloom.llm.common import Pool, map_texts, ragged, small_batches
+from watchloom.llm.common import Pool, held, map_texts, ragged, small_batches
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -202,10 +202,9 @@ def vocabulary(name: str) -> Vocabulary:
     return Vocabulary(name)
 
 
-@lru_cache(maxsize=2)
 def unit_pool(name: str) -> Pool:
     """The worker's cache of units, kept between tasks."""
-    return Pool(vocabulary(name).encode_units)
+    return held(("units", name), lambda: Pool(vocabulary(name).encode_units))
 
 
 def units_of(text: str) -> list[str]:

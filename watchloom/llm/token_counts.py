@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import map_texts, slices, small_batches, texts_of, totals
+from watchloom.llm.common import held, map_texts, slices, small_batches, texts_of, totals
 from watchloom.llm.pieces import MARK, MODEL, units_of
 
 #: Bounds of the sample (documents, distinct pre-tokens a document), of the broadcast table and of a worker's cache.
@@ -121,12 +121,6 @@ class Tiers(dict):
             self.update(kept)
 
 
-_made: dict[str, Tiers] = {}
-
-
 def _tiers(token: str, name: str, table) -> Tiers:
     """One for a worker and call, kept between tasks."""
-    if token not in _made:
-        _made.clear()
-        _made[token] = Tiers(name, table.value)
-    return _made[token]
+    return held(("tiers", token), lambda: Tiers(name, table.value))

@@ -15,7 +15,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import Pool, ragged, range_counts, shared_path, slices, small_batches, totals, with_bucket
+from watchloom.llm.common import Pool, held, ragged, range_counts, shared_path, slices, small_batches, totals, with_bucket
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
@@ -106,9 +105,8 @@ def units_of(text: str) -> list[str]:
     return [RAW + u for u in text.replace("\n", " ").split(" ") if u]
 
 
-@lru_cache(maxsize=1)
 def library(name: str) -> Library:
-    return Library(name)
+    return held(("library", name), lambda: Library(name))
 
 
 def encode_texts(texts: pa.Array | list[str], name: str, end: int | None) -> tuple[np.ndarray, np.ndarray]:
