@@ -343,3 +343,11 @@ def test_rules_with_flags_behind_an_anchor_meet_few_values(spark):
     values = spark.range(4000).select(F.col("id").alias("row_id"), F.lit("c").alias("column"), F.concat(F.lit("User"), "id", F.lit(" did view")).alias("value"))
     got = {(r["row_id"], r["rule_id"]) for r in D.detect_indexed(values, rules).collect()}
     assert got == {(i, f"r{i}") for i in range(2000)}
+
+
+def test_pools_read_their_texts_once(spark):
+    from __spark_entry__ import queries
+
+    for name in ("value_pools", "shape_pools", "pools_without_identities", "settled_kinds"):
+        files = queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
+        assert files and not [f for f in files if "documents.parquet" in f], name

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from watchloom.catalog import dims
 from watchloom.functions.classify import classify_field, is_identifier_value, shape_token, value_class
+from watchloom.session import stored
 
 COUNTS_SCHEMA = "table string, field string, kind string, item string, count bigint"
 
@@ -133,7 +134,10 @@ def profile_fields(counts: DataFrame) -> DataFrame:
 
 def settle_kinds(counts: DataFrame) -> DataFrame:
     """Counts with one kind per field: in a field that holds identities, free values are reduced
-    to their shapes too."""
+    to their shapes too.
+
+    Both sides of the join read the counts, so they are written once: the values behind them are read and classified once."""
+    counts = stored(counts)
     kinds = profile_fields(counts).select("table", "field", F.col("kind").alias("_kind"))
     joined = counts.join(kinds, ["table", "field"])
     item = F.when((F.col("_kind") == "identifier") & (F.col("kind") == "freeform"),
