@@ -351,3 +351,10 @@ def test_pools_read_their_texts_once(spark):
     for name in ("value_pools", "shape_pools", "pools_without_identities", "settled_kinds"):
         files = queries()[name](spark, "/root/testdata/sf0.001").inputFiles()
         assert files and not [f for f in files if "documents.parquet" in f], name
+
+
+def test_label_predicates_read_the_events_once(spark):
+    from __spark_entry__ import queries
+
+    files = queries()["label_predicates"](spark, "/root/testdata/sf0.001").inputFiles()
+    assert files and not [f for f in files if "events.parquet" in f]

@@ -14,7 +14,7 @@ from watchloom.operators.profiling import flatten_record
 from watchloom.operators.settings import Settings
 from watchloom.plans.inputs import EV, events, load, raw_events
 from watchloom.plans.registry import query, sql_case, sql_in, sql_uuid
-from watchloom.session import checkpoint_dir
+from watchloom.session import checkpoint_dir, stored
 
 RUN = Settings(run_id="run-1")
 MODELS = ("process", "signin", "firewall", "cloud_activity", "office_activity", "alert", "generic")
@@ -251,7 +251,9 @@ UNION ALL SELECT 'technique', count(*) FROM f WHERE k IN (4, 6)
 UNION ALL SELECT 'severity', count(*) FROM f WHERE event_id % 5 IN (0, 1)
 UNION ALL SELECT 'table', count(*) FROM f""")
 def label_predicates(spark, sf):
-    rows = N.assign_table(accepted(spark, sf, "firewall"))
+    labels = ("is_malicious", "killchain_phase", "mitre", "severity", "table")
+    # written once: five predicates read it
+    rows = stored(N.assign_table(accepted(spark, sf, "firewall")).select(*labels))
     picks = {
         "malicious": N.filter_malicious(rows), "phase": N.by_phase(rows, "impact"),
         "technique": N.by_technique(rows, "T1404", "T1406"),
