@@ -365,3 +365,19 @@ def test_rows_go_to_one_place_and_windows_leave_the_state(spark, tmp_path):
     assert {i for i, r in aside.items() if r == "late"} == {1000 + b for b in range(3, 12)}
     assert {i for i, r in aside.items() if r == "shed"} == {i for i, *_ in rows if i % 10 == 4 and i not in range(1000, 2000)}
     assert max(state) <= 10 and jobs.rate_table(spark, f"{tmp_path}/rate").filter("events = 2").count() >= 20
+
+
+def test_feeds_are_written_packed_when_asked(spark, tmp_path):
+    rows = [("T", "json", f'{{"a":{i}}}') for i in range(40)] + [("T", "okta", f"o{i}") for i in range(9)]
+    lines = spark.createDataFrame(rows, "table string, feed string, line string")
+    for name, codec in (("plain", None), ("packed", "gzip")):
+        json_lines = lines.filter("feed = 'json'")
+        sinks.write_tables(json_lines, f"{tmp_path}/{name}/tables", max_records=10, compression=codec)
+        sinks.write_unified(json_lines, f"{tmp_path}/{name}/unified", compression=codec)
+        sinks.write_feed(lines, f"{tmp_path}/{name}/feeds", compression=codec)
+        sinks.write_vendor_feeds(lines, f"{tmp_path}/{name}/vendors", compression=codec)
+        files = [p for p in (tmp_path / name).rglob("part-*") if not p.name.endswith(".crc")]
+        assert {p.suffix for p in files} == {".gz" if codec else ".txt"}
+    for part in ("tables", "unified", "feeds", "vendors"):
+        plain, packed = (sorted(r["value"] for r in spark.read.text(f"{tmp_path}/{n}/{part}").collect()) for n in ("plain", "packed"))
+        assert plain == packed and plain

@@ -38,10 +38,10 @@ def written_feeds(spark, sf):
     path, lines = scratch(spark), all_lines(spark, sf).persist()
     try:
         json = lines.filter("feed = 'json'")
-        sinks.write_tables(json, f"{path}/tables", max_records=5000)
-        sinks.write_unified(json, f"{path}/unified")
-        sinks.write_feed(lines.filter("feed IN ('cef', 'syslog', 'winxml', 'auditd')"), f"{path}/feeds")
-        sinks.write_vendor_feeds(lines, f"{path}/vendors")
+        sinks.write_tables(json, f"{path}/tables", max_records=5000, compression="gzip")
+        sinks.write_unified(json, f"{path}/unified", compression="gzip")
+        sinks.write_feed(lines.filter("feed IN ('cef', 'syslog', 'winxml', 'auditd')"), f"{path}/feeds", compression="gzip")
+        sinks.write_vendor_feeds(lines, f"{path}/vendors", compression="gzip")
     finally:
         lines.unpersist()
 

@@ -17,38 +17,39 @@ log = logging.getLogger(__name__)
 VENDOR_FEEDS = ("fortinet", "cisco_asa", "okta")
 
 
-def write_tables(lines: DataFrame, path: str, max_records: int | None = None, mode: str = "append") -> None:
+def write_tables(lines: DataFrame, path: str, max_records: int | None = None, mode: str = "append", compression: str | None = None) -> None:
     """One JSON-lines dataset per table from rows ``table, line`` (the JSON feed).
 
     Rows are gathered by table first (a large table in several parts), so a task opens few files.
     """
-    _bounded(lines.select("table", F.col("line").alias("value")).hint("rebalance", "table"), max_records).mode(mode).partitionBy(
+    _bounded(lines.select("table", F.col("line").alias("value")).hint("rebalance", "table"), max_records, compression).mode(mode).partitionBy(
         "table").text(path)
 
 
-def write_unified(lines: DataFrame, path: str, max_records: int | None = None, mode: str = "append") -> None:
+def write_unified(lines: DataFrame, path: str, max_records: int | None = None, mode: str = "append", compression: str | None = None) -> None:
     """The same rows as one feed."""
-    _bounded(lines.select(F.col("line").alias("value")), max_records).mode(mode).text(path)
+    _bounded(lines.select(F.col("line").alias("value")), max_records, compression).mode(mode).text(path)
 
 
-def write_feed(lines: DataFrame, path: str, max_records: int | None = None, mode: str = "append") -> None:
+def write_feed(lines: DataFrame, path: str, max_records: int | None = None, mode: str = "append", compression: str | None = None) -> None:
     """Line feeds from rows ``feed, line``. A line with a line break in it would become two records: it goes to the
     feed ``unwritable`` beside the others, as a JSON text with its feed, and the rest is written."""
     broken = F.col("line").rlike("[\r\n]")
     named = F.when(broken, F.lit("unwritable")).otherwise(F.col("feed"))
     value = F.when(broken, F.to_json(F.struct("feed", "line"))).otherwise(F.col("line"))
     placed = lines.select(named.alias("feed"), value.alias("value")).hint("rebalance", "feed")
-    _bounded(placed, max_records).mode(mode).partitionBy("feed").text(path)
+    _bounded(placed, max_records, compression).mode(mode).partitionBy("feed").text(path)
 
 
-def write_vendor_feeds(lines: DataFrame, path: str, max_records: int | None = None, mode: str = "append") -> None:
+def write_vendor_feeds(lines: DataFrame, path: str, max_records: int | None = None, mode: str = "append", compression: str | None = None) -> None:
     """Only rows with a vendor rendering, one dataset per vendor."""
-    write_feed(lines.filter(F.col("feed").isin(*VENDOR_FEEDS)), path, max_records, mode)
+    write_feed(lines.filter(F.col("feed").isin(*VENDOR_FEEDS)), path, max_records, mode, compression)
 
 
-def _bounded(df: DataFrame, max_records: int | None):
-    """A writer whose files hold at most so many records (no bound for historical windows)."""
-    return df.write.option("maxRecordsPerFile", max_records) if max_records else df.write
+def _bounded(df: DataFrame, max_records: int | None, compression: str | None = None):
+    """A writer whose files hold at most so many records (no bound for historical windows), plain or with a codec of Hadoop."""
+    writer = df.write.option("compression", compression) if compression else df.write
+    return writer.option("maxRecordsPerFile", max_records) if max_records else writer
 
 
 def bounded_files(lines: DataFrame, path: str, max_bytes: int, mode: str = "append") -> None:
