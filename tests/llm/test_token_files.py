@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
@@ -59,3 +60,18 @@ def test_nulls_ties_and_random_access(spark, odd, empty, library):
     for first, count in ((0, 10), (20, 500), (len(every) - 5, 5)):
         assert (T.read_ids(spark, path, first, count) == every[first:first + count]).all()
     assert T.read_token_files(spark, T.write_token_files(empty.select("doc_id", "text"))).count() == 0
+
+
+def test_distinct_pieces_become_units_all_at_once(monkeypatch):
+    pieces = ["", "Plain", "x-Y,z", "É", "Ñandú", "×", "÷a", "don't", "<b>", "a\tb", "Ā", "日本", "\x00", "~|", "a b", "ÀÞß", "", "😀"]
+    filled, units = T.distinct_units(pa.array(pieces))
+    assert [pieces[i] for i in filled] == [p for p in pieces if p] and units == [u for p in pieces for u in T.units_of(p)]
+    some = pa.array(pieces).slice(3, 9)
+    assert T.distinct_units(some)[1] == [u for p in some.to_pylist() for u in T.units_of(p)]
+    assert T.distinct_units(pa.array(["", ""]))[1] == [] and T.distinct_units(pa.array([], pa.string()))[1] == []
+    monkeypatch.setattr(T, "units_of", lambda text: 1 / 0)
+    texts = ["One\ntwo  Three\n", None, "", "don't\n日本"]
+    flat, counts = T.encode_texts(pa.array(texts), T.VOCABULARY, 2)
+    lib = T.library(T.VOCABULARY)
+    want = [lib.encode(t or "") + [2] for t in texts]
+    assert flat.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import Pool, held, runs_of, slices, small_batches, texts_of, totals, written
+from watchloom.llm.common import Pool, held, objects, runs_of, slices, small_batches, texts_of, totals, written
 from watchloom.llm.pieces import MARK, MODEL
 
 BLOCK, WIDTH, CLASSES, RARE_CLASSES, GROUPS = 16, 16, 256, 8, 16
@@ -107,7 +107,7 @@ class Words:
         self.pool.begin()
         words, counts = runs_of(texts, LOWER)
         coded = words.dictionary_encode()
-        return self.pool.indices(coded.dictionary.to_pylist())[coded.indices.to_numpy()], counts
+        return self.pool.indices(objects(coded.dictionary))[coded.indices.to_numpy()], counts
 
     def symbols(self, at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols of texts with the end of each, flat, and how many each has."""
