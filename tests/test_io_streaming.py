@@ -381,3 +381,38 @@ def test_feeds_are_written_packed_when_asked(spark, tmp_path):
     for part in ("tables", "unified", "feeds", "vendors"):
         plain, packed = (sorted(r["value"] for r in spark.read.text(f"{tmp_path}/{n}/{part}").collect()) for n in ("plain", "packed"))
         assert plain == packed and plain
+
+
+def test_a_batch_is_judged_once_for_all_that_becomes_of_it(spark):
+    from watchloom.operators.feeds import export_judged, export_records
+    from watchloom.operators.normalize import flatten_data, normalize, route_event_type
+
+    models = ["signin", "firewall", "linux_auth"]
+    given = [
+        {"event_type": "linux_auth", "source": "Linux", "timestamp": "1704067200"},
+        {"event_type": "authentication", "source": "Azure AD", "user_name": "a", "is_malicious": "perhaps"},
+        {"event_type": "authentication", "source": "Azure AD", "user_name": None, "AccountName": "x"},
+        {"event_type": "authentication", "source": "Azure AD", "AccountName": "b", "timestamp": "2024-01-01 00:00:03"},
+        {"event_type": "network_connection", "source": "Firewall", "source_ip": "10.0.0.1", "timestamp": "1704067200"},
+        {"data": '{"event_type": "network_connection", "source": "Firewall"}'}, {"event_type": "odd"}, None]
+    batch = spark.createDataFrame(
+        [(str(i), str(d), d) for i, d in enumerate(given)], "row_id string, line string, raw map<string,string>")
+    rows = jobs.judged_batch(batch, models).persist()
+    try:
+        tables, refused = jobs.normalised_batch(rows, models)
+        assert all(df._jdf.queryExecution().optimizedPlan().collectLeaves().size() == 1 for df in (*tables.values(), refused))
+        routed = route_event_type(flatten_data(batch.filter("raw IS NOT NULL")))
+        want = {r["row_id"]: (None, ["unparsed"]) for r in batch.filter("raw IS NULL").collect()}
+        want |= {r["row_id"]: (r["model"], ["class"]) for r in routed.collect() if r["model"] not in models}
+        same = lambda df: sorted(map(str, df.drop("ingested_at").collect()))
+        for name in models:
+            good, bad = normalize(routed, name, now="TIMESTAMP '2024-01-02 00:00:00'")
+            want |= {r["row_id"]: (name, r["reasons"]) for r in bad.collect()}
+            assert tables[name].schema == good.schema and same(tables[name].select("row_id")) == same(good.select("row_id"))
+            stamped = [c for c in good.columns if good.schema[c].dataType.typeName() != "timestamp"]
+            assert same(tables[name].select(stamped)) == same(good.select(stamped))
+        assert {r["row_id"]: (r["model"], r["reasons"]) for r in refused.collect()} == want and len(want) >= 4
+        timed = lambda df: sorted(map(str, df.filter("feed IN ('syslog', 'winxml', 'auditd')").select("table", "feed").collect()))
+        assert timed(export_judged(rows.withColumnRenamed("reasons", "errors"), models)) == timed(export_records(routed, models))
+    finally:
+        rows.unpersist()

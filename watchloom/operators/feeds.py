@@ -22,7 +22,7 @@ from watchloom.functions import sqltext as T
 from watchloom.functions.hashing import stable_uuid_sql, uuid5_hex_sql
 from watchloom.operators.normalize import table_name
 from watchloom.operators.ordered import global_rank
-from watchloom.operators.rowprogram import accepted_rows, given_texts, wide_name, wide_rows
+from watchloom.operators.rowprogram import given_texts, judged, wide_name, wide_rows
 from watchloom.operators.settings import Settings
 from watchloom.session import materialise
 
@@ -271,12 +271,12 @@ def feed_lines(df: DataFrame, name: str, settings: Settings = Settings(),
     return _exploded(df, line_parts(name, settings, serial), keep)
 
 
-def audit_serials(routed: DataFrame, models: Sequence[str], settings: Settings = Settings(), first_serial: int = 0) -> DataFrame:
-    """``_row, serial``: the place, in order of time, of each routed record of a class with audit records.
+def audit_serials(texts: DataFrame, models: Sequence[str], settings: Settings = Settings(), first_serial: int = 0) -> DataFrame:
+    """``_row, serial``: the place, in order of time, of each record (with its given texts) of a class with audit records.
 
     Only ids and times are ordered. A record that its class then refuses leaves a gap.
     """
-    rows = wide_rows(given_texts(routed, models), models, settings, ("row_id",), only=("timestamp",))
+    rows = wide_rows(texts, models, settings, ("row_id",), only=("timestamp",))
     # written once, since ordering reads its input twice
     narrow = materialise(rows.select(F.col("row_id").alias("_row"), F.col("timestamp").alias("_ts")))
     ranked = global_rank(narrow, ["_ts", "_row"], "serial")
@@ -289,17 +289,39 @@ def export_records(routed: DataFrame, models: Sequence[str], settings: Settings
 
     Records of classes with audit records meet their serial by id; that reads ids and times once more.
     """
-    audited = [name for name in models if spec_of(name).feeds.get("auditd") is not None]
-    kept = ["row_id", "model", *keep]
+    audited = _audited(models)
     if audited:
-        serials = audit_serials(routed, audited, settings, first_serial)
-        routed, kept = routed.join(serials, F.col("row_id") == F.col("_row"), "left").drop("_row"), [*kept, "serial"]
-    rows = accepted_rows(routed, models, settings, list(dict.fromkeys(kept)))
+        routed = _with_serials(routed, audit_serials(given_texts(routed, audited), audited, settings, first_serial))
+    return _lines_of(judged(routed, models), models, settings, keep)
+
+
+def export_judged(rows: DataFrame, models: Sequence[str], settings: Settings = Settings(), first_serial: int = 0,
+                  keep: tuple[str, ...] = ()) -> DataFrame:
+    """``export_records`` from ``judged`` records that are there already."""
+    audited = _audited(models)
+    if audited:
+        rows = _with_serials(rows, audit_serials(rows.filter(F.col("model").isin(*audited)), audited, settings, first_serial))
+    return _lines_of(rows, models, settings, keep)
+
+
+def _audited(models: Sequence[str]) -> list[str]:
+    return [name for name in models if spec_of(name).feeds.get("auditd") is not None]
+
+
+def _with_serials(rows: DataFrame, serials: DataFrame) -> DataFrame:
+    return rows.join(serials, F.col("row_id") == F.col("_row"), "left").drop("_row")
+
+
+def _lines_of(rows: DataFrame, models: Sequence[str], settings: Settings, keep: tuple[str, ...]) -> DataFrame:
+    """The lines of the accepted among judged records."""
+    audited = _audited(models)
+    kept = dict.fromkeys(["row_id", "model", *keep, *(["serial"] if audited else [])])
+    wide = wide_rows(rows.filter(F.size("errors") == 0), models, settings, list(kept))
     lines = None
     for name in models:
         own = line_parts(name, settings, "serial" if name in audited else None, wide_name)
         lines = F.when(F.col("model") == name, own) if lines is None else lines.when(F.col("model") == name, own)
-    return _exploded(rows, lines, keep)
+    return _exploded(wide, lines, keep)
 
 
 def export_run(tables: dict[str, DataFrame], settings: Settings = Settings(), first_serial: int = 0) -> DataFrame:

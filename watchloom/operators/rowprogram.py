@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from watchloom.catalog.model import ColumnSpec
 from watchloom.catalog.tables import GENERIC, spec_of
 from watchloom.functions.sqltext import lit, literal_array
-from watchloom.operators.normalize import _default, _problem, lax_cast
+from watchloom.operators.normalize import _default, _given, _problem, apply_defaults, cast_columns, lax_cast
 from watchloom.operators.pinned import pinned
 from watchloom.operators.settings import Settings
 
@@ -37,8 +37,8 @@ def given_texts(routed: DataFrame, models: Sequence[str], raw: str = "raw") -> D
     return pinned(rows, F.transform("chosen", lambda n: F.element_at(F.col(raw), n)).alias("given"))
 
 
-def judged(routed: DataFrame, models: Sequence[str], raw: str = "raw") -> DataFrame:
-    """``given_texts`` with ``errors``, the reasons a record cannot be accepted; empty when it can."""
+def _errors(models: Sequence[str]) -> str:
+    """The reasons against a record of one of the classes, from its ``chosen`` and ``given``, as SQL; null for other classes."""
     branches = []
     for name in models:
         spec = spec_of(name)
@@ -46,7 +46,34 @@ def judged(routed: DataFrame, models: Sequence[str], raw: str = "raw") -> DataFr
             _problem(c, f"(get(chosen, {i}) IS NOT NULL)", f"get(given, {i})", lax_cast(f"get(given, {i})", c))
             for i, c in enumerate(spec.columns) if not (spec is GENERIC and c.pinned_by_route)]
         branches.append(f"WHEN {lit(name)} THEN array_compact(array({', '.join(p for p in problems if p) or 'CAST(NULL AS STRING)'}))")
-    return pinned(given_texts(routed, models, raw), F.expr(f"CASE model {' '.join(branches)} END").alias("errors"))
+    return f"CASE model {' '.join(branches)} END"
+
+
+def judged(routed: DataFrame, models: Sequence[str], raw: str = "raw") -> DataFrame:
+    """``given_texts`` with ``errors``, the reasons a record cannot be accepted; empty when it can."""
+    return pinned(given_texts(routed, models, raw), F.expr(_errors(models)).alias("errors"))
+
+
+def judged_whole(routed: DataFrame, models: Sequence[str], raw: str = "raw") -> DataFrame:
+    """As ``judged``, with all records: those of other classes have null ``chosen``, ``given`` and ``errors``.
+
+    For few classes and rows that are persisted next. Names are looked up by a branch on the class, in plain projections: these
+    are compiled, which ``pinned`` rows are not, and what is persisted is not copied into later steps.
+    """
+    first = lambda c: "CASE " + " ".join(f"WHEN map_contains_key({raw}, {lit(n)}) THEN {lit(n)}" for n in c.accepts) + " END"
+    names = " ".join(f"WHEN {lit(m)} THEN array({', '.join(first(c) for c in spec_of(m).columns)})" for m in models)
+    rows = routed.selectExpr("*", f"CASE model {names} END AS chosen")
+    width = max(len(spec_of(m).columns) for m in models)
+    texts = ", ".join(f"{raw}[get(chosen, {i})]" for i in range(width))
+    return rows.selectExpr("*", f"if(chosen IS NULL, NULL, array({texts})) AS given").selectExpr("*", f"{_errors(models)} AS errors")
+
+
+def table_of(accepted: DataFrame, name: str, settings: Settings = Settings(), keep: Sequence[str] = ("row_id",),
+             now: str = "current_timestamp()") -> DataFrame:
+    """The typed table of one class from its accepted ``judged`` records."""
+    spec = spec_of(name)
+    given = accepted.selectExpr("*", *[f"get(given, {i}) AS {_given(c.attr)}" for i, c in enumerate(spec.columns)])
+    return cast_columns(apply_defaults(given, spec, settings, now=now), spec, tuple(keep))
 
 
 def wide_name(c: ColumnSpec) -> str:

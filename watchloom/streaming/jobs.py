@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
-from watchloom.operators.feeds import export_records
-from watchloom.operators.normalize import flatten_data, normalize, route_event_type, table_name
+from watchloom.operators.feeds import export_judged
+from watchloom.operators.normalize import flatten_data, route_event_type, table_name
 from watchloom.operators.profiling import field_counts, settle_kinds
-from watchloom.operators.rowprogram import judged
+from watchloom.operators.rowprogram import judged_whole, table_of
 from watchloom.operators.settings import Settings
 from watchloom.sources.sinks import Ledger, fan_out
 
@@ -42,27 +42,32 @@ def numbered(batch: DataFrame) -> DataFrame:
     return batch.withColumn("row_id", F.concat_ws("#", "file", "block", F.monotonically_increasing_id()))
 
 
-def routed_batch(batch: DataFrame, models: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """(routed records, ``row_id, model, line, reasons`` of lines that do not parse and of records of other classes)."""
-    routed = route_event_type(flatten_data(batch.filter(F.col("raw").isNotNull())))
-    unread = batch.filter(F.col("raw").isNull()).select(
-        "row_id", F.lit(None).cast("string").alias("model"), "line", F.array(F.lit("unparsed")).alias("reasons"))
-    other = routed.filter(~F.col("model").isin(*models)).select("row_id", "model", "line", F.array(F.lit("class")).alias("reasons"))
-    return routed, unread.unionByName(other)
+def judged_batch(batch: DataFrame, models: Sequence[str]) -> DataFrame:
+    """Every line of a numbered batch, judged once: its class, the texts given to its columns, and ``reasons``, which are empty
+    when its class accepts it. A line that does not parse and a record of a class that was not asked for have theirs.
+
+    To be persisted: all that becomes of a batch is read from it.
+    """
+    rows = judged_whole(route_event_type(flatten_data(batch)), models)
+    why = F.when(F.col("raw").isNull(), F.array(F.lit("unparsed"))).when(
+        F.col("model").isin(*models), F.col("errors")).otherwise(F.array(F.lit("class")))
+    model = F.when(F.col("raw").isNotNull(), F.col("model"))
+    return rows.select("row_id", "line", model.alias("model"), "route_source", "route_type", "chosen", "given", why.alias("reasons"))
+
+
+def refused_of(rows: DataFrame) -> DataFrame:
+    """``row_id, model, line, reasons`` of all other lines."""
+    return rows.filter(F.size("reasons") > 0).select("row_id", "model", "line", "reasons")
 
 
-def normalised_batch(batch: DataFrame, models: Sequence[str], settings: Settings = Settings()) -> tuple[dict[str, DataFrame], DataFrame]:
-    """(accepted rows of each class, everything else) of a numbered batch.
+def normalised_batch(rows: DataFrame, models: Sequence[str], settings: Settings = Settings()) -> tuple[dict[str, DataFrame], DataFrame]:
+    """(accepted rows of each class, everything else) of a judged batch.
 
     The second part, ``row_id, model, line, reasons``, has lines that do not parse, records of classes that were not
     asked for, and records their class does not accept: each row of the batch is in exactly one place.
     """
-    routed, refused = routed_batch(batch, models)
-    tables = {}
-    for name in models:
-        tables[name], bad = normalize(routed, name, settings, keep=("row_id", "line"))
-        refused = refused.unionByName(bad.select("row_id", "model", "line", "reasons"))
-    return {name: table.drop("line") for name, table in tables.items()}, refused
+    good = rows.filter(F.size("reasons") == 0)
+    return {name: table_of(good.filter(F.col("model") == name), name, settings) for name in models}, refused_of(rows)
 
 
 def stream_normalise(raw: DataFrame, models: Sequence[str], accepted: Callable[[str, DataFrame, int], None],
@@ -71,7 +76,7 @@ def stream_normalise(raw: DataFrame, models: Sequence[str], accepted: Callable[[
     is drained. Both should overwrite what they wrote for the same batch id."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        own = numbered(batch).persist()
+        own = judged_batch(numbered(batch), models).persist()
         try:
             tables, refused = normalised_batch(own, models, settings)
             for name, table in tables.items():
@@ -97,13 +102,11 @@ def stream_fanout(raw: DataFrame, models: Sequence[str], sinks: Mapping[str, Cal
         ledger.redeliver(sinks)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        own = numbered(batch).persist()
+        own = judged_batch(numbered(batch), models).persist()
         try:
-            routed, refused = routed_batch(own, models)
-            bad = judged(routed, models).filter(F.size("errors") > 0)
-            lines = export_records(routed, models, settings, first_serial=batch_id * BATCH_SERIALS)
+            lines = export_judged(own.withColumnRenamed("reasons", "errors"), models, settings, first_serial=batch_id * BATCH_SERIALS)
             failed = fan_out(lines, batch_id, sinks, ledger)
-            quarantine(refused.unionByName(bad.select("row_id", "model", "line", F.col("errors").alias("reasons"))), batch_id)
+            quarantine(refused_of(own), batch_id)
         finally:
             own.unpersist()
         if failed and on_failure:
