@@ -177,3 +177,33 @@ def test_parts_grow_with_the_windows_and_learn_together(spark, model):
     flat, sizes = windows[:50, 2:].ravel(), np.full(50, 2 * L.BLOCK - 1)
     start = L.score_symbols(L.made(rows, base, L.fresh(rows)), flat, sizes).sum()
     assert L.score_symbols(L.made(rows, base, first), flat, sizes).sum() > start + 0.1 * abs(start)
+
+
+def test_every_block_of_the_texts_is_a_window_of_its_own_text():
+    rng = np.random.default_rng(6)
+    texts = [np.append(rng.integers(0, 90, n), 99) for n in (0, 1, L.BLOCK - 1, L.BLOCK, 3 * L.BLOCK + 5)]
+    windows = L.windows_of(np.concatenate(texts).astype(np.uint16), 99)
+    assert len(windows) == sum(-(-len(t) // L.BLOCK) for t in texts)
+    at = 0
+    for t in texts:
+        padded = np.concatenate([np.full(L.BLOCK + 1, -1), t, np.full(L.BLOCK, -1)])
+        for a in range(0, len(t), L.BLOCK):
+            assert windows[at].tolist() == padded[a:a + 2 * L.BLOCK + 1].tolist()
+            at += 1
+
+
+def test_attention_is_fitted_on_all_windows_whatever_their_number(spark):
+    symbols, end = 3000, 2999
+    counts = np.ones(symbols)
+    rows = L.rows_of(np.arange(symbols) % L.CLASSES, counts)
+    base = L.base_of_counts(rows, np.zeros((len(rows.class_of_row), L.CLASSES)))
+    texts = [np.array([i] * 20 + [end], np.uint16) for i in range(2900)]
+    old = L.FIT_WINDOWS, L.STEPS
+    for L.FIT_WINDOWS, L.STEPS in ((10_000, 60), (300, 60), (40, 60)):  # the first step moves no rows: all windows are visited twice
+        try:
+            coded = spark.createDataFrame([(bytearray(np.concatenate(texts[a:a + 100]).tobytes()),) for a in range(0, 2900, 100)], "codes binary")
+            state = L.fit_coded(coded, symbols, end, 2900 * 21, rows, base)
+        finally:
+            L.FIT_WINDOWS, L.STEPS = old
+        moved = (state[0] != L.fresh(rows)[0]).any(axis=1)
+        assert moved[rows.row_of[:2900]].all()

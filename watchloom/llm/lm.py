@@ -8,9 +8,9 @@ and classes come from the row of the last symbol plus causal self-attention over
 their own block up to themselves and the whole block before. Windows overlap by a block and every symbol is scored once, by
 batched masked attention in numpy. Classes are clusters of symbols with like neighbours. Shares of symbols within classes, neighbours
 and the rows' counts of next classes come from all training texts: these are coded once, and two passes over the codes count
-in tables of bounded size. Attention is fitted in numpy on windows taken from places all over the training texts, FIT_WINDOWS or
-one block in ONE_IN, whichever is more: each FIT_WINDOWS of them are a part that takes STEPS steps in a task of its own, and
-the parts' weights and moments are averaged ROUNDS times on the way.
+in tables of bounded size. Attention is fitted in numpy on the windows of all blocks of all training texts, whatever their number:
+each 2 * FIT_WINDOWS of them are a part that visits all its windows in STEPS steps, and the parts' weights and moments are averaged
+ROUNDS times on the way.
 
 The baseline needs the count of every word in all training texts: counted by Spark; the TABLE_WORDS most frequent are broadcast as
 two arrays of numbers, and only the other words of a text meet their counts in a join. Words are told apart by 64-bit hashes.
@@ -34,14 +34,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from watchloom.llm.common import Pool, held, objects, runs_of, slices, small_batches, texts_of, totals, written
+from watchloom.llm.common import Pool, held, objects, runs_of, slices, small_batches, totals, written
 from watchloom.llm.pieces import MARK, MODEL
 
 BLOCK, WIDTH, CLASSES, RARE_CLASSES, GROUPS = 16, 16, 256, 8, 16
 #: Classes of a group: class c belongs to group c // SIZE. Scores stand side by side, of the groups first, then of the classes.
 SIZE = CLASSES // GROUPS
 FIT_WINDOWS, ROWS, CONTEXT, STEPS, BATCH, RATE, SEED = 60_000, 4096, 512, 300, 256, 0.01, 5
-ONE_IN, ROUNDS, CODED = 32, 3, 1 << 20
+ROUNDS, CODED, FAN = 3, 1 << 20, 8
 TABLE_WORDS = 131_072
 #: The end of a text as a word: no word holds a line break.
 END_WORD = b"\n"
@@ -126,20 +126,19 @@ def look_up(table: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndar
 
 # --- what the corpus gives ------------------------------------------------------------------
 
-def _gather(training: DataFrame, name: str, share: float) -> DataFrame:
-    """Of the training texts, task by task: word counts (kind 0), symbol counts (1), windows to fit on (2) and the symbols (3)."""
+def _gather(training: DataFrame, name: str) -> DataFrame:
+    """Of the training texts, task by task: word counts (kind 0), symbol counts (1) and the symbols (2)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = held(("gather", name), lambda: Words(name))
-        spelled, size = Counter(), 2 * BLOCK + 1
+        spelled = Counter()
         pieces = np.zeros(known.speller.symbols, np.int64)
         coded, code = [], _code(known.speller.symbols)
 
-        def rows(kind: int, keys, counts, windows=None, codes=None) -> pa.RecordBatch:
+        def rows(kind: int, keys, counts, codes=None) -> pa.RecordBatch:
             n = len(keys)
             return pa.RecordBatch.from_arrays([
                 pa.array(np.full(n, kind, np.int32)), pa.array(np.asarray(keys, np.int64)), pa.array(np.asarray(counts, np.int64)),
-                pa.array(windows if windows is not None else [None] * n, pa.binary()),
-                pa.array(codes if codes is not None else [None] * n, pa.binary())], names=["kind", "key", "n", "window", "codes"])
+                pa.array(codes if codes is not None else [None] * n, pa.binary())], names=["kind", "key", "n", "codes"])
 
         def flush() -> pa.RecordBatch:
             out = rows(0, np.fromiter(spelled, np.uint64, len(spelled)).view(np.int64), list(spelled.values()))
@@ -147,36 +146,22 @@ def _gather(training: DataFrame, name: str, share: float) -> DataFrame:
             return out
 
         def chunk() -> pa.RecordBatch:
-            out = rows(3, [0], [sum(map(len, coded))], codes=[np.concatenate(coded).tobytes()])
+            out = rows(2, [0], [sum(map(len, coded))], codes=[np.concatenate(coded).tobytes()])
             coded.clear()
             return out
 
         for batch in batches:
             for part in slices(batch, "text"):
-                texts = texts_of(part.column(0))
                 at, counts = known.read(part.column(0))
                 places, n = np.unique(at, return_counts=True)
                 for h, c in zip(known.hashes[places].tolist(), n.tolist()):
                     spelled[h] += c
-                spelled[_HASH(END_WORD)] += len(texts)
-                flat, sizes = known.symbols(at, counts)
+                spelled[_HASH(END_WORD)] += len(counts)
+                flat, _ = known.symbols(at, counts)
                 pieces += np.bincount(flat, minlength=len(pieces))
                 coded.append(flat.astype(code))
                 if sum(map(len, coded)) >= CODED:
                     yield chunk()
-                ends = np.cumsum(sizes)
-                windows = []
-                for i, (a, b) in enumerate(zip((ends - sizes).tolist(), ends.tolist())):
-                    h = _HASH(texts[i].encode())
-                    picks = (b - a) / BLOCK * share
-                    for k in range(int(picks) + ((h & 0xFFFF) / 65536 < picks % 1)):
-                        stop = a + 1 + _HASH(f"{h}/{k}") % (b - a)
-                        window = np.full(size, -1, np.int32)
-                        own = flat[max(a, stop - size):stop]
-                        window[size - len(own):] = own
-                        windows.append(window.tobytes())
-                if windows:
-                    yield rows(2, np.zeros(len(windows)), np.ones(len(windows)), windows)
                 if len(spelled) > 400_000:
                     yield flush()
         yield flush()
@@ -185,7 +170,7 @@ def _gather(training: DataFrame, name: str, share: float) -> DataFrame:
         used = np.flatnonzero(pieces)
         yield rows(1, used, pieces[used])
 
-    return training.select("text").mapInArrow(run, "kind int, key long, n long, window binary, codes binary")
+    return training.select("text").mapInArrow(run, "kind int, key long, n long, codes binary")
 
 
 def _code(symbols: int) -> type:
@@ -254,7 +239,7 @@ def attend(qkv: np.ndarray, bias: np.ndarray) -> np.ndarray:
     np.exp(own, out=own)
     out = np.matmul(before, values[:-1])
     out += np.matmul(own, values[1:])
-    out /= before.sum(axis=2, keepdims=True) + own.sum(axis=2, keepdims=True)
+    out /= (summed(before) + summed(own))[:, :, None]
     return out
 
 
@@ -356,12 +341,13 @@ def stepped(rows: Rows, base: np.ndarray, state: list[np.ndarray], windows: np.n
     """Weights and moments after the given steps on windows of 2 * BLOCK + 1 symbols (-1: before the text)."""
     state = [v.copy() for v in state]
     values, first, second = state[:4], state[4:8], state[8:]
-    x, y, real = rows.row_of[windows[:, :-1]], rows.class_of[windows[:, 1:]], windows[:, 1:] >= 0
     back = BLOCK + np.arange(BLOCK)[:, None] - np.arange(2 * BLOCK)[None, :]
-    rng = np.random.default_rng((SEED, seed, steps.start))
+    # all STEPS together visit every window once, or, of fewer windows, each about as often
+    order = np.random.default_rng((SEED, seed)).permutation(len(windows))
+    batch = max(BATCH, -(-len(windows) // STEPS))
     for step in steps if len(windows) else ():
-        at = rng.integers(0, len(windows), BATCH)
-        slopes = _slopes([*values, base], x[at], y[at], real[at], back, False)
+        own = windows[order[((step - 1) * batch + np.arange(batch)) % len(windows)]]
+        slopes = _slopes([*values, base], rows.row_of[own[:, :-1]], rows.class_of[own[:, 1:]], own[:, 1:] >= 0, back, False)
         rate = RATE * min(1.0, 2 * (1 - step / (STEPS + 1)))
         for v, g, a, b, r in zip(values, slopes, first, second, (1, 0.5, 1, 2)):
             a += 0.1 * (g - a)
@@ -399,23 +385,68 @@ def fit(windows: np.ndarray, counts: np.ndarray) -> Attention:
     return made(rows, base, state)
 
 
+def windows_of(flat: np.ndarray, end: int) -> np.ndarray:
+    """A window for every block of whole texts in symbols, each text with its end: the symbols of the block, BLOCK before them, and
+    one more (-1: before or after the text). Blocks lie as in ``score_symbols``, so every symbol is predicted in one window."""
+    ends = np.flatnonzero(flat == end) + 1
+    sizes = np.diff(ends, prepend=0)
+    blocks = -(-sizes // BLOCK)
+    block = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    at = (block * BLOCK - BLOCK - 1)[:, None] + np.arange(2 * BLOCK + 1)
+    inside = (at >= 0) & (at < np.repeat(sizes, blocks)[:, None])
+    at += np.repeat(ends - sizes, blocks)[:, None]
+    return np.where(inside, flat[np.where(inside, at, 0)].astype(np.int32), np.int32(-1))
+
+
+def fit_coded(coded: DataFrame, symbols: int, end: int, total: float, rows: Rows, base: np.ndarray) -> list[np.ndarray]:
+    """Weights and moments fitted on the windows of all blocks of the coded texts, total symbols in all.
+
+    The codes are read where they lie, not shuffled: a task makes parts of its chunks, of 2 * FIT_WINDOWS or somewhat more.
+    """
+    code = _code(symbols)
+
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        made, n = [], 0
+        for batch in batches:
+            for raw in batch.column(0):
+                made.append(windows_of(np.frombuffer(raw.as_buffer(), code), end))
+                n += len(made[-1])
+                if n >= 2 * FIT_WINDOWS:
+                    yield np.concatenate(made)
+                    made, n = [], 0
+        if n:
+            yield np.concatenate(made)
+
+    return _fit(coded.coalesce(max(1, int(total / BLOCK / (2 * FIT_WINDOWS)))), parts_of, rows, base) if total else fresh(rows)
+
+
 def fit_parts(windows: DataFrame, rows: Rows, base: np.ndarray) -> list[np.ndarray]:
-    """Weights and moments fitted on all windows: parts of about FIT_WINDOWS take their steps at once and are averaged in every round."""
-    spark = windows.sparkSession
+    """Weights and moments fitted on given windows: parts of about FIT_WINDOWS take their steps at once and are averaged in every round."""
     n = windows.count()
-    parts = max(1, round(n / FIT_WINDOWS))
+
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        raw = sorted(w for batch in batches for w in batch.column(0).to_pylist())
+        if raw:
+            yield np.frombuffer(b"".join(raw), np.int32).reshape(-1, 2 * BLOCK + 1)
+
+    return _fit(windows.repartition(max(1, round(n / FIT_WINDOWS))), parts_of, rows, base) if n else fresh(rows)
+
+
+def _fit(source: DataFrame, parts_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], rows: Rows, base: np.ndarray) -> list[np.ndarray]:
+    """Rounds of steps on the parts of each task, averaged by their windows: in the task, in FAN tasks, then on the driver."""
+    spark = source.sparkSession
     state = fresh(rows)
     shapes = [v.shape for v in state]
 
-    for steps in rounds_of(STEPS) if n else ():
+    for steps in rounds_of(STEPS):
         shared = spark.sparkContext.broadcast((rows, base, state))
 
         def run(batches: Iterator[pa.RecordBatch], steps: range = steps, shared=shared) -> Iterator[pa.RecordBatch]:
-            raw = sorted(w for batch in batches for w in batch.column(0).to_pylist())
-            if raw:
-                own = np.frombuffer(b"".join(raw), np.int32).reshape(-1, 2 * BLOCK + 1)
-                new = stepped(*shared.value, own, steps, TaskContext.get().partitionId())
-                yield _weighted((len(raw), np.concatenate([v.ravel() for v in new]).astype(np.float64) * len(raw)))
+            task = TaskContext.get().partitionId()
+            total = sum_of((len(own), np.concatenate([v.ravel() for v in stepped(*shared.value, own, steps, task + (i << 32))]).astype(np.float64) * len(own))
+                           for i, own in enumerate(parts_of(batches)))
+            if total:
+                yield _weighted(total)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = sum_of((n, np.frombuffer(v, np.float64)) for batch in batches for n, v in zip(*(c.to_pylist() for c in batch.columns)))
@@ -423,7 +454,7 @@ def fit_parts(windows: DataFrame, rows: Rows, base: np.ndarray) -> list[np.ndarr
                 yield _weighted(total)
 
         kind = "n long, weights binary"
-        summed = windows.repartition(parts).mapInArrow(run, kind).repartition(math.isqrt(parts)).mapInArrow(add, kind).collect()
+        summed = source.mapInArrow(run, kind).repartition(FAN).mapInArrow(add, kind).collect()
         weight, flat = sum_of((r["n"], np.frombuffer(bytes(r["weights"]), np.float64)) for r in sorted(summed))
         cuts = np.cumsum([math.prod(s) for s in shapes])[:-1]
         state = [v.reshape(s).astype(np.float32) for v, s in zip(np.split(flat / weight, cuts), shapes)]
@@ -455,9 +486,15 @@ def shrunk(model: Attention, most: float = 60.0) -> Attention:
 
 
 def shares(scores: np.ndarray) -> np.ndarray:
-    """Probabilities of the scores of each row."""
-    e = np.exp(scores - scores.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+    """Probabilities of the scores of each row; scores stay where exp does."""
+    e = np.exp(np.clip(scores, -80, 60))
+    e /= summed(e)[:, None]
+    return e
+
+
+def summed(rows: np.ndarray) -> np.ndarray:
+    """Sums over the last, short axis: as a product, which is several times faster."""
+    return rows @ np.ones(rows.shape[-1], rows.dtype)
 
 
 def _slopes(values: list[np.ndarray], x: np.ndarray, y: np.ndarray, real: np.ndarray, back: np.ndarray, of_base: bool = True) -> list[np.ndarray]:
@@ -467,40 +504,59 @@ def _slopes(values: list[np.ndarray], x: np.ndarray, y: np.ndarray, real: np.nda
     """
     embed, project, out, near, base = values
     d, n = WIDTH, len(x)
-    e = embed[x]
-    qkv = e @ project
-    q, k, v = qkv[:, BLOCK:, :d] / math.sqrt(d), qkv[:, :, d:2 * d], qkv[:, :, 2 * d:]
-    weight = q @ k.transpose(0, 2, 1) + causal_bias(near)
-    weight -= weight.max(axis=2, keepdims=True)
+    qkv = (embed @ project)[x]
+    q, k, v = (np.ascontiguousarray(a) for a in (qkv[:, BLOCK:, :d] / math.sqrt(d), qkv[:, :, d:2 * d], qkv[:, :, 2 * d:]))
+    weight = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    np.clip(weight, -40, 40, out=weight)
+    weight += causal_bias(near)
     np.exp(weight, out=weight)
-    weight /= weight.sum(axis=2, keepdims=True)
-    got = weight @ v
+    weight /= summed(weight)[:, :, None]
+    got = (weight @ v).reshape(-1, d)
     xs, ys = x[:, BLOCK:].ravel(), y[:, BLOCK:].ravel()
-    logits = got.reshape(-1, d) @ out + base[xs]
-    p = np.zeros_like(logits)
-    p[:, :GROUPS] = shares(logits[:, :GROUPS])
-    of_group = GROUPS + (ys // SIZE * SIZE)[:, None] + np.arange(SIZE)
-    np.put_along_axis(p, of_group, shares(np.take_along_axis(logits, of_group, 1)), 1)
-    p[np.arange(len(ys)), ys // SIZE] -= 1
-    p[np.arange(len(ys)), GROUPS + ys] -= 1
-    p *= (real[:, BLOCK:].ravel() / max(1, real[:, BLOCK:].sum()))[:, None].astype(np.float32)
+    share = (real[:, BLOCK:].ravel() / max(1, real[:, BLOCK:].sum()))[:, None].astype(np.float32)
+    # scores in pieces of SIZE, those of the groups first: of a query only its row's first piece and that of its next group are needed
+    pieces, wide, place = base.reshape(-1, SIZE), base.shape[1] // SIZE, np.arange(len(ys))
+    group = ys // SIZE
+    order = np.argsort(group.astype(np.uint8), kind="stable")
+    at = xs[order] * wide + 1 + group[order]
+    cuts = np.searchsorted(group[order], np.arange(GROUPS + 1)).tolist()
+    of_group = [slice(GROUPS + g * SIZE, GROUPS + (g + 1) * SIZE) for g in range(GROUPS)]
+    whole, inside, sorted_got = got @ out[:, :GROUPS] + pieces[xs * wide], pieces[at], got[order]
+    for g, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        inside[a:b] += sorted_got[a:b] @ out[:, of_group[g]]
+    whole, inside = shares(whole), shares(inside)
+    whole[place, group] -= 1
+    inside[place, ys[order] % SIZE] -= 1
+    whole *= share
+    inside *= share[order]
     g_base = []
     if of_base:
         g_base.append(np.zeros_like(base))
-        np.add.at(g_base[0], xs, p)
-    g_out = got.reshape(-1, d).T @ p
-    g_got = (p @ out.T).reshape(n, BLOCK, d)
-    g_weight = g_got @ v.transpose(0, 2, 1)
-    g_score = weight * (g_weight - (g_weight * weight).sum(axis=2, keepdims=True))
+        np.add.at(g_base[0].reshape(-1, SIZE), xs * wide, whole)
+        np.add.at(g_base[0].reshape(-1, SIZE), at, inside)
+    g_out, g_got, g_sorted = np.empty_like(out), whole @ out[:, :GROUPS].T, np.empty_like(sorted_got)
+    g_out[:, :GROUPS] = got.T @ whole
+    for g, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        g_out[:, of_group[g]] = sorted_got[a:b].T @ inside[a:b]
+        g_sorted[a:b] = inside[a:b] @ out[:, of_group[g]].T
+    g_got[order] += g_sorted
+    g_got = g_got.reshape(n, BLOCK, d)
+    g_score = g_got @ np.ascontiguousarray(v.transpose(0, 2, 1))
+    g_score -= summed(g_score * weight)[:, :, None]
+    g_score *= weight
     g_qkv = np.zeros_like(qkv)
     g_qkv[:, BLOCK:, :d] = g_score @ k / math.sqrt(d)
     g_qkv[:, :, d:2 * d] = g_score.transpose(0, 2, 1) @ q
     g_qkv[:, :, 2 * d:] = weight.transpose(0, 2, 1) @ g_got
     g_near = np.bincount(back[back >= 0], weights=g_score.sum(axis=0)[back >= 0], minlength=len(near))[:len(near)].astype(np.float32)
-    g_project = e.reshape(-1, d).T @ g_qkv.reshape(-1, 3 * d)
-    g_embed = np.zeros_like(embed)
-    np.add.at(g_embed, x.ravel(), (g_qkv @ project.T).reshape(-1, d))
-    return [g_embed, g_project.astype(np.float32), g_out, g_near, *g_base]
+    # summed by row first, so that the products are of rows and not of places
+    place = x.ravel()
+    by_place = np.argsort(place.astype(np.uint16) if len(embed) <= 1 << 16 else place, kind="stable")
+    place = place[by_place]
+    starts = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    by_row = np.zeros((len(embed), 3 * d), embed.dtype)
+    by_row[place[starts]] = np.add.reduceat(g_qkv.reshape(-1, 3 * d)[by_place], starts, axis=0)
+    return [by_row @ project.T, embed.T @ by_row, g_out, g_near, *g_base]
 
 
 def score_symbols(model: Attention, flat: np.ndarray, sizes: np.ndarray, chunk: int = 192) -> np.ndarray:
@@ -540,8 +596,8 @@ def score_symbols(model: Attention, flat: np.ndarray, sizes: np.ndarray, chunk:
                 inside[x:y] += sorted_got[x:y] @ out_in_group[g]
         chosen = whole[place[:n], group]
         chosen[order] += inside[place[:n], aim[order] % SIZE]
-        part = np.log(np.exp(inside).sum(axis=1))
-        gain = chosen - np.log(np.exp(whole).sum(axis=1))
+        part = np.log(summed(np.exp(inside)))
+        gain = chosen - np.log(summed(np.exp(whole)))
         gain[order] -= part
         gained[a * BLOCK:b * BLOCK] = gain
     return totals(gained[at] + model.inside[flat], sizes)
@@ -558,9 +614,7 @@ def score(docs: DataFrame, held_out: Column, name: str = MODEL) -> DataFrame:
     small_batches(spark)
     docs = docs.select("doc_id", "text", held_out.alias("held_out"))
     training = docs.where(~F.col("held_out"))
-    size = training.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    share = min(1.0, max(1 / ONE_IN, FIT_WINDOWS / max(1.0, size / 2.5 / BLOCK)))
-    gathered = written(_gather(training, name, share), "lm-gathered")
+    gathered = written(_gather(training, name), "lm-gathered")
 
     counts = written(gathered.where("kind = 0").groupBy(F.col("key").alias("word")).agg(F.sum("n").alias("c")), "lm-words")
     seen, distinct = counts.agg(F.sum("c"), F.count("*")).first()
@@ -572,10 +626,10 @@ def score(docs: DataFrame, held_out: Column, name: str = MODEL) -> DataFrame:
     of_symbol = np.zeros(symbols)
     for r in gathered.where("kind = 1").groupBy("key").agg(F.sum("n").alias("n")).collect():
         of_symbol[r["key"]] = r["n"]
-    coded, end = gathered.where("kind = 3").select("codes"), Speller(name).end
+    coded, end = gathered.where("kind = 2").select("codes"), Speller(name).end
     rows = rows_of(cluster(count_pairs(coded, symbols, end, ROWS * 2 * CONTEXT + 1, neighbour_cells(of_symbol)), of_symbol), of_symbol)
     base = base_of_counts(rows, count_pairs(coded, symbols, end, len(rows.class_of_row) * CLASSES, rows.place))
-    state = fit_parts(gathered.where("kind = 2").select("window"), rows, base)
+    state = fit_coded(coded, symbols, end, of_symbol.sum(), rows, base)
     shared = spark.sparkContext.broadcast((made(rows, base, state), keys[order], values[order]))
 
     scored = written(_scored(docs, name, shared), "lm-scored")
