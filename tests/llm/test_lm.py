@@ -207,3 +207,50 @@ def test_attention_is_fitted_on_all_windows_whatever_their_number(spark):
             L.FIT_WINDOWS, L.STEPS = old
         moved = (state[0] != L.fresh(rows)[0]).any(axis=1)
         assert moved[rows.row_of[:2900]].all()
+
+
+def test_runs_of_blocks_are_the_windows_of_each_text():
+    rng = np.random.default_rng(7)
+    texts = [np.append(rng.integers(0, 90, n), 99) for n in (0, 1, L.BLOCK - 1, L.BLOCK, 2 * L.BLOCK - 1, 9 * L.BLOCK + 5)]
+    flat = np.concatenate(texts).astype(np.uint16)
+    windows, runs = L.windows_of(flat, 99), L.runs_of_blocks(flat, 99)
+    blocks = [run[a:a + 2 * L.BLOCK + 1] for run in runs for a in range(0, L.RUN * L.BLOCK, L.BLOCK)]
+    blocks = np.array([b for b in blocks if (b[L.BLOCK + 1:] >= 0).any()])
+    # a symbol that stands for none, and the one before it, are never seen
+    blocks[:, :-1][blocks[:, 1:] < 0] = -1
+    windows[:, :-1][windows[:, 1:] < 0] = -1
+    assert np.array_equal(blocks, windows)
+
+
+def test_runs_have_the_slopes_of_their_windows():
+    rng = np.random.default_rng(8)
+    rows, wide = 30, L.GROUPS + L.CLASSES
+    values = [rng.standard_normal(s) * 0.5 for s in ((rows, L.WIDTH), (L.WIDTH, 3 * L.WIDTH), (L.WIDTH, wide), (2 * L.BLOCK,), (rows, wide))]
+    size = (3, (1 + L.RUN) * L.BLOCK)
+    x, y, real = rng.integers(0, rows, size), rng.integers(0, L.CLASSES, size), rng.random(size) < 0.9
+    back = L.BLOCK + np.arange(L.BLOCK)[:, None] - np.arange(2 * L.BLOCK)[None, :]
+    apart = [np.concatenate([a[:, i * L.BLOCK:(i + 2) * L.BLOCK] for i in range(L.RUN)]) for a in (x, y, real)]
+    for one, other in zip(L._slopes(values, x, y, real, back), L._slopes(values, *apart, back)):
+        assert np.allclose(one, other, atol=1e-7)
+
+
+def test_all_texts_are_spelled_once_and_scored_from_their_symbols(spark):
+    texts = ["One two three", None, "two  two\nfour", "", "five " * 70_000, "six One"]
+    docs = spark.createDataFrame([(i, t, i % 3 == 2) for i, t in enumerate(texts)], "doc_id long, text string, held_out boolean").coalesce(1)
+    rows, end, met = L._gather(docs, L.MODEL).collect(), L.Speller(L.MODEL).end, {}
+    for r in rows:
+        if r["kind"] >= 2:
+            hashes, counts = np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["sizes"], np.int64)
+            words = hashes[np.frombuffer(r["words"], L._number(len(hashes)))]
+            assert (np.frombuffer(r["codes"], np.uint16) == end).sum() == len(r["ids"]) == len(counts)
+            assert all(h == (r["kind"] == 3) for h in r["held"])
+            for i, own in zip(r["ids"], np.split(words, np.cumsum(counts)[:-1])):
+                assert i not in met
+                met[i] = own.tolist()
+    assert met == {i: [L._HASH(w) for w in (t or "").lower().encode().split()] for i, t in enumerate(texts)}
+    learnt = Counter()
+    for r in rows:
+        if r["kind"] == 0:
+            learnt[r["key"] % (1 << 64)] += r["n"]
+    want = Counter(w for i, own in met.items() if i % 3 != 2 for w in own)
+    assert learnt == want + Counter({L._HASH(L.END_WORD): 4})

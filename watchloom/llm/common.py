@@ -33,11 +33,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows, written once and read again: a cut in the lineage that survives lost executors."""
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """The rows, written once and read again: a cut in the lineage that survives lost executors. options: of the writer."""
     spark = df.sparkSession
     path = shared_path(spark, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
